@@ -169,7 +169,7 @@ def pack_texts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col
         encoder = _encoder(tokenizer)
         base = TaskContext.get().partitionId() << 32
         made, waits, held = 0, [], 0
-        kinds = [pa.int64()] * 7 + [pa.list_(pa.int64())] * keep_ids
+        kinds = [pa.int64()] * 7 + [pa.list_(pa.int32())] * keep_ids
 
         def rows():
             nonlocal made, waits, held
@@ -182,7 +182,7 @@ def pack_texts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col
                     doc, ids = waits[k]
                     own = ids[4 * start : 4 * (start + n)]
                     values = (doc, start, n, zlib.crc32(own), len(ids) // 4, base + made, offset)
-                    for col, v in zip(cols, values + ((np.frombuffer(own, "<u4").tolist(),) if keep_ids else ()), strict=True):
+                    for col, v in zip(cols, values + ((np.frombuffer(own, "<i4"),) if keep_ids else ()), strict=True):
                         col.append(v)
                     offset += n
                 made += 1
@@ -201,7 +201,7 @@ def pack_texts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col
         if waits:
             yield rows()
 
-    schema = ", ".join(f"{n} {'array<long>' if n == 'ids' else 'long'}" for n in names)
+    schema = ", ".join(f"{n} {'array<int>' if n == 'ids' else 'long'}" for n in names)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("t")).mapInArrow(task, schema)
 
 

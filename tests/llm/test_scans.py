@@ -1,0 +1,144 @@
+"""Secrets, personal data, licences."""
+
+import base64
+import hashlib
+import json
+import random
+import re
+
+import pytest
+
+from cutline.llm import op1_secrets as secrets
+from cutline.llm import op2_pii as pii
+from cutline.llm import op6_licenses as licenses
+
+
+def plain_secrets(t):
+    t = t or ""
+    out = []
+    for m in re.finditer(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t):
+        if len(m[2]) >= 8:
+            out.append((m.start(), 0, f"assign:{m.start()}:{m.end()}"))
+    out += [(m.start(), 1, f"access:{m.start()}:{m.end()}") for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 16]
+    out += [(m.start(), 2, f"hex:{m.start()}:{m.end()}") for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 32]
+    return [x[2] for x in sorted(out)]
+
+
+def plain_pii(t):
+    t = t or ""
+    out = [(m.start(), 0, f"email:{m.start()}:{m.end()}") for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    out += [(m.start(), 1, f"ip:{m.start()}:{m.end()}") for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if max(map(int, m[0].split("."))) <= 255]
+
+    def luhn(d):
+        return sum(int(c) if i % 2 == 0 else (2 * int(c) - 9 if int(c) > 4 else 2 * int(c)) for i, c in enumerate(reversed(d))) % 10 == 0
+
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t):
+        d = re.sub(r"\D", "", m[0])
+        if 12 <= len(d) <= 19 and luhn(d):
+            out.append((m.start(), 2, f"card:{m.start()}:{m.end()}"))
+    for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t):
+        if 9 <= len(re.sub(r"\D", "", m[0])) <= 15:
+            out.append((m.start(), 3, f"phone:{m.start()}:{m.end()}"))
+    return [x[2] for x in sorted(out)]
+
+
+def text(spans):
+    return [f"{k}:{a}:{b}" for a, b, k in spans]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_base_patterns_on_noise(seed):
+    rng = random.Random(seed)
+    bits = ["token", "PassWord", "api_key", "apikey", "=", ":", " ", "  ", '"', "'", "abcdef12", "AKIA", "Z9" * 7, "f" * 31, "0a", "ſ", "K", "@", ".", "a.b", "x", "1", "255", "256", "+", "(", ")", "-", "4111 1111 1111 1111", "+1 (499) 555-6503", "1.2.3.4", "%"]
+    for _ in range(1500):
+        t = "".join(rng.choice(bits) for _ in range(rng.randint(1, 14)))
+        assert text(sorted(secrets.base_spans(t), key=lambda s: (s[0], secrets.KINDS.index(s[2])))) == plain_secrets(t), t
+        assert text(pii.base_spans(t)) == plain_pii(t), t
+
+
+def test_long_runs_are_linear():
+    for t in ("a" * 300_000, "1" * 300_000, "1." * 150_000, "+1" * 100_000, "token" + " " * 300_000, "@" * 200_000, "a@" * 100_000, "eyJ" * 100_000, "-----BEGIN PRIVATE KEY-----" * 3000):
+        secrets.base_spans(t), secrets.confirmed_spans(t), pii.base_spans(t)
+
+
+def der(tag, *parts):
+    body = b"".join(parts)
+    n = len(body)
+    size = bytes([n]) if n < 128 else bytes([0x81, n]) if n < 256 else bytes([0x82]) + n.to_bytes(2, "big")
+    return bytes([tag]) + size + body
+
+
+def test_structure_is_confirmed():
+    rsa = der(0x30, der(2, b"\0"), *[der(2, b"\x01" + bytes([7 * k % 251 for k in range(n)])) for n in (64, 3, 64, 32, 32, 32, 32, 32)])
+    ec = der(0x30, der(2, b"\1"), der(4, b"k" * 32), der(0xA0, der(6, b"\x2b\x81\x04\x00\x22")))
+    pkcs8 = der(0x30, der(2, b"\0"), der(0x30, der(6, b"\x2b\x65\x70")), der(4, der(4, b"k" * 32)))
+    word = lambda b: len(b).to_bytes(4, "big") + b
+    ssh = b"openssh-key-v1\0" + word(b"none") + word(b"none") + word(b"") + (1).to_bytes(4, "big") + word(b"pub") + word(b"x" * 40)
+    for key in (rsa, ec, pkcs8, ssh):
+        assert secrets.private_key(key)
+        assert not secrets.private_key(key[:-1])
+        b64 = base64.b64encode(key).decode()
+        assert text(secrets.confirmed_spans(f"is {b64} ok")) == [f"key64:3:{3 + len(b64)}"]
+        assert ("keyhex", 3) in [(k, a) for a, _, k in secrets.confirmed_spans(f"is {key.hex()} ok")]
+        pem = f"-----BEGIN PRIVATE KEY-----\n{b64}\n-----END PRIVATE KEY-----"
+        assert f"pem:1:{1 + len(pem)}" in text(secrets.confirmed_spans(f" {pem}\n"))
+    wrong = bytearray(rsa)
+    wrong[3] ^= 1
+    assert not secrets.private_key(bytes(wrong))
+    part = lambda x: base64.urlsafe_b64encode(json.dumps(x).encode()).decode().rstrip("=")
+    token = f"{part({'alg': 'HS256', 'typ': 'JWT'})}.{part({'sub': '1'})}.c2ln"
+    assert text(secrets.confirmed_spans(f"t={token};")) == [f"token:2:{2 + len(token)}"]
+    assert secrets.confirmed_spans(f"{part({'typ': 'x'})}.{part({'sub': '1'})}.c2ln") == []
+    assert secrets.confirmed_spans("QUJD" * 30) == []
+
+
+def test_secret_query(spark, rows, sf, empty):
+    got = {(r.doc_id, r.base_sha256, r.n_assign + r.n_access + r.n_hex) for r in secrets.op1_secret_scan(spark, sf).collect()}
+    assert got == {(i, hashlib.sha256(",".join(s := plain_secrets(t)).encode()).hexdigest(), len(s)) for i, t, *_ in rows}
+    assert secrets.op1_secret_scan(spark, sf).count() == len(rows)
+    assert secrets.op1_secret_scan(spark, empty).count() == 0
+
+
+def test_pii_query(spark, rows, sf, empty):
+    got = {(r.doc_id, r.base_sha256) for r in pii.op2_pii_sanitisation(spark, sf).collect()}
+    assert got == {(i, hashlib.sha256(",".join(plain_pii(t)).encode()).hexdigest()) for i, t, *_ in rows}
+    assert pii.op2_pii_sanitisation(spark, sf).count() == len(rows)
+    assert pii.op2_pii_sanitisation(spark, empty).count() == 0
+
+
+def test_disclosing_terms(spark):
+    filler = [(i, f"some common words here number{i} and more of the same") for i in range(200)]
+    leak = [(1000 + i, f"word{i} the patient Zorblax called from zed@ex.org about the same common words plus{i}") for i in range(3)]
+    clean = [(2000, "Zorblax is not near anything here")]
+    docs = spark.createDataFrame(filler + leak + clean, "doc_id long, text string")
+    got = {r.doc_id: [(s["kind"], s["start"], s["end"]) for s in r.spans] for r in pii.sanitisation_spans(docs).collect()}
+    t = leak[0][1]
+    assert ("email", t.index("zed@"), t.index("zed@") + 10) in got[1000]
+    taken = {t[a:b] for k, a, b in got[1000] if k != "email"}
+    assert "patient" in taken and "called" in taken and "Zorblax" in taken
+    assert not taken & {"the", "same", "common", "words", "word0", "plus0"}
+    assert got[2000] == [] and got[0] == []
+    redacted = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
+    assert set(redacted) == {1000, 1001, 1002} and "zed@" not in redacted[1000] and "[EMAIL]" in redacted[1000] and "patient" not in redacted[1000]
+
+
+def test_licences(spark, sf, empty):
+    files = [
+        ("a/LICENSE", "Released under the MIT License."),
+        ("a/b/x.py", "print(1)"),
+        ("a/b/c/y.py", "print(2)"),
+        ("a/b/c/LICENSE", "Licensed under the Apache License, Version 2.0."),
+        ("a/b/c/own.py", "code code " * 20 + "\nThis work is licensed under the GNU General Public License, version 3.\n" + "more code " * 20),
+        ("z/q.py", "the license of the dog is here under the version of two words"),
+        ("ab/x.py", "nothing"),
+        (None, "nothing"),
+        ("n", None),
+    ]
+    df = spark.createDataFrame([(p, t, "x", 1) for p, t in files], "path string, text string, dir string, score int").select("path", "text")
+    got = {r.path: (r.licence, r.origin, r.licence_path) for r in licenses.scan_licenses(df).collect()}
+    assert got["a/LICENSE"] == ("MIT", "own", "a/LICENSE")
+    assert got["a/b/x.py"] == ("MIT", "inherited", "a/LICENSE")
+    assert got["a/b/c/y.py"] == ("Apache-2.0", "inherited", "a/b/c/LICENSE")
+    assert got["a/b/c/own.py"][:2] == ("GPL-3.0", "own")
+    assert got["z/q.py"] == got["ab/x.py"] == got[None] == got["n"] == (None, None, None)
+    assert licenses.op6_license_scan(spark, sf).count() > 0 and licenses.op6_license_scan(spark, empty).count() == 0
