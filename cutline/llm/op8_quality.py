@@ -74,7 +74,9 @@ def features(docs: DataFrame, text: Column) -> DataFrame:
     same = lambda i, x: F.coalesce(at("_s", i)["h"] == x["h"], F.lit(False))
     df = df.withColumn("_p", F.sort_array(F.filter(F.transform("_s", lambda x, i: F.when(same(i - 1, x) | same(i + 1, x), x["i"])), lambda p: p.isNotNull())))
     covered = F.transform("_p", lambda p, i: F.least(F.coalesce(at("_p", i + 1) - p, F.lit(WINDOW)), F.lit(WINDOW)))
-    return df.withColumn("n_repeat_words", F.coalesce(F.aggregate(covered, F.lit(0).cast("long"), lambda s, x: s + x), F.lit(0).cast("long"))).select(*keep, *FEATURES)
+    df = df.withColumn("n_repeat_words", F.coalesce(F.aggregate(covered, F.lit(0).cast("long"), lambda s, x: s + x), F.lit(0).cast("long")))
+    # behind a generator, filters on the statistics are not pushed down and written out in full
+    return df.select(*keep, F.inline(F.array(F.struct(*FEATURES))))
 
 
 def binomial_tail(n: Column, k: Column, p: float) -> Column:
