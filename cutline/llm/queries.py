@@ -14,6 +14,7 @@ from .op7_mixing import op7_source_mixing
 from .op8_quality import op8_risk_controlled_quality
 from .op9_simhash import op9_simhash_near_dedup
 from .op10_importance import op10_importance_resampling
+from .oracle import ORACLE_SQL  # noqa: F401
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,4 +40,3 @@ QUERIES = {
         pipeline,
     )
 }
-ORACLE_SQL: dict[str, str] = {}
