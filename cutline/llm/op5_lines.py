@@ -45,9 +45,8 @@ def segment(length: Column, i: int, tau: int) -> tuple[Column, Column]:
     return (1 + i * size + extra).cast("int"), (size + F.when(more >= n - i, 1).otherwise(0)).cast("int")
 
 
-def keys(line: Column, tau: int = TAU) -> Column:
-    """array<struct<k, idx>>: the keys that a line probes; idx: it is indexed there too."""
-    length = F.length(line)
+def keys(line: Column, length: Column, tau: int = TAU) -> Column:
+    """array<struct<k, idx>>: the keys that a line probes; idx: it is indexed there too. k is null where a substring would not fit."""
     out = []
     for d in range(tau + 1):
         own = length - d
@@ -58,12 +57,21 @@ def keys(line: Column, tau: int = TAU) -> Column:
                 place = start + shift
                 ok = (place >= 1) & (place + size - 1 <= length)
                 k = F.xxhash64(own, F.lit(i), F.substring(line, place, size))
-                out.append(F.when(ok, F.struct(k.alias("k"), F.lit(d == 0 and shift == 0).alias("idx"))))
-    return F.filter(F.array(*out), lambda x: x.isNotNull())
+                out.append(F.struct(F.when(ok, k).alias("k"), F.lit(d == 0 and shift == 0).alias("idx")))
+    return F.array(*out)
 
 
-def bigram_parity(chars: Column) -> Column:
+def bound(x: Column, f) -> Column:
+    """f of a value that is computed once: inside of a lambda an expression would be computed again for each element."""
+    return F.element_at(F.transform(F.array(x), f), 1)
+
+
+def bigram_parity(line: Column) -> Column:
     """64 bits; each the parity of how many bigrams hash to it."""
+    return bound(F.split(line, ""), _parity)
+
+
+def _parity(chars: Column) -> Column:
     bit = lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.hash(F.get(chars, i), F.get(chars, i + 1)), F.lit(64)).cast("int"))
     return F.aggregate(F.sequence(F.lit(0), F.size(chars) - 2), F.lit(0).cast("long"), lambda s, i: s.bitwiseXOR(bit(i)))
 
@@ -86,11 +94,7 @@ def banded_distance(long_: Column, short: Column, tau: int = TAU) -> Column:
         for b in range(band):
             hit = F.when((j - tau + b >= 0) & (F.get(long_, j - tau + b) == ch), long_lit(1 << b)).otherwise(long_lit(0))
             same = hit if same is None else same.bitwiseOR(hit)
-        bound = F.struct(same.alias("x"))
-        return F.element_at(
-            F.transform(F.array(bound), lambda e: _column(s, e["x"], behind, tau, full, invert)),
-            1,
-        )
+        return bound(same, lambda x: _column(s, x, behind, tau, full, invert))
 
     first = long_lit(full - ((1 << tau) - 1))
     start = F.struct(first.alias("vp"), long_lit(0).alias("vn"), behind.cast("long").alias("d"))
@@ -101,8 +105,7 @@ def _column(s: Column, x: Column, behind: Column, tau: int, full: int, invert) -
     vp, vn = s["vp"], s["vn"]
     d0 = ((x.bitwiseAND(vp) + vp).bitwiseXOR(vp)).bitwiseOR(x).bitwiseOR(vn).bitwiseAND(F.lit(full).cast("long"))
 
-    def rest(e: Column) -> Column:
-        d = e["d0"]
+    def rest(d: Column) -> Column:
         hp = vn.bitwiseOR(invert(d.bitwiseOR(vp)))
         hn = d.bitwiseAND(vp)
         down = F.shiftright(d, 1)
@@ -113,7 +116,7 @@ def _column(s: Column, x: Column, behind: Column, tau: int, full: int, invert) -
             (s["d"] + 1 - at).alias("d"),
         )
 
-    return F.element_at(F.transform(F.array(F.struct(d0.alias("d0"))), rest), 1)
+    return bound(d0, rest)
 
 
 def within(a: Column, b: Column, tau: int = TAU) -> Column:
@@ -121,7 +124,7 @@ def within(a: Column, b: Column, tau: int = TAU) -> Column:
     chars = lambda e: F.split(e["line"], "")
 
     def distance(x: Column, y: Column) -> Column:
-        return F.element_at(F.transform(F.array(F.struct(chars(x).alias("p"), chars(y).alias("t"))), lambda z: banded_distance(z["p"], z["t"], tau)), 1)
+        return bound(F.struct(chars(x).alias("p"), chars(y).alias("t")), lambda z: banded_distance(z["p"], z["t"], tau))
 
     near = (F.abs(a["len"] - b["len"]) <= tau) & (F.bit_count(a["sig"].bitwiseXOR(b["sig"])) <= 4 * tau)
     return F.when(~near, F.lit(False)).when(a["len"] >= b["len"], distance(a, b) <= tau).otherwise(distance(b, a) <= tau)
@@ -131,8 +134,8 @@ def line_links(each: DataFrame, tau: int = TAU) -> DataFrame:
     """each (line, h) -> links (u, v) between the hashes of different lines within tau edits."""
     from pyspark.sql import Window as W
 
-    texts = each.where("h is not null").groupBy("h").agg(F.first("line").alias("line"))
-    keyed = texts.select("h", F.inline(keys(F.col("line"), tau)))
+    texts = each.where("h is not null").groupBy("h").agg(F.first("line").alias("line")).withColumn("len", F.length("line"))
+    keyed = texts.select("h", F.inline(keys(F.col("line"), F.col("len"), tau))).where("k is not null")
     group = W.partitionBy("k")
     members = (
         keyed.select("k", "h", "idx", F.min("h").over(group).alias("lo"), F.max("h").over(group).alias("hi"), F.max("idx").over(group).alias("any_idx"))
@@ -142,7 +145,7 @@ def line_links(each: DataFrame, tau: int = TAU) -> DataFrame:
         .withColumn("block", F.floor((F.row_number().over(group.orderBy("h")) - 1) / BLOCK))
     )
     full = members.join(texts.withColumnRenamed("h", "_h"), F.col("h") == F.col("_h"))
-    full = full.select("k", "block", F.struct("h", "idx", "line", F.length("line").alias("len"), bigram_parity(F.split("line", "")).alias("sig")).alias("m"))
+    full = full.select("k", "block", F.struct("h", "idx", "line", "len", bigram_parity(F.col("line")).alias("sig")).alias("m"))
     blocks = full.groupBy("k", "block").agg(F.collect_list("m").alias("ms"))
     left, right = blocks, blocks.select(F.col("k").alias("_k"), F.col("block").alias("_b"), F.col("ms").alias("others"))
     pairs = left.join(right, (F.col("k") == F.col("_k")) & (F.col("block") <= F.col("_b")))

@@ -111,9 +111,9 @@ def test_banded_distance_and_keys(spark, tau):
             pairs.append((a, b))
     df = spark.createDataFrame(pairs, "a string, b string")
     d = lines.banded_distance(F.split("a", ""), F.split("b", ""), tau)
-    bits = lambda c: lines.bigram_parity(F.split(c, ""))
+    bits = lambda c: lines.bigram_parity(F.col(c))
     flips = F.when((F.length("a") > 1) & (F.length("b") > 1), F.bit_count(bits("a").bitwiseXOR(bits("b")))).otherwise(0)
-    shared = F.arrays_overlap(F.transform(F.filter(lines.keys(F.col("b"), tau), lambda x: x["idx"]), lambda x: x["k"]), F.transform(lines.keys(F.col("a"), tau), lambda x: x["k"]))
+    shared = F.arrays_overlap(F.transform(F.filter(lines.keys(F.col("b"), F.length("b"), tau), lambda x: x["idx"] & x["k"].isNotNull()), lambda x: x["k"]), F.transform(lines.keys(F.col("a"), F.length("a"), tau), lambda x: x["k"]))
     for r in df.select("a", "b", d.alias("d"), flips.alias("flips"), shared.alias("shared")).collect():
         real = edits(r.a, r.b)
         assert (r.d == real) if real <= tau else r.d > tau, (r.a, r.b, r.d, real)
