@@ -33,6 +33,8 @@ SEGMENTS = 128
 WINDOW = 1 << 20
 END = 0
 ODD = re.compile(r"\s \s|\s $")
+#: A chunk of one or two words: letters end a token before punctuation, and a lone line feed is a token.
+WORDS = re.compile(r"( ?[^\W\d_]+)([.,;:!?]*)(?:(\n)([^\W\d_]+)([.,;:!?]*))?")
 
 
 class Encoder:
@@ -51,17 +53,26 @@ class Encoder:
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _parts(self, chunk: str) -> tuple[str, ...]:
+        """The chunk's parts that are encoded apart, if it is made of words; else the chunk."""
+        m = WORDS.fullmatch(chunk)
+        if m is None or not (m[1].lstrip(" ").isalpha() and (m[4] or "a").isalpha()):
+            return (chunk,)
+        return tuple(g for g in m.groups() if g)
+
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [None if ODD.search(t) else t.replace(" ", "\0 ").split("\0") if "\0" not in t else None for t in texts]
         known = self.known
-        new = list({c for chunks in cut if chunks for c in chunks}.difference(known))
-        fresh = dict(zip(new, self._ids(new), strict=True))
+        new = {c: self._parts(c) for c in {c for chunks in cut if chunks for c in chunks}.difference(known)}
+        lone = list({p for parts in new.values() for p in parts if p not in known})
+        fresh = dict(zip(lone, self._ids(lone), strict=True))
+        ids = lambda p: known.get(p) or fresh[p]
+        fresh |= {c: b"".join(map(ids, parts)) for c, parts in new.items() if len(parts) > 1}
         whole = iter(self._ids([t for t, chunks in zip(texts, cut, strict=True) if chunks is None]))
-        if fresh and len(known) < self.most:
-            known.update((c, i) for c, i in fresh.items() if len(c) <= 48)
-            fresh = {c: i for c, i in fresh.items() if len(c) > 48}
-        get = (lambda c: known.get(c) or fresh[c]) if fresh else known.__getitem__
-        return [next(whole) if chunks is None else b"".join([get(c) for c in chunks if c]) for chunks in cut]
+        if len(known) < self.most:
+            known.update((c, i) for c, i in fresh.items() if len(c) <= 48 and "\n" not in c)
+        get = known.get
+        return [next(whole) if chunks is None else b"".join([get(c) or fresh[c] for c in chunks if c]) for chunks in cut]
 
 
 def open_length(n: int) -> bool:

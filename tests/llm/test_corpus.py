@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 from fractions import Fraction
+from functools import cache
 
 import numpy as np
 import pytest
@@ -26,10 +27,15 @@ def words(t):
 # packing
 
 
-def plain_ids(t):
+@cache
+def tokenizer():
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(packing.tokenizer_path()).encode(t or "", add_special_tokens=False).ids + [0]
+    return Tokenizer.from_file(packing.tokenizer_path())
+
+
+def plain_ids(t):
+    return tokenizer().encode(t or "", add_special_tokens=False).ids + [0]
 
 
 def test_encoder_equals_the_tokenizer():
@@ -207,7 +213,7 @@ def test_kth_key(spark, monkeypatch):
     rows = [(rng.choice([1.0, 2.5, rng.random(), -1e6, rng.gauss(0, 1e-9)]), i) for i in range(900)]
     df = spark.createDataFrame(rows, "key double, doc_id long").cache()
     order = sorted(rows, key=lambda r: (-r[0], r[1]))
-    for k in (1, 5, 300, 450, 700, 899):
+    for k in (5, 450, 899):
         assert tuple(importance.kth_key(df, k)) == order[k - 1], k
     assert importance.kth_key(df, 900) is None
 
