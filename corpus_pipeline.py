@@ -14,7 +14,7 @@ from cutline.llm import op5_lines as line_dedup
 from cutline.llm import op7_mixing as mixing
 from cutline.llm import op8_quality as quality
 from cutline.llm import op9_simhash as simhash
-from cutline.llm.common import BLANKS, shared_dir, table, text_or_empty, write_shared
+from cutline.llm.common import BLANKS, broadcast_if, shared_dir, table, text_or_empty, write_shared
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,8 +32,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least id of each group of near-duplicates."""
     found, _ = write_shared(simhash.fingerprints(docs), "simhash")
-    gone = simhash.near_duplicates(found).where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    gone, _ = write_shared(simhash.near_duplicates(found).where("component_id <> doc_id").select("doc_id").distinct(), "gone")
+    return docs.join(broadcast_if(gone, 1_000_000), "doc_id", "left_anti").select(docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -51,6 +51,11 @@ def small(df: DataFrame, most: int) -> list | None:
     return rows if len(rows) <= most else None
 
 
+def broadcast_if(df: DataFrame, most: int) -> DataFrame:
+    """df, a written table, marked for broadcast if it has at most `most` rows; else Spark joins it by shuffle."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def map_rows(df: DataFrame, make, schema: str, rows: int = 2048) -> DataFrame:
     """mapInArrow without pandas. make() runs once in each task and returns a function from the columns of a batch (lists) to the columns of the result (lists)."""
     from pyspark.sql.types import _parse_datatype_string

@@ -24,10 +24,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANKS, table, text_or_empty, write_shared
+from .common import BLANKS, broadcast_if, table, text_or_empty, write_shared
 from .components import components
 
 TAU, MIN_CHARS, BLOCK = 2, 24, 32
+#: Documents that lose lines, up to which they are broadcast (with ten lines each at most on average).
+BROADCAST_DOCS = 500_000
 
 
 def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
@@ -37,28 +39,26 @@ def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_c
     return each.withColumn("h", F.when(long_enough, F.xxhash64("line")))
 
 
-def segment(length: Column, i: int, tau: int) -> tuple[Column, Column]:
-    """Start (from 1) and length of the i-th (from 0) of tau + 1 segments; the last ones are longer by one if need be."""
-    n = tau + 1
-    size, more = F.floor(length / n).cast("int"), (length % n).cast("int")
-    extra = F.greatest(more - (n - i), F.lit(0)) if i else F.lit(0)
-    return (1 + i * size + extra).cast("int"), (size + F.when(more >= n - i, 1).otherwise(0)).cast("int")
+def probes(tau: int) -> list[tuple[int, int, int]]:
+    """(d, i, shift): a line looks for segment i of lines that are shorter by d, `shift` places from where they have it.
+
+    Multi-match-aware selection: i edits at most lie to the left of the segment, and tau - i to the right.
+    """
+    return [(d, i, shift) for d in range(tau + 1) for i in range(tau + 1) for shift in range(max(-i, d - (tau - i)), min(i, d + (tau - i)) + 1)]
 
 
-def keys(line: Column, length: Column, tau: int = TAU) -> Column:
-    """array<struct<k, idx>>: the keys that a line probes; idx: it is indexed there too. k is null where a substring would not fit."""
-    out = []
-    for d in range(tau + 1):
-        own = length - d
-        for i in range(tau + 1):
-            start, size = segment(own, i, tau)
-            # multi-match-aware: i errors at most to the left, tau - i at most to the right
-            for shift in range(max(-i, d - (tau - i)), min(i, d + (tau - i)) + 1):
-                place = start + shift
-                ok = (place >= 1) & (place + size - 1 <= length)
-                k = F.xxhash64(own, F.lit(i), F.substring(line, place, size))
-                out.append(F.struct(F.when(ok, k).alias("k"), F.lit(d == 0 and shift == 0).alias("idx")))
-    return F.array(*out)
+def keys(texts: DataFrame, tau: int = TAU) -> DataFrame:
+    """texts (h, line, len) -> h, k, idx: the keys that a line probes; idx: it is indexed there too.
+
+    Of a length, the last (length mod tau + 1) of tau + 1 segments are longer by one. The probes are rows of a literal, so
+    that one short expression is compiled for all. Four bytes a character let a segment be found without counting.
+    """
+    places = F.array(*[F.struct(F.lit(d).alias("d"), F.lit(i).alias("i"), F.lit(s).alias("s")) for d, i, s in probes(tau)])
+    rows = texts.select("h", "len", F.encode("line", "UTF-32").alias("chars")).select("h", "len", "chars", F.inline(places))
+    rows = rows.withColumn("q", F.expr(f"cast((len - d) div {tau + 1} as int)")).withColumn("longer", F.expr(f"(len - d) % {tau + 1} - {tau + 1} + i"))
+    rows = rows.withColumn("size", F.expr("q + if(longer >= 0, 1, 0)")).withColumn("place", F.expr("i * q + greatest(longer, 0) + s + 1"))
+    fits = rows.where("place >= 1 and place + size - 1 <= len")
+    return fits.select("h", F.expr("xxhash64(len - d, i, substring(chars, place * 4 - 3, size * 4))").alias("k"), F.expr("d = 0 and s = 0").alias("idx"))
 
 
 def bound(x: Column, f) -> Column:
@@ -135,7 +135,7 @@ def line_links(each: DataFrame, tau: int = TAU) -> DataFrame:
     from pyspark.sql import Window as W
 
     texts = each.where("h is not null").groupBy("h").agg(F.first("line").alias("line")).withColumn("len", F.length("line"))
-    keyed = texts.select("h", F.inline(keys(F.col("line"), F.col("len"), tau))).where("k is not null")
+    keyed = keys(texts, tau)
     group = W.partitionBy("k")
     members = (
         keyed.select("k", "h", "idx", F.min("h").over(group).alias("lo"), F.max("h").over(group).alias("hi"), F.max("idx").over(group).alias("any_idx"))
@@ -179,6 +179,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the lines that go; documents that lose lines and have only blank ones left go too."""
     gone, _ = write_shared(removed_lines(docs, id_col, text_col).where("n_removed > 0").select(F.col("doc_id").alias("_gone_id"), "removed"), "lines")
+    gone = broadcast_if(gone, BROADCAST_DOCS) if gone.agg(F.coalesce(F.sum(F.size("removed")), F.lit(0))).first()[0] <= 10 * BROADCAST_DOCS else gone
     columns = docs.columns
     left = F.array_join(F.filter(F.transform(F.split(text_col, "\n"), lambda x, i: F.when(~F.array_contains("removed", i), x)), lambda x: x.isNotNull()), "\n")
     out = docs.join(gone, F.col(id_col).eqNullSafe(F.col("_gone_id")), "left").withColumn("_left", F.when(F.col("removed").isNotNull(), left))
