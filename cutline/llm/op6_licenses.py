@@ -4,7 +4,11 @@ Every whole text is read for windows that look like a template's words. A window
 template's rarest word, at the template's own offset and up to SLACK words from it, and has the template's number of
 words; its score is the cosine of TF-IDF vectors. Document frequencies of the templates' words come from the whole
 corpus; words that no template has weigh as if no document had them, which only lowers a score. A file's licence is that
-of its best window of at least LEAST. A file most of whose words are in such a window is a licence file.
+of its best window of at least LEAST, unless the whole file has a cosine of at least LEAST to a full licence text
+(`licences/`): then it is that text's, except that the header of a licence without a text here goes first.
+
+A licence file is one with a licence and a name such as LICENSE or COPYING, one that is like a full text as a whole, or
+one most of whose words are in the window.
 
 Files without a licence of their own take that of the licence files in the nearest directory above them (or their own
 directory). Directories, not files, are joined with their ancestors, so a directory of a third of all files costs what
@@ -18,6 +22,7 @@ path. Repeated rows give repeated results. An empty table gives no rows.
 from __future__ import annotations
 
 import math
+import pkgutil
 import re
 from collections import Counter
 
@@ -47,8 +52,15 @@ TEMPLATES = (
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
     ("Unlicense", "This is free and unencumbered software released into the public domain"),
 )
+#: Licences whose full texts are in `licences/`, without lines that name a holder.
+FULL_TEXTS = ("0BSD", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "CC0-1.0", "GPL-1.0", "GPL-2.0", "GPL-3.0", "ISC", "LGPL-2.0", "LGPL-2.1", "LGPL-3.0", "MIT", "MPL-2.0", "Unlicense", "Zlib")
+#: File names of licence files, in lower case: LICENSE, LICENCE.md, LICENSE-MIT, MIT-LICENSE.txt, COPYING.LESSER, UNLICENSE ...
+LICENCE_NAME = r"^(.*[-_.])?(un)?(licen[sc]es?|copying|copyright)([-_. ].*)?$"
+NOT_LICENCE_NAME = r"\.(py|js|ts|tsx|jsx|java|c|cc|cpp|h|hpp|go|rs|rb|php|cs|swift|kt|scala|sh|pl|lua|sql|json|ya?ml|toml|xml|css)$"
 WORDS = re.compile(r"[^\W_]+(?:\.[0-9]+)*")
 LEAST, SLACK, MOST_OF = 0.85, 2, 0.5
+#: Words in more than this part of the documents come last among those that a text is searched for.
+COMMON = 0.02
 BROADCAST_DIRS = 20_000
 
 
@@ -56,9 +68,13 @@ def words_of(text: str) -> list[str]:
     return WORDS.findall(text.lower())
 
 
+def full_texts() -> list[tuple[str, list[str]]]:
+    return [(name, words_of(pkgutil.get_data(__package__, f"licences/{name}.txt").decode())) for name in FULL_TEXTS]
+
+
 def document_frequencies(texts: DataFrame) -> tuple[int, dict[str, int]]:
     """Number of rows, and of those with each word of the templates; texts: one column."""
-    vocabulary = frozenset(w for _, t in TEMPLATES for w in words_of(t))
+    vocabulary = frozenset(w for _, t in TEMPLATES for w in words_of(t)).union(*(words for _, words in full_texts()))
 
     def task(batches):
         import pyarrow as pa
@@ -77,15 +93,46 @@ def document_frequencies(texts: DataFrame) -> tuple[int, dict[str, int]]:
 class Matcher:
     def __init__(self, n: int, frequency: dict[str, int]):
         self.rare = math.log(n + 1) + 1
-        self.idf = {w: math.log((n + 1) / (frequency.get(w, 0) + 1)) + 1 for _, t in TEMPLATES for w in words_of(t)}
+        full = full_texts()
+        self.idf = {w: math.log((n + 1) / (frequency.get(w, 0) + 1)) + 1 for words in [*(words_of(t) for _, t in TEMPLATES), *(words for _, words in full)] for w in words}
+        self.common = {w for w in self.idf if frequency.get(w, 0) > COMMON * n}
         self.by_anchor: dict[str, list] = {}
         for name, text in TEMPLATES:
             words = words_of(text)
             anchor = max(words, key=lambda w: (self.idf[w], w))
-            vector = {w: k * self.idf[w] for w, k in Counter(words).items()}
-            norm = math.sqrt(sum(v * v for v in vector.values()))
+            vector, norm = self.vector(words)
             self.by_anchor.setdefault(anchor, []).append((name, words.index(anchor), len(words), vector, norm))
 
+        self.full = [(name, *self.vector(words), self.needed(*self.vector(words))) for name, words in full]
+        self.hints = sorted(set(self.by_anchor).union(*(x[3] for x in self.full)))
+
+    def vector(self, words: list[str]) -> tuple[dict[str, float], float]:
+        vector = {w: k * self.idf[w] for w, k in Counter(words).items()}
+        return vector, math.sqrt(sum(v * v for v in vector.values()))
+
+    def needed(self, vector: dict[str, float], norm: float) -> frozenset[str]:
+        """Words of which any text with a cosine of at least LEAST has one: without them, the rest of the vector is too short."""
+        found, left = [], norm * norm
+        for w in sorted(vector, key=lambda w: (w in self.common, -vector[w], w)):
+            if left < (LEAST - 1e-6) ** 2 * norm * norm:
+                break
+            found.append(w)
+            left -= vector[w] ** 2
+        return frozenset(found)
+
+    def whole(self, words: list[str]) -> list[tuple[float, str]]:
+        """(-score, licence) of the full texts that the words as a whole are like, best first."""
+        counts = Counter(words)
+        near = [x for x in self.full if not x[3].isdisjoint(counts)]
+        if not near:
+            return []
+        square = sum((k * self.idf.get(w, self.rare)) ** 2 for w, k in counts.items())
+        found = []
+        for name, vector, norm, _ in near:
+            dot = sum(v * counts[w] * self.idf[w] for w, v in vector.items() if w in counts)
+            found.append((-round(dot / (norm * math.sqrt(square)), 9), name))
+        return sorted(x for x in found if -x[0] >= LEAST)
+
     def score(self, words: list[str], vector: dict[str, float], norm: float) -> float:
         dot = square = 0.0
         for w, k in Counter(words).items():
@@ -95,9 +142,9 @@ class Matcher:
         return dot / (norm * math.sqrt(square)) if square else 0.0
 
     def best(self, text: str) -> tuple[str, float, int, int, float] | None:
-        """(licence, score, start, end in code points, share of the words) of the best window."""
+        """(licence, score, start, end in code points, share of the words) of the best window or the whole text."""
         low = text.lower()
-        if not any(a in low for a in self.by_anchor):
+        if not any(h in low for h in self.hints):
             return None
         spans = [m.span() for m in WORDS.finditer(low)]
         words = [low[a:b] for a, b in spans]
@@ -110,6 +157,9 @@ class Matcher:
                     key = (-score, -size, name, start)
                     if score >= LEAST and (found is None or key < found[0]):
                         found = (key, name, score, spans[start][0], spans[start + len(part) - 1][1], len(part) / len(words))
+        whole = self.whole(words)
+        if whole and (found is None or found[1] in FULL_TEXTS or found[2] < -whole[0][0]):
+            found = (None, whole[0][1], -whole[0][0], spans[0][0], spans[-1][1], 1.0)
         if found is None:
             return None
         same = len(low) == len(text)  # a few letters grow in lower case; then the span is that of the lower-case text
@@ -134,8 +184,10 @@ def scan_licenses(files: DataFrame, path_col: str = "path", text_col: str = "tex
     schema = ", ".join([f"`{c}` {kinds[c]}" for c in (*keep, path_col)] + ["licence string, score double, start int, end int, share double"])
     own, _ = write_shared(map_rows(files.select(*keep, path_col, text_or_empty(text_col).alias("t")), make, schema).withColumnRenamed(path_col, "path"), "licences")
     own = own.withColumn("dir", F.when(F.col("path").isNotNull(), F.regexp_replace("path", "/?[^/]*$", "")))
+    name = F.lower(F.regexp_extract("path", "[^/]*$", 0))
+    named = name.rlike(LICENCE_NAME) & ~name.rlike(NOT_LICENCE_NAME)
     givers = (
-        own.where((F.col("share") >= MOST_OF) & F.col("dir").isNotNull())
+        own.where(F.col("licence").isNotNull() & (named | (F.col("share") >= MOST_OF)) & F.col("dir").isNotNull())
         .groupBy("dir")
         .agg(F.min(F.struct((-F.col("score")).alias("s"), "licence", "path")).alias("best"))
         .select(F.col("dir").alias("above"), F.col("best")["licence"].alias("given"), F.col("best")["path"].alias("giver"))

@@ -142,3 +142,14 @@ def test_licences(spark, sf, empty):
     assert got["a/b/c/own.py"][:2] == ("GPL-3.0", "own")
     assert got["z/q.py"] == got["ab/x.py"] == got[None] == got["n"] == (None, None, None)
     assert licenses.op6_license_scan(spark, sf).count() > 0 and licenses.op6_license_scan(spark, empty).count() == 0
+
+
+def test_full_licence_files_hand_down(spark):
+    full = {name: " ".join(words) for name, words in licenses.full_texts()}
+    files = [(f"{name}/{file}", f"Copyright 2020 Some Body and others\n\n{text}") for (name, text), file in zip(full.items(), ["LICENSE", "COPYING", "LICENSE.txt", "about.txt"] * 5)]
+    files += [(f"{name}/src/x.py", "print(1)") for name in full] + [("p/license.py", "x = 1\n" * 40 + "Released under the MIT License"), ("p/q/z.py", "print(2)")]
+    files += [("r/LICENSE", "hello world " * 30 + "Released under the MIT License"), ("r/y.py", "print(3)")]
+    got = {r.path: (r.licence, r.origin) for r in licenses.scan_licenses(spark.createDataFrame(files, "path string, text string")).collect()}
+    for name in full:
+        assert got[f"{name}/src/x.py"] == (name, "inherited")
+    assert got["p/q/z.py"] == (None, None) and got["r/y.py"] == ("MIT", "inherited")
