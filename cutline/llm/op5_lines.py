@@ -1,8 +1,11 @@
 """Line dedup by a segment-partition edit join (PassJoin: Li et al., 2011), in DataFrame functions only.
 
-Lines of at least MIN_CHARS characters that are equal, or within TAU edits of each other, are linked; of each class of
-lines that are linked, directly or through others, the first by (doc_id, line number) stays and the others go. Shorter
-lines and blank ones are never touched.
+Lines that are equal, or within as many edits of each other as the shorter one allows, are linked; of each class of
+lines that are linked, directly or through others, the first by (doc_id, line number) stays and the others go. A line
+allows one edit for each PER_EDIT characters, and TAU at most: two from 24 characters, one from 12, none below, where
+two edits would make one word of another. Blank lines are never touched. The query and the pipeline take every other
+line; a caller of `removed_lines` or `dedup_lines` may leave lines of less than min_chars alone, and by default leaves
+those of less than MIN_CHARS.
 
 A line of length L is split into TAU + 1 even segments; TAU edits leave one untouched. So a line is indexed under
 (L, segment number, segment), and probes the indexes of lengths L - TAU .. L with the substrings that multi-match-aware
@@ -11,7 +14,8 @@ once). Lines that share a key, one of them by its index entry, are candidates. A
 BLOCK, and pairs of blocks are joined, so a frequent segment makes neither one large task nor a row for each pair.
 Within a pair of blocks, candidates are first held against a 64-bit parity signature of their bigrams (an edit flips at
 most four bits) and then verified by banded bit-parallel edit distance (Myers' recurrence on a band of 2 TAU + 1 rows,
-which moves down the diagonal with the column); only links leave.
+which moves down the diagonal with the column); only links leave. Lines that allow fewer edits are indexed in as many
+fewer segments: a pair's edits are those of its shorter line, whose length is part of the key.
 
 Equal lines are aggregated (within tasks before the shuffle) before they are indexed. Links are closed to classes by
 stars of least nodes, with each round in the shared folder. Lines are identified by a 64-bit hash.
@@ -28,6 +32,8 @@ from .common import BLANKS, broadcast_if, table, text_or_empty, write_shared
 from .components import components
 
 TAU, MIN_CHARS, BLOCK = 2, 24, 32
+#: Characters of a line for each edit that it allows; and the min_chars that takes every line that isn't blank.
+PER_EDIT, EVERY_LINE = 12, 1
 #: Documents that lose lines, up to which they are broadcast (with ten lines each at most on average).
 BROADCAST_DOCS = 500_000
 
@@ -47,15 +53,20 @@ def probes(tau: int) -> list[tuple[int, int, int]]:
     return [(d, i, shift) for d in range(tau + 1) for i in range(tau + 1) for shift in range(max(-i, d - (tau - i)), min(i, d + (tau - i)) + 1)]
 
 
-def keys(texts: DataFrame, tau: int = TAU) -> DataFrame:
+def keys(texts: DataFrame, tau: int = TAU, per_edit: bool = False) -> DataFrame:
     """texts (h, line, len) -> h, k, idx: the keys that a line probes; idx: it is indexed there too.
 
-    Of a length, the last (length mod tau + 1) of tau + 1 segments are longer by one. The probes are rows of a literal, so
+    With per_edit, a line allows one edit for each PER_EDIT characters, tau at most; else tau. Of a length, the last (length mod tau + 1) of tau + 1 segments are longer by one. The probes are rows of a literal, so
     that one short expression is compiled for all. Four bytes a character let a segment be found without counting.
     """
-    places = F.array(*[F.struct(F.lit(d).alias("d"), F.lit(i).alias("i"), F.lit(s).alias("s")) for d, i, s in probes(tau)])
-    rows = texts.select("h", "len", F.encode("line", "UTF-32").alias("chars")).select("h", "len", "chars", F.inline(places))
-    rows = rows.withColumn("q", F.expr(f"cast((len - d) div {tau + 1} as int)")).withColumn("longer", F.expr(f"(len - d) % {tau + 1} - {tau + 1} + i"))
+    places = []
+    for t in range(1, tau + 1):
+        low = t * PER_EDIT if per_edit else 0 if t == tau else None
+        high = (t + 1) * PER_EDIT if per_edit and t < tau else 1 << 30
+        if low is not None:
+            places += [F.struct(*[F.lit(x).alias(n) for n, x in zip("tdisab", (t, d, i, shift, low, high), strict=True)]) for d, i, shift in probes(t)]
+    rows = texts.select("h", "len", F.encode("line", "UTF-32").alias("chars")).select("h", "len", "chars", F.inline(F.array(*places))).where("len - d >= a and len - d < b")
+    rows = rows.withColumn("q", F.expr("cast((len - d) div (t + 1) as int)")).withColumn("longer", F.expr("(len - d) % (t + 1) - (t + 1) + i"))
     rows = rows.withColumn("size", F.expr("q + if(longer >= 0, 1, 0)")).withColumn("place", F.expr("i * q + greatest(longer, 0) + s + 1"))
     fits = rows.where("place >= 1 and place + size - 1 <= len")
     return fits.select("h", F.expr("xxhash64(len - d, i, substring(chars, place * 4 - 3, size * 4))").alias("k"), F.expr("d = 0 and s = 0").alias("idx"))
@@ -120,22 +131,23 @@ def _column(s: Column, x: Column, behind: Column, tau: int, full: int, invert) -
 
 
 def within(a: Column, b: Column, tau: int = TAU) -> Column:
-    """Are the texts of structs a, b (line, len, sig) at most tau edits apart?"""
+    """Are the texts of structs a, b (line, len, sig) as many edits apart as the shorter allows, tau at most?"""
     chars = lambda e: F.split(e["line"], "")
 
     def distance(x: Column, y: Column) -> Column:
         return bound(F.struct(chars(x).alias("p"), chars(y).alias("t")), lambda z: banded_distance(z["p"], z["t"], tau))
 
-    near = (F.abs(a["len"] - b["len"]) <= tau) & (F.bit_count(a["sig"].bitwiseXOR(b["sig"])) <= 4 * tau)
-    return F.when(~near, F.lit(False)).when(a["len"] >= b["len"], distance(a, b) <= tau).otherwise(distance(b, a) <= tau)
+    most = F.least(F.lit(tau), F.floor(F.least(a["len"], b["len"]) / PER_EDIT).cast("int"))
+    near = (F.abs(a["len"] - b["len"]) <= most) & (F.bit_count(a["sig"].bitwiseXOR(b["sig"])) <= 4 * most)
+    return F.when(~near, F.lit(False)).when(a["len"] >= b["len"], distance(a, b) <= most).otherwise(distance(b, a) <= most)
 
 
 def line_links(each: DataFrame, tau: int = TAU) -> DataFrame:
     """each (line, h) -> links (u, v) between the hashes of different lines within tau edits."""
     from pyspark.sql import Window as W
 
-    texts = each.where("h is not null").groupBy("h").agg(F.first("line").alias("line")).withColumn("len", F.length("line"))
-    keyed = keys(texts, tau)
+    texts = each.where((F.col("h").isNotNull()) & (F.length("line") >= PER_EDIT)).groupBy("h").agg(F.first("line").alias("line")).withColumn("len", F.length("line"))
+    keyed = keys(texts, tau, per_edit=True)
     group = W.partitionBy("k")
     members = (
         keyed.select("k", "h", "idx", F.min("h").over(group).alias("lo"), F.max("h").over(group).alias("hi"), F.max("idx").over(group).alias("any_idx"))
@@ -158,27 +170,31 @@ def line_links(each: DataFrame, tau: int = TAU) -> DataFrame:
 
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = TAU, min_chars: int = MIN_CHARS) -> DataFrame:
-    """doc_id, n_lines, n_removed, n_near (removed, and not equal to the line that stays), removed (line numbers)."""
+    """doc_id, n_lines, n_removed, n_near (removed, and not equal to the line that stays), removed (line numbers), classes (of the removed lines, in their order), n_links (near lines that the document's lines are linked to, over all of its lines)."""
     each = lines(docs, id_col, text_col, min_chars)
-    same = components(line_links(each, tau))
+    links, _ = write_shared(line_links(each, tau), "line-links")
+    same = components(links)
+    degrees = links.select(F.explode(F.array("u", "v")).alias("_d")).groupBy("_d").agg(F.count("*").alias("degree"))
     firsts = each.where("h is not null").groupBy("h").agg(F.min(F.struct("doc_id", "line_no")).alias("first"))
-    firsts = firsts.join(same, F.col("h") == F.col("node"), "left").select("h", "first", F.coalesce("component", "h").alias("cls"))
+    firsts = firsts.join(same, F.col("h") == F.col("node"), "left").join(degrees, F.col("h") == F.col("_d"), "left").select("h", "first", F.coalesce("component", "h").alias("cls"), F.coalesce("degree", F.lit(0)).alias("degree"))
     best = firsts.groupBy(F.col("cls").alias("_c")).agg(F.min_by(F.struct("first", "h"), F.struct("first", "h")).alias("best"))
-    known = firsts.join(best, F.col("cls") == F.col("_c")).select(F.col("h").alias("_h"), F.col("best")["first"].alias("first"), (F.col("best")["h"] != F.col("h")).alias("near"))
+    known = firsts.join(best, F.col("cls") == F.col("_c")).select(F.col("h").alias("_h"), "cls", "degree", F.col("best")["first"].alias("first"), (F.col("best")["h"] != F.col("h")).alias("near"))
     at = F.struct("doc_id", "line_no")
     found = each.select("doc_id", "line_no", "h").join(known, F.col("h") == F.col("_h"), "left")
     gone = F.col("first").isNotNull() & ~at.eqNullSafe(F.col("first"))
-    return found.groupBy("doc_id").agg(
+    counted = found.groupBy("doc_id").agg(
         F.count("*").alias("n_lines"),
         F.count_if(gone).alias("n_removed"),
         F.count_if(gone & F.col("near")).alias("n_near"),
-        F.sort_array(F.collect_list(F.when(gone, F.col("line_no")))).alias("removed"),
+        F.sort_array(F.collect_list(F.when(gone, F.struct("line_no", "cls")))).alias("gone"),
+        F.coalesce(F.sum("degree"), F.lit(0)).alias("n_links"),
     )
+    return counted.select("doc_id", "n_lines", "n_removed", "n_near", F.col("gone.line_no").alias("removed"), F.col("gone.cls").alias("classes"), "n_links")
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
     """docs without the lines that go; documents that lose lines and have only blank ones left go too."""
-    gone, _ = write_shared(removed_lines(docs, id_col, text_col).where("n_removed > 0").select(F.col("doc_id").alias("_gone_id"), "removed"), "lines")
+    gone, _ = write_shared(removed_lines(docs, id_col, text_col, min_chars=min_chars).where("n_removed > 0").select(F.col("doc_id").alias("_gone_id"), "removed"), "lines")
     gone = broadcast_if(gone, BROADCAST_DOCS) if gone.agg(F.coalesce(F.sum(F.size("removed")), F.lit(0))).first()[0] <= 10 * BROADCAST_DOCS else gone
     columns = docs.columns
     left = F.array_join(F.filter(F.transform(F.split(text_col, "\n"), lambda x, i: F.when(~F.array_contains("removed", i), x)), lambda x: x.isNotNull()), "\n")
@@ -188,6 +204,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many lines of every document go, and which."""
-    found = removed_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return found.select("doc_id", "n_lines", "n_removed", "n_near", F.array_join(F.transform("removed", lambda x: x.cast("string")), ",").alias("removed"))
+    """How many lines of every document go, which, of which classes, and how many links its lines have."""
+    found = removed_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), min_chars=EVERY_LINE)
+    joined = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c)
+    return found.select("doc_id", "n_lines", "n_removed", "n_near", joined("removed"), joined("classes"), "n_links")

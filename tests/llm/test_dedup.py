@@ -176,6 +176,47 @@ def test_line_dedup_is_native(spark, sf):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
+def plain_every_line(docs):
+    """id -> (removed line numbers, links of its lines)"""
+    found = {}
+    for i, t in docs:
+        for k, x in enumerate(t.split("\n")):
+            if x.strip():
+                found.setdefault(x, (i, k))
+    texts = sorted(found)
+    near = lambda a, b: edits(a, b) <= min(2, min(len(a), len(b)) // 12)
+    label = classes(len(texts), lambda a, b: near(texts[a], texts[b]))
+    first = {}
+    for x, c in zip(texts, label, strict=True):
+        first[c] = min(first.get(c, found[x]), found[x])
+    stays = {x: first[c] for x, c in zip(texts, label, strict=True)}
+    links = {x: sum(near(x, y) for y in texts if y != x) for x in texts}
+    return {i: ([k for k, x in enumerate(t.split("\n")) if x in stays and stays[x] != (i, k)], sum(links.get(x, 0) for x in t.split("\n"))) for i, t in docs}
+
+
+def test_line_dedup_takes_short_lines(spark, tmp_path):
+    rng = random.Random(11)
+    base = ["".join(rng.choice("abc ") for _ in range(n)) + "." for n in (0, 1, 2, 5, 10, 11, 12, 13, 20, 22, 23, 24, 25, 40)]
+    docs = []
+    for i in range(40):
+        own = []
+        for x in rng.sample(base, 5):
+            for _ in range(rng.choice([0, 0, 1, 2])):
+                at = rng.randrange(len(x) + 1)
+                x = x[:at] + rng.choice(["", "a", "z"]) + x[at + rng.choice([0, 1]) :]
+            own.append(x)
+        docs.append((i, "\n".join([*own, " ", "x"])))
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want, got = plain_every_line(docs), lines.op5_line_dedup(spark, str(tmp_path)).collect()
+    assert {r.doc_id: ([int(k) for k in r.removed.split(",") if k], r.n_links) for r in got} == want
+    assert all(len(r.classes.split(",")) == r.n_removed for r in got if r.n_removed)
+    by_class = {}
+    for r in got:
+        for k, c in zip(r.removed.split(","), r.classes.split(","), strict=True):
+            by_class.setdefault(c, set()).add(docs[r.doc_id][1].split("\n")[int(k)] if k else "")
+    assert {"x"} in by_class.values()
+
+
 # SimHash
 
 
