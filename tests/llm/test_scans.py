@@ -153,3 +153,14 @@ def test_full_licence_files_hand_down(spark):
     for name in full:
         assert got[f"{name}/src/x.py"] == (name, "inherited")
     assert got["p/q/z.py"] == (None, None) and got["r/y.py"] == ("MIT", "inherited")
+
+
+def test_terms_seen_once_are_disclosing(spark):
+    filler = [(i, f"some common words here number{i} and more of the same") for i in range(2000)]
+    once = [(5000, "the common words of Quxley Brandt and more mail qb@ex.org here")]
+    copies = [(6000 + i, "the same words from Ottokar more some ok@ex.org here") for i in range(50)]
+    got = {r.doc_id: r for r in pii.sanitisation_spans(spark.createDataFrame(filler + once + copies, "doc_id long, text string")).collect()}
+    taken = lambda i, t: {(t[s["start"] : s["end"]], s["kind"]) for s in got[i].spans if s["kind"] != "email"}
+    assert {("Quxley", "generalise"), ("Brandt", "generalise")} <= taken(5000, once[0][1])
+    assert ("Ottokar", "remove") in taken(6000, copies[0][1])
+    assert not {w for w, _ in taken(5000, once[0][1]) | taken(6000, copies[0][1])} & {"common", "words", "here", "more", "some"}
