@@ -12,9 +12,10 @@ at least GENERALISE are replaced by their class, those of at least REMOVE are ta
 document that holds the entity. Every pair counts, also those seen once or in copies of one passage. Documents without
 an entity are left alone.
 
-Plan: one scan finds spans and the terms near them, and is written as a narrow table (no texts); one scan counts the
-documents of each term, summed within tasks before the shuffle; pairs are summed and joined by key, where Spark may
-split a hot one. Nothing is broadcast or collected but N.
+Plan: one scan finds spans, the terms near them, and where each term of a document with an entity stands, and is written
+as a table without texts; one scan counts the documents of each term, summed within tasks before the shuffle; pairs are
+summed and joined by key, where Spark may split a hot one. Places are first held against the terms that disclose any
+entity, and then joined with their document's entities and the pairs. Nothing is broadcast or collected but N.
 
 Null texts count as empty. Repeated rows are documents of their own. Spans are code points of the whole text. An empty
 table gives no rows.
@@ -95,17 +96,21 @@ def entity(text: str, span: tuple[int, int, str]) -> str:
     return f"{span[2]}:{value if span[2] in ('email', 'ip') else re.sub('[^0-9]', '', value)}"
 
 
-def near_terms(text: str, spans: list[tuple[int, int, str]], window: int = WINDOW) -> list[tuple[str, str, int]]:
-    """Distinct (entity, term, context): terms within `window` words of an entity and outside of all spans; the context is a hash of the terms in the window."""
-    import zlib
-
-    words = [(m.start(), m.end(), m[0].lower()) for m in TERM.finditer(text)]
-    free, k = [], 0
-    for a, b, w in words:
-        while k < len(spans) and spans[k][1] <= a:
+def free_terms(text: str, spans: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """(start, end, term) of the terms outside of all spans, which are sorted."""
+    found, k, taken = [], 0, 0
+    for m in TERM.finditer(text):
+        while k < len(spans) and spans[k][0] < m.end():
+            taken = max(taken, spans[k][1])
             k += 1
-        if not any(s < b and a < e for s, e, _ in spans[max(0, k - 3) : k + 4]):
-            free.append((a, b, w))
+        if taken <= m.start():
+            found.append((m.start(), m.end(), m[0].lower()))
+    return found
+
+
+def near_terms(text: str, spans: list[tuple[int, int, str]], free: list[tuple[int, int, str]], window: int = WINDOW) -> list[tuple[str, str, int]]:
+    """Distinct (entity, term, context): the free terms within `window` words of an entity; the context is a hash of the terms in the window."""
+    import zlib
     from bisect import bisect_left
 
     starts, out = [a for a, _, _ in free], set()
@@ -118,29 +123,29 @@ def near_terms(text: str, spans: list[tuple[int, int, str]], window: int = WINDO
 
 
 def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, base (array of spans), near (entity, term, context, and where the term stands in the document)."""
+    """id, base (array of spans), entities, near (entity, term, context), terms (each with all its places); the last three are empty in documents without an entity."""
 
     def make():
         def each(ids, texts):
-            bases, nears = [], []
+            bases, entities, nears, terms = [], [], [], []
             for t in texts:
                 spans = base_spans(t)
-                near = near_terms(t, spans) if spans else []
-                places: dict[str, list] = {w: [] for _, w, _ in near}
-                if near:
-                    for m in TERM.finditer(t):
-                        if m[0].lower() in places and not any(s < m.end() and m.start() < e for s, e, _ in spans):
-                            places[m[0].lower()].append({"start": m.start(), "end": m.end()})
+                free = free_terms(t, spans) if spans else []
+                places: dict[str, list] = {}
+                for a, b, w in free:
+                    places.setdefault(w, []).append({"start": a, "end": b})
                 bases.append([{"kind": k, "start": a, "end": b} for a, b, k in spans])
-                nears.append([{"entity": c, "term": w, "context": x, "places": places[w]} for c, w, x in near])
-            return ids, bases, nears
+                entities.append(sorted({entity(t, span) for span in spans}))
+                nears.append([{"entity": c, "term": w, "context": x} for c, w, x in near_terms(t, spans, free)])
+                terms.append([{"term": w, "places": x} for w, x in places.items()])
+            return ids, bases, entities, nears, terms
 
         return each
 
     return map_rows(
         docs.select(F.col(id_col).cast("long"), text_or_empty(text_col)),
         make,
-        "doc_id long, base array<struct<kind string, start int, end int>>, near array<struct<entity string, term string, context long, places array<struct<start int, end int>>>>",
+        "doc_id long, base array<struct<kind string, start int, end int>>, entities array<string>, near array<struct<entity string, term string, context long>>, terms array<struct<term string, places array<struct<start int, end int>>>>",
         rows=512,
     )
 
@@ -192,9 +197,11 @@ def sanitisation_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """doc_id, base, spans: all spans of every row, those of disclosing terms included."""
     found, _ = write_shared(find_spans(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "pii")
     near = found.select("row", F.inline("near"))
-    policy = disclosure(near, term_counts(docs, text_col), found.count())
+    policy, _ = write_shared(disclosure(near, term_counts(docs, text_col), found.count()), "pii-policy")
+    places = found.where(F.size("terms") > 0).select("row", F.inline("terms")).join(policy.select("term").distinct(), "term", "left_semi")
     added = (
-        near.join(policy, ["entity", "term"])
+        places.join(found.select("row", F.explode("entities").alias("entity")), "row")
+        .join(policy, ["entity", "term"])
         .select("row", F.inline(F.transform("places", lambda p: F.struct(p["start"].alias("start"), p["end"].alias("end"), F.col("action").alias("kind")))))
         .groupBy("row", "start", "end")
         .agg(F.max("kind").alias("kind"))

@@ -164,3 +164,15 @@ def test_terms_seen_once_are_disclosing(spark):
     assert {("Quxley", "generalise"), ("Brandt", "generalise")} <= taken(5000, once[0][1])
     assert ("Ottokar", "remove") in taken(6000, copies[0][1])
     assert not {w for w, _ in taken(5000, once[0][1]) | taken(6000, copies[0][1])} & {"common", "words", "here", "more", "some"}
+
+
+def test_disclosing_terms_go_from_the_whole_document(spark):
+    filler = [(i, f"some common words here number{i} and more of the same") for i in range(300)]
+    leak = [(1000 + i, f"word{i} the person Zorblax wrote from zed@ex.org about common words plus{i}") for i in range(4)]
+    far = "Zorblax said hello. " + "some common words here and more of the same " * 5 + "now zed@ex.org stands and zorblax"
+    other = "Zorblax said hello. " + "some common words here and more of the same " * 5 + "now other@ex.org stands"
+    docs = spark.createDataFrame([*filler, *leak, (2000, far), (2001, other)], "doc_id long, text string")
+    got = {r.doc_id: [(s["start"], s["end"]) for s in r.spans if s["kind"] in ("remove", "generalise")] for r in pii.sanitisation_spans(docs).collect()}
+    assert (0, 7) in got[2000] and (len(far) - 7, len(far)) in got[2000] and (0, 7) not in got[2001]
+    text = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
+    assert "zorblax" not in text[2000].lower() and "Zorblax" in text[2001]
