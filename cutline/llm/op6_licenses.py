@@ -16,7 +16,8 @@ any other does; the files are then joined with their directories, by broadcast i
 that have a licence to give.
 
 Null texts count as empty, null paths have no directory and inherit nothing. Ties take the licence's name, then the
-path. Repeated rows give repeated results. An empty table gives no rows.
+path. The best other licence that overlaps the found one is the runner-up, and the find is ambiguous if their scores
+differ by CLOSE at most: a BSD notice without the rest of the text is. Repeated rows give repeated results. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,23 +34,39 @@ from .common import map_rows, small, table, text_or_empty, write_shared
 
 #: Notices of public licences, by SPDX identifier.
 TEMPLATES = (
+    ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3"),
+    ("AGPL-3.0", "it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"),
+    ("AGPL-3.0", "it under the terms of the GNU Affero General Public License version 3 as published by the Free Software Foundation"),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
     ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at'),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0"),
     ("CC-BY-4.0", "Licensed under CC BY 4.0"),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0"),
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0"),
     ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
+    ("GPL-1.0", "it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 1, or (at your option) any later version"),
+    ("GPL-2.0", "it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version"),
+    ("GPL-2.0", "it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation"),
+    ("GPL-2.0", "it under the terms of the GNU General Public License as published by the Free Software Foundation; version 2 of the License"),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2"),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3"),
     ("GPL-3.0", "it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"),
+    ("GPL-3.0", "it under the terms of the GNU General Public License version 3 as published by the Free Software Foundation"),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
+    ("LGPL-2.0", "it under the terms of the GNU Library General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version"),
+    ("LGPL-2.1", "This work is licensed under the GNU Lesser General Public License, version 2.1"),
+    ("LGPL-2.1", "it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version"),
+    ("LGPL-3.0", "it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"),
     ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3"),
     ("MIT", "Released under the MIT License"),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software"),
     ("Unlicense", "This is free and unencumbered software released into the public domain"),
 )
 #: Licences whose full texts are in `licences/`, without lines that name a holder.
@@ -61,6 +78,8 @@ WORDS = re.compile(r"[^\W_]+(?:\.[0-9]+)*")
 LEAST, SLACK, MOST_OF = 0.85, 2, 0.5
 #: Words in more than this part of the documents come last among those that a text is searched for.
 COMMON = 0.02
+#: A runner-up whose score is less by this at most makes a find ambiguous.
+CLOSE = 0.01
 BROADCAST_DIRS = 20_000
 
 
@@ -142,32 +161,40 @@ class Matcher:
         return dot / (norm * math.sqrt(square)) if square else 0.0
 
     def best(self, text: str) -> tuple[str, float, int, int, float] | None:
-        """(licence, score, start, end in code points, share of the words) of the best window or the whole text."""
+        """(licence, score, start, end in code points, share of the words, next best licence, its score, whether they are close) of the best window or the whole text."""
         low = text.lower()
         if not any(h in low for h in self.hints):
             return None
         spans = [m.span() for m in WORDS.finditer(low)]
         words = [low[a:b] for a, b in spans]
-        found = None
+        found, others = None, {}
         for at, w in enumerate(words):
             for name, offset, size, vector, norm in self.by_anchor.get(w, ()):
                 for start in range(max(0, at - offset - SLACK), min(at, at - offset + SLACK) + 1):
                     part = words[start : start + size]
                     score = round(self.score(part, vector, norm), 9)
                     key = (-score, -size, name, start)
+                    if score >= LEAST:
+                        last = spans[start + len(part) - 1][1]
+                        if name not in others or others[name][0] < score:
+                            others[name] = (score, spans[start][0], last)
                     if score >= LEAST and (found is None or key < found[0]):
                         found = (key, name, score, spans[start][0], spans[start + len(part) - 1][1], len(part) / len(words))
         whole = self.whole(words)
         if whole and (found is None or found[1] in FULL_TEXTS or found[2] < -whole[0][0]):
             found = (None, whole[0][1], -whole[0][0], spans[0][0], spans[-1][1], 1.0)
+            others = {name: (-score, *found[3:5]) for score, name in whole}
         if found is None:
             return None
         same = len(low) == len(text)  # a few letters grow in lower case; then the span is that of the lower-case text
-        return (found[1], found[2], found[3], found[4] if same else min(found[4], len(text)), found[5])
+        # other licences where the found one stands; those of other places are licences of their own
+        rest = [(-x[0], name) for name, x in others.items() if name != found[1] and x[1] < found[4] and found[3] < x[2]]
+        score, other = min(rest, default=(None, None))
+        return (found[1], found[2], found[3], found[4] if same else min(found[4], len(text)), found[5], other, None if other is None else -score, other is not None and found[2] + score <= CLOSE)
 
 
 def scan_licenses(files: DataFrame, path_col: str = "path", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """keep, path, dir, licence, score, origin ('own', 'inherited' or null), licence_path for each row of files."""
+    """keep, path, licence, score, start, end, origin ('own', 'inherited' or null), licence_path, and the own licence's runner_up, runner_up_score, ambiguous for each row of files."""
     texts = files.select(text_or_empty(text_col).alias("t"))
     n, frequency = document_frequencies(texts)
 
@@ -175,13 +202,13 @@ def scan_licenses(files: DataFrame, path_col: str = "path", text_col: str = "tex
         matcher = Matcher(n, frequency)
 
         def each(*cols):
-            got = [matcher.best(t) or (None,) * 5 for t in cols[-1]]
-            return [*cols[:-1], *map(list, zip(*got, strict=True))] if got else [*cols[:-1], *[[]] * 5]
+            got = [matcher.best(t) or (None,) * 8 for t in cols[-1]]
+            return [*cols[:-1], *map(list, zip(*got, strict=True))] if got else [*cols[:-1], *[[]] * 8]
 
         return each
 
     kinds = dict(files.dtypes)
-    schema = ", ".join([f"`{c}` {kinds[c]}" for c in (*keep, path_col)] + ["licence string, score double, start int, end int, share double"])
+    schema = ", ".join([f"`{c}` {kinds[c]}" for c in (*keep, path_col)] + ["licence string, score double, start int, end int, share double, runner_up string, runner_up_score double, ambiguous boolean"])
     own, _ = write_shared(map_rows(files.select(*keep, path_col, text_or_empty(text_col).alias("t")), make, schema).withColumnRenamed(path_col, "path"), "licences")
     own = own.withColumn("dir", F.when(F.col("path").isNotNull(), F.regexp_replace("path", "/?[^/]*$", "")))
     name = F.lower(F.regexp_extract("path", "[^/]*$", 0))
@@ -215,6 +242,9 @@ def scan_licenses(files: DataFrame, path_col: str = "path", text_col: str = "tex
         "end",
         F.when(F.col("licence").isNotNull(), "own").when(inherits, "inherited").alias("origin"),
         F.when(F.col("licence").isNotNull(), F.col("path")).when(inherits, F.col("giver")).alias("licence_path"),
+        "runner_up",
+        "runner_up_score",
+        "ambiguous",
     )
 
 

@@ -176,3 +176,21 @@ def test_disclosing_terms_go_from_the_whole_document(spark):
     assert (0, 7) in got[2000] and (len(far) - 7, len(far)) in got[2000] and (0, 7) not in got[2001]
     text = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
     assert "zorblax" not in text[2000].lower() and "Zorblax" in text[2001]
+
+
+def test_licence_headers_are_told_apart(spark):
+    gnu = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation{} either version {} of the License, or (at your option) any later version."
+    files = {
+        "GPL-2.0": gnu.format("", ";", "2"),
+        "GPL-3.0": gnu.format("", ",", "3"),
+        "AGPL-3.0": gnu.format("Affero ", ",", "3"),
+        "LGPL-2.0": gnu.format("Library ", ";", "2"),
+        "LGPL-2.1": gnu.format("Lesser ", ";", "2.1"),
+        "LGPL-3.0": gnu.format("Lesser ", ",", "3"),
+        "BSD-2-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+    }
+    df = spark.createDataFrame([(name, f"code and more code\n{t}\nand code") for name, t in files.items()] + [("plain", "and code " * 30)], "path string, text string")
+    got = {r.path: r for r in licenses.scan_licenses(df).collect()}
+    assert {name: got[name].licence for name in files} == {name: name for name in files}
+    assert [name for name in files if got[name].ambiguous] == ["BSD-2-Clause"] and got["BSD-2-Clause"].runner_up == "BSD-3-Clause"
+    assert got["plain"].origin != "own"
