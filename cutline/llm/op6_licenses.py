@@ -1,10 +1,11 @@
 """Licence scan: sparse TF-IDF cosine to templates, and inheritance from the nearest ancestor directory.
 
-Every whole text is read for windows that look like a template's words. A window starts from an occurrence of the
-template's rarest word, at the template's own offset and up to SLACK words from it, and has the template's number of
-words; its score is the cosine of TF-IDF vectors. Document frequencies of the templates' words come from the whole
+Every whole text is read for windows that look like a template's words, or those of a full text of at most WINDOW_WORDS.
+A window has the template's number of words, or all words of a shorter text; its score is the cosine of TF-IDF vectors.
+None of at least LEAST is lost: a template has a few words of which any such window has one (without them, what is left
+of its vector is too short), and every window around each occurrence of those is scored. Document frequencies of the templates' words come from the whole
 corpus; words that no template has weigh as if no document had them, which only lowers a score. A file's licence is that
-of its best window of at least LEAST, unless the whole file has a cosine of at least LEAST to a full licence text
+of its best window of at least LEAST that isn't inside of one of twice its words, unless the whole file has a cosine of at least LEAST to a full licence text
 (`licences/`): then it is that text's, except that the header of a licence without a text here goes first.
 
 A licence file is one with a licence and a name such as LICENSE or COPYING, one that is like a full text as a whole, or
@@ -75,7 +76,7 @@ FULL_TEXTS = ("0BSD", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "
 LICENCE_NAME = r"^(.*[-_.])?(un)?(licen[sc]es?|copying|copyright)([-_. ].*)?$"
 NOT_LICENCE_NAME = r"\.(py|js|ts|tsx|jsx|java|c|cc|cpp|h|hpp|go|rs|rb|php|cs|swift|kt|scala|sh|pl|lua|sql|json|ya?ml|toml|xml|css)$"
 WORDS = re.compile(r"[^\W_]+(?:\.[0-9]+)*")
-LEAST, SLACK, MOST_OF = 0.85, 2, 0.5
+LEAST, MOST_OF, WINDOW_WORDS = 0.85, 0.5, 400
 #: Words in more than this part of the documents come last among those that a text is searched for.
 COMMON = 0.02
 #: A runner-up whose score is less by this at most makes a find ambiguous.
@@ -116,12 +117,12 @@ class Matcher:
         self.idf = {w: math.log((n + 1) / (frequency.get(w, 0) + 1)) + 1 for words in [*(words_of(t) for _, t in TEMPLATES), *(words for _, words in full)] for w in words}
         self.common = {w for w in self.idf if frequency.get(w, 0) > COMMON * n}
         self.by_anchor: dict[str, list] = {}
-        for name, text in TEMPLATES:
-            words = words_of(text)
-            anchor = max(words, key=lambda w: (self.idf[w], w))
+        self.templates = []
+        for name, words in [*((name, words_of(text)) for name, text in TEMPLATES), *(x for x in full if len(x[1]) <= WINDOW_WORDS)]:
             vector, norm = self.vector(words)
-            self.by_anchor.setdefault(anchor, []).append((name, words.index(anchor), len(words), vector, norm))
-
+            for w in self.needed(vector, norm):
+                self.by_anchor.setdefault(w, []).append(len(self.templates))
+            self.templates.append((name, len(words), vector, norm))
         self.full = [(name, *self.vector(words), self.needed(*self.vector(words))) for name, words in full]
         self.hints = sorted(set(self.by_anchor).union(*(x[3] for x in self.full)))
 
@@ -160,6 +161,40 @@ class Matcher:
             dot += v * vector.get(w, 0.0)
         return dot / (norm * math.sqrt(square)) if square else 0.0
 
+    def best_window(self, words: list[str], ats: list[int], size: int, vector: dict[str, float], norm: float) -> tuple[float, int, int] | None:
+        """(score, start, end) of the first best window of at least LEAST that has one of the words at `ats`, which are in order.
+
+        The window slides: a word that comes or goes changes its square and its product with the template by one term.
+        """
+        last, found, idf, rare, limit = max(0, len(words) - size), None, self.idf, self.rare, (LEAST - 1e-6) ** 2 * norm * norm
+        done = -1
+        for at in ats:
+            low, high = max(0, at - size + 1, done + 1), min(at, last)
+            if low > high:
+                continue
+            if low != done + 1 or done < 0:
+                counts, dot, square = {}, 0.0, 0.0
+                for w in words[low : low + size]:
+                    v, k = idf.get(w, rare), counts.get(w, 0)
+                    counts[w], square, dot = k + 1, square + (2 * k + 1) * v * v, dot + v * vector.get(w, 0.0)
+                begin = low
+            else:
+                begin = done
+            for start in range(begin, high + 1):
+                if start > begin:
+                    out, new = words[start - 1], words[start + size - 1]
+                    if out != new:
+                        v, k = idf.get(out, rare), counts[out]
+                        counts[out], square, dot = k - 1, square - (2 * k - 1) * v * v, dot - v * vector.get(out, 0.0)
+                        v, k = idf.get(new, rare), counts.get(new, 0)
+                        counts[new], square, dot = k + 1, square + (2 * k + 1) * v * v, dot + v * vector.get(new, 0.0)
+                if dot > 0 and dot * dot >= limit * square:
+                    score = round(self.score(words[start : start + size], vector, norm), 9)
+                    if score >= LEAST and (found is None or score > found[0]):
+                        found = (score, start, min(start + size, len(words)))
+            done = high
+        return found
+
     def best(self, text: str) -> tuple[str, float, int, int, float] | None:
         """(licence, score, start, end in code points, share of the words, next best licence, its score, whether they are close) of the best window or the whole text."""
         low = text.lower()
@@ -167,19 +202,20 @@ class Matcher:
             return None
         spans = [m.span() for m in WORDS.finditer(low)]
         words = [low[a:b] for a, b in spans]
-        found, others = None, {}
+        anchored: dict[int, list[int]] = {}
         for at, w in enumerate(words):
-            for name, offset, size, vector, norm in self.by_anchor.get(w, ()):
-                for start in range(max(0, at - offset - SLACK), min(at, at - offset + SLACK) + 1):
-                    part = words[start : start + size]
-                    score = round(self.score(part, vector, norm), 9)
-                    key = (-score, -size, name, start)
-                    if score >= LEAST:
-                        last = spans[start + len(part) - 1][1]
-                        if name not in others or others[name][0] < score:
-                            others[name] = (score, spans[start][0], last)
-                    if score >= LEAST and (found is None or key < found[0]):
-                        found = (key, name, score, spans[start][0], spans[start + len(part) - 1][1], len(part) / len(words))
+            for k in self.by_anchor.get(w, ()):
+                anchored.setdefault(k, []).append(at)
+        got = [(k, *x) for k, ats in anchored.items() if (x := self.best_window(words, ats, *self.templates[k][1:]))]
+        got = [x for x in got if not any(y[2] <= x[2] and x[3] <= y[3] and y[3] - y[2] >= 2 * (x[3] - x[2]) for y in got)]
+        found, others, first = None, {}, None
+        for k, score, start, end in got:
+            name, size, at, last = *self.templates[k][:2], spans[start][0], spans[end - 1][1]
+            key = (-score, -size, name, start)
+            if name not in others or others[name][0] < score:
+                others[name] = (score, at, last)
+            if first is None or key < first:
+                first, found = key, (key, name, score, at, last, (end - start) / len(words))
         whole = self.whole(words)
         if whole and (found is None or found[1] in FULL_TEXTS or found[2] < -whole[0][0]):
             found = (None, whole[0][1], -whole[0][0], spans[0][0], spans[-1][1], 1.0)

@@ -194,3 +194,39 @@ def test_licence_headers_are_told_apart(spark):
     assert {name: got[name].licence for name in files} == {name: name for name in files}
     assert [name for name in files if got[name].ambiguous] == ["BSD-2-Clause"] and got["BSD-2-Clause"].runner_up == "BSD-3-Clause"
     assert got["plain"].origin != "own"
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_no_licence_window_is_lost(seed):
+    rng = random.Random(seed)
+    matcher = licenses.Matcher(5000, {w: rng.choice([1, 5, 40, 2000]) for _, t in licenses.TEMPLATES for w in licenses.words_of(t)})
+    hits = 0
+    for _ in range(60):
+        name, text_of = rng.choice(licenses.TEMPLATES)
+        words = licenses.words_of(text_of)
+        for _ in range(rng.randint(0, 4)):
+            at = rng.randrange(len(words) + 1)
+            words[at : at + rng.choice([0, 1])] = rng.choice([[], ["other"], ["some", "more", "new", "words"]])
+        words = ["code", "and", "the"] * rng.randint(0, 5) + words + ["code", "license", "version"] * rng.randint(0, 5)
+        want = [round(matcher.score(words[a : a + size], vector, norm), 9) for _, size, vector, norm in matcher.templates for a in range(max(1, len(words) - size + 1))]
+        got = matcher.best(" ".join(words))
+        sure = max(want, default=0) >= licenses.LEAST
+        hits += sure
+        assert (got is not None) == sure
+        for k, (_, size, vector, norm) in enumerate(matcher.templates):
+            every = [round(matcher.score(words[a : a + size], vector, norm), 9) for a in range(max(1, len(words) - size + 1))]
+            ats = [at for at, w in enumerate(words) if k in matcher.by_anchor.get(w, ())]
+            one = matcher.best_window(words, ats, size, vector, norm)
+            assert (one[0] if one else None) == (max(every) if max(every) >= licenses.LEAST else None)
+    assert hits > 10
+
+
+def test_changed_headers_and_short_full_texts(spark):
+    full = {name: " ".join(words) for name, words in licenses.full_texts()}
+    header = "it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version"
+    files = [("inserted", "it under one two three four the terms" + header[len("it under the terms") :])] + [(name, "some code here " * 200 + full[name] + " other code " * 200) for name in ("BSD-2-Clause", "BSD-3-Clause", "ISC", "0BSD", "MIT")]
+    filler = [(f"f{i}", f"one two three four of the other words and code {i}") for i in range(50)]
+    got = {r.path: r for r in licenses.scan_licenses(spark.createDataFrame([*files, *filler], "path string, text string")).collect()}
+    assert got["inserted"].licence == "GPL-2.0" and got["inserted"].runner_up is not None
+    assert {name: got[name].licence for name, _ in files[1:]} == {name: name for name, _ in files[1:]}
+    assert not any(got[name].ambiguous for name, _ in files[1:])
