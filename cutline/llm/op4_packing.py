@@ -170,8 +170,8 @@ def unpadded(row: list[tuple[int, int, int]]) -> list[list[tuple[int, int, int]]
     return out
 
 
-def pack_texts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", segments: int = SEGMENTS, keep_ids: bool = False) -> DataFrame:
-    """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and the ids). tokenizer: a file of the tokenizers library, on every executor."""
+def pack_texts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", segments: int = SEGMENTS, keep_ids: bool = False, loss_col: str | None = None, loss_tokens: int = LENGTH) -> DataFrame:
+    """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and the ids). loss_col: how many of an example's last tokens, its end included, bear loss (null: all but the first, as without loss_col); a sequence holds loss_tokens of them at most. tokenizer: a file of the tokenizers library, on every executor."""
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * keep_ids
 
     def task(batches):
@@ -185,12 +185,12 @@ def pack_texts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col
         def rows():
             nonlocal made, waits, held
             cols: list[list] = [[] for _ in names]
-            got = pack([(len(x[1]) // 4, len(x[1]) // 4 - 1) for x in waits], (LENGTH, segments, LENGTH))
+            got = pack([(n := len(x[1]) // 4, n - 1 if x[2] is None else max(0, min(n, x[2]))) for x in waits], (LENGTH, segments, loss_tokens))
             got = [part for row in got for part in ([row] if sum(p[2] for p in row) == LENGTH else unpadded(row))]
             for row in got:
                 offset = 0
                 for k, start, n in row:
-                    doc, ids = waits[k]
+                    doc, ids, _ = waits[k]
                     own = ids[4 * start : 4 * (start + n)]
                     values = (doc, start, n, zlib.crc32(own), len(ids) // 4, base + made, offset)
                     for col, v in zip(cols, values + ((np.frombuffer(own, "<i4"),) if keep_ids else ()), strict=True):
@@ -204,8 +204,8 @@ def pack_texts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 ids = encoder.encode(part.column(1).to_pylist())
-                for doc, x in zip(part.column(0).to_pylist(), ids, strict=True):
-                    waits.append((doc, x + END.to_bytes(4, "little")))
+                for doc, x, lossy in zip(part.column(0).to_pylist(), ids, part.column(2).to_pylist() if loss_col else [None] * len(ids), strict=True):
+                    waits.append((doc, x + END.to_bytes(4, "little"), lossy))
                     held += len(x) // 4 + 1
                 if held >= WINDOW:
                     yield rows()
@@ -213,7 +213,7 @@ def pack_texts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col
             yield rows()
 
     schema = ", ".join(f"{n} {'array<int>' if n == 'ids' else 'long'}" for n in names)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("t")).mapInArrow(task, schema)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("t"), *([F.col(loss_col).cast("long")] if loss_col else [])).mapInArrow(task, schema)
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -233,5 +233,5 @@ def tokenizer_path() -> str:
 
 
 def op4_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document packed into sequences of 1024 tokens."""
+    """Every document packed into sequences of 1024 tokens. Documents have no prompt, so the limit on loss tokens never binds here."""
     return pack_texts(table(spark, sf_dir, "documents"), tokenizer_path())

@@ -274,3 +274,23 @@ def test_pipeline(spark, tmp_path):
         assert abs(after[s] - x) <= 3
     assert sum(len(r.ids) for r in seen["packing"]) == sum(len(plain_ids(r.text)) for r in seen["mixing"])
     assert corpus_pipeline.run(spark, sf).count() > 0
+
+
+def test_packing_under_a_loss_limit(spark):
+    docs = spark.createDataFrame([(i, "one two three four five six " * (5 + i % 40), 20 if i % 3 else 25 + i % 40) for i in range(200)], "doc_id long, text string, lossy int")
+    got = packing.pack_texts(docs.coalesce(1), packing.tokenizer_path(), loss_col="lossy", loss_tokens=100).collect()
+    lossy = {r.doc_id: r.lossy for r in docs.collect()}
+    held, tokens, covered = {}, {}, {}
+    for r in got:
+        first = r.doc_tokens - min(lossy[r.doc_id], r.doc_tokens)
+        held[r.sequence_id] = held.get(r.sequence_id, 0) + max(0, min(r.length, r.start + r.length - first))
+        tokens[r.sequence_id] = tokens.get(r.sequence_id, 0) + r.length
+        covered.setdefault(r.doc_id, []).append((r.start, r.length, r.doc_tokens))
+    assert max(held.values()) <= 100 and max(tokens.values()) <= 1024
+    for pieces in covered.values():
+        at = 0
+        for start, n, _ in sorted(pieces):
+            assert start == at
+            at += n
+        assert at == pieces[0][2]
+    assert len(covered) == 200
