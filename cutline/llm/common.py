@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -21,21 +22,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one set here where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset in local mode (tests), one is set here; on a cluster that is an error."""
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not path:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="cutline-shared-")
         sc.setCheckpointDir(path)
         path = sc.getCheckpointDir()
     return path.rstrip("/")
 
 
+_written: list[str] = []
+
+
 def write_shared(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """df written as a Parquet table in the shared folder and read again (this cuts its lineage), and the table's path."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
@@ -43,6 +50,35 @@ def drop_shared(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    if path in _written:
+        _written.remove(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that are written within are deleted at the end. What is read from them has to be written elsewhere by then: a query's result is lazy, so its own tables stay until its caller leaves such a block."""
+    before = set(_written)
+    try:
+        yield
+    finally:
+        for path in [p for p in _written if p not in before]:
+            drop_shared(spark, path)
+
+
+def fresh(taken: list[str], *names: str) -> list[str]:
+    """The names, each with as many underscores behind as make it differ from all that are taken, in any case."""
+    have = {c.lower() for c in taken}
+    out = []
+    for name in names:
+        while name.lower() in have:
+            name += "_"
+        out.append(name)
+    return out
+
+
+def numbered_columns(df: DataFrame) -> DataFrame:
+    """df with its columns named c0, c1, ..., which no operator uses: columns of any name go through one and come back by toDF(*df.columns)."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
 
 
 def small(df: DataFrame, most: int) -> list | None:
@@ -56,6 +92,28 @@ def broadcast_if(df: DataFrame, most: int) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+#: Keys that are joined by broadcast because they are the most frequent.
+HOT_KEYS = 10_000
+
+
+def look_up(rows: DataFrame, key: str, known: DataFrame, spread: list[str]) -> DataFrame:
+    """rows, each with the row of `known` for its key, as the struct `found` (null where there is none).
+
+    known: a written table (k: unique, n: how many rows have that key, and more). The HOT_KEYS most frequent keys are
+    broadcast, so of the others, which are joined by shuffle, none has more than 1 / HOT_KEYS of the rows. Rows of the
+    frequent keys and rows without a key are dealt by the columns `spread` in that shuffle.
+    """
+    hot = known.orderBy(F.desc("n"), "k").limit(HOT_KEYS).select(F.col("k").alias("_hk"), F.struct("*").alias("_hot"))
+    rows = rows.join(F.broadcast(hot), F.col(key) == F.col("_hk"), "left")
+    if known.limit(HOT_KEYS + 1).count() <= HOT_KEYS:
+        return rows.withColumnRenamed("_hot", "found").drop("_hk")
+    cold = known.select(F.col("k").alias("_ck"), F.struct("*").alias("_cold"))
+    open_ = F.col(key).isNotNull() & F.col("_hk").isNull()
+    rows = rows.withColumn("_open", open_).withColumn("_deal", F.when(open_, F.col(key)).otherwise(F.xxhash64(*spread)))
+    rows = rows.join(cold, (F.col("_deal") == F.col("_ck")) & F.col("_open"), "left")
+    return rows.withColumn("found", F.coalesce("_hot", "_cold")).drop("_hk", "_hot", "_ck", "_cold", "_open", "_deal")
+
+
 def map_rows(df: DataFrame, make, schema: str, rows: int = 2048) -> DataFrame:
     """mapInArrow without pandas. make() runs once in each task and returns a function from the columns of a batch (lists) to the columns of the result (lists)."""
     from pyspark.sql.types import _parse_datatype_string
