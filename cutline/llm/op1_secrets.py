@@ -33,9 +33,10 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 BREAK = r"(?:\r\n|[\r\n]|\\r\\n|\\n|\\r)"
 #: Header lines (a name, a colon, a value; those that begin with a blank go on), and the body.
-PEM = re.compile(rf"-----BEGIN ([A-Z0-9 ]{{0,40}}PRIVATE KEY)-----((?:\s|\\n|\\r)*+(?:[A-Za-z][A-Za-z0-9-]*+:[^\r\n\\]*+{BREAK}(?:[ \t]++[^\r\n\\]*+{BREAK})*+[ \t]*+)*+)((?:[A-Za-z0-9+/=\s]|\\n|\\r)++)-----END \1-----")
+PEM = re.compile(rf"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----((?:\s|\\n|\\r)*+(?:[A-Za-z][A-Za-z0-9-]*+:[^\r\n\\]*+{BREAK}(?:[ \t]++[^\r\n\\]*+{BREAK})*+[ \t]*+)*+)((?:[A-Za-z0-9+/=\s]|\\n|\\r)++)-----END \1-----")
 ENCRYPTED = re.compile(r"Proc-Type:[ \t]*4[ \t]*,[ \t]*ENCRYPTED|DEK-Info:[ \t]*[A-Za-z0-9-]+[ \t]*,[ \t]*[0-9A-Fa-f]{8,}")
-TOKEN = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]++\.[A-Za-z0-9_-]++\.[A-Za-z0-9_-]*+")
+#: A JSON object in base64 begins so, also with white space behind its brace.
+TOKEN = re.compile(r"(?<![A-Za-z0-9_-])e[wy][A-Za-z0-9_-]++\.[A-Za-z0-9_-]++\.[A-Za-z0-9_-]*+")
 BASE64 = re.compile(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40,}+={0,2}")
 URL64 = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{40,}+={0,2}")
 #: Lines of base64, and what may stand between two of them.
@@ -49,6 +50,8 @@ LEAST64 = 40
 HEXKEY = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{64,}+")
 SSH = b"openssh-key-v1\0"
 SEQUENCE, INTEGER, OCTETS, OID = 0x30, 2, 4, 6
+#: Bytes of the modulus of an RSA or DSA key of 512 bits.
+LEAST_MODULUS = 64
 
 
 def _item(data: bytes, at: int, end: int) -> tuple[int, int, int] | None:
@@ -67,12 +70,12 @@ def _item(data: bytes, at: int, end: int) -> tuple[int, int, int] | None:
     return (tag, start, start + size) if start + size <= end else None
 
 
-def _items(data: bytes, start: int, end: int, most: int = 32) -> list[tuple[int, int, int]] | None:
+def _items(data: bytes, start: int, end: int) -> list[tuple[int, int, int]] | None:
     """The values that fill start..end exactly."""
     found = []
     while start < end:
         x = _item(data, start, end)
-        if x is None or len(found) == most:
+        if x is None:
             return None
         found.append(x)
         start = x[2]
@@ -80,7 +83,7 @@ def _items(data: bytes, start: int, end: int, most: int = 32) -> list[tuple[int,
 
 
 def private_key(data: bytes) -> bool:
-    """Is this a DER private key (PKCS#1, SEC 1 or PKCS#8, plain or encrypted), or an OpenSSH one?"""
+    """Is this a DER private key (PKCS#1, also of several primes, DSA, SEC 1 or PKCS#8, plain or encrypted), or an OpenSSH one?"""
     if data.startswith(SSH):
         return _ssh(data)
     top = _item(data, 0, len(data))
@@ -91,8 +94,10 @@ def private_key(data: bytes) -> bool:
         return False
     tags = [p[0] for p in parts]
     version = data[parts[0][1] : parts[0][2]] if tags[0] == INTEGER else None
-    if version == b"\0" and len(tags) == 9 and set(tags) == {INTEGER}:
-        return True
+    if set(tags[:9]) == {INTEGER} and (version == b"\0" and len(tags) == 9 or version == b"\1" and tags[9:] == [SEQUENCE]):
+        return parts[1][2] - parts[1][1] >= LEAST_MODULUS
+    if version == b"\0" and tags == [INTEGER] * 6:
+        return parts[1][2] - parts[1][1] >= LEAST_MODULUS
     if version == b"\1" and len(tags) >= 2 and tags[1] == OCTETS:
         return parts[1][2] - parts[1][1] >= 16
     if version in (b"\0", b"\1") and tags[1:3] == [SEQUENCE, OCTETS]:
@@ -154,7 +159,7 @@ def confirmed_spans(text: str) -> list[tuple[int, int, str]]:
     found = []
     if "PRIVATE KEY-----" in text:
         found += _pem(text)
-    if "eyJ" in text:
+    if "ey" in text or "ew" in text:
         found += [(m.start(), m.end(), "token") for m in TOKEN.finditer(text) if signed_token(m[0])]
     single = {}
     for pattern, url in ((BASE64, False), (URL64, True)):
