@@ -6,8 +6,9 @@ seeing it tells that the entity is near: with document frequencies over the whol
     disclosure(c, t) = PMI(c; t) / IC(c) = ln(N p(c|t) / n(c)) / ln(N / n(c))
 
 where p(c|t) is n(c,t) / n(t), and n(c,t) counts documents in which t stands within WINDOW words of c. It is 1 for a
-term that only ever comes with the entity. For pairs seen in fewer than MIN_CONTEXTS different contexts, p(c|t) is the
-lower bound of that share (Wilson's, with Z): a term seen once, in a corpus of 10,000 documents, comes to 0.78. Terms of
+term that only ever comes with the entity. For pairs that aren't seen in different contexts of different documents,
+p(c|t) is the lower bound of that share (Wilson's, with Z): a term seen once, in a corpus of 10,000 documents, comes to
+0.78. Terms of
 at least GENERALISE are replaced by their class, those of at least REMOVE are taken out, wherever they stand in a
 document that holds the entity. Every pair counts, also those seen once or in copies of one passage. Documents without
 an entity are left alone.
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import map_rows, table, text_or_empty, write_shared
 
 KINDS = ("email", "ip", "card", "phone", "generalise", "remove")
-WINDOW, MIN_CONTEXTS = 10, 2
+WINDOW = 10
 GENERALISE, REMOVE = 0.6, 0.85
 #: Two-sided 99 % of the normal distribution.
 Z = 2.5758
@@ -78,7 +79,7 @@ def luhn(digits: str) -> bool:
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     found = emails(text) if "@" in text else []
     for m in IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+        if all(len(p) <= 3 and int(p or 0) <= 255 for p in (p.lstrip("0") for p in m[0].split("."))):
             found.append((m.start(), m.end(), "ip"))
     for m in CARD.finditer(text):
         digits = re.sub("[ -]", "", m[0])
@@ -122,13 +123,13 @@ def near_terms(text: str, spans: list[tuple[int, int, str]], free: list[tuple[in
     return sorted(out)
 
 
-def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, base (array of spans), entities, near (entity, term, context), terms (each with all its places); the last three are empty in documents without an entity."""
+def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """id, keep (strings), base (array of spans), entities, near (entity, term, context), terms (each with all its places); the last three are empty in documents without an entity."""
 
     def make():
-        def each(ids, texts):
+        def each(ids, *cols):
             bases, entities, nears, terms = [], [], [], []
-            for t in texts:
+            for t in cols[-1]:
                 spans = base_spans(t)
                 free = free_terms(t, spans) if spans else []
                 places: dict[str, list] = {}
@@ -138,14 +139,14 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 entities.append(sorted({entity(t, span) for span in spans}))
                 nears.append([{"entity": c, "term": w, "context": x} for c, w, x in near_terms(t, spans, free)])
                 terms.append([{"term": w, "places": x} for w, x in places.items()])
-            return ids, bases, entities, nears, terms
+            return ids, *cols[:-1], bases, entities, nears, terms
 
         return each
 
     return map_rows(
-        docs.select(F.col(id_col).cast("long"), text_or_empty(text_col)),
+        docs.select(F.col(id_col).cast("long"), *keep, text_or_empty(text_col)),
         make,
-        "doc_id long, base array<struct<kind string, start int, end int>>, entities array<string>, near array<struct<entity string, term string, context long>>, terms array<struct<term string, places array<struct<start int, end int>>>>",
+        "doc_id long, " + "".join(f"`{c}` string, " for c in keep) + "base array<struct<kind string, start int, end int>>, entities array<string>, near array<struct<entity string, term string, context long>>, terms array<struct<term string, places array<struct<start int, end int>>>>",
         rows=512,
     )
 
@@ -165,7 +166,7 @@ def term_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
         for batch in batches:
             for t in batch.column(0):
-                held.update(set(TERM.findall(t.as_py().lower())))
+                held.update({w.lower() for w in set(TERM.findall(t.as_py()))})
                 if len(held) > HELD:
                     yield flush()
         if held:
@@ -174,15 +175,15 @@ def term_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.select(text_or_empty(text_col)).mapInArrow(task, "term string, n long").groupBy("term").agg(F.sum("n").alias("docs"))
 
 
-def disclosure(found: DataFrame, terms: DataFrame, n_docs: int, generalise: float = GENERALISE, remove: float = REMOVE, contexts: int = MIN_CONTEXTS, z: float = Z) -> DataFrame:
+def disclosure(found: DataFrame, terms: DataFrame, n_docs: int, generalise: float = GENERALISE, remove: float = REMOVE, z: float = Z) -> DataFrame:
     """entity, term, action for the pairs beyond the thresholds. found: rows (row, entity, term, context)."""
-    whose = found.groupBy("entity", "term", "context").agg(F.count_distinct("row").alias("rows"))
-    pairs = whose.groupBy("entity", "term").agg(F.sum("rows").alias("together"), F.count("*").alias("contexts"))
+    by_row = found.groupBy("entity", "term", "row").agg(F.min("context").alias("lo"), F.max("context").alias("hi"))
+    pairs = by_row.groupBy("entity", "term").agg(F.count("*").alias("together"), (F.min("lo") != F.max("hi")).alias("varied"))
     entities = found.select("entity", "row").distinct().groupBy("entity").agg(F.count("*").alias("of_entity"))
     n = F.lit(float(max(n_docs, 1)))
-    seen, share = F.col("docs").cast("double"), F.least("together", "of_entity", "docs") / F.col("docs")
+    seen, share = F.col("docs").cast("double"), F.col("together") / F.col("docs")
     low = (share + z * z / (2 * seen) - z * F.sqrt(share * (1 - share) / seen + z * z / (4 * seen * seen))) / (1 + z * z / seen)
-    known = F.when(F.col("contexts") >= contexts, share).otherwise(low)
+    known = F.when(F.col("varied") & (F.col("together") > 1), share).otherwise(low)
     share = F.try_divide(F.log(n * known / F.col("of_entity")), F.log(n / F.col("of_entity")))
     return (
         pairs.join(entities, "entity")
@@ -193,20 +194,24 @@ def disclosure(found: DataFrame, terms: DataFrame, n_docs: int, generalise: floa
     )
 
 
-def sanitisation_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, base, spans: all spans of every row, those of disclosing terms included."""
-    found, _ = write_shared(find_spans(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "pii")
+def sanitisation_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, keep, base, spans: all spans of every row, those of disclosing terms included."""
+    found, _ = write_shared(find_spans(docs, id_col, text_col, keep).withColumn("row", F.monotonically_increasing_id()), "pii")
     near = found.select("row", F.inline("near"))
     policy, _ = write_shared(disclosure(near, term_counts(docs, text_col), found.count()), "pii-policy")
+    # a term discloses few entities, while a row may have many terms and many entities: never all pairs of a row's
     places = found.where(F.size("terms") > 0).select("row", F.inline("terms")).join(policy.select("term").distinct(), "term", "left_semi")
+    goes = (
+        places.select("row", "term")
+        .join(policy, "term")
+        .join(found.select("row", F.explode("entities").alias("entity")), ["row", "entity"], "left_semi")
+        .groupBy("row", "term")
+        .agg(F.max("action").alias("kind"))
+    )
     added = (
-        places.join(found.select("row", F.explode("entities").alias("entity")), "row")
-        .join(policy, ["entity", "term"])
-        .select("row", F.inline(F.transform("places", lambda p: F.struct(p["start"].alias("start"), p["end"].alias("end"), F.col("action").alias("kind")))))
-        .groupBy("row", "start", "end")
-        .agg(F.max("kind").alias("kind"))
+        places.join(goes, ["row", "term"])
         .groupBy("row")
-        .agg(F.collect_list(F.struct("kind", "start", "end")).alias("added"))
+        .agg(F.flatten(F.collect_list(F.transform("places", lambda p: F.struct(F.col("kind").alias("kind"), p["start"].alias("start"), p["end"].alias("end"))))).alias("added"))
     )
     rank = F.create_map(*[F.lit(x) for i, k in enumerate(KINDS) for x in (k, i)])
     ordered = lambda xs: F.transform(
@@ -214,7 +219,7 @@ def sanitisation_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")),
     )
     none = F.array().cast("array<struct<kind:string,start:int,end:int>>")
-    return found.select("row", "doc_id", "base").join(added, "row", "left").select("doc_id", ordered("base").alias("base"), ordered(F.concat("base", F.coalesce("added", none))).alias("spans"))
+    return found.select("row", "doc_id", *keep, "base").join(added, "row", "left").select("doc_id", *keep, ordered("base").alias("base"), ordered(F.concat("base", F.coalesce("added", none))).alias("spans"))
 
 
 def redact(text: str, spans: list[tuple[int, int, str]]) -> str:
@@ -231,9 +236,11 @@ def redact(text: str, spans: list[tuple[int, int, str]]) -> str:
 
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text: the texts that change, sanitised. Joins texts with their spans by id, which must be unique."""
-    spans = sanitisation_spans(docs, id_col, text_col).where(F.size("spans") > 0).select("doc_id", "spans")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(spans, "doc_id")
+    """doc_id, text: the texts that change, sanitised, a row for each such row of docs. Texts are joined with their spans by id and digest: rows with equal ids and texts have equal spans."""
+    key = [F.col(id_col).cast("long").alias("doc_id"), F.sha2(text_or_empty(text_col), 256).alias("digest")]
+    spans = sanitisation_spans(docs.select(*key, text_or_empty(text_col).alias("text")), keep=("digest",)).where(F.size("spans") > 0)
+    once = spans.groupBy(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).agg(F.first("spans").alias("spans"))
+    rows = docs.select(*key, F.col(text_col).alias("text")).join(once, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")))
 
     def make():
         return lambda ids, texts, spans: (ids, [redact(t, [(s["start"], s["end"], s["kind"]) for s in x]) for t, x in zip(texts, spans, strict=True)])
