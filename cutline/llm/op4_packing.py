@@ -2,8 +2,14 @@
 
 Each example has a size in several dimensions (tokens, segments, loss-bearing tokens) and each sequence a capacity in
 each. The packer fills one sequence at a time: among the examples that still fit, it places the one whose size has the
-largest dot product with what is free (both as shares of the capacity). When none fits whole, an example may be cut to
-fill the free tokens. Examples are grouped by size, so a choice looks at size classes and not at examples.
+largest dot product with what is free (both as shares of the capacity). When none fits whole, or the last segment would
+not fill the sequence, an example is cut to fill the free tokens. An example of more than a sequence is cut first: where
+its loss tokens alone would break their limit, each sequence gets some of its prompt from its front and some of its loss
+tokens from its end, in its own proportion. Examples are grouped by size, so a choice looks at size classes and not at
+examples.
+
+An example's prompt comes first and bears no loss. Documents have no prompt of their own: the first PROMPT_PERCENT of
+their tokens count as one, as in prefix language modelling.
 
 Packing runs within the tasks of the scan: no shuffle, and a lost task is packed again from its own input split. Each
 task's window holds a bounded number of tokens; what is left at its end goes into sequences whose lengths are powers of
@@ -17,7 +23,9 @@ from __future__ import annotations
 
 import os
 import re
+import sys
 import zlib
+from array import array
 
 import numpy as np
 from pyspark import TaskContext
@@ -27,8 +35,9 @@ from pyspark.sql import functions as F
 from .common import table, text_or_empty
 
 LENGTH = 1024
-#: Most pieces that share a sequence.
-SEGMENTS = 128
+#: Most pieces that share a sequence, and most loss-bearing tokens in it.
+SEGMENTS, LOSS = 12, 832
+PROMPT_PERCENT = 25
 #: Tokens that wait in a task before it packs.
 WINDOW = 1 << 20
 END = 0
@@ -48,13 +57,15 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most, self.known = Tokenizer.from_file(path), most, {}
+        self.tokenizer, self.most, self.known = Tokenizer.from_file(path), most, {"": b""}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [pack_ids(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _parts(self, chunk: str) -> tuple[str, ...]:
         """The chunk's parts that are encoded apart, if it is made of words; else the chunk."""
+        if chunk[chunk[0] == " " :].isalpha():
+            return (chunk,)
         m = WORDS.fullmatch(chunk)
         if m is None or not (m[1].lstrip(" ").isalpha() and (m[4] or "a").isalpha()):
             return (chunk,)
@@ -65,14 +76,23 @@ class Encoder:
         known = self.known
         new = {c: self._parts(c) for c in {c for chunks in cut if chunks for c in chunks}.difference(known)}
         lone = list({p for parts in new.values() for p in parts if p not in known})
+        full = len(known) >= self.most
         fresh = dict(zip(lone, self._ids(lone), strict=True))
-        ids = lambda p: known.get(p) or fresh[p]
-        fresh |= {c: b"".join(map(ids, parts)) for c, parts in new.items() if len(parts) > 1}
+        known.update(fresh)
+        fresh |= (joined := {c: b"".join([known[p] for p in parts]) for c, parts in new.items() if len(parts) > 1})
+        known.update(joined)
         whole = iter(self._ids([t for t, chunks in zip(texts, cut, strict=True) if chunks is None]))
-        if len(known) < self.most:
-            known.update((c, i) for c, i in fresh.items() if len(c) <= 48 and "\n" not in c)
-        get = known.get
-        return [next(whole) if chunks is None else b"".join([get(c) or fresh[c] for c in chunks if c]) for chunks in cut]
+        out = [next(whole) if chunks is None else b"".join(map(known.__getitem__, chunks)) for chunks in cut]
+        for c in fresh if full else [c for c in fresh if len(c) > 48 or "\n" in c]:
+            del known[c]
+        return out
+
+
+def pack_ids(ids: list[int]) -> bytes:
+    own = array("I", ids)
+    if sys.byteorder == "big":
+        own.byteswap()
+    return own.tobytes()
 
 
 def open_length(n: int) -> bool:
@@ -80,26 +100,33 @@ def open_length(n: int) -> bool:
     return n & (n - 1) == 0
 
 
-def pack(items: list[tuple[int, int]], capacity: tuple[int, int, int] = (LENGTH, SEGMENTS, LENGTH)) -> list[list[tuple[int, int, int]]]:
+def pack(items: list[tuple[int, int]], capacity: tuple[int, int, int] = (LENGTH, SEGMENTS, LOSS)) -> list[list[tuple[int, int, int]]]:
     """Sequences of pieces (item, start, tokens) that hold every token of items (tokens, loss tokens) once.
 
-    The loss tokens of a cut item are its last ones.
+    The loss tokens of an item are its last ones.
     """
     tokens, segments, loss = capacity
     out: list[list[tuple[int, int, int]]] = []
     classes: dict[tuple[int, int], list[tuple[int, int]]] = {}
 
-    def wait(k: int, start: int) -> None:
-        n, lossy = items[k]
-        if n > start:
-            classes.setdefault((n - start, min(lossy, n - start)), []).append((k, start))
-
-    for k, (n, lossy) in enumerate(items):
-        start = 0
-        while n - start >= tokens and min(lossy, tokens) <= loss:
-            out.append([(k, start, tokens)])
-            start += tokens
-        wait(k, start)
+    def lossy(k: int, start: int, end: int) -> int:
+        return max(0, end - max(start, items[k][0] - items[k][1]))
+
+    for k, (n, _) in enumerate(items):
+        start, end = 0, n
+        while end - start >= tokens:
+            left = lossy(k, start, end)
+            if min(left, tokens) <= loss:
+                out.append([(k, start, tokens)])
+                start += tokens
+            elif left * tokens <= loss * (end - start) and segments > 1:
+                own = -(-left * tokens // (end - start))
+                out.append([(k, start, tokens - own), (k, end - own, own)])
+                start, end = start + tokens - own, end - own
+            else:
+                break
+        if end > start:
+            classes.setdefault((end - start, lossy(k, start, end)), []).append((k, start))
 
     sizes = sorted(classes)
     table = np.array(sizes, np.int64).reshape(-1, 2)
@@ -118,30 +145,35 @@ def pack(items: list[tuple[int, int]], capacity: tuple[int, int, int] = (LENGTH,
 
     while waiting:
         free = np.array([tokens, loss], np.int64)
-        room, row, at = segments, [], 0
+        room, row = segments, []
         while room and free[0] and waiting:
             fits = (left > 0) & (table[:, 0] <= free[0]) & (table[:, 1] <= free[1])
-            if fits.any():
-                # shares of the capacity; a piece's share of the segments is the same for all
-                score = table[:, 0] * (free[0] / tokens**2) + table[:, 1] * (free[1] / loss**2)
-                i = int(np.where(fits, score, -1.0).argmax())
-                k, start = classes[sizes[i]].pop()
+            # shares of the capacity; a piece's share of the segments is the same for all
+            score = np.where(fits, table[:, 0] * (free[0] / tokens**2) + table[:, 1] * (free[1] / loss**2), -1.0)
+            i = int(score.argmax())
+            if fits[i] and (room > 1 or table[i, 0] == free[0]):
                 n, used = sizes[i]
+                k, start = classes[sizes[i]].pop()
                 left[i] -= 1
                 waiting -= 1
             else:
-                # cut the largest: as much of its front as fits
-                i = int(np.where(left > 0, table[:, 0], -1).argmax())
-                whole, lossy = sizes[i]
-                n = int(min(free[0], whole - lossy + free[1]))
+                # as much of the front of the largest as fits, if that is more than the best whole one
+                j = int(np.where(left > 0, table[:, 0], -1).argmax())
+                size = sizes[j]
+                n = int(min(free[0], size[0] - size[1] + free[1], size[0]))
+                if fits[i] and n <= table[i, 0]:
+                    j, size, n = i, sizes[i], sizes[i][0]
                 if n <= 0:
                     break
-                k, start = classes[sizes[i]].pop()
-                left[i] -= 1
-                rest = (whole - n, min(lossy, whole - n))
-                used = lossy - rest[1]
-                classes.setdefault(rest, []).append((k, start + n))
-                grow(rest)
+                k, start = classes[size].pop()
+                left[j] -= 1
+                rest = (size[0] - n, min(size[1], size[0] - n))
+                used = size[1] - rest[1]
+                if rest[0]:
+                    classes.setdefault(rest, []).append((k, start + n))
+                    grow(rest)
+                else:
+                    waiting -= 1
             row.append((k, start, n))
             free -= (n, used)
             room -= 1
@@ -170,8 +202,8 @@ def unpadded(row: list[tuple[int, int, int]]) -> list[list[tuple[int, int, int]]
     return out
 
 
-def pack_texts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", segments: int = SEGMENTS, keep_ids: bool = False, loss_col: str | None = None, loss_tokens: int = LENGTH) -> DataFrame:
-    """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and the ids). loss_col: how many of an example's last tokens, its end included, bear loss (null: all but the first, as without loss_col); a sequence holds loss_tokens of them at most. tokenizer: a file of the tokenizers library, on every executor."""
+def pack_texts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", segments: int = SEGMENTS, keep_ids: bool = False, loss_col: str | None = None, loss_tokens: int = LOSS) -> DataFrame:
+    """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and the ids). loss_col: how many of an example's last tokens, its end included, bear loss (null, or without loss_col: all but the first PROMPT_PERCENT); a sequence holds loss_tokens of them at most. tokenizer: a file of the tokenizers library, on every executor."""
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * keep_ids
 
     def task(batches):
@@ -185,7 +217,7 @@ def pack_texts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col
         def rows():
             nonlocal made, waits, held
             cols: list[list] = [[] for _ in names]
-            got = pack([(n := len(x[1]) // 4, n - 1 if x[2] is None else max(0, min(n, x[2]))) for x in waits], (LENGTH, segments, loss_tokens))
+            got = pack([(n := len(x[1]) // 4, n - n * PROMPT_PERCENT // 100 if x[2] is None else max(0, min(n, x[2]))) for x in waits], (LENGTH, segments, loss_tokens))
             got = [part for row in got for part in ([row] if sum(p[2] for p in row) == LENGTH else unpadded(row))]
             for row in got:
                 offset = 0
@@ -233,5 +265,5 @@ def tokenizer_path() -> str:
 
 
 def op4_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document packed into sequences of 1024 tokens. Documents have no prompt, so the limit on loss tokens never binds here."""
+    """Every document packed into sequences of 1024 tokens, with SEGMENTS pieces and LOSS loss-bearing tokens at most."""
     return pack_texts(table(spark, sf_dir, "documents"), tokenizer_path())
