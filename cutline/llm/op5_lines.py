@@ -11,16 +11,20 @@ A line of length L is split into TAU + 1 even segments; TAU edits leave one unto
 (L, segment number, segment), and probes the indexes of lengths L - TAU .. L with the substrings that multi-match-aware
 selection leaves (12 for two edits; the three of its own length and places are the index entries, so they are emitted
 once). Lines that share a key, one of them by its index entry, are candidates. A key's lines are dealt to blocks of
-BLOCK, and pairs of blocks are joined, so a frequent segment makes neither one large task nor a row for each pair.
-Within a pair of blocks, candidates are first held against a 64-bit parity signature of their bigrams (an edit flips at
+BLOCK, and each SUPER blocks to a superblock. Pairs of blocks are joined by (key, pair of superblocks), so the pairs of a
+frequent segment are dealt to as many groups as it has pairs of superblocks, and there is no row for each pair of lines.
+(Only the numbering of a key's lines, of 25 bytes each, is one task's work; it spills.) Within a pair of blocks, candidates are first held against a 64-bit parity signature of their bigrams (an edit flips at
 most four bits) and then verified by banded bit-parallel edit distance (Myers' recurrence on a band of 2 TAU + 1 rows,
 which moves down the diagonal with the column); only links leave. Lines that allow fewer edits are indexed in as many
 fewer segments: a pair's edits are those of its shorter line, whose length is part of the key.
 
 Equal lines are aggregated (within tasks before the shuffle) before they are indexed. Links are closed to classes by
-stars of least nodes, with each round in the shared folder. Lines are identified by a 64-bit hash.
+stars of least nodes, with each round in the shared folder. Lines are identified by a 64-bit hash: of 10^11 different
+lines, about 270 pairs can be expected to share one. The verdicts on lines go back to the documents by look_up(), which
+deals blank lines and those of the most frequent lines by document.
 
 Null texts count as empty. Rows with equal ids are one document. A null id comes first. An empty table gives no rows.
+Columns of any other names pass dedup_lines() unchanged.
 """
 
 from __future__ import annotations
@@ -28,10 +32,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANKS, broadcast_if, table, text_or_empty, write_shared
+from .common import BLANKS, broadcast_if, fresh, look_up, table, text_or_empty, write_shared
 from .components import components
 
-TAU, MIN_CHARS, BLOCK = 2, 24, 32
+TAU, MIN_CHARS, BLOCK, SUPER = 2, 24, 32, 64
 #: Characters of a line for each edit that it allows; and the min_chars that takes every line that isn't blank.
 PER_EDIT, EVERY_LINE = 12, 1
 #: Documents that lose lines, up to which they are broadcast (with ten lines each at most on average).
@@ -155,12 +159,17 @@ def line_links(each: DataFrame, tau: int = TAU) -> DataFrame:
         .groupBy("k", "h")
         .agg(F.max("idx").alias("idx"))
         .withColumn("block", F.floor((F.row_number().over(group.orderBy("h")) - 1) / BLOCK))
+        .withColumn("supers", F.floor(F.max("block").over(group) / SUPER) + 1)
     )
     full = members.join(texts.withColumnRenamed("h", "_h"), F.col("h") == F.col("_h"))
-    full = full.select("k", "block", F.struct("h", "idx", "line", "len", bigram_parity(F.col("line")).alias("sig")).alias("m"))
-    blocks = full.groupBy("k", "block").agg(F.collect_list("m").alias("ms"))
-    left, right = blocks, blocks.select(F.col("k").alias("_k"), F.col("block").alias("_b"), F.col("ms").alias("others"))
-    pairs = left.join(right, (F.col("k") == F.col("_k")) & (F.col("block") <= F.col("_b")))
+    full = full.select("k", "block", "supers", F.struct("h", "idx", "line", "len", bigram_parity(F.col("line")).alias("sig")).alias("m"))
+    blocks = full.groupBy("k", "block").agg(F.collect_list("m").alias("ms"), F.first("supers").alias("supers"))
+    own = F.floor(F.col("block") / SUPER)
+    dealt = blocks.select("k", "block", "ms", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("supers") - 1)).alias("other"))
+    dealt = dealt.select("k", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "block", "ms")
+    left = dealt.where("own = lo").drop("own")
+    right = dealt.where("own = hi").select(F.col("k").alias("_k"), F.col("lo").alias("_lo"), F.col("hi").alias("_hi"), F.col("block").alias("_b"), F.col("ms").alias("others"))
+    pairs = left.join(right, (F.col("k") == F.col("_k")) & (F.col("lo") == F.col("_lo")) & (F.col("hi") == F.col("_hi")) & (F.col("block") <= F.col("_b")))
 
     def partners(a: Column) -> Column:
         other = F.filter("others", lambda b: ((F.col("block") < F.col("_b")) | (a["h"] < b["h"])) & (a["idx"] | b["idx"]) & within(a, b, tau))
@@ -175,13 +184,15 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     links, _ = write_shared(line_links(each, tau), "line-links")
     same = components(links)
     degrees = links.select(F.explode(F.array("u", "v")).alias("_d")).groupBy("_d").agg(F.count("*").alias("degree"))
-    firsts = each.where("h is not null").groupBy("h").agg(F.min(F.struct("doc_id", "line_no")).alias("first"))
-    firsts = firsts.join(same, F.col("h") == F.col("node"), "left").join(degrees, F.col("h") == F.col("_d"), "left").select("h", "first", F.coalesce("component", "h").alias("cls"), F.coalesce("degree", F.lit(0)).alias("degree"))
+    firsts = each.where("h is not null").groupBy("h").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n"))
+    firsts = firsts.join(same, F.col("h") == F.col("node"), "left").join(degrees, F.col("h") == F.col("_d"), "left")
+    # a line that stands once and is linked to none has no effect
+    firsts = firsts.where("n > 1 or degree is not null").select("h", "n", "first", F.coalesce("component", "h").alias("cls"), F.coalesce("degree", F.lit(0)).alias("degree"))
     best = firsts.groupBy(F.col("cls").alias("_c")).agg(F.min_by(F.struct("first", "h"), F.struct("first", "h")).alias("best"))
-    known = firsts.join(best, F.col("cls") == F.col("_c")).select(F.col("h").alias("_h"), "cls", "degree", F.col("best")["first"].alias("first"), (F.col("best")["h"] != F.col("h")).alias("near"))
-    at = F.struct("doc_id", "line_no")
-    found = each.select("doc_id", "line_no", "h").join(known, F.col("h") == F.col("_h"), "left")
-    gone = F.col("first").isNotNull() & ~at.eqNullSafe(F.col("first"))
+    known = firsts.join(best, F.col("cls") == F.col("_c")).select(F.col("h").alias("k"), "n", "cls", "degree", F.col("best")["first"].alias("first"), (F.col("best")["h"] != F.col("h")).alias("near"))
+    known, _ = write_shared(known, "line-classes")
+    found = look_up(each.select("doc_id", "line_no", "h"), "h", known, ["doc_id", "line_no"]).select("doc_id", "line_no", "found.*")
+    gone = F.col("first").isNotNull() & ~F.struct("doc_id", "line_no").eqNullSafe(F.col("first"))
     counted = found.groupBy("doc_id").agg(
         F.count("*").alias("n_lines"),
         F.count_if(gone).alias("n_removed"),
@@ -194,13 +205,16 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
     """docs without the lines that go; documents that lose lines and have only blank ones left go too."""
-    gone, _ = write_shared(removed_lines(docs, id_col, text_col, min_chars=min_chars).where("n_removed > 0").select(F.col("doc_id").alias("_gone_id"), "removed"), "lines")
-    gone = broadcast_if(gone, BROADCAST_DOCS) if gone.agg(F.coalesce(F.sum(F.size("removed")), F.lit(0))).first()[0] <= 10 * BROADCAST_DOCS else gone
     columns = docs.columns
-    left = F.array_join(F.filter(F.transform(F.split(text_col, "\n"), lambda x, i: F.when(~F.array_contains("removed", i), x)), lambda x: x.isNotNull()), "\n")
-    out = docs.join(gone, F.col(id_col).eqNullSafe(F.col("_gone_id")), "left").withColumn("_left", F.when(F.col("removed").isNotNull(), left))
-    out = out.where(F.col("removed").isNull() | (F.btrim("_left", F.lit(BLANKS)) != ""))
-    return out.select(*[F.coalesce("_left", F.col(f"`{c}`")).alias(c) if c == text_col else F.col(f"`{c}`") for c in columns])
+    key, removed, left = fresh(columns, "gone_id", "removed", "left")
+    gone, _ = write_shared(removed_lines(docs, id_col, text_col, min_chars=min_chars).where("n_removed > 0").select(F.col("doc_id").alias(key), F.col("removed").alias(removed)), "lines")
+    gone = broadcast_if(gone, BROADCAST_DOCS) if gone.agg(F.coalesce(F.sum(F.size(removed)), F.lit(0))).first()[0] <= 10 * BROADCAST_DOCS else gone
+    text = F.col(f"`{text_col}`")
+    stays = lambda xs: F.array_except(F.sequence(F.lit(0), F.size(xs) - 1), F.col(removed))
+    rest = bound(F.split(text, "\n"), lambda xs: F.array_join(F.transform(stays(xs), lambda i: F.get(xs, i)), "\n"))
+    out = docs.join(gone, F.col(f"`{id_col}`").eqNullSafe(F.col(key)), "left").withColumn(left, F.when(F.col(removed).isNotNull(), rest))
+    out = out.where(F.col(removed).isNull() | (F.btrim(left, F.lit(BLANKS)) != ""))
+    return out.select(*[F.coalesce(F.col(left), text).alias(c) if c == text_col else F.col(f"`{c}`") for c in columns])
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
