@@ -16,12 +16,15 @@ the cut evenly (rounded down). An empty table gives no rows; a source without wo
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, small, table, text_or_empty, write_shared
+from .common import WORD, fresh, small, table, text_or_empty, write_shared
 
+#: Slices of the keys' range, at least; with more than SLICES ** 2 documents, the square root of their number.
 SLICES = 4096
 BROADCAST_SOURCES = 10_000
 #: A target stops at so many times its source's size.
@@ -66,13 +69,14 @@ def shares(sizes: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame, size: Column, weight: Column, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
-    """docs with size, source_size, target and taken. Its own columns of these names are replaced."""
+    """docs with size, source_size, target and taken. Its own columns of these names are replaced; others may have any name."""
     own = ["size", "source_size", "target", "taken"]
     kept = [c for c in docs.columns if c.lower() not in own]
-    rows = docs.select(*[F.col(f"`{c}`") for c in kept], size.alias("size"), weight.alias("_w")).withColumn("_key", F.pow(uniform(F.col(id_col)), 1 / F.col("_w"))).drop("_w")
-    rows = rows.withColumn("_src", F.col(source_col))
-    slim = rows.select(F.col("_src").alias("source"), F.col(id_col).alias("id"), "size", F.col("_key").alias("key")).withColumn("slice", F.floor(F.col("key") * SLICES).cast("int"))
-    slim, _ = write_shared(slim, "mix")
+    key, plan_source, plan_of = fresh(docs.columns, "key", "plan_source", "plan_of")
+    rows = docs.select(*[F.col(f"`{c}`") for c in kept], size.alias("size"), F.pow(uniform(F.col(f"`{id_col}`")), 1 / weight).alias(key))
+    slim, _ = write_shared(rows.select(F.col(f"`{source_col}`").alias("source"), F.col(f"`{id_col}`").alias("id"), "size", F.col(key).alias("key")), "mix")
+    slices = max(SLICES, math.isqrt(slim.count()))
+    slim = slim.withColumn("slice", F.floor(F.col("key") * slices).cast("int"))
 
     by_slice = slim.groupBy("source", "slice").agg(F.sum("size").alias("words"))
     sources = shares(by_slice.groupBy("source").agg(F.sum("words").alias("source_size")))
@@ -100,21 +104,23 @@ def mix(docs: DataFrame, size: Column, weight: Column, id_col: str = "doc_id", s
         .groupBy("source")
         .agg(F.min_by(F.struct("key", "id", "size", F.floor((F.col("room") - F.col("upto") + F.col("size") * F.col("n")) / F.col("n")).alias("part")), "upto").alias("end"))
     )
-    per_source = plan.join(end.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), "left").select(F.col("source").alias("_s"), "source_size", "target", "epochs", "end")
+    per_source = plan.join(end.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), "left")
+    per_source = per_source.select(F.col("source").alias(plan_source), F.struct("source_size", "target", "epochs", "end").alias(plan_of))
     known = small(per_source, BROADCAST_SOURCES)
     if known is not None:
         per_source = F.broadcast(docs.sparkSession.createDataFrame(known, per_source.schema))
-    e = F.col("end")
-    id_of = F.col(f"`{id_col}`")
-    ahead = (F.col("_key") > e["key"]) | (
-        (F.col("_key") == e["key"]) & ((id_of.isNull() & e["id"].isNotNull()) | (id_of < e["id"]) | (id_of.eqNullSafe(e["id"]) & (F.col("size") < e["size"])))
-    )
-    same = (F.col("_key") == e["key"]) & id_of.eqNullSafe(e["id"]) & (F.col("size") == e["size"])
-    extra = F.when(F.col("end").isNull(), 0).when(F.coalesce(same, F.lit(False)), e["part"]).when(F.coalesce(ahead, F.lit(False)), F.col("size")).otherwise(0)
-    return (
-        rows.join(per_source, F.col("_src").eqNullSafe(F.col("_s")))
-        .withColumn("taken", (F.col("epochs") * F.col("size") + extra).cast("long"))
-        .select(*[F.col(f"`{c}`") for c in kept], "size", F.col("source_size").cast("long").alias("source_size"), "target", "taken")
+    plan_ = F.col(plan_of)
+    e = plan_["end"]
+    id_of, at = F.col(f"`{id_col}`"), F.col(key)
+    ahead = (at > e["key"]) | ((at == e["key"]) & ((id_of.isNull() & e["id"].isNotNull()) | (id_of < e["id"]) | (id_of.eqNullSafe(e["id"]) & (F.col("size") < e["size"]))))
+    same = (at == e["key"]) & id_of.eqNullSafe(e["id"]) & (F.col("size") == e["size"])
+    extra = F.when(e.isNull(), 0).when(F.coalesce(same, F.lit(False)), e["part"]).when(F.coalesce(ahead, F.lit(False)), F.col("size")).otherwise(0)
+    return rows.join(per_source, F.col(f"`{source_col}`").eqNullSafe(F.col(plan_source))).select(
+        *[F.col(f"`{c}`") for c in kept],
+        "size",
+        plan_["source_size"].cast("long").alias("source_size"),
+        plan_["target"].alias("target"),
+        (plan_["epochs"] * F.col("size") + extra).cast("long").alias("taken"),
     )
 
 
