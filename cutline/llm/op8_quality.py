@@ -5,13 +5,15 @@ and rule, cutoffs are tried from lenient to strict. A cutoff is certified if the
 of rejected good documents stays within RISK / number of rules at confidence 1 - DELTA / (strata x rules) (Bonferroni);
 along one rule's cutoffs testing stops at the first that fails (fixed sequence), so no further correction is due. Of the
 certified cutoffs the most lenient that rejects most bad documents is used; where none is certified, or none rejects bad
-documents, the rule is off. Strata beyond the STRATA with most labels, and those without any, share one pooled stratum.
+documents, the rule is off. Every stratum with labels has its own guarantee; those without any use the cutoffs of the
+labelled documents without a stratum.
 
 The statistics are computed in one scan without a shuffle and kept as a narrow table; only that is joined with the
-labels. The cutoffs (at most STRATA + 1 rows) are literals in the plan.
+labels. The cutoffs are a table with a row for each stratum that has labels, broadcast if there are at most
+BROADCAST_STRATA, else joined by shuffle.
 
-Null texts have no words (and so fail the base rules); null strata are pooled. Repeated rows count as often as they
-come. An empty table gives no rows, empty labels leave the base rules alone.
+Null texts have no words (and so fail the base rules). Repeated rows count as often as they come. An empty table gives no
+rows, empty labels leave the base rules alone.
 """
 
 from __future__ import annotations
@@ -22,10 +24,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import BLANKS, GAP, table, text_or_empty, write_shared
+from .common import BLANKS, GAP, broadcast_if, fresh, table, text_or_empty, write_shared
 
 WINDOW = 8
-STRATA = 256
+BROADCAST_STRATA = 100_000
 RISK, DELTA = 0.03, 0.05
 #: Share of words in repeated windows, and number of words, beyond which a document fails without any label.
 BASE_REPEAT, BASE_WORDS = 30, 20
@@ -43,23 +45,24 @@ FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words
 
 def features(docs: DataFrame, text: Column) -> DataFrame:
     """docs and the columns FEATURES of text; columns of docs with such names are replaced."""
-    keep = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in (*FEATURES, "_t", "_w", "_l", "_h", "_s", "_p")]
+    keep = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in FEATURES]
+    t, w_, l_, h_, s_, p_ = fresh(docs.columns, "t", "w", "l", "h", "s", "p")
     none = F.array().cast("array<bigint>")
-    df = docs.select(*keep, text.alias("_t"))
+    df = docs.select(*keep, text.alias(t))
     df = df.select(
         *keep,
-        F.filter(F.split("_t", GAP), lambda w: w != "").alias("_w"),
-        F.filter(F.split("_t", "\n"), lambda x: F.btrim(x, F.lit(BLANKS)) != "").alias("_l"),
-        F.regexp_count("_t", F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
+        F.filter(F.split(t, GAP), lambda w: w != "").alias(w_),
+        F.filter(F.split(t, "\n"), lambda x: F.btrim(x, F.lit(BLANKS)) != "").alias(l_),
+        F.regexp_count(t, F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
     )
     df = df.select(
         *keep,
         "n_symbols",
-        F.size("_w").cast("long").alias("n_words"),
-        F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
-        F.size("_l").cast("long").alias("n_lines"),
-        (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
-        F.when(F.size("_w") > WINDOW, F.transform("_w", lambda w: F.xxhash64(w))).otherwise(none).alias("_h"),
+        F.size(w_).cast("long").alias("n_words"),
+        F.length(F.array_join(w_, "")).cast("long").alias("word_chars"),
+        F.size(l_).cast("long").alias("n_lines"),
+        (F.size(l_) - F.size(F.array_distinct(l_))).cast("long").alias("n_dup_lines"),
+        F.when(F.size(w_) > WINDOW, F.transform(w_, lambda w: F.xxhash64(w))).otherwise(none).alias(h_),
     )
 
     def joined(name: str, step: int) -> Column:
@@ -67,13 +70,13 @@ def features(docs: DataFrame, text: Column) -> DataFrame:
         n = F.greatest(F.size(name) - step, F.lit(0))
         return F.zip_with(F.slice(name, 1, n), F.slice(name, step + 1, n), lambda a, b: F.xxhash64(a, b))
 
-    df = df.withColumn("_h", joined("_h", 1)).withColumn("_h", joined("_h", 2)).withColumn("_h", joined("_h", 4))
-    twice = F.size("_h") > F.size(F.array_distinct("_h"))
-    df = df.withColumn("_s", F.when(twice, F.sort_array(F.transform("_h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
+    df = df.withColumn(h_, joined(h_, 1)).withColumn(h_, joined(h_, 2)).withColumn(h_, joined(h_, 4))
+    twice = F.size(h_) > F.size(F.array_distinct(h_))
+    df = df.withColumn(s_, F.when(twice, F.sort_array(F.transform(h_, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
     at = F.get
-    same = lambda i, x: F.coalesce(at("_s", i)["h"] == x["h"], F.lit(False))
-    df = df.withColumn("_p", F.sort_array(F.filter(F.transform("_s", lambda x, i: F.when(same(i - 1, x) | same(i + 1, x), x["i"])), lambda p: p.isNotNull())))
-    covered = F.transform("_p", lambda p, i: F.least(F.coalesce(at("_p", i + 1) - p, F.lit(WINDOW)), F.lit(WINDOW)))
+    same = lambda i, x: F.coalesce(at(s_, i)["h"] == x["h"], F.lit(False))
+    df = df.withColumn(p_, F.sort_array(F.filter(F.transform(s_, lambda x, i: F.when(same(i - 1, x) | same(i + 1, x), x["i"])), lambda p: p.isNotNull())))
+    covered = F.transform(p_, lambda p, i: F.least(F.coalesce(at(p_, i + 1) - p, F.lit(WINDOW)), F.lit(WINDOW)))
     df = df.withColumn("n_repeat_words", F.coalesce(F.aggregate(covered, F.lit(0).cast("long"), lambda s, x: s + x), F.lit(0).cast("long")))
     # behind a generator, filters on the statistics are not pushed down and written out in full
     return df.select(*keep, F.inline(F.array(F.struct(*FEATURES))))
@@ -103,48 +106,40 @@ def base_failed() -> Column:
     return (F.col("n_words") < BASE_WORDS) | (100 * F.col("n_repeat_words") > BASE_REPEAT * F.col("n_words"))
 
 
-def calibrate(held_out: DataFrame, risk: float = RISK, delta: float = DELTA) -> dict[str | None, list[float | None]]:
-    """Cutoffs by stratum, in the order of RULES; None as a stratum: the pooled one, None as a cutoff: off.
+def calibrate(held_out: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
+    """stratum, cutoffs (in the order of RULES; null: off): a row for each stratum with labels, null among them.
 
-    held_out: FEATURES, stratum (string), good (boolean).
+    held_out: FEATURES, stratum (string), good (boolean); a written table.
     """
-    counts = held_out.where("stratum is not null").groupBy("stratum").count()
-    named = counts.orderBy(F.desc("count"), "stratum").limit(STRATA).select(F.col("stratum").alias("own"))
-    rows = held_out.join(F.broadcast(named), F.col("stratum") == F.col("own"), "left")
     tests = [F.struct(F.lit(r).alias("rule"), F.lit(i).alias("step"), F.lit(c).alias("cutoff"), (F.coalesce(score(r), F.lit(float("-inf"))) > c).alias("rejected")) for r, (_, cutoffs) in RULES.items() for i, c in enumerate(cutoffs)]
     tried = (
-        rows.select("own", "good", F.inline(F.array(*tests)))
-        .groupBy("own", "rule", "step", "cutoff")
+        held_out.select("stratum", "good", F.inline(F.array(*tests)))
+        .groupBy("stratum", "rule", "step", "cutoff")
         .agg(F.count_if("good").alias("n"), F.count_if(F.col("good") & F.col("rejected")).alias("k"), F.count_if(~F.col("good") & F.col("rejected")).alias("bad"))
     )
-    strata = F.size(F.collect_set(F.coalesce("own", F.lit("\0"))).over(W.partitionBy()))
-    along = W.partitionBy("own", "rule").orderBy("step").rowsBetween(W.unboundedPreceding, W.currentRow)
-    certified = (
-        tried.withColumn("strata", strata)
-        .withColumn("passes", binomial_tail(F.col("n"), F.col("k"), risk / len(RULES)) <= F.lit(delta / len(RULES)) / F.col("strata"))
+    strata = held_out.select("stratum").distinct().count()
+    along = W.partitionBy("stratum", "rule").orderBy("step").rowsBetween(W.unboundedPreceding, W.currentRow)
+    usable = F.col("certified") & (F.col("bad") > 0)
+    chosen = (
+        tried.withColumn("passes", binomial_tail(F.col("n"), F.col("k"), risk / len(RULES)) <= delta / len(RULES) / max(1, strata))
         .withColumn("certified", F.min("passes").over(along))
-        .where(F.col("certified") & (F.col("bad") > 0))
-        .groupBy("own", "rule")
-        .agg(F.max_by("cutoff", F.struct("bad", (-F.col("step")).alias("step"))).alias("cutoff"))
+        .groupBy("stratum", "rule")
+        .agg(F.max_by(F.when(usable, F.col("cutoff")), F.when(usable, F.struct("bad", (-F.col("step")).alias("step")))).alias("cutoff"))
     )
-    found: dict[str | None, list[float | None]] = {r["own"]: [None] * len(RULES) for r in named.collect()} | {None: [None] * len(RULES)}
-    for r in certified.collect():
-        found[r["own"]][list(RULES).index(r["rule"])] = r["cutoff"]
-    return found
-
-
-def verdict(cutoffs: dict[str | None, list[float | None]], stratum: Column) -> Column:
-    """Is a document kept, by the base rules and its stratum's cutoffs?"""
-    listed = lambda xs: F.array(*[F.lit(x).cast("double") for x in xs])
-    named = [x for s, xs in cutoffs.items() if s is not None for x in (F.lit(s), listed(xs))]
-    own = listed(cutoffs[None])
-    if named:
-        own = F.coalesce(F.when(stratum.isNotNull(), F.try_element_at(F.create_map(*named), F.coalesce(stratum, F.lit("")))), own)
-    fails = [F.coalesce(score(r) > F.get(own, i), F.lit(False)) for i, r in enumerate(RULES)]
+    by_rule = F.map_from_entries(F.collect_list(F.struct("rule", "cutoff")))
+    return chosen.groupBy("stratum").agg(by_rule.alias("m")).select("stratum", F.array(*[F.try_element_at("m", F.lit(r)) for r in RULES]).alias("cutoffs"))
+
+
+def with_verdict(measured: DataFrame, cutoffs: DataFrame, name: str = "kept", stratum: str = "stratum") -> DataFrame:
+    """measured with a column: is a document kept, by the base rules and its stratum's cutoffs? cutoffs: a written table. Column names of measured are to differ from `own` and `own_cutoffs`."""
+    pool = cutoffs.where("stratum is null").first()
+    pooled = F.array(*[F.lit(x).cast("double") for x in (pool["cutoffs"] if pool else [None] * len(RULES))])
+    named = broadcast_if(cutoffs.where("stratum is not null").select(F.col("stratum").alias("own"), F.col("cutoffs").alias("own_cutoffs")), BROADCAST_STRATA)
     out = base_failed()
-    for f in fails:
-        out = out | f
-    return ~out
+    for i, r in enumerate(RULES):
+        limit = F.when(F.col("own").isNotNull(), F.get("own_cutoffs", F.lit(i))).otherwise(F.get(pooled, F.lit(i)))
+        out = out | F.coalesce(score(r) > limit, F.lit(False))
+    return measured.join(named, F.col(stratum) == F.col("own"), "left").withColumn(name, ~out).drop("own", "own_cutoffs")
 
 
 def held_out(measured: DataFrame, labels: DataFrame) -> DataFrame:
@@ -153,9 +148,15 @@ def held_out(measured: DataFrame, labels: DataFrame) -> DataFrame:
     return measured.join(good, F.col("doc_id") == F.col("_d")).select("stratum", "good", *FEATURES)
 
 
+def cutoffs_for(measured: DataFrame, labels: DataFrame) -> DataFrame:
+    """The cutoffs of measured documents (a written table) by their labels, as a written table."""
+    held, _ = write_shared(held_out(measured, labels), "held-out")
+    return write_shared(calibrate(held), "cutoffs")[0]
+
+
 def op8_risk_controlled_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics and verdict of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("stratum"), "text")
     measured, _ = write_shared(features(docs, text_or_empty()).drop("text"), "quality")
-    cutoffs = calibrate(held_out(measured, table(spark, sf_dir, "labels")))
-    return measured.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"), verdict(cutoffs, F.col("stratum")).alias("kept"))
+    judged = with_verdict(measured, cutoffs_for(measured, table(spark, sf_dir, "labels")))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"), "kept")

@@ -19,7 +19,7 @@ f AS (SELECT d.doc_id, lang, len(w)::BIGINT AS n_words, coalesce(list_sum([lengt
     coalesce(cov.n, 0)::BIGINT AS n_repeat_words, len(l)::BIGINT AS n_lines FROM d LEFT JOIN cov ON cov.doc_id = d.doc_id),
 good AS (SELECT doc_id, min(quality) > 0 AS good FROM labels WHERE quality IS NOT NULL GROUP BY 1),
 held AS (SELECT f.*, good FROM f JOIN good USING (doc_id)),
-named AS (SELECT lang AS own FROM held WHERE lang IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, lang LIMIT {quality.STRATA}),
+named AS (SELECT lang AS own FROM held WHERE lang IS NOT NULL GROUP BY 1),
 tests(rule, step, cutoff) AS (VALUES {_TESTS}),
 rules AS (SELECT DISTINCT rule FROM tests),
 tried AS (SELECT own, rule, step, cutoff, count(*) FILTER (good) AS n, count(*) FILTER (good AND s > cutoff) AS k, count(*) FILTER (NOT good AND s > cutoff) AS bad
