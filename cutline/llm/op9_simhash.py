@@ -6,16 +6,19 @@ blocks, and only those of a key are compared: none is lost. Distinct fingerprint
 
 Within a key the comparison is bit-sliced: bit planes of 64 fingerprints stand vertically in one word, so that one word
 operation updates 64 distances, kept in carry-save counters of three bits. Words in which every distance is beyond the
-radius are abandoned. Links found together are reduced to a spanning forest before they leave the task, so a dense group
-of m fingerprints gives at most m links. Keys with more than HOT fingerprints are split into blocks, and each pair of
-blocks is a group of its own.
+radius are abandoned. Links are merged into a spanning forest tile by tile, so a dense group of m fingerprints holds at
+most ROWS x 64 links at a time and gives at most m. Keys with more than HOT fingerprints are split into blocks, and each
+pair of blocks is a group of its own. Components go back to the rows by look_up(), so a third of all rows may have one
+fingerprint.
 
 Null texts count as empty and have fingerprint zero, which links like any other. Rows without an id take part but can't
-be the least; a component of such rows alone has a null component_id. Equal ids are one document.
+be the least; a component of such rows alone has a null component_id. Rows of one id with different texts link only by
+their fingerprints, and may have different components.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import accumulate, combinations
 
 import numpy as np
@@ -23,12 +26,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_rows, small, table, text_or_empty, write_shared
+from .common import look_up, map_rows, small, table, text_or_empty, write_shared
 from .components import components
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
 BLOCKS = (11, 11, 11, 11, 10, 10)
 HOT, SPLIT = 4096, 2048
+#: Fingerprints that are compared with a tile of 64 at a time.
+ROWS = 1 << 14
 ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -58,13 +63,13 @@ def simhash(hashes: list[int], chunk: int = 1 << 17) -> int:
     return int(np.packbits(2 * counts > len(h), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long)."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, keep (longs), fp (the 64 bits as a signed long)."""
 
     def make():
-        return lambda ids, texts: (ids, [x - (1 << 64) if (x := simhash(shingle_hashes(t))) >> 63 else x for t in texts])
+        return lambda *cols: (*cols[:-1], [x - (1 << 64) if (x := simhash(shingle_hashes(t))) >> 63 else x for t in cols[-1]])
 
-    return map_rows(docs.select(F.col(id_col).cast("long"), text_or_empty(text_col)), make, "doc_id long, fp long")
+    return map_rows(docs.select(F.col(id_col).cast("long"), *keep, text_or_empty(text_col)), make, "".join(f"{c} long, " for c in ("doc_id", *keep, "fp"))[:-2])
 
 
 def block_keys(fp: Column) -> Column:
@@ -74,12 +79,11 @@ def block_keys(fp: Column) -> Column:
     return F.array(*[F.shiftleft(part(i), BLOCKS[j]).bitwiseOR(part(j)).bitwiseOR(F.lit(n << 24).cast("long")) for n, (i, j) in enumerate(combinations(range(len(BLOCKS)), 2))])
 
 
-def close_pairs(fp: np.ndarray, group: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """Indices a < b with group[a] == group[b] and at most `radius` (of 4 to 7) bits between fp[a] and fp[b]. group: sorted."""
+def close_pairs(fp: np.ndarray, group: np.ndarray, radius: int = RADIUS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Indices a < b with group[a] == group[b] and at most `radius` (of 4 to 7) bits between fp[a] and fp[b], ROWS x 64 at most at a time. group: sorted."""
     n = len(fp)
-    none = np.empty(0, np.int64)
     if n < 2:
-        return none, none
+        return
     starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
     ends = np.repeat(np.r_[starts[1:], n], np.diff(np.r_[starts, n]))
     tiles = -(-n // 64)
@@ -89,18 +93,14 @@ def close_pairs(fp: np.ndarray, group: np.ndarray, radius: int = RADIUS) -> tupl
     for b in range(64):
         planes[b] = np.packbits((padded >> np.uint64(b) & np.uint64(1)).astype(bool), bitorder="little").view("<u8")
     rows = np.flatnonzero(ends - np.arange(n) > 1)
-    found_a, found_b = [], []
     d = 0
     while True:
         rows = rows[rows // 64 + d <= (ends[rows] - 1) // 64]
         if not len(rows):
-            break
-        for at in range(0, len(rows), 1 << 16):
-            a, b = _against(fp, planes, rows[at : at + (1 << 16)], ends, d, radius)
-            found_a.append(a)
-            found_b.append(b)
+            return
+        for at in range(0, len(rows), ROWS):
+            yield _against(fp, planes, rows[at : at + ROWS], ends, d, radius)
         d += 1
-    return (np.concatenate(found_a), np.concatenate(found_b)) if found_a else (none, none)
 
 
 def _against(fp, planes, rows, ends, d, radius):
@@ -141,9 +141,8 @@ def _against(fp, planes, rows, ends, d, radius):
     return rows[r], 64 * tile[r] + lane
 
 
-def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """For each of n nodes the least node that the links (a, b) reach."""
-    label = np.arange(n)
+def forest(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """label (for each node the least node that it is known to reach) with the links (a, b) too."""
     while len(a):
         x, y = label[a], label[b]
         open_ = x != y
@@ -160,18 +159,19 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def links_within(rows: DataFrame, at_once: int = 1 << 16) -> DataFrame:
-    """rows (g, fp, rep), dealt by g and sorted by it within partitions -> links (u, v) between reps."""
+    """rows (g, fp), dealt by g and sorted by it within partitions -> links (u, v) between fingerprints."""
 
     def task(batches):
         import pyarrow as pa
 
-        held = [np.empty(0, np.int64)] * 3
+        held = [np.empty(0, np.int64)] * 2
 
-        def work(g, fp, rep):
-            a, b = close_pairs(fp.view(np.uint64), g)
-            label = forest(len(fp), a, b)
+        def work(g, fp):
+            label = np.arange(len(fp))
+            for a, b in close_pairs(fp.view(np.uint64), g):
+                label = forest(label, a, b)
             i = np.flatnonzero(label != np.arange(len(fp)))
-            return pa.RecordBatch.from_arrays([pa.array(rep[i]), pa.array(rep[label[i]])], names=["u", "v"])
+            return pa.RecordBatch.from_arrays([pa.array(fp[i]), pa.array(fp[label[i]])], names=["u", "v"])
 
         for batch in batches:
             held = [np.concatenate([h, c.to_numpy()]) for h, c in zip(held, batch.columns, strict=True)]
@@ -183,14 +183,14 @@ def links_within(rows: DataFrame, at_once: int = 1 << 16) -> DataFrame:
         if len(held[0]):
             yield work(*held)
 
-    return rows.select("g", "fp", "rep").mapInArrow(task, "u long, v long")
+    return rows.select("g", "fp").mapInArrow(task, "u long, v long")
 
 
 def near_duplicates(found: DataFrame) -> DataFrame:
-    """found (doc_id, fp), a table -> doc_id, fp, component_id."""
+    """found (doc_id, fp, ...), a table -> its columns, component_id, and cls, a fingerprint that all of the component share."""
     spark = found.sparkSession
-    nodes = found.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    keyed = nodes.where("rep is not null").select("fp", "rep", F.explode(block_keys(F.col("fp"))).alias("key"))
+    nodes, _ = write_shared(found.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "prints")
+    keyed = nodes.select("fp", F.explode(block_keys(F.col("fp"))).alias("key"))
     hot = keyed.groupBy(F.col("key").alias("_k")).agg(F.count("*").alias("m")).where(F.col("m") > HOT)
     rows = small(hot, 10_000)
     if rows == []:
@@ -206,10 +206,18 @@ def near_duplicates(found: DataFrame) -> DataFrame:
             .withColumn("g", F.when(F.col("m").isNull(), F.col("key")).otherwise(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))))
         )
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = grouped.select("g", "fp", "rep").repartition(parts, "g").sortWithinPartitions("g")
+    dealt = grouped.select("g", "fp").repartition(parts, "g").sortWithinPartitions("g")
     same = components(links_within(dealt))
-    known = nodes.join(same, F.col("rep") == F.col("node"), "left").select(F.col("fp").alias("_fp"), F.coalesce("component", "rep").alias("component_id"))
-    return found.join(known, F.col("fp") == F.col("_fp")).select("doc_id", "fp", "component_id")
+    linked = same.select(F.explode(F.array("node", "component")).alias("_f")).distinct()
+    shared = nodes.join(linked, F.col("fp") == F.col("_f"), "left").where("n > 1 or _f is not null")
+    classes = shared.join(same, F.col("fp") == F.col("node"), "left").select("fp", "n", "least", F.coalesce("component", "fp").alias("cls"))
+    ids = classes.groupBy(F.col("cls").alias("_c")).agg(F.min("least").alias("component_id"))
+    known, _ = write_shared(classes.join(ids, F.col("cls") == F.col("_c")).select(F.col("fp").alias("k"), "n", "cls", "component_id"), "components")
+    columns = found.columns
+    # a fingerprint that stands once and is linked to none is a component of its own
+    alone = F.col("found").isNull()
+    rows = look_up(found, "fp", known, columns)
+    return rows.select(*columns, F.when(alone, F.col("doc_id")).otherwise(F.col("found")["component_id"]).alias("component_id"), F.when(alone, F.col("fp")).otherwise(F.col("found")["cls"]).alias("cls"))
 
 
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
