@@ -7,9 +7,10 @@ target documents among the labelled, times all documents.
 
 Counts are summed within tasks before the shuffle; a model has BUCKETS numbers at most, whatever the input. The target
 is fitted on at most TARGET_LABELS labelled ids (those with the least hash). The k-th key is found by narrowing ranges
-of the keys with aggregates until at most NARROW keys are left; keys never reach the driver beyond those.
+of the keys, and of the ids where more keys are equal, with aggregates until at most NARROW rows are left; no more ever
+reach the driver.
 
-Null texts count as empty (weight 0). Equal keys are taken by id, equal ids together. Without labels of the target every
+Null texts count as empty (weight 0). Equal keys are taken by id, null ids first, equal ids together. Without labels of the target every
 weight is 0 and all documents are kept. An empty table gives no rows.
 """
 
@@ -125,8 +126,8 @@ def kth_key(keys: DataFrame, k: int) -> tuple[float, int | None] | None:
         if rows is not None:
             order = sorted(rows, key=lambda r: (-r[0], r[1] is not None, r[1] or 0))
             return tuple(order[k - above - 1]) if k > above else (np.nextafter(high, np.inf), None)
-        if low == high:  # more than NARROW equal keys: narrow the ids
-            return low, inside.agg(F.percentile_approx("doc_id", min(1.0, (k - above) / inside.count()), 1_000_000)).first()[0]
+        if low == high:  # more than NARROW equal keys
+            return low, kth_id(inside, k - above)
         width = (high - low) / 1024
         slice_ = F.least(F.floor((F.col("key") - low) / width), F.lit(1023))
         n = {r[0]: (r[1], r[2], r[3]) for r in inside.groupBy(slice_.alias("s")).agg(F.count("*"), F.min("key"), F.max("key")).collect()}
@@ -137,6 +138,24 @@ def kth_key(keys: DataFrame, k: int) -> tuple[float, int | None] | None:
             above += n[s][0]
 
 
+def kth_id(rows: DataFrame, k: int) -> int | None:
+    """The k-th smallest doc_id, null ids first (None: a null one)."""
+    nulls, low, high = rows.agg(F.count_if(F.col("doc_id").isNull()), F.min("doc_id"), F.max("doc_id")).first()
+    below = nulls  # ids < low
+    if k <= below:
+        return None
+    while low < high:
+        width = (high - low) // 1024 + 1
+        slice_ = F.floor((F.col("doc_id").cast("decimal(20,0)") - F.lit(low)) / F.lit(width)).cast("int")
+        n = {r[0]: (r[1], r[2], r[3]) for r in rows.where(F.col("doc_id").between(low, high)).groupBy(slice_.alias("s")).agg(F.count("*"), F.min("doc_id"), F.max("doc_id")).collect()}
+        for s in sorted(n):
+            if below + n[s][0] >= k:
+                low, high = n[s][1], n[s][2]
+                break
+            below += n[s][0]
+    return low
+
+
 def resample(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, id_col: str = "doc_id", text_col: str = "text", share: float | None = None) -> DataFrame:
     """doc_id, n_grams, log_weight, sample_key, kept for each row. share: of the rows to keep; by default that of the target among the labelled."""
     known = labels.where("doc_id is not null").groupBy("doc_id").agg(((F.min("quality") > 0) & (F.coalesce(F.max("toxic"), F.lit(0)) == 0)).alias("good"))
