@@ -2,7 +2,9 @@
 
 import random
 
-FIELDS = "doc_id long, text string, lang string, source string, n_chars long, words string, size string, h string, k string, n_words string, row string, spans string"
+#: Columns that operators use within.
+CLASHING = ("words", "size", "h", "k", "n_words", "row", "spans", "_w", "_t", "end", "epochs", "removed", "_left", "key", "target", "kept", "digest", "found", "own", "c0", "stratum", "fp")
+FIELDS = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in CLASHING)
 
 
 def prose(rng, n, alphabet="abcdefgh"):
@@ -36,7 +38,7 @@ def make_rows(seed=1):
 
 
 def write(spark, rows, folder, parts=3):
-    df = spark.createDataFrame([(i, t, lang, src, len(t) if t else None, *["clash"] * 7) for i, t, lang, src in rows], FIELDS)
+    df = spark.createDataFrame([(i, t, lang, src, len(t) if t else None, *["clash"] * len(CLASHING)) for i, t, lang, src in rows], FIELDS)
     df.repartition(parts).write.parquet(f"{folder}/documents.parquet")
     labels = [(i, 1 if t and "#" not in t else 0, 0) for i, t, _, _ in rows if i is not None and i % 2 == 0] + [(None, 1, 0), (5, None, None), (999, 1, None)]
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")

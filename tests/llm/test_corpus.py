@@ -93,6 +93,40 @@ def test_packing_is_a_round_trip(spark, rows, sf, segments):
         assert all(list(part) == ids[start : start + len(part)] and n == len(ids) for start, part, n in pieces[i])
 
 
+def test_every_limit_binds():
+    rng = random.Random(4)
+    items = [(n := int(rng.lognormvariate(4.7, 1.2)) + 1, n - n // 4) for _ in range(2000)]
+    full = packing.pack(items)
+    wide = {"segments": (packing.LENGTH, 10**6, packing.LOSS), "loss": (packing.LENGTH, packing.SEGMENTS, packing.LENGTH), "tokens": (2 * packing.LENGTH, packing.SEGMENTS, packing.LOSS)}
+    assert all(packing.pack(items, c) != full for c in wide.values())
+    assert max(map(len, full)) == packing.SEGMENTS and max(map(len, packing.pack(items, wide["segments"]))) > packing.SEGMENTS
+    # but for the segments, little is left free
+    assert sum(n for n, _ in items) > 0.98 * packing.LENGTH * len(packing.pack(items, wide["segments"]))
+
+
+def plain_first(items, capacity):
+    """The first sequence by the dot-product rule, for items that all fit whole."""
+    free, row, left = [capacity[0], capacity[2]], [], list(range(len(items)))
+    for _ in range(capacity[1]):
+        fits = [k for k in left if items[k][0] <= free[0] and items[k][1] <= free[1]]
+        if not fits:
+            break
+        k = max(fits, key=lambda k: items[k][0] * free[0] / capacity[0] ** 2 + items[k][1] * free[1] / capacity[2] ** 2)
+        left.remove(k)
+        row.append(items[k])
+        free = [free[0] - items[k][0], free[1] - items[k][1]]
+    return row
+
+
+def test_pack_follows_the_dot_product():
+    rng = random.Random(6)
+    for _ in range(60):
+        items = list({(n := rng.randint(60, 400), rng.randint(0, n)) for _ in range(9)})
+        want = plain_first(items, (1024, 100, 500))
+        got = [items[k] for k, start, n in packing.pack(items, (1024, 100, 500))[0] if not start and n == items[k][0]]
+        assert got[: len(want)] == want
+
+
 def test_packing_nothing(spark, empty):
     assert packing.op4_vector_packing(spark, empty).count() == 0
 
@@ -134,6 +168,28 @@ def test_mixing(spark, rows, sf):
     assert sorted(map(str, mixing.op7_source_mixing(spark, sf).collect())) == sorted(map(str, got))
 
 
+def test_mixing_takes_by_key_and_budget(spark, rows, sf):
+    """The selection recomputed: whole epochs, then by falling key until the budget is full."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    text = F.coalesce("text", F.lit(""))
+    keyed = docs.select("doc_id", "source", mixing.n_words(text).alias("n"), F.pow(mixing.uniform(F.col("doc_id")), 1 / mixing.quality_weight(text)).alias("u")).collect()
+    sizes = defaultdict(int)
+    for r in keyed:
+        sizes[r.source] += r.n
+    want = Counter()
+    for s, target in plain_targets(dict(sizes)).items():
+        epochs, room = divmod(round(target), sizes[s]) if sizes[s] else (0, 0)
+        for r in sorted((r for r in keyed if r.source == s), key=lambda r: (-r.u, r.doc_id is not None, r.doc_id or 0, r.n)):
+            take = min(r.n, room)
+            room -= take
+            want[r.doc_id, r.n] += epochs * r.n + take
+    got = Counter()
+    for r in mixing.op7_source_mixing(spark, sf).collect():
+        got[r.doc_id, r.size] += r.taken
+    # copies of one row share what is left at the cut evenly, rounded down
+    assert all(abs(got[x] - want[x]) <= 1 for x in want) and sum(got.values()) >= sum(want.values()) - 3
+
+
 def test_mixing_prefers_weight_and_caps(spark):
     rows = [(i, "a", 10, 1.0 if i % 2 else 0.25) for i in range(4000)] + [(10_000 + i, "b", 10, 1.0) for i in range(100)]
     docs = spark.createDataFrame(rows, "doc_id long, source string, n int, w double")
@@ -187,6 +243,34 @@ def test_binomial_tail(spark):
         assert abs(r.p - float(want)) < 1e-9 if r.k <= 0.03 * r.n else r.p == 1.0
 
 
+def test_every_stratum_has_its_own_cutoffs(spark):
+    """Many strata: none is pooled for being small, and none without labels has a guarantee of its own."""
+    rows = [(f"s{i:03}", k % 2 == 0, 100, 500, 0 if k % 2 == 0 else 90, 0, 0, 5) for i in range(400) for k in range(6000 if i == 399 else 2)]
+    schema = "stratum string, good boolean, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long"
+    held = spark.createDataFrame(rows, schema)
+    cutoffs = quality.write_shared(quality.calibrate(held), "cutoffs")[0]
+    got = {r.stratum: r.cutoffs for r in cutoffs.collect()}
+    assert len(got) == 400 and got["s399"][0] is not None and set(got["s000"]) == {None}
+    new = spark.createDataFrame([("s399", True, 100, 500, 90, 0, 0, 5), ("s000", True, 100, 500, 90, 0, 0, 5), ("new", True, 100, 500, 90, 0, 0, 5), (None, True, 100, 500, 90, 0, 0, 5)], schema)
+    assert {r.stratum: r.kept for r in quality.with_verdict(new, cutoffs).collect()} == {"s399": False, "s000": True, "new": True, None: True}
+
+
+def test_quality_query_where_the_method_rejects(spark):
+    """Against its SQL, at a scale at which cutoffs are certified."""
+    import duckdb
+
+    from cutline.llm.oracle import QUALITY
+
+    sf = "/root/testdata/sf0.1"
+    con = duckdb.connect()
+    for name in ("documents", "labels"):
+        con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{sf}/{name}.parquet'")
+    rel = con.sql(QUALITY)
+    got = quality.op8_risk_controlled_quality(spark, sf).select(*rel.columns).collect()
+    assert sum(not r.kept and not r.base_failed for r in got) > 100
+    assert sorted(map(tuple, got)) == sorted(rel.fetchall())
+
+
 def test_thresholds_are_certified(spark):
     rng = random.Random(6)
     rows = []
@@ -195,11 +279,12 @@ def test_thresholds_are_certified(spark):
             good = rng.random() < 0.8
             rows.append((stratum, good, 100, 500, 0 if good and rng.random() > 0.001 else rng.randint(30, 120), 0, 0, 5))
     held = spark.createDataFrame(rows, "stratum string, good boolean, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long")
-    got = quality.calibrate(held)
+    cutoffs = quality.write_shared(quality.calibrate(held), "cutoffs")[0]
+    got = {r.stratum: r.cutoffs for r in cutoffs.collect()}
     en = dict(zip(quality.RULES, got["en"], strict=True))
     assert en["symbols"] is not None and en["symbols"] < 0.5
     assert all(v is None for k, v in en.items() if k != "symbols") and set(got["de"]) == {None} and set(got[None]) == {None}
-    kept = held.withColumn("kept", quality.verdict(got, F.col("stratum")))
+    kept = quality.with_verdict(held, cutoffs)
     assert kept.where("good and not kept").count() <= 0.03 * 4800
     assert kept.where("not good and kept and stratum = 'en'").count() < 300
 
@@ -218,6 +303,56 @@ def test_kth_key(spark, monkeypatch):
     assert importance.kth_key(df, 900) is None
 
 
+def test_kth_id_among_equal_keys(spark, monkeypatch):
+    monkeypatch.setattr(importance, "NARROW", 10)
+    rng = random.Random(10)
+    ids = [None] * 30 + [rng.choice([rng.randrange(50), rng.randrange(1 << 62), -(1 << 60)]) for _ in range(300)]
+    df = spark.createDataFrame([(1.0, i) for i in ids], "key double, doc_id long")
+    order = sorted(ids, key=lambda i: (i is not None, i or 0))
+    for k in (1, 30, 31, 100, 200, 329):
+        assert importance.kth_key(df, k) == (1.0, order[k - 1]), k
+
+
+def plain_log_weights(texts, good, buckets=importance.BUCKETS):
+    """By the docstring: hashed words and pairs, two smoothed models, sums of log ratios."""
+    import xxhash
+
+    half = buckets // 2
+
+    def grams(t):
+        h = [xxhash.xxh3_64_intdigest(w) >> 1 for w in (t or "").lower().encode().split()]
+        signed = lambda x: (x + (1 << 63)) % (1 << 64) - (1 << 63)
+        pairs = [signed((signed(a * 3) ^ (b >> 7)) * 0x2545F4914F6CDD1D) >> 20 for a, b in zip(h, h[1:])]
+        return [x % half for x in h] + [half + x % half for x in pairs]
+
+    raw, target = Counter(), Counter()
+    for i, t in texts:
+        raw.update(grams(t))
+        if i in good:
+            target.update(grams(t))
+    total = {part: (sum(n for b, n in c.items() if (b >= half) == part) + half * importance.SMOOTHING) for part in (False, True) for c in [raw]}
+    wanted = {part: (sum(n for b, n in target.items() if (b >= half) == part) + half * importance.SMOOTHING) for part in (False, True)}
+    ratio = lambda b: math.log((target[b] + importance.SMOOTHING) / wanted[b >= half]) - math.log((raw[b] + importance.SMOOTHING) / total[b >= half])
+    return [sum(map(ratio, grams(t))) for _, t in texts]
+
+
+def test_resampling_against_brute_force(spark, rows, sf):
+    got = {}
+    for r in importance.op10_importance_resampling(spark, sf).collect():
+        got.setdefault(r.doc_id, []).append(r)
+    labels = spark.read.parquet(f"{sf}/labels.parquet").where("doc_id is not null").collect()
+    good = {r.doc_id for r in labels if r.quality and not r.toxic}
+    want = plain_log_weights([(i, t) for i, t, *_ in rows], good)
+    noise = {r.doc_id: r.g for r in spark.createDataFrame([(i,) for i in {r[0] for r in rows}], "doc_id long").withColumn("g", importance.gumbel(F.col("doc_id"))).collect()}
+    for (i, t, *_), w in zip(rows, want, strict=True):
+        assert any(abs(r.log_weight - w) < 1e-6 * max(1, abs(w)) and abs(r.sample_key - w - noise[i]) < 1e-6 * max(1, abs(w)) for r in got[i]), i
+    everything = sorted((r for rs in got.values() for r in rs), key=lambda r: (-r.sample_key, r.doc_id is not None, r.doc_id or 0))
+    k = round(len(good) / len({r.doc_id for r in labels}) * len(rows))
+    end = everything[k - 1]
+    assert {str(r) for r in everything[:k]} <= {str(r) for r in everything if r.kept}
+    assert all((r.sample_key, r.doc_id) == (end.sample_key, end.doc_id) for r in everything[k:] if r.kept)
+
+
 def test_resampling_separates_held_out(spark, tmp_path):
     rng = random.Random(12)
     good = [" ".join(rng.choice("sun moon star sky light dawn dusk night".split()) for _ in range(60)) for _ in range(200)]
@@ -276,6 +411,36 @@ def test_pipeline(spark, tmp_path):
     assert corpus_pipeline.run(spark, sf).count() > 0
 
 
+def test_pipeline_on_any_rows(spark, rows, sf, empty, tmp_path):
+    """Nulls, ties, repeated rows, clashing column names, and nothing at all."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    columns = docs.columns
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, sf).write.parquet(f"{tmp_path}/{k}")
+        docs = spark.read.parquet(f"{tmp_path}/{k}")
+        if k < 4:
+            assert docs.columns == columns, name
+            got = docs.collect()
+            assert got and all(r[c] == "clash" for r in got for c in columns[5:]), name
+            assert all(r.n_chars == len(r.text) for r in got if r.text), name
+    assert docs.count() > 0
+    assert corpus_pipeline.run(spark, empty).count() == 0
+
+
+def test_one_of_each_keeps_every_text(spark):
+    import corpus_pipeline
+
+    rng = random.Random(21)
+    a, b, c, d = (prose(rng, 150, "abcdefghijklmnop") for _ in range(4))
+    rows = [(5, a), (9, a), (5, b), (3, b), (7, c), (7, c), (7, d), (None, a), (None, d), (None, d + " zz"), (None, None), (None, ""), (4, None), (4, "")]
+    rows += [(None, "lone " * 3 + x) for x in ("", "")]
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((r.doc_id, r.text or "") for r in corpus_pipeline.keep_one_of_each(spark, docs, "").collect()), key=str)
+    assert got == sorted([(5, a), (3, b), (7, c), (7, d), (4, ""), (None, "lone " * 3)], key=str)
+
+
 def test_packing_under_a_loss_limit(spark):
     docs = spark.createDataFrame([(i, "one two three four five six " * (5 + i % 40), 20 if i % 3 else 25 + i % 40) for i in range(200)], "doc_id long, text string, lossy int")
     got = packing.pack_texts(docs.coalesce(1), packing.tokenizer_path(), loss_col="lossy", loss_tokens=100).collect()

@@ -166,6 +166,22 @@ def test_line_dedup(spark, line_rows):
             assert (kept[i] or "") == left
 
 
+@pytest.mark.parametrize("hot", [3, 10_000])
+def test_frequent_lines_and_segments(spark, monkeypatch, hot):
+    """Several superblocks of one segment, and more known lines than are broadcast."""
+    from cutline.llm import common
+
+    monkeypatch.setattr(common, "HOT_KEYS", hot)
+    monkeypatch.setattr(lines, "BLOCK", 2)
+    monkeypatch.setattr(lines, "SUPER", 3)
+    rng = random.Random(17)
+    head = "one and the same beginning of a line "
+    own = [head + "".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(120)]
+    rows = [(i, f"{rng.choice(own)}\n{rng.choice(own)}\n\n \n{head * 2}", None, None) for i in range(150)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, a string, b string")
+    assert {r.doc_id: set(r.removed) for r in lines.removed_lines(df).collect()} == plain_removed(rows)
+
+
 def test_line_dedup_query(spark, sf, empty, rows):
     assert lines.op5_line_dedup(spark, sf).count() == len({r[0] for r in rows})
     assert lines.op5_line_dedup(spark, empty).count() == 0
@@ -230,6 +246,10 @@ def plain_simhash(t):
 @pytest.mark.parametrize("hot", [False, True])
 def test_simhash_query(spark, rows, sf, monkeypatch, hot):
     if hot:
+        from cutline.llm import common
+
+        monkeypatch.setattr(common, "HOT_KEYS", 1)
+        monkeypatch.setattr(sim, "ROWS", 3)
         monkeypatch.setattr(sim, "HOT", 3)
         monkeypatch.setattr(sim, "SPLIT", 2)
     got = {(r.doc_id, r.fingerprint): r.component_id for r in sim.op9_simhash_near_dedup(spark, sf).collect()}
@@ -249,7 +269,7 @@ def test_close_pairs_loses_none():
     for groups in (1, 5, 300):
         g = np.sort(rng.integers(0, groups, len(fp)))
         for radius in (4, 5, 7):
-            a, b = sim.close_pairs(fp, g, radius)
+            a, b = map(np.concatenate, zip(*sim.close_pairs(fp, g, radius), strict=True))
             i, j = np.triu_indices(len(fp), 1)
             ok = (g[i] == g[j]) & (np.bitwise_count(fp[i] ^ fp[j]) <= radius)
             assert sorted(zip(a.tolist(), b.tolist(), strict=True)) == sorted(zip(i[ok].tolist(), j[ok].tolist(), strict=True))
@@ -264,3 +284,14 @@ def test_components(spark):
     pairs = {(at[a], at[b]) for a, b in links} | {(at[b], at[a]) for a, b in links}
     label = classes(len(nodes), lambda a, b: (a, b) in pairs)
     assert got == {nodes[k]: nodes[c] for k, c in enumerate(label) if k != c}
+
+
+def test_dense_groups_hold_few_pairs():
+    """8.4 million pairs within the radius; what is held of them at a time is bounded."""
+    rng = np.random.default_rng(5)
+    fp = np.unique(np.uint64(0x1234567) ^ (np.uint64(1) << rng.integers(0, 64, 9000, dtype=np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 9000, dtype=np.uint64)))
+    label, most, total = np.arange(len(fp)), 0, 0
+    for a, b in sim.close_pairs(fp, np.zeros(len(fp), np.int64)):
+        most, total = max(most, len(a)), total + len(a)
+        label = sim.forest(label, a, b)
+    assert total > 1_000_000 and most <= 64 * sim.ROWS and not label.any()

@@ -266,3 +266,83 @@ def test_wrapped_and_nested_keys_are_confirmed():
 def test_wrapped_scan_is_linear():
     for t in ("MIIE" * 16 + "\n", "MIIBAAAA\n", "b3BlbnNzaC1rZXktdjEA\n", "LS0tLS1CRUdJT\n", '"' * 9 + "MII", "-----BEGIN PRIVATE KEY-----\nA: b\n"):
         secrets.confirmed_spans(t * (200_000 // len(t)))
+
+
+def test_leading_zeros_of_any_length():
+    for t in ("1.2.3." + "0" * 6000, "0" * 6000 + "7.2.3.4", "0" * 5000 + "256.1.1.1"):
+        assert [x[2] for x in pii.base_spans(t)] == (["ip"] if "256" not in t else [])
+
+
+def plain_policy(rows):
+    """Disclosure by its definition, over (row, text)."""
+    import math
+
+    n, near, holds, docs = len(rows), {}, {}, {}
+    for k, t in rows:
+        for w in {w.lower() for w in pii.TERM.findall(t)}:
+            docs[w] = docs.get(w, 0) + 1
+        spans = pii.base_spans(t)
+        free = [(a, w) for a, b, w in pii.free_terms(t, spans)]
+        for s in spans:
+            before = [w for a, w in free if a < s[0]][-pii.WINDOW :]
+            after = [w for a, w in free if a >= s[0]][: pii.WINDOW]
+            for w in before + after:
+                near.setdefault((pii.entity(t, s), w), set()).add((k, tuple(before + after)))
+                holds.setdefault(pii.entity(t, s), set()).add(k)
+    out = {}
+    for (c, w), seen in near.items():
+        together = len({k for k, _ in seen})
+        share = together / docs[w]
+        if together < 2 or len({x for _, x in seen}) < 2:
+            m, z = docs[w], pii.Z
+            share = (share + z * z / (2 * m) - z * math.sqrt(share * (1 - share) / m + z * z / (4 * m * m))) / (1 + z * z / m)
+        tells = math.log(n / len(holds[c]))
+        d = math.log(n * share / len(holds[c])) / tells if tells else 0
+        if d >= pii.GENERALISE:
+            out[c, w] = "remove" if d >= pii.REMOVE else "generalise"
+    return out
+
+
+def test_added_spans_against_brute_force(spark):
+    rng = random.Random(31)
+    words = [f"w{k}" for k in range(80)]
+    rows = []
+    for k in range(300):
+        t = [rng.choice(words) for _ in range(rng.randint(0, 40))]
+        for _ in range(rng.choice([0, 0, 1, 3])):
+            c = rng.randrange(8)
+            t.insert(rng.randint(0, len(t)), f"{rng.choice(['Zoe', 'İda', 'Bo'])}{c} mail a{c}@b.example")
+        rows.append((k, " ".join(t)))
+    rows += [(300 + k, "\n".join(f"mail to p{i}@q.example now name{i}" for i in range(400))) for k in range(2)]
+    policy = plain_policy(rows)
+    assert len(set(policy.values())) == 2
+    got = {r.doc_id: r.spans for r in pii.sanitisation_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, t in rows:
+        spans = pii.base_spans(t)
+        own = {pii.entity(t, s) for s in spans}
+        want = list(spans)
+        for a, b, w in pii.free_terms(t, spans):
+            kinds = [policy[c, w] for c in own if (c, w) in policy]
+            want += [(a, b, max(kinds))] if kinds else []
+        assert [(s.start, s.end, s.kind) for s in got[k]] == sorted(want, key=lambda s: (s[0], pii.KINDS.index(s[2]), s[1])), k
+
+
+def test_sanitise_keeps_repeated_rows_apart(spark):
+    rows = [(1, "write to a@b.example"), (1, "write to a@b.example"), (1, "call +1 499 555 6503"), (None, "ip 1.2.3.4 here"), (2, None), (3, "nothing")]
+    got = sorted(r.text for r in pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert len(got) == 4 and not any("@" in t or "1.2.3.4" in t or "6503" in t for t in got)
+
+
+def test_more_key_encodings():
+    num = lambda n: der(2, b"\x01" + b"\x55" * (n - 1))
+    multi = der(0x30, der(2, b"\1"), *[num(n) for n in (128, 3, 128, 43, 43, 43, 43, 43)], der(0x30, der(0x30, num(43), num(43), num(43))))
+    dsa = der(0x30, der(2, b"\0"), *[num(n) for n in (128, 20, 128, 128, 20)])
+    assert secrets.private_key(multi) and secrets.private_key(dsa)
+    assert not secrets.private_key(der(0x30, der(2, b"\0"), *[der(2, b"\1")] * 8))
+    token = lambda head: ".".join(base64.urlsafe_b64encode(x).decode().rstrip("=") for x in (head, b'{"sub":"x"}', b"signature"))
+    for head in (b'{"alg":"HS256"}', b'{ "alg": "HS256" }', b'{\n  "alg": "none"}', b'{\r\n"alg":"RS256"}'):
+        t = f"bearer {token(head)} end"
+        assert [t[a:b] for a, b, k in secrets.confirmed_spans(t) if k == "token"] == [token(head)]
+    label = "A" * 60 + " PRIVATE KEY"
+    pem = f"-----BEGIN {label}-----\n{base64.b64encode(dsa).decode()}\n-----END {label}-----"
+    assert [k for *_, k in secrets.confirmed_spans(pem)][:1] == ["pem"]
