@@ -64,27 +64,30 @@ class Encoder:
 
     def _parts(self, chunk: str) -> tuple[str, ...]:
         """The chunk's parts that are encoded apart, if it is made of words; else the chunk."""
-        if chunk[chunk[0] == " " :].isalpha():
-            return (chunk,)
         m = WORDS.fullmatch(chunk)
         if m is None or not (m[1].lstrip(" ").isalpha() and (m[4] or "a").isalpha()):
             return (chunk,)
-        return tuple(g for g in m.groups() if g)
+        return tuple(filter(None, m.groups()))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [None if ODD.search(t) else t.replace(" ", "\0 ").split("\0") if "\0" not in t else None for t in texts]
         known = self.known
-        new = {c: self._parts(c) for c in {c for chunks in cut if chunks for c in chunks}.difference(known)}
-        lone = list({p for parts in new.values() for p in parts if p not in known})
+        new = set().union(*filter(None, cut)).difference(known)
+        # one word, or a sign before it, is its own only part
+        parted = {c: parts for c in new if not c[1:].isalpha() and len(parts := self._parts(c)) > 1}
+        lone = new.difference(parted)
+        for parts in parted.values():
+            lone.update(parts)
+        lone = list(lone.difference(known))
         full = len(known) >= self.most
-        fresh = dict(zip(lone, self._ids(lone), strict=True))
-        known.update(fresh)
-        fresh |= (joined := {c: b"".join([known[p] for p in parts]) for c, parts in new.items() if len(parts) > 1})
-        known.update(joined)
+        known.update(zip(lone, self._ids(lone), strict=True))
+        for c, parts in parted.items():
+            known[c] = b"".join([known[p] for p in parts])
         whole = iter(self._ids([t for t, chunks in zip(texts, cut, strict=True) if chunks is None]))
         out = [next(whole) if chunks is None else b"".join(map(known.__getitem__, chunks)) for chunks in cut]
-        for c in fresh if full else [c for c in fresh if len(c) > 48 or "\n" in c]:
-            del known[c]
+        for c in (*lone, *parted):
+            if full or len(c) > 48 or "\n" in c:
+                del known[c]
         return out
 
 
