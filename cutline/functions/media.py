@@ -36,6 +36,11 @@ def bitrate_budget(target_mb: Column, seconds: Column, audio_kbps: Column) -> di
     }
 
 
+def frame_count(fps: Column, seconds: Column) -> Column:
+    """Estimated number of frames, cut off."""
+    return (fps * seconds).cast("long")
+
+
 def luma(r: Column, g: Column, b: Column) -> Column:
     return 0.299 * r + 0.587 * g + 0.114 * b
 

@@ -18,6 +18,7 @@ ERRORS = (
     ("vkWaitForFences failed", "Vulkan device lost"),
     ("No valid AI model has been selected", "No valid AI model selected"),
 )
+#: What a log says at the end, when a GPU encoder fails, and when nothing happened.
 COMPLETION = r"(?i)Done interpolating|Interpolation done|Frame interpolation (?:took|done)|Output video|Encoding finished|\[Done\]"
 GPU_PARTS = ("nvenc", "openencodesessionex", "cuda", "_amf", "qsv")
 GPU_FAULTS = ("openencodesessionex failed", "no capable devices", "cannot load", "error while opening encoder", "failed to initialise", "failed to initialize", "device", "not found", "function not implemented", "invalid argument")
@@ -30,6 +31,28 @@ def fraction(x: Column) -> Column:
     return F.try_divide(F.get(parts, 0).try_cast("double"), F.get(parts, 1).try_cast("double"))
 
 
+def dimensions(x: Column) -> tuple[Column, Column]:
+    """Width and height of "WxH"; null if it isn't of that form."""
+    ok = x.rlike(r"^\s*\d+x\d+\s*$")
+    w, h = (F.when(ok, F.trim(F.get(F.split(x, "x"), i)).cast("int")) for i in (0, 1))
+    return w, h
+
+
+def duration_ms(seconds: Column) -> Column:
+    """A text of seconds as whole milliseconds, cut off."""
+    return (seconds.try_cast("double") * 1000).cast("long")
+
+
+def out_time_us(line: Column) -> Column:
+    """The number of a line of progress; null for other lines."""
+    return F.nullif(F.regexp_extract(line, r"^out_time_ms=(\d+)", 1), F.lit("")).cast("long")
+
+
+def seconds_left(elapsed: Column, percent: Column) -> Column:
+    """What is left at the speed so far; 0 before the start and after the end."""
+    return F.when((percent > 0) & (percent < 100) & (elapsed > 0), elapsed / percent * (100 - percent)).otherwise(0.0)
+
+
 def plain_seconds(us: Column) -> Column:
     """Microseconds as seconds, without trailing zeros."""
     whole, part = F.floor(us / 1_000_000), us % 1_000_000

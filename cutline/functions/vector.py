@@ -33,7 +33,7 @@ def average_pool(pixels: Column, height: int, width: int, block: int) -> Column:
     """Means of block x block cells; rows and columns beyond a multiple of the block are cut off."""
     h, w = height // block, width // block
     cell = lambda k: [(F.floor(k / w) * block + r) * width + (k % w) * block + c for r in range(block) for c in range(block)]
-    return F.transform(grid(h, w), lambda k: sum((F.get(pixels, at.cast("int")).cast("double") for at in cell(k)), F.lit(0.0)) / (block * block))
+    return bound(pixels, lambda p: F.transform(grid(h, w), lambda k: sum((F.get(p, at.cast("int")).cast("double") for at in cell(k)), F.lit(0.0)) / (block * block)))
 
 
 def space_to_depth(x: Column, height: int, width: int, f: int) -> Column:
@@ -47,7 +47,7 @@ def space_to_depth(x: Column, height: int, width: int, f: int) -> Column:
         row, col = F.floor(rest / w), rest % w
         return (row * f + F.floor(ch / f)) * width + col * f + ch % f
 
-    return F.transform(grid(height, width), lambda k: F.get(x, at(k).cast("int")))
+    return bound(x, lambda p: F.transform(grid(height, width), lambda k: F.get(p, at(k).cast("int"))))
 
 
 def depth_to_space(x: Column, height: int, width: int, f: int) -> Column:
@@ -59,7 +59,7 @@ def depth_to_space(x: Column, height: int, width: int, f: int) -> Column:
         ch = (row % f) * f + col % f
         return ch * (h * w) + F.floor(row / f) * w + F.floor(col / f)
 
-    return F.transform(grid(height, width), lambda k: F.get(x, at(k).cast("int")))
+    return bound(x, lambda p: F.transform(grid(height, width), lambda k: F.get(p, at(k).cast("int"))))
 
 
 def halves(x: Column, even_odd: bool = False) -> tuple[Column, Column]:
@@ -70,6 +70,15 @@ def halves(x: Column, even_odd: bool = False) -> tuple[Column, Column]:
     return F.slice(x, 1, n), F.slice(x, n + 1, F.size(x) - n)
 
 
+def gaussian_sample(noise: Column, mean: Column, log_sd: Column) -> Column:
+    return mean + F.exp(log_sd) * noise
+
+
+def reduce_rows(x: Column, height: int, width: int, mean: bool = False) -> Column:
+    """Sum or mean of each row."""
+    return bound(x, lambda p: F.transform(F.sequence(F.lit(0), F.lit(height - 1)), lambda r: total(F.slice(p, r * width + 1, width)) / (width if mean else 1)))
+
+
 def gaussian_log_density(x: Column, mean: Column, log_sd: Column) -> Column:
     import math
 
@@ -101,24 +110,3 @@ def bilinear(pixels: Column, height: int, width: int, x: Column, y: Column, bord
         return F.when(ok, F.get(pixels, F.when(ok, r * width + c).otherwise(0).cast("int")).cast("double")).otherwise(0.0)
 
     return px(y0, x0) * (1 - fx) * (1 - fy) + px(y0, x0 + 1) * fx * (1 - fy) + px(y0 + 1, x0) * (1 - fx) * fy + px(y0 + 1, x0 + 1) * fx * fy
-
-
-def rotate_quarter(pixels: Column, height: int, width: int, turns: int) -> Column:
-    """Turned counter-clockwise by quarters; the size is swapped for odd turns."""
-    turns %= 4
-    if turns == 0:
-        return pixels
-    if turns == 2:
-        return F.reverse(pixels)
-    if turns == 1:
-        return F.transform(grid(width, height), lambda k: F.get(pixels, ((k % height) * width + (width - 1 - F.floor(k / height))).cast("int")))
-    return F.transform(grid(width, height), lambda k: F.get(pixels, ((height - 1 - k % height) * width + F.floor(k / height)).cast("int")))
-
-
-def flip(pixels: Column, height: int, width: int, horizontal: bool) -> Column:
-    at = (lambda k: F.floor(k / width) * width + (width - 1 - k % width)) if horizontal else (lambda k: (height - 1 - F.floor(k / width)) * width + k % width)
-    return F.transform(grid(height, width), lambda k: F.get(pixels, at(k).cast("int")))
-
-
-def crop(pixels: Column, width: int, x: int, y: int, w: int, h: int) -> Column:
-    return F.transform(grid(h, w), lambda k: F.get(pixels, ((F.floor(k / w) + y) * width + k % w + x).cast("int")))

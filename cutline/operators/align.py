@@ -18,15 +18,13 @@ def neighbours(points: DataFrame, keys: DataFrame, id_cols: tuple[str, ...]) ->
     """
     none = [F.lit(None).cast(points.schema[c].dataType).alias(c) for c in id_cols]
     rows = points.select("video_id", *id_cols, "t_us", F.lit(None).cast("long").alias("k")).unionByName(keys.distinct().select("video_id", *none, "t_us", F.col("t_us").alias("k")))
-    w = W.partitionBy("video_id").orderBy("t_us")
-    up, down = w.rangeBetween(W.unboundedPreceding, 0), w.rangeBetween(0, W.unboundedFollowing)
-    strict_up, strict_down = w.rangeBetween(W.unboundedPreceding, -1), w.rangeBetween(1, W.unboundedFollowing)
-    rows = (
-        rows.withColumn("k_at_or_before", F.max("k").over(up))
-        .withColumn("k_before", F.max("k").over(strict_up))
-        .withColumn("k_at_or_after", F.min("k").over(down))
-        .withColumn("k_after", F.min("k").over(strict_down))
-    )
+    w = W.partitionBy("video_id")
+    up, down = w.orderBy("t_us"), w.orderBy(F.desc("t_us"))
+    # frames that only grow: going up for the legs before, going down for those after
+    until = lambda o: o.rangeBetween(W.unboundedPreceding, 0)
+    short_of = lambda o: o.rangeBetween(W.unboundedPreceding, -1)
+    rows = rows.withColumn("k_at_or_before", F.max("k").over(until(up))).withColumn("k_before", F.max("k").over(short_of(up)))
+    rows = rows.withColumn("k_at_or_after", F.min("k").over(until(down))).withColumn("k_after", F.min("k").over(short_of(down)))
     return rows.where("k is null").drop("k")
 
 

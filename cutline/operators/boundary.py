@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import chain, groupby, islice
+from operator import itemgetter
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -15,6 +17,39 @@ def by_video(*order: str):
     return W.partitionBy("video_id").orderBy(*order)
 
 
+def per_video(rows: DataFrame, order: list[str], schema: str, walk: Callable[[Iterator[tuple]], Iterator[tuple]]) -> DataFrame:
+    """walk over each video's rows (tuples of the columns, video_id first) in their order. One shuffle and a sort that spills; a task holds a batch of rows and what walk holds, so a video may be of any length."""
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    out = to_arrow_schema(_parse_datatype_string(schema))
+
+    def task(batches):
+        import pyarrow as pa
+
+        each = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        made = (x for _, video in groupby(each, key=itemgetter(0)) for x in walk(video))
+        while part := list(islice(made, 8192)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part, strict=True), out, strict=True)], schema=out)
+
+    rows = rows.select("video_id", *[c for c in rows.columns if c != "video_id"])
+    return rows.repartition("video_id").sortWithinPartitions("video_id", *order).mapInArrow(task, schema)
+
+
+def spaced(least: int, at: int = 1) -> Callable[[Iterator[tuple]], Iterator[tuple]]:
+    """Rows whose value at place `at` is `least` or more above that of the last one kept; the first is kept."""
+
+    def walk(rows: Iterator[tuple]) -> Iterator[tuple]:
+        last = None
+        for r in rows:
+            if last is None or r[at] - last >= least:
+                last = r[at]
+                yield r
+
+    return walk
+
+
 def runs(df: DataFrame, flag: Column, order: str = "i", key: str = "video_id") -> DataFrame:
     """df with `flag` and `run`, which grows by one wherever the flag changes along the order. One shuffle by key; windows that follow on the same key share it."""
     w = W.partitionBy(key).orderBy(order)
@@ -52,43 +87,14 @@ def bounds_to_scenes(cuts: DataFrame, totals: DataFrame) -> DataFrame:
 
 
 def greedy_merge(bounds: DataFrame, least_us: int, col: str = "t_us") -> DataFrame:
-    """Keeps a boundary if it is at least `least_us` after the last one kept; two boundaries or fewer stay as they are.
+    """Keeps a boundary if it is at least `least_us` after the last one kept; two boundaries or fewer stay as they are."""
+    keep = spaced(least_us)
 
-    A fold over each video's sorted boundaries; for videos with very many use greedy_merge_stream.
-    """
-    kept = F.aggregate(
-        F.slice("ts", 2, F.size("ts")),
-        F.struct(F.slice("ts", 1, 1).alias("kept"), F.element_at("ts", 1).alias("last")),
-        lambda s, t: F.when(t - s["last"] >= least_us, F.struct(F.concat(s["kept"], F.array(t)).alias("kept"), t.alias("last"))).otherwise(s),
-        lambda s: s["kept"],
-    )
-    out = bounds.groupBy("video_id").agg(F.array_sort(F.collect_list(col)).alias("ts"))
-    return out.select("video_id", F.explode(F.when(F.size("ts") <= 2, F.col("ts")).otherwise(kept)).alias(col))
-
-
-def greedy_merge_stream(bounds: DataFrame, least_us: int, col: str = "t_us") -> DataFrame:
-    """greedy_merge in one pass over sorted partitions, with two rows of state: for videos of any length."""
-
-    def fold(batches: Iterator):
-        import pyarrow as pa
-
-        video, last, waits = object(), None, []
+    def walk(rows: Iterator[tuple]) -> Iterator[tuple]:
+        head = list(islice(rows, 3))
+        return iter(head) if len(head) <= 2 else keep(chain(head, rows))
 
-        def put(out, v, t):
-            out[0].append(v)
-            out[1].append(t)
-
-        for batch in batches:
-            out: tuple[list, list] = ([], [])
-            for v, t, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if v != video or n <= 2 or t - last >= least_us:
-                    put(out, v, t)
-                    video, last = v, t
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["video_id", col])
-
-    n = F.count("*").over(W.partitionBy("video_id"))
-    rows = bounds.select(F.col("video_id").cast("long"), F.col(col).cast("long"), n.cast("long").alias("n"))
-    return rows.repartition("video_id").sortWithinPartitions("video_id", col).mapInArrow(fold, f"video_id long, {col} long")
+    return per_video(bounds.select("video_id", F.col(col).cast("long")), [col], f"video_id {dict(bounds.dtypes)['video_id']}, {col} long", walk)
 
 
 def keyframe_cuts(keys: DataFrame, least_us: int) -> DataFrame:
@@ -123,15 +129,21 @@ def join_windows(frames: DataFrame, windows: DataFrame, bucket_us: int) -> DataF
     return frames.withColumn("bucket", F.floor(F.col("t_us") / bucket_us)).join(spread, ["video_id", "bucket"]).where(F.col("t_us").between(F.col("s_us"), F.col("e_us"))).drop("bucket")
 
 
+def frames_in(frames: DataFrame, ranges: DataFrame, bucket_us: int) -> DataFrame:
+    """Frames of each range (start_us, end_us), the end excluded."""
+    return join_windows(frames, ranges.withColumnsRenamed({"start_us": "s_us", "end_us": "e_us"}), bucket_us).where("t_us < e_us").withColumnsRenamed({"s_us": "start_us", "e_us": "end_us"})
+
+
 def window_cuts(scanned: DataFrame, dissimilarity: Column, threshold: float, least_us: int) -> DataFrame:
     """Cuts where neighbouring usable frames of a window differ by more than the threshold; cuts of all windows are united, 0 is added, and short scenes merged.
 
     scanned (video_id, window_id, t_us, feature, usable); dissimilarity: an expression over feature and `before`.
     """
     w = W.partitionBy("video_id", "window_id").orderBy("t_us")
-    cuts = scanned.where("usable").withColumn("before", F.lag("feature").over(w)).where(F.col("before").isNotNull() & (dissimilarity > threshold)).select("video_id", "t_us").distinct()
-    zero = cuts.select("video_id", F.lit(0).cast("long").alias("t_us")).distinct()
-    return greedy_merge(zero.unionByName(cuts).distinct(), least_us).where("t_us > 0")
+    cuts = scanned.where("usable").withColumn("before", F.lag("feature").over(w)).where(F.col("before").isNotNull() & (dissimilarity > threshold))
+    # 0 goes along with each cut, so that one distinct does for both
+    both = cuts.select("video_id", F.explode(F.array("t_us", F.lit(0).cast("long"))).alias("t_us")).distinct()
+    return greedy_merge(both, least_us).where("t_us > 0")
 
 
 def sliding_windows(frames: DataFrame, window: int = 100, stride: int = 50) -> DataFrame:
@@ -177,20 +189,23 @@ def segment_batches(cuts: DataFrame, size: int = 1500) -> DataFrame:
 def merge_similar(scenes: DataFrame, pairs: DataFrame, reindex: bool = False) -> DataFrame:
     """Greedy merge by position: a scene that starts pairs takes the nearest later scene that it is paired with, and all in between; the next scene after that is looked at next. Scenes that aren't merged keep the index they had, unless reindex.
 
-    scenes (video_id, scene_index, start_us, end_us), pairs (video_id, a, b) -> video_id, scene_index, start_us, end_us. A fold over each video's scenes.
+    scenes (video_id, scene_index, start_us, end_us), pairs (video_id, a, b) -> video_id, scene_index, start_us, end_us.
     """
     partner = pairs.groupBy("video_id", F.col("a").alias("pos")).agg(F.min(F.when(F.col("b") > F.col("a"), F.col("b"))).alias("to"))
-    rows = scenes.withColumn("pos", (F.row_number().over(by_video("scene_index")) - 1).cast("long")).join(partner, ["video_id", "pos"], "left")
-    listed = rows.groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct("pos", "scene_index", "start_us", "end_us", "to"))).alias("ss"))
-    empty = F.array().cast("array<struct<scene_index:bigint,start_us:bigint,end_us:bigint>>")
-
-    def step(s, x):
-        ok = x["to"].isNotNull() & (x["to"] < F.size("ss"))
-        to = F.when(ok, x["to"]).otherwise(x["pos"]).cast("int")
-        made = F.struct(F.when(ok, F.size(s["out"]).cast("long")).otherwise(x["scene_index"]).alias("scene_index"), x["start_us"].alias("start_us"), F.get("ss", to)["end_us"].alias("end_us"))
-        return F.when(x["pos"] < s["next"], s).otherwise(F.struct(F.concat(s["out"], F.array(made)).alias("out"), (to + 1).cast("long").alias("next")))
-
-    out = F.aggregate("ss", F.struct(empty.alias("out"), F.lit(0).cast("long").alias("next")), step, lambda s: s["out"])
-    merged = listed.select("video_id", F.posexplode(out).alias("p", "s"))
-    index = F.col("p").cast("long") if reindex else F.col("s")["scene_index"]
-    return merged.select("video_id", index.alias("scene_index"), F.col("s")["start_us"].alias("start_us"), F.col("s")["end_us"].alias("end_us"))
+    n = F.count("*").over(W.partitionBy("video_id"))
+    rows = scenes.withColumn("pos", (F.row_number().over(by_video("scene_index")) - 1).cast("long")).withColumn("n", n).join(partner, ["video_id", "pos"], "left")
+
+    def walk(ss: Iterator[tuple]) -> Iterator[tuple]:
+        made, start, until = 0, None, None
+        for video, pos, index, start_us, end_us, to, n in ss:
+            if until is None and to is not None and to < n:
+                start, until = start_us, to
+            if until is None:
+                yield video, made if reindex else index, start_us, end_us
+                made += 1
+            elif pos == until:
+                yield video, made, start, end_us
+                made, until = made + 1, None
+
+    kept = rows.select("video_id", "pos", *[F.col(c).cast("long") for c in ("scene_index", "start_us", "end_us", "to", "n")])
+    return per_video(kept, ["pos"], f"video_id {dict(scenes.dtypes)['video_id']}, scene_index long, start_us long, end_us long", walk)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .boundary import by_video
+from .boundary import by_video, per_video, spaced
 
 
 def monotone(events: DataFrame, value: str, order: list[str]) -> DataFrame:
@@ -16,11 +18,17 @@ def monotone(events: DataFrame, value: str, order: list[str]) -> DataFrame:
 
 
 def throttled(events: DataFrame, least: int, order: str, tie: str) -> DataFrame:
-    """Events at least `least` after the last one passed on; the first is. A fold over each key's sorted events."""
-    listed = events.groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct(order, tie))).alias("es"))
-    none = F.slice("es", 1, 0)
-    fold = F.aggregate("es", F.struct(none.alias("out"), F.lit(None).cast("long").alias("last")), lambda s, e: F.when(s["last"].isNull() | (e[order] - s["last"] >= least), F.struct(F.concat(s["out"], F.array(e)).alias("out"), e[order].alias("last"))).otherwise(s), lambda s: s["out"])
-    return listed.select("video_id", F.inline(fold))
+    """Events at least `least` after the last one passed on; the first is."""
+    kinds = dict(events.dtypes)
+    return per_video(events.select("video_id", order, tie), [order, tie], f"video_id {kinds['video_id']}, {order} {kinds[order]}, {tie} {kinds[tie]}", spaced(least))
+
+
+def previews(events: DataFrame, value: str, least: float, order: list[str]) -> DataFrame:
+    """Previews passed on when a value has grown by `least` since the last one: video_id, the order, the value, number (from 1), slot (1 and 0 in turn)."""
+    kinds = dict(events.dtypes)
+    keep = spaced(least, 1 + len(order))
+    walk = lambda rows: ((*r, n, n % 2) for n, r in enumerate(keep(rows), 1))
+    return per_video(events.select("video_id", *order, value), order, "".join(f"{c} {kinds[c]}, " for c in ("video_id", *order, value)) + "number long, slot long", walk)
 
 
 def pair_emission(ready: DataFrame, first: int) -> DataFrame:
@@ -35,10 +43,10 @@ def pair_emission(ready: DataFrame, first: int) -> DataFrame:
 
 
 def stable(polls: DataFrame, value: str, times: int) -> DataFrame:
-    """The first poll of each key at which a value has been the same for `times` polls in a row. polls (video_id, i, value)."""
+    """The first poll of each key at which a value above 0 has been the same as at the poll before for `times` polls in a row, so that it was seen once more than that. polls (video_id, i, value)."""
     w = by_video("i")
-    same = F.lit(True)
-    for k in range(1, times):
+    same = F.col(value) > 0
+    for k in range(1, times + 1):
         same = same & F.coalesce(F.col(value) == F.lag(value, k).over(w), F.lit(False))
     return polls.withColumn("same", same).where("same").groupBy("video_id").agg(F.min("i").alias("stable_at"))
 
@@ -49,11 +57,14 @@ def finished(opened: DataFrame, order: list[str]) -> DataFrame:
 
 
 def changed_or_due(events: DataFrame, detail: str, least_us: int) -> DataFrame:
-    """Updates passed on: a detail that differs from the event before, or `least_us` since that event."""
-    w = by_video("ts_us", "seq")
-    before, then = F.lag(detail).over(w), F.lag("ts_us").over(w)
-    return events.withColumn("_b", before).withColumn("_t", then).where(F.col("_t").isNull() | ~F.col(detail).eqNullSafe(F.col("_b")) | (F.col("ts_us") - F.col("_t") >= least_us)).drop("_b", "_t")
+    """Updates passed on: a detail that differs from that of the last one passed on, or `least_us` since that one. A null detail always differs, as it is held as an empty one. -> video_id, ts_us, seq, detail."""
+    kinds = dict(events.dtypes)
 
+    def walk(rows: Iterator[tuple]) -> Iterator[tuple]:
+        last, held = None, ""
+        for r in rows:
+            if last is None or r[1] - last >= least_us or r[3] != held:
+                last, held = r[1], r[3] or ""
+                yield r
 
-def with_slot(events: Column) -> Column:
-    return F.pmod(events, F.lit(2))
+    return per_video(events.select("video_id", "ts_us", "seq", detail), ["ts_us", "seq"], "".join(f"{c} {kinds[c]}, " for c in ("video_id", "ts_us", "seq", detail))[:-2], walk)

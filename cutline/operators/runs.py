@@ -15,8 +15,15 @@ def dead(mean_mag: Column, diff_fraction: Column, inlier_ratio: Column, frob_nor
     return F.when(mean_mag < flow, True).when(camera, F.lit(not parallax)).otherwise(diff_fraction < area)
 
 
-def calibrate(stats: DataFrame, flow: float = 0.8, area: float = 0.1, lock_flow: bool = False, lock_area: bool = False) -> DataFrame:
-    """video_id, flow, area from exact percentiles of a video's statistics; the defaults stay with fewer than two values, or if locked."""
+def calibrate(stats: DataFrame, flow: float = 0.8, area: float = 0.1, lock_flow: bool | None = None, lock_area: bool | None = None, sample: int = 0) -> DataFrame:
+    """video_id, flow, area from exact percentiles of a video's statistics, of its first `sample` ones if above 0.
+
+    The given thresholds stay with fewer than two values, or if locked: by default those below 0.1 and 0.01. An exact
+    percentile holds the distinct values of one video in a task.
+    """
+    lock_flow, lock_area = flow < 0.1 if lock_flow is None else lock_flow, area < 0.01 if lock_area is None else lock_area
+    if sample:
+        stats = stats.withColumn("_n", F.row_number().over(by_video("i"))).where(F.col("_n") <= sample)
     clamp = lambda x, lo, hi: F.greatest(F.lit(lo), F.least(F.lit(hi), x))
     out = stats.groupBy("video_id").agg(F.percentile("mean_mag", 0.2).alias("pf"), F.count("mean_mag").alias("nf"), F.percentile("diff_fraction", 0.15).alias("pa"), F.count("diff_fraction").alias("na"))
     return out.select(
@@ -84,3 +91,54 @@ def blend_slot(frames: DataFrame, factor: int, model) -> DataFrame:
             yield pdf.assign(out_i=pdf["i"] * factor + pdf["k"], alpha=alpha, score=made)[["video_id", "out_i", "alpha", "score"]]
 
     return rows.mapInPandas(run, "video_id long, out_i long, alpha double, score double")
+
+
+def frame_slot(frames: DataFrame, model, pixels: str = "px", size: str = "array<double>") -> DataFrame:
+    """Frames through a model of arrays, one Arrow batch at a time: model(n x k) -> n x m. The place for upscaling, depth or flow networks; other columns pass."""
+    kinds = [(c, size if c == pixels else t) for c, t in frames.dtypes]
+
+    def run(batches):
+        import numpy as np
+
+        for pdf in batches:
+            if len(pdf):
+                pdf = pdf.assign(**{pixels: list(model(np.stack(pdf[pixels].to_numpy())))})
+            yield pdf
+
+    return frames.mapInPandas(run, ", ".join(f"{c} {t}" for c, t in kinds))
+
+
+def pair_slot(frames: DataFrame, factor: int, model, height: int, width: int, multiple: int = 8) -> DataFrame:
+    """expand() for images, with a model: model(a, b, alpha) on arrays n x height x width, padded with zeros to a multiple and cut back. frames (video_id, i, px) -> video_id, out_i, alpha, px."""
+    after = F.lead("px").over(by_video("i"))
+    steps = F.when(F.col("next").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(factor - 1)))
+    rows = frames.withColumn("next", after).withColumn("k", F.explode(steps)).select("video_id", "i", "px", F.when(F.col("k") > 0, F.col("next")).alias("next"), "k")
+
+    def run(batches):
+        import numpy as np
+
+        pad = lambda x: np.pad(np.stack(x.to_numpy()).reshape(-1, height, width), ((0, 0), (0, -height % multiple), (0, -width % multiple)))
+        for pdf in batches:
+            between = pdf["k"].to_numpy() > 0
+            px = list(pdf["px"])
+            if between.any():
+                own = pdf[between]
+                made = np.asarray(model(pad(own["px"]), pad(own["next"]), own["k"].to_numpy() / factor))[:, :height, :width].reshape(len(own), -1)
+                for at, row in zip(np.flatnonzero(between), made, strict=True):
+                    px[at] = row
+            yield pdf.assign(out_i=pdf["i"] * factor + pdf["k"], alpha=pdf["k"] / factor, px=px)[["video_id", "out_i", "alpha", "px"]]
+
+    return rows.mapInPandas(run, "video_id long, out_i long, alpha double, px array<double>")
+
+
+def chain(frames: DataFrame, steps: list, keep: bool = False) -> DataFrame:
+    """Operations one after the other, each on what the one before made; with keep, each on the frames given, and all results as one, with the operation's number."""
+    if not keep:
+        for step in steps:
+            frames = frames.transform(step)
+        return frames
+    made = [frames.transform(step).withColumn("operation", F.lit(n)) for n, step in enumerate(steps)]
+    out = made[0]
+    for m in made[1:]:
+        out = out.unionByName(m)
+    return out

@@ -68,8 +68,8 @@ def layout(clips: DataFrame, key: str, codec: str, languages: str) -> DataFrame:
     """Do a group's clips share a codec (and is none unknown), and an audio layout?"""
     return clips.groupBy(key).agg(
         F.count("*").alias("n"),
-        ((F.count_distinct(codec) == 1) & (F.count(codec) == F.count("*"))).alias("same_codec"),
-        (F.count_distinct(languages) == 1).alias("uniform_audio"),
+        F.coalesce((F.min(codec) == F.max(codec)) & (F.count(codec) == F.count("*")), F.lit(False)).alias("same_codec"),
+        F.coalesce(F.min(languages) == F.max(languages), F.lit(False)).alias("uniform_audio"),
     )
 
 
@@ -89,6 +89,16 @@ def language_track(languages: Column, wanted: Column) -> Column:
     return F.nullif(F.array_position(F.transform(languages, lambda x: F.lower(x)), F.lower(wanted)), F.lit(0)) - 1
 
 
+def with_readiness(scenes: DataFrame, ready: DataFrame, keys: list[str]) -> DataFrame:
+    """Scenes with whether their thumbnail is there."""
+    return scenes.join(ready.select(*keys).distinct().withColumn("thumbnail_ready", F.lit(True)), keys, "left").withColumn("thumbnail_ready", F.coalesce("thumbnail_ready", F.lit(False)))
+
+
+def per_source(jobs: DataFrame, find_out, key: str) -> DataFrame:
+    """Jobs with what find_out(sources: one row for each) says of their source, which is asked once however many jobs it has."""
+    return jobs.join(find_out(jobs.select(key).distinct()), key)
+
+
 def missing(required: DataFrame, present: DataFrame, keys: list[str]) -> DataFrame:
     return required.join(present, keys, "left_anti")
 

@@ -163,11 +163,11 @@ def track_hoist(spark: SparkSession, sf: str) -> DataFrame:
     return x.select("o_orderkey", selection.hoisted(*a).alias("hoisted"), F.array_join(F.transform(selection.track_order(*a), lambda i: i.cast("string")), ",").alias("track_list"))
 
 
-@query("WITH l AS (SELECT source, list(lang ORDER BY doc_id) AS langs FROM documents GROUP BY 1) SELECT source, (list_position(langs, 'de') - 1)::BIGINT AS track, len(langs) AS n FROM l")
+@query("WITH l AS (SELECT doc_id // 8 AS file, list(lang ORDER BY doc_id) AS langs FROM documents GROUP BY 1) SELECT file, (list_position(langs, 'de') - 1)::BIGINT AS track, len(langs) AS n FROM l")
 def language_track(spark: SparkSession, sf: str) -> DataFrame:
-    """The first track of a language."""
-    listed = table(spark, sf, "documents").groupBy("source").agg(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "lang"))), lambda x: x["lang"]).alias("langs"))
-    return listed.select("source", selection.language_track(F.col("langs"), F.lit("DE")).alias("track"), F.size("langs").cast("long").alias("n"))
+    """The first track of a language; each eight documents are the streams of a file."""
+    listed = table(spark, sf, "documents").groupBy(F.floor(F.col("doc_id") / 8).alias("file")).agg(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "lang"))), lambda x: x["lang"]).alias("langs"))
+    return listed.select("file", selection.language_track(F.col("langs"), F.lit("DE")).alias("track"), F.size("langs").cast("long").alias("n"))
 
 
 @query("SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)")

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.vector import average_pool, cosine
 from ..operators import align, boundary, emission, runs, selection
-from ..sources.proxies import SQL_FRAMES, SQL_PACKETS, SQL_STATS, frames, packets, pair_stats
+from ..sources.proxies import SQL_FRAMES, SQL_PACKETS, SQL_STATS, frames, packets, pair_stats, table
 from .registry import query
 
 FPS, THRESHOLD = 25.0, 60.0
@@ -168,21 +169,25 @@ def keyframe_scenes_packed(spark: SparkSession, sf: str) -> DataFrame:
 
 
 RADIUS = 6 * HOUR
+#: Edge images: as many of the embeddings as each size of the tables has.
+VECTORS = 500
 
 
 @query(
     f"""WITH RECURSIVE {SQL_KEYS}, wins AS (SELECT video_id, row_number() OVER (PARTITION BY video_id ORDER BY t_us) - 1 AS window_id, greatest(0, t_us - {RADIUS}) AS s, t_us + {RADIUS} AS e FROM keys),
-    seen AS (SELECT w.video_id, w.window_id, f.ts_us - {START} AS t, f.score FROM frames f JOIN wins w ON f.video_id = w.video_id AND f.ts_us - {START} BETWEEN w.s AND w.e WHERE f.score >= 5),
-    steps AS (SELECT *, lag(score) OVER (PARTITION BY video_id, window_id ORDER BY t) AS b FROM seen),
-    cuts AS (SELECT DISTINCT video_id, t AS t_us FROM steps WHERE abs(score - b) / 100 > 0.3),
+    edges AS (SELECT vec_id, list(a ORDER BY k) AS pooled FROM (SELECT vec_id, (i // 16) * 4 + i % 8 // 2 AS k, avg(embedding[i + 1]::DOUBLE) AS a FROM (SELECT vec_id, embedding, unnest(range(64)) AS i FROM embeddings WHERE vec_id < {VECTORS}) GROUP BY 1, 2) GROUP BY 1),
+    seen AS (SELECT w.video_id, w.window_id, f.ts_us - {START} AS t, pooled FROM frames f JOIN wins w ON f.video_id = w.video_id AND f.ts_us - {START} BETWEEN w.s AND w.e JOIN edges ON vec_id = f.seq % {VECTORS} WHERE f.score >= 5),
+    steps AS (SELECT *, lag(pooled) OVER (PARTITION BY video_id, window_id ORDER BY t) AS b FROM seen),
+    cuts AS (SELECT DISTINCT video_id, t AS t_us FROM steps WHERE b IS NOT NULL AND abs(1 - list_cosine_similarity(pooled, b)) > 1.1),
     {sql_merge('SELECT * FROM cuts UNION SELECT DISTINCT video_id, 0 FROM cuts', 2 * HOUR)} SELECT * FROM merged WHERE t_us > 0"""
 )
 def edge_window_cuts(spark: SparkSession, sf: str) -> DataFrame:
-    """Cuts from scans around keyframes; frames of low score have no edges and are skipped."""
+    """Cuts from scans around keyframes, where pooled edge images of neighbours differ; frames of low score have no edges and are skipped."""
     wins = boundary.windows_of(keys(spark, sf), RADIUS)
-    f = clock(frames(spark, sf)).select("video_id", "t_us", F.col("score").alias("feature"), (F.col("score") >= 5).alias("usable"))
+    edges = table(spark, sf, "embeddings").where(F.col("vec_id") < VECTORS).select("vec_id", average_pool(F.col("embedding"), 8, 8, 2).alias("feature"))
+    f = clock(frames(spark, sf)).where("score >= 5").withColumn("vec_id", F.col("seq") % VECTORS).join(edges, "vec_id").select("video_id", "t_us", "feature", F.lit(True).alias("usable"))
     scanned = boundary.join_windows(f, wins, 2 * RADIUS)
-    return boundary.window_cuts(scanned, F.abs(F.col("feature") - F.col("before")) / 100, 0.3, 2 * HOUR)
+    return boundary.window_cuts(scanned, F.abs(1 - cosine(F.col("feature"), F.col("before"))), 1.1, 2 * HOUR)
 
 
 @query(
@@ -442,10 +447,10 @@ def ordered_emission(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     f"""WITH {SQL_FRAMES}, p AS (SELECT video_id, i, (score / 20)::DOUBLE AS s FROM frames), q AS (SELECT video_id, i, floor(s) AS v FROM p),
     g AS (SELECT *, i - row_number() OVER (PARTITION BY video_id, v ORDER BY i) AS grp FROM q),
-    r AS (SELECT video_id, min(i) + 2 AS third FROM g GROUP BY video_id, v, grp HAVING count(*) >= 3) SELECT video_id, min(third) AS stable_at FROM r GROUP BY 1"""
+    r AS (SELECT video_id, min(i) + 3 AS fourth FROM g WHERE v > 0 GROUP BY video_id, v, grp HAVING count(*) >= 4) SELECT video_id, min(fourth) AS stable_at FROM r GROUP BY 1"""
 )
 def stable_size_run(spark: SparkSession, sf: str) -> DataFrame:
-    """The first time that a size is seen three times in a row."""
+    """The first time that a size has been the same for three polls after the one that first saw it."""
     polls = frames(spark, sf).select("video_id", "i", F.floor(F.col("score") / 20).alias("v"))
     return emission.stable(polls, "v", 3)
 
@@ -457,11 +462,13 @@ def segment_finished(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {SQL_PACKETS}, x AS (SELECT *, lag(kind) OVER w AS b, lag(ts_us) OVER w AS t FROM packets WINDOW w AS (PARTITION BY video_id ORDER BY ts_us, seq))
-    SELECT video_id, seq, kind FROM x WHERE t IS NULL OR kind IS DISTINCT FROM b OR ts_us - t >= {15 * HOUR}"""
+    f"""WITH RECURSIVE {SQL_PACKETS}, p AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY ts_us, seq) AS i FROM packets),
+    walk AS (SELECT video_id, i, ts_us, kind FROM p WHERE i = 1
+      UNION ALL SELECT n.video_id, n.i, n.ts_us, n.kind FROM (SELECT w.video_id, (SELECT min(p.i) FROM p WHERE p.video_id = w.video_id AND p.i > w.i AND (p.ts_us - w.ts_us >= {15 * HOUR} OR p.kind <> w.kind)) AS i FROM walk w) x JOIN p n ON n.video_id = x.video_id AND n.i = x.i)
+    SELECT w.video_id, p.seq, p.kind FROM walk w JOIN p ON p.video_id = w.video_id AND p.i = w.i"""
 )
 def presence_updates(spark: SparkSession, sf: str) -> DataFrame:
-    """Updates that bring something new, or are due."""
+    """Updates that differ from the last one sent, or are due."""
     return emission.changed_or_due(packets(spark, sf), "kind", 15 * HOUR).select("video_id", "seq", "kind")
 
 
@@ -472,6 +479,18 @@ def phase_progress(spark: SparkSession, sf: str) -> DataFrame:
     return packets(spark, sf).select("video_id", "seq", F.sum((F.col("kind") == "view").cast("long")).over(w).alias("done_views"), F.count("*").over(w).alias("done"))
 
 
+@query(
+    f"""WITH RECURSIVE {SQL_FRAMES}, p AS (SELECT video_id, i, sum(score::DECIMAL(18, 6)) OVER (PARTITION BY video_id ORDER BY i) AS pct FROM frames),
+    walk AS (SELECT video_id, i, pct, 1 AS number FROM p WHERE i = 0
+      UNION ALL SELECT n.video_id, n.i, n.pct, x.number FROM (SELECT w.video_id, w.number + 1 AS number, (SELECT min(p.i) FROM p WHERE p.video_id = w.video_id AND p.i > w.i AND p.pct - w.pct >= 150) AS i FROM walk w) x JOIN p n ON n.video_id = x.video_id AND n.i = x.i)
+    SELECT video_id, i, number::BIGINT AS number, number::BIGINT % 2 AS slot FROM walk"""
+)
+def preview_throttle(spark: SparkSession, sf: str) -> DataFrame:
+    """Previews whenever progress has grown by 150, into two slots in turn."""
+    pct = F.sum(F.col("score").cast("decimal(18,6)")).over(boundary.by_video("i").rowsBetween(W.unboundedPreceding, 0))
+    return emission.previews(frames(spark, sf).select("video_id", "i", pct.alias("pct")), "pct", 150, ["i"]).select("video_id", "i", "number", "slot")
+
+
 # scenes and pairs
 
 SQL_RENUMBERED = f"""{SQL_SCENES}, n AS (SELECT *, count(*) OVER (PARTITION BY video_id) AS n FROM scenes), k AS (SELECT *, count(*) OVER (PARTITION BY video_id) AS m, row_number() OVER (PARTITION BY video_id ORDER BY scene_index) - 1 AS rn FROM n WHERE end_us - start_us >= {18 * HOUR}),

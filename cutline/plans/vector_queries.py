@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import vector
+from ..functions import image, vector
 from ..operators import similarity
 from ..sources.proxies import table
 from .registry import query
@@ -75,14 +75,14 @@ def image_normalise(spark: SparkSession, sf: str) -> DataFrame:
     return cells(images(spark, sf).select("vec_id", vector.normalise_image(F.col("px"), 0.485, 0.229).alias("v")), "v")
 
 
-@query(f"WITH {SQL_IMAGES} SELECT vec_id, round_even(list_sum(px), 6) AS total, round_even(list_avg(px), 6) AS mean, round_even(list_sum(px[1:32]), 6) AS first_half, round_even(list_sum([x for x, i in px if i % 2 = 1]), 6) AS even FROM images")
+@query(f"WITH {SQL_IMAGES} SELECT vec_id, round_even(list_sum(px), 6) AS total, round_even(list_avg(px), 6) AS mean, round_even(list_sum(px[1:32]), 6) AS first_half, round_even(list_sum([x for x, i in px if i % 2 = 1]), 6) AS even, round_even(list_sum(px[17:24]), 6) AS third_row FROM images")
 def channel_reduce(spark: SparkSession, sf: str) -> DataFrame:
     """Sums of an array, its halves and its even places."""
     total = vector.total
     first, _ = vector.halves(F.col("px"))
     even, _ = vector.halves(F.col("px"), even_odd=True)
     r = lambda x: F.bround(x, 6)
-    return images(spark, sf).select("vec_id", r(total(F.col("px"))).alias("total"), r(total(F.col("px")) / F.size("px")).alias("mean"), r(total(first)).alias("first_half"), r(total(even)).alias("even"))
+    return images(spark, sf).select("vec_id", r(total(F.col("px"))).alias("total"), r(total(F.col("px")) / F.size("px")).alias("mean"), r(total(first)).alias("first_half"), r(total(even)).alias("even"), r(F.get(vector.reduce_rows(F.col("px"), 8, 8), F.lit(2))).alias("third_row"))
 
 
 @query(f"WITH {SQL_IMAGES} SELECT vec_id, round_even(list_sum([-0.5 * ln(2 * pi()) - 0.3::DOUBLE - pow(x - 0.1::DOUBLE, 2) / (2 * exp(0.6::DOUBLE)) for x in px]), 6) AS log_density FROM images")
@@ -123,20 +123,29 @@ def local_soft_match(spark: SparkSession, sf: str) -> DataFrame:
     return cells(both.select("vec_id", near.alias("v")), "v")
 
 
+def _sql_warped(a: str) -> str:
+    px = lambda r, c: f"(CASE WHEN y0 + {r} BETWEEN 0 AND 3 AND x0 + {c} BETWEEN 0 AND 7 THEN {a}[(y0 + {r}) * 8 + x0 + {c} + 1] ELSE 0 END)"
+    return f"({px(0, 0)} * (1 - u) * (1 - v) + {px(0, 1)} * u * (1 - v) + {px(1, 0)} * (1 - u) * v + {px(1, 1)} * u * v)"
+
+
+#: Two flows on 4 x 8 cells: (ox, oy) is held against (px, py).
+SQL_OCCLUDED = f"""(SELECT vec_id, cell, sqrt(pow(ox[cell + 1] + {_sql_warped('px')}, 2) + pow(oy[cell + 1] + {_sql_warped('py')}, 2)) > 0.01 * (sqrt(pow(ox[cell + 1], 2) + pow(oy[cell + 1], 2)) + sqrt(pow(px[cell + 1], 2) + pow(py[cell + 1], 2))) + 0.5 AS occluded
+    FROM (SELECT *, floor(x)::BIGINT AS x0, floor(y)::BIGINT AS y0, x - floor(x) AS u, y - floor(y) AS v FROM (SELECT *, cell % 8 + ox[cell + 1] AS x, cell // 8 + oy[cell + 1] AS y FROM (SELECT *, unnest(range(32)) AS cell FROM {{0}}))))"""
+
+
 @query(
-    f"""WITH {SQL_IMAGES}, f AS (SELECT a.vec_id, unnest(range(32)) AS cell, a.px AS f, b.px AS b FROM images a JOIN images b ON b.vec_id = a.vec_id + 1),
-    m AS (SELECT vec_id, cell, 4 * f[2 * cell + 1] AS fx, 4 * f[2 * cell + 2] AS fy, 4 * b[2 * cell + 1] AS bx, 4 * b[2 * cell + 2] AS by_ FROM f)
-    SELECT vec_id, cell, sqrt(pow(fx + bx, 2) + pow(fy + by_, 2)) > 0.01 * (sqrt(fx * fx + fy * fy) + sqrt(bx * bx + by_ * by_)) + 0.5 AS occluded FROM m"""
+    f"""WITH {SQL_IMAGES}, m AS (SELECT vec_id, [4 * px[2 * k - 1] for k in range(1, 33)] AS x, [4 * px[2 * k] for k in range(1, 33)] AS y FROM images),
+    fwd AS (SELECT a.vec_id, a.x AS ox, a.y AS oy, b.x AS px, b.y AS py FROM m a JOIN m b ON b.vec_id = a.vec_id + 1), bwd AS (SELECT a.vec_id, b.x AS ox, b.y AS oy, a.x AS px, a.y AS py FROM m a JOIN m b ON b.vec_id = a.vec_id + 1)
+    SELECT f.vec_id, f.cell, f.occluded AS forward, b.occluded AS backward FROM {SQL_OCCLUDED.format('fwd')} f JOIN {SQL_OCCLUDED.format('bwd')} b ON b.vec_id = f.vec_id AND b.cell = f.cell"""
 )
 def flow_consistency(spark: SparkSession, sf: str) -> DataFrame:
-    """Is a forward flow undone by the backward flow (taken as warped already)?"""
-    a = images(spark, sf).select("vec_id", F.col("px").alias("f"))
-    both = a.join(a.select((F.col("vec_id") - 1).alias("vec_id"), F.col("f").alias("b")), "vec_id")
-    rows = both.select("vec_id", "f", "b", F.explode(F.sequence(F.lit(0), F.lit(31))).alias("cell"))
-    at = lambda c, k: 4 * F.get(F.col(c), F.col("cell") * 2 + k)
-    norm = lambda x, y: F.sqrt(F.pow(x, 2) + F.pow(y, 2))
-    fx, fy, bx, by = at("f", 0), at("f", 1), at("b", 0), at("b", 1)
-    return rows.select("vec_id", F.col("cell").cast("long").alias("cell"), (norm(fx + bx, fy + by) > 0.01 * (norm(fx, fy) + norm(bx, by)) + 0.5).alias("occluded"))
+    """Is a flow not undone by its counterpart, sampled where it leads to? In both directions."""
+    every = lambda odd: F.transform(F.filter("px", lambda _, i: i % 2 == odd), lambda v: 4 * v)
+    m = images(spark, sf).select("vec_id", every(0).alias("x"), every(1).alias("y"))
+    both = m.join(m.select((F.col("vec_id") - 1).alias("vec_id"), F.col("x").alias("bx"), F.col("y").alias("by")), "vec_id")
+    f, b = (F.col("x"), F.col("y")), (F.col("bx"), F.col("by"))
+    made = both.select("vec_id", F.arrays_zip(image.occluded(*f, *b, 4, 8).alias("f"), image.occluded(*b, *f, 4, 8).alias("b")).alias("z"))
+    return made.select("vec_id", F.posexplode("z").alias("cell", "z")).select("vec_id", F.col("cell").cast("long").alias("cell"), F.col("z")["f"].alias("forward"), F.col("z")["b"].alias("backward"))
 
 
 @query(
@@ -158,6 +167,5 @@ def backward_warp(spark: SparkSession, sf: str) -> DataFrame:
 )
 def image_crop(spark: SparkSession, sf: str) -> DataFrame:
     """An image turned a quarter counter-clockwise, flipped top to bottom, and cropped to 6 x 4 at (1, 2)."""
-    turned = images(spark, sf).withColumn("px", vector.rotate_quarter(F.col("px"), 8, 8, 1))
-    flipped = turned.withColumn("px", vector.flip(F.col("px"), 8, 8, horizontal=False))
-    return cells(flipped.select("vec_id", vector.crop(F.col("px"), 8, 1, 2, 6, 4).alias("v")), "v")
+    places = image.whole(8, 8).quarter(1).upside_down().crop(1, 2, 6, 4)
+    return cells(images(spark, sf).select("vec_id", places.take(F.col("px")).alias("v")), "v")

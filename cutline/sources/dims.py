@@ -35,8 +35,6 @@ AUDIO_COPY = {
     "m4a": MP4_AUDIO,
     "mov": ("aac", "ac3", "eac3", "mp3", "alac", "pcm_s16le", "pcm_s16be", "pcm_s24le", "pcm_s24be", "pcm_s32le", "pcm_f32le", "qdm2"),
 }
-#: Encoder of each audio mode.
-AUDIO_MODES = {"copy": "copy", "aac": "aac", "aac_320": "aac", "pcm16": "pcm_s16le", "pcm24": "pcm_s24le", "flac": "flac", "alac": "alac", "opus": "libopus", "mp3": "libmp3lame", "none": None}
 #: Quality presets (crf, x264 preset).
 PRESETS = {"archival": (14, "slow"), "high": (17, "slow"), "balanced": (20, "medium"), "fast": (22, "veryfast"), "draft": (26, "ultrafast")}
 
@@ -58,6 +56,10 @@ def normalise(codec: Column, aliases: dict[str, str] = EXPORT_ALIASES) -> Column
     return F.coalesce(lookup(aliases, codec), codec)
 
 
+def is_hevc(codec: Column) -> Column:
+    return F.coalesce(F.lower(F.trim(codec)) == "hevc", F.lit(False))
+
+
 def family(codec: Column) -> Column:
     """Unknown codecs count as h264."""
     return F.coalesce(lookup({k: v[0] for k, v in CODECS.items()}, normalise(codec)), F.lit("h264"))

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from cutline.functions import image
 from cutline.operators import align, boundary, emission, runs, selection
 
 S = 1_000_000
@@ -22,14 +23,32 @@ def one(spark, times, col="t_us"):
 )
 def test_greedy_merge(spark, times, least, kept):
     df = one(spark, times)
-    for f in (boundary.greedy_merge, boundary.greedy_merge_stream):
+    for f in (boundary.greedy_merge,):
         assert sorted(r.t_us for r in f(df, round(least * S)).collect()) == us(*kept)
 
 
-def test_both_merges_agree(spark):
+def test_greedy_merge_of_many_videos(spark):
     df = spark.range(3000).select((F.col("id") % 7).alias("video_id"), (F.xxhash64("id") % 10_000_000).alias("t_us")).distinct()
-    a, b = (sorted(map(tuple, f(df, 40_000).collect())) for f in (boundary.greedy_merge, boundary.greedy_merge_stream))
-    assert a == b and 7 < len(a) < 3000
+    want, last = [], {}
+    for v, t in sorted(map(tuple, df.collect())):
+        if v not in last or t - last[v] >= 40_000:
+            last[v] = t
+            want.append((v, t))
+    assert sorted(map(tuple, boundary.greedy_merge(df, 40_000).collect())) == want
+
+
+def test_one_long_video(spark):
+    """200,000 points of one video: alignment, merging and throttling take one sorted pass each."""
+    import time
+
+    n = 200_000
+    points = spark.range(n).select(F.lit(1).cast("long").alias("video_id"), (F.col("id") * 10).alias("t_us"), F.col("id").alias("seq"))
+    keys = spark.range(n // 100).select(F.lit(1).cast("long").alias("video_id"), (F.col("id") * 1000 + 5).alias("t_us"))
+    begin = time.perf_counter()
+    near = align.neighbours(points, keys, ("seq",)).agg(F.sum("k_before"), F.count("k_after"), F.sum(F.col("k_at_or_after") - F.col("t_us"))).first()
+    assert near[1] == n - 99 and boundary.greedy_merge(points, 25).count() == -(-n // 3)
+    assert emission.throttled(points, 25, "t_us", "seq").count() == -(-n // 3)
+    assert time.perf_counter() - begin < 60
 
 
 def test_pack_scenes(spark):
@@ -183,4 +202,51 @@ def test_emission(spark):
     ready = spark.createDataFrame([(1, p, t) for p, t in enumerate((5, 1, 9, 2))], "video_id long, pos long, ready_us long")
     assert [(r.a, r.emit_us) for r in emission.pair_emission(ready, 1).orderBy("a").collect()] == [(0, 5), (1, 9), (2, 9)]
     polls = spark.createDataFrame([(1, i, v) for i, v in enumerate((1, 2, 2, 3, 3, 3, 3))], "video_id long, i long, v long")
-    assert emission.stable(polls, "v", 3).first().stable_at == 5
+    assert emission.stable(polls, "v", 3).first().stable_at == 6
+
+
+def test_presence_counts_from_the_last_one_sent(spark):
+    rows = [(1, 10 * S * k, k, "same") for k in range(7)] + [(2, 10 * S * k, k, "a" if k != 3 else None) for k in range(5)]
+    got = emission.changed_or_due(spark.createDataFrame(rows, "video_id long, ts_us long, seq long, kind string"), "kind", 15 * S).collect()
+    assert sorted(r.seq for r in got if r.video_id == 1) == [0, 2, 4, 6] and sorted(r.seq for r in got if r.video_id == 2) == [0, 2, 3, 4]
+
+
+def test_previews_alternate(spark):
+    df = spark.createDataFrame([(1, k, float(k)) for k in range(7)], "video_id long, i long, pct double")
+    assert [(r.i, r.number, r.slot) for r in emission.previews(df, "pct", 2.0, ["i"]).orderBy("i").collect()] == [(0, 1, 1), (2, 2, 0), (4, 3, 1), (6, 4, 0)]
+
+
+def test_calibration_samples_and_locks(spark):
+    stats = spark.createDataFrame([(1, k + 1, m, d) for k, (m, d) in enumerate(zip([1.0, 2.0, 0.5, 3.0, 9.0, 9.0], [0.2, 0.3, 0.1, 0.5, 0.9, 0.9]))], "video_id long, i long, mean_mag double, diff_fraction double")
+    r = runs.calibrate(stats, sample=4).first()
+    assert abs(r.flow - 0.48) < 1e-12 and abs(r.area - 0.058) < 1e-12
+    locked = runs.calibrate(stats, flow=0.05, area=0.0).first()
+    assert (locked.flow, locked.area) == (0.05, 0.0)
+
+
+def test_slots_of_arrays(spark):
+    frames = spark.createDataFrame([(1, k, [float(k)] * 6) for k in range(3)], "video_id long, i long, px array<double>")
+    doubled = runs.frame_slot(frames, lambda x: x * 2).orderBy("i").collect()
+    assert [r.px for r in doubled] == [[2.0 * k] * 6 for k in range(3)]
+    seen = []
+
+    def blend(a, b, alpha):
+        assert a.shape[1:] == (8, 8) and (a[:, 2:] == 0).all() and (a[:, :, 3:] == 0).all()
+        return a * (1 - alpha[:, None, None]) + b * alpha[:, None, None]
+
+    got = runs.pair_slot(frames, 2, blend, 2, 3).orderBy("out_i").collect()
+    assert [r.px for r in got] == [[k / 2] * 6 for k in range(5)] and not seen
+    steps = [lambda df: runs.frame_slot(df, lambda x: x + 1), lambda df: runs.frame_slot(df, lambda x: x * 10)]
+    assert [r.px[0] for r in runs.chain(frames, steps).orderBy("i").collect()] == [10.0, 20.0, 30.0]
+    assert sorted((r.operation, r.px[0]) for r in runs.chain(frames, steps, keep=True).collect()) == [(0, 1.0), (0, 2.0), (0, 3.0), (1, 0.0), (1, 10.0), (1, 20.0)]
+
+
+def test_places_of_images():
+    one = image.whole(2, 3)
+    assert one.quarter(1).cells == (2, 5, 1, 4, 0, 3) and one.quarter(4) == one and one.rotate(90) == one.quarter(-1)
+    assert one.mirror().cells == (2, 1, 0, 5, 4, 3) and one.upside_down().cells == (3, 4, 5, 0, 1, 2)
+    assert one.crop(1.4, 0.6, 2, 2).cells == (4, 5, None, None)
+    turned = image.whole(8, 8).rotate(30)
+    assert (turned.height, turned.width) == (12, 12) and set(turned.cells) - {None} <= set(range(64))
+    assert [t.cells[0] for t in image.whole(4, 4).tiles(2)] == [0, 2, 8, 10]
+    assert image.window_grid(0, 1, 5) == [0, 0.25, 0.5, 0.75, 1]
