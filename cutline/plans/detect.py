@@ -5,31 +5,77 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import align, boundary, runs, selection
+from ..functions.vector import cosine
+from ..operators import align, boundary, planning, runs, selection
 
 METHODS = ("keyframe", "scores", "edges")
 
 
-def detect_scenes(packets: DataFrame, method: str = "keyframe", threshold: float = 0.5, least_us: int = 500_000, radius_us: int = 2_000_000) -> DataFrame:
+def window_scores(frames: DataFrame, model, window: int = 100, stride: int = 50) -> DataFrame:
+    """Transition scores from a model of windows: model(n x window array) -> n x window scores; a frame's score is that of the window in whose middle it stands.
+
+    frames (video_id, i, feature: double) -> video_id, i, score. Windows are groups of rows, so a video is as parallel as it has windows.
+    """
+    seen = boundary.sliding_windows(frames.select("video_id", "i", "feature"), window, stride)
+
+    def score(pdf):
+        pdf = pdf.sort_values("slot")
+        pdf["score"] = model(pdf["feature"].to_numpy()[None, :])[0]
+        return pdf.loc[pdf["scored"], ["video_id", "i", "score"]]
+
+    return seen.groupBy("video_id", "w").applyInPandas(score, "video_id long, i long, score double")
+
+
+def detect_scenes(packets: DataFrame, method: str = "keyframe", threshold: float = 0.5, least_us: int = 500_000, radius_us: int = 2_000_000, model=None) -> DataFrame:
     """Scenes of each video.
 
-    packets (video_id, t_us, is_key, i, score). keyframe: cuts at keyframes; scores: runs of low transition scores; edges:
-    scans around keyframes for changes of the score. -> video_id, scene_index, and start/end in us, or in frames for scores.
+    packets (video_id, t_us, is_key, i, score). keyframe: cuts at keyframes; scores: runs of low transition scores, those
+    of `model` over windows of the column feature if it is given; edges: scans around keyframes for changes of the
+    column edges (an array: pooled edge images by cosine, empty ones skipped) or else of the score. -> video_id,
+    scene_index, and start/end in us, or in frames for scores.
     """
     if method not in METHODS:
         raise ValueError(f"method must be one of {METHODS}")
     if not 0 < threshold <= 1:
         raise ValueError("the threshold must be above 0 and at most 1")
     if method == "scores":
-        return boundary.score_scenes(packets, threshold)
+        return boundary.score_scenes(window_scores(packets, model) if model else packets, threshold)
     keys = packets.where(F.col("is_key") & F.col("t_us").isNotNull()).select("video_id", "t_us").distinct()
     totals = packets.groupBy("video_id").agg(F.max("t_us").alias("total_us"))
     if method == "keyframe":
         return boundary.pack_scenes(boundary.keyframe_cuts(keys, least_us), totals.withColumnRenamed("total_us", "duration_us"), least_us)
-    frames = packets.select("video_id", "t_us", F.col("score").alias("feature"), F.col("score").isNotNull().alias("usable"))
+    if "edges" in packets.columns:
+        usable = F.exists("edges", lambda x: x != 0)
+        feature, apart = F.col("edges"), F.abs(1 - cosine(F.col("feature"), F.col("before")))
+    else:
+        usable, feature, apart = F.col("score").isNotNull(), F.col("score"), F.abs(F.col("feature") - F.col("before"))
+    frames = packets.select("video_id", "t_us", feature.alias("feature"), F.coalesce(usable, F.lit(False)).alias("usable"))
     scanned = boundary.join_windows(frames, boundary.windows_of(keys, radius_us), 2 * radius_us)
-    cuts = boundary.window_cuts(scanned, F.abs(F.col("feature") - F.col("before")), threshold, least_us)
-    return boundary.bounds_to_scenes(cuts, totals)
+    return boundary.bounds_to_scenes(boundary.window_cuts(scanned, apart, threshold, least_us), totals)
+
+
+def keyframe_times(packets: DataFrame, decoded: DataFrame) -> DataFrame:
+    """Keyframe times of each video, from its packets, or from its decoded keyframes where those of the packets are pathological. packets, decoded (video_id, seq, t_us) -> video_id, t_us, decoded."""
+    w = boundary.by_video("seq")
+    steps = packets.withColumn("delta", F.col("t_us") - F.lag("t_us").over(w))
+    g = steps.groupBy("video_id").agg(F.count("*").alias("n"), F.min("delta").alias("least"), ((F.max("t_us") - F.min("t_us")) / 1e6).alias("span"), F.array_sort(F.collect_list("delta")).alias("deltas"))
+    median = F.get("deltas", F.floor(F.size("deltas") / 2).cast("int"))
+    bad = (F.col("n") < 2) | F.coalesce(F.col("least") <= 0, F.lit(False)) | F.coalesce(F.try_divide("n", "span") > 10, F.lit(False)) | F.coalesce(median < 50_000, F.lit(False))
+    videos = packets.select("video_id").union(decoded.select("video_id")).distinct()
+    verdict = videos.join(g.select("video_id", bad.alias("bad")), "video_id", "left").select("video_id", F.coalesce("bad", F.lit(True)).alias("bad"))
+    either = packets.select("video_id", "t_us", F.lit(False).alias("decoded")).unionByName(decoded.select("video_id", "t_us", F.lit(True).alias("decoded")))
+    return either.join(verdict, "video_id").where((F.col("decoded") == F.col("bad")) & (F.col("t_us") >= 0)).select("video_id", "t_us", "decoded").distinct()
+
+
+def keyframe_summary(keys: DataFrame) -> DataFrame:
+    """Keyframes of each video: number and average gap in seconds (null for one). keys (video_id, t_us)."""
+    g = keys.groupBy("video_id").agg(F.count("*").alias("n"), (F.max("t_us") - F.min("t_us")).alias("span"))
+    return g.select("video_id", "n", F.bround(F.try_divide("span", F.col("n") - 1) / 1e6, 3).alias("average_gap"))
+
+
+def list_scenes(scenes: DataFrame, least_us: int = 0) -> DataFrame:
+    """Scenes of at least a duration, under their own numbers."""
+    return scenes.where(F.col("end_us") - F.col("start_us") >= least_us) if least_us > 0 else scenes
 
 
 def plan_cuts(scenes: DataFrame, keys: DataFrame, hevc: bool = False, cuda: bool = False, within_us: int = 200_000, snap_us: int = 5_000_000) -> DataFrame:
@@ -57,3 +103,15 @@ def export_jobs(scenes: DataFrame, clips: DataFrame, select: str = "") -> DataFr
     last = scenes.groupBy("video_id").agg(F.max("scene_index").alias("last"))
     picks = last.select("video_id", F.explode(selection.selected_indices(F.lit(select), F.col("last"))).alias("scene_index"))
     return selection.resolve_jobs(scenes.join(picks, ["video_id", "scene_index"], "left_semi"), clips)
+
+
+def merge(clips: DataFrame, settings: DataFrame, key: str) -> DataFrame:
+    """How clips are merged: planning.merge_plan."""
+    return planning.merge_plan(clips, settings, key)
+
+
+def pipeline(frames: DataFrame, steps: list, keep: bool = False) -> DataFrame:
+    """Several operations, at least two, one after the other, or each on the frames given: runs.chain."""
+    if len(steps) < 2:
+        raise ValueError("a pipeline has at least two operations")
+    return runs.chain(frames, steps, keep)

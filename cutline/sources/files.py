@@ -23,13 +23,21 @@ def write_manifest(scenes: DataFrame, path: str) -> None:
 
 
 def read_inputs(spark: SparkSession, path: str) -> DataFrame:
-    """Inputs for export, one JSON value a line: a string, or an object with `input`; others are skipped."""
-    raw = spark.read.text(path)
-    text = F.from_json(F.concat(F.lit('{"input":'), "value", F.lit("}")), "input string")["input"]
-    parsed = F.from_json("value", "input string, scene_index long, seek_ms long, dur_ms long")
-    is_text = F.ltrim("value").startswith('"')
-    rows = raw.select(F.when(is_text, text).otherwise(parsed["input"]).alias("input"), *[F.when(~is_text, parsed[c]).alias(c) for c in ("scene_index", "seek_ms", "dur_ms")])
-    return rows.where("input is not null and trim(input) <> ''")
+    """Jobs of JSON files, each one array of texts and objects: scene_index (the place in the array where an object names none), input, seek_ms, dur_ms. Objects without an input are skipped."""
+    raw = spark.read.text(path, wholetext=True).select(F.parse_json("value").alias("v"))
+    each = raw.lateralJoin(spark.tvf.variant_explode(F.col("v").outer())).select("pos", F.col("value").alias("item"))
+    is_text = F.schema_of_variant("item") == "STRING"
+    of = lambda name, kind: F.when(~is_text, F.try_variant_get("item", f"$.{name}", kind))
+    number = lambda name: F.when(F.schema_of_variant(F.try_variant_get("item", f"$.{name}", "variant")) != "STRING", of(name, "double"))
+    start, end = number("start_sec"), number("end_sec")
+    ms = lambda x: F.bround(x * 1000, 0).cast("long")
+    rows = each.select(
+        F.coalesce(of("scene_index", "long"), F.col("pos").cast("long")).alias("scene_index"),
+        F.when(is_text, F.try_variant_get("item", "$", "string")).otherwise(of("input", "string")).alias("input"),
+        ms(start).alias("seek_ms"),
+        ms(end - start).alias("dur_ms"),
+    )
+    return rows.where("input <> ''")
 
 
 def save_preset(spark: SparkSession, folder: str, name: str, operations: list[str], options: dict[str, str]) -> None:

@@ -7,10 +7,15 @@ only, except for ordered emission, which holds what waits for its turn.
 
 from __future__ import annotations
 
+from collections import deque
+
 import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQueryListener
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
+
+from ..functions import text
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -85,8 +90,71 @@ def ordered_pairs(ready: DataFrame) -> DataFrame:
     return ready.select("video_id", "pos").groupBy("video_id").transformWithStateInPandas(_InOrder(), "video_id long, a long", "append", "None")
 
 
+class _Windows(StatefulProcessor):
+    """Frames in, windows out: the first frame stands `pad` times before itself; after the one marked last it is repeated as often as the last window needs. State: the frames of a window that isn't full."""
+
+    def __init__(self, window: int, stride: int):
+        self.window, self.stride, self.pad = window, stride, (window - stride) // 2
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.held = handle.getListState("held", StructType([StructField("v", DoubleType())]))
+        self.counts = handle.getValueState("counts", StructType([StructField("seen", LongType()), StructField("made", LongType())]))
+
+    def handleInputRows(self, key, rows, timerValues):
+        seen, made = self.counts.get() if self.counts.exists() else (0, 0)
+        held, out = [r[0] for r in self.held.get()], []
+        for i, value, last in sorted(r for part in rows for r in zip(part["i"].tolist(), part["value"].tolist(), part["last"].tolist(), strict=True)):
+            held += [value] * (self.pad + 1 if seen == 0 else 1)
+            seen += 1
+            if last:
+                rest = seen % self.stride or self.stride
+                held += [value] * (self.pad + self.stride - rest)
+            while len(held) >= self.window:
+                out.append((made, held[: self.window], min(self.stride, seen - made * self.stride) if last else self.stride))
+                held, made = held[self.stride :], made + 1
+        self.counts.update((seen, made))
+        self.held.clear()
+        if held:
+            self.held.put([(v,) for v in held])
+        yield pd.DataFrame({"video_id": [key[0]] * len(out), "w": [x[0] for x in out], "frames": [x[1] for x in out], "scored": [x[2] for x in out]})
+
+    def close(self) -> None:
+        pass
+
+
+def sliding_windows(frames: DataFrame, window: int = 100, stride: int = 50) -> DataFrame:
+    """frames (video_id, i, value: double, last: is it the video's last?) -> video_id, w, frames (of the window), scored (how many frames the window answers for), as soon as a window is full."""
+    schema = "video_id long, w long, frames array<double>, scored long"
+    return frames.select("video_id", "i", "value", "last").groupBy("video_id").transformWithStateInPandas(_Windows(window, stride), schema, "append", "None")
+
+
+def log_tail(spark: SparkSession, folder: str) -> DataFrame:
+    """New lines of log files in a folder, as they are added as files: line, message (without its prefix), percent, done, error. Offsets are the source's, so a line is read once."""
+    lines = spark.readStream.text(folder).where("value <> ''").withColumnRenamed("value", "line")
+    line = F.col("line")
+    return lines.select("line", text.log_message(line).alias("message"), F.when(text.progress(line) > 100, 100.0).otherwise(text.progress(line)).alias("percent"), text.completed(line).alias("done"), text.error(line).alias("error"))
+
+
+class ProgressListener(StreamingQueryListener):
+    """Samples of a query's progress: rows in and rows a second, batch by batch; the newest `most` are kept."""
+
+    def __init__(self, most: int = 1000):
+        self.samples: deque = deque(maxlen=most)
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        self.samples.append((p.batchId, p.numInputRows, p.processedRowsPerSecond))
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+
 def windowed_counts(events: DataFrame, late: str = "10 minutes", size: str = "1 day") -> DataFrame:
     """Events of each closed window of event time; rows later than the watermark are dropped. events: ts (timestamp), kind."""
-    from pyspark.sql import functions as F
-
     return events.withWatermark("ts", late).groupBy(F.window("ts", size), "kind").agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "kind", "n")

@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from cutline.functions import media, text, vector
+from cutline.functions import image, media, text, vector
 from cutline.sources import dims, files
 
 
@@ -82,9 +82,10 @@ def test_vectors(spark):
     assert value(spark, vector.cosine(zero, v)) == 1.0 and abs(value(spark, vector.cosine(v, v)) - 1) < 1e-12
     px = F.sequence(F.lit(0), F.lit(11))
     assert value(spark, vector.average_pool(px, 3, 4, 2)) == [2.5, 4.5]
-    assert value(spark, vector.rotate_quarter(px, 3, 4, 1))[:3] == [3, 7, 11]
-    assert value(spark, vector.rotate_quarter(vector.rotate_quarter(px, 3, 4, 1), 4, 3, 3)) == list(range(12))
-    assert value(spark, vector.flip(px, 3, 4, True))[:4] == [3, 2, 1, 0]
+    one = image.whole(3, 4)
+    assert value(spark, one.quarter(1).take(px, 0))[:3] == [3, 7, 11]
+    assert value(spark, one.quarter(1).quarter(3).take(px, 0)) == list(range(12))
+    assert value(spark, one.mirror().take(px, 0))[:4] == [3, 2, 1, 0]
     grid = F.sequence(F.lit(0), F.lit(63))
     assert value(spark, vector.depth_to_space(vector.space_to_depth(grid, 8, 8, 2), 8, 8, 2)) == list(range(64))
     with pytest.raises(ValueError):
@@ -110,8 +111,9 @@ def test_manifests_and_presets(spark, tmp_path):
     assert sorted(r.scene_index for r in got.collect()) == [3, 4]
     files.write_manifest(got, f"{tmp_path}/out")
     assert spark.read.json(f"{tmp_path}/out").count() == 2
-    (tmp_path / "in.txt").write_text('"a.mp4"\n{"input": "b.mp4", "seek_ms": 5}\n{"no": 1}\n')
-    assert {(r.input, r.seek_ms) for r in files.read_inputs(spark, f"{tmp_path}/in.txt").collect()} == {("a.mp4", None), ("b.mp4", 5)}
+    (tmp_path / "in.json").write_text(json.dumps(["a.mp4", {"input": "b.mp4", "start_sec": 0.0055, "end_sec": 2}, {"no": 1}, {"input": "c.mp4", "scene_index": 9, "start_sec": "x"}, {"input": ""}]))
+    got = files.read_inputs(spark, f"{tmp_path}/in.json").collect()
+    assert {(r.scene_index, r.input, r.seek_ms, r.dur_ms) for r in got} == {(0, "a.mp4", None, None), (1, "b.mp4", 6, 1994), (9, "c.mp4", None, None)}
     files.save_preset(spark, f"{tmp_path}/presets", "x", ["a", "b"], {"k": "v"})
     files.save_preset(spark, f"{tmp_path}/presets", "y", ["a"], {})
     assert {r.name: r.runnable for r in files.presets(spark, f"{tmp_path}/presets").collect()} == {"x": True, "y": False}
@@ -168,3 +170,45 @@ def test_streams(spark, tmp_path):
     assert sorted(map(tuple, got)) == sorted(map(tuple, batch))
     got = stream(spark, tmp_path, [[(1, 2), (1, 0)], [(1, 1), (1, 3)]], "video_id long, pos long", stateful.ordered_pairs, "order")
     assert sorted(r.a for r in got) == [0, 1, 2]
+
+
+def test_detect_by_models_and_edges(spark):
+    from cutline.plans import detect
+
+    rows = [(1, i, float(i % 40 == 39)) for i in range(130)]
+    df = spark.createDataFrame(rows, "video_id long, i long, feature double")
+    scored = {r.i: r.score for r in detect.window_scores(df, lambda x: x * 0.9).collect()}
+    assert scored == {i: 0.9 * f for _, i, f in rows}
+    assert detect.detect_scenes(df, "scores", model=lambda x: x * 0.9).count() == 4
+    edges = [[1.0, 0.0], [1.0, 0.0], [0.0, 0.0], [0.0, 1.0], [0.0, 1.0]]
+    packets = spark.createDataFrame([(1, k * 1_000_000, k == 2, e) for k, e in enumerate(edges)], "video_id long, t_us long, is_key boolean, edges array<double>")
+    assert [r.start_us for r in detect.detect_scenes(packets, "edges", 0.5).orderBy("scene_index").collect()] == [0, 3_000_000]
+    good = [(1, k, k * 1_000_000) for k in range(4)] + [(2, 0, 5), (2, 1, 5)]
+    p, d = (spark.createDataFrame(x, "video_id long, seq long, t_us long") for x in (good, [(2, 0, 7), (2, 1, 2_000_007), (3, 0, 9)]))
+    assert sorted(map(tuple, detect.keyframe_times(p, d).collect())) == [(1, k * 1_000_000, False) for k in range(4)] + [(2, 7, True), (2, 2_000_007, True), (3, 9, True)]
+    assert detect.keyframe_summary(p.where("video_id = 1")).first().average_gap == 1.0
+    with pytest.raises(ValueError):
+        detect.pipeline(df, [lambda x: x])
+
+
+def test_stream_windows_and_log_tail(spark, tmp_path):
+    from cutline.operators.boundary import sliding_windows
+    from cutline.streaming import stateful
+
+    n = 23
+    rows = [(1, i, float(i), i == n - 1) for i in range(n)]
+    listener = stateful.ProgressListener()
+    spark.streams.addListener(listener)
+    got = stream(spark, tmp_path, [rows[:9], rows[9:11], rows[11:]], "video_id long, i long, value double, last boolean", lambda d: stateful.sliding_windows(d, 10, 4), "windows")
+    spark.streams.removeListener(listener)
+    want = {}
+    for r in sliding_windows(spark.createDataFrame(rows, "video_id long, i long, value double, last boolean"), 10, 4).collect():
+        want.setdefault(r.w, {})[r.slot] = r.value
+    assert {r.w: list(r.frames) for r in got} == {w: [v[s] for s in range(10)] for w, v in want.items()}
+    assert sum(r.scored for r in got) == n
+    (tmp_path / "logs").mkdir()
+    (tmp_path / "logs/a.log").write_text("[x] [y]: Interpolated 30/120 Frames\n\nInterpolation failed\n[Done]\n")
+    q = stateful.log_tail(spark, f"{tmp_path}/logs").writeStream.format("parquet").option("path", f"{tmp_path}/tail").option("checkpointLocation", f"{tmp_path}/tail-cp").trigger(availableNow=True).start()
+    q.awaitTermination(100)
+    tail = spark.read.parquet(f"{tmp_path}/tail").collect()
+    assert {(r.message, r.percent, r.done, r.error) for r in tail} == {("Interpolated 30/120 Frames", 25.0, False, None), ("Interpolation failed", None, False, "Interpolation failed"), ("[Done]", None, True, None)}
