@@ -50,10 +50,10 @@ class Encoder:
     """Token ids of texts as little-endian unsigned 32-bit bytes.
 
     Byte-level BPE never merges across the space before a word, so a text is cut there and the ids of each chunk are
-    remembered (at most `most` chunks). Texts where a space has white space on both sides are encoded whole.
+    remembered (at most `most` chunks, of about 200 bytes each). Texts where a space has white space on both sides are encoded whole.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 1_500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
