@@ -19,6 +19,11 @@ def fit(w: Column, h: Column, scale: Column, fit_w: Column, fit_h: Column) -> tu
     return F.when(over, even(ow)).otherwise(ow).cast("long"), F.when(over, even(oh)).otherwise(oh).cast("long")
 
 
+def height_at(width: Column, height: Column, wanted: int = 960) -> Column:
+    """The height that keeps an image's shape at a wanted width, cut off; at least 1."""
+    return F.greatest(F.lit(1).cast("long"), F.floor(wanted * height / width))
+
+
 def pad_to(x: Column, mod: int) -> Column:
     """How much is missing to a multiple."""
     return F.pmod(-x, F.lit(mod))

@@ -94,6 +94,13 @@ def with_readiness(scenes: DataFrame, ready: DataFrame, keys: list[str]) -> Data
     return scenes.join(ready.select(*keys).distinct().withColumn("thumbnail_ready", F.lit(True)), keys, "left").withColumn("thumbnail_ready", F.coalesce("thumbnail_ready", F.lit(False)))
 
 
+def posters(frames: DataFrame, keys: list[str], order: str, from_key: Column) -> DataFrame:
+    """One frame for each key: its first keyframe where from_key says so (clips that were copied may begin between two) and there is one, else its first. frames (keys, order, is_key, ...). Partial minima go through the shuffle."""
+    rest = F.struct(*[F.col(c) for c in frames.columns if c not in keys])
+    first = F.coalesce(F.min_by(rest, F.when(from_key & F.col("is_key"), F.col(order))), F.min_by(rest, F.col(order)))
+    return frames.groupBy(*keys).agg(first.alias("_f")).select(*keys, "_f.*")
+
+
 def per_source(jobs: DataFrame, find_out, key: str) -> DataFrame:
     """Jobs with what find_out(sources: one row for each) says of their source, which is asked once however many jobs it has."""
     return jobs.join(find_out(jobs.select(key).distinct()), key)

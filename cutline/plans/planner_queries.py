@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from ..functions import media, text
 from ..operators import align, planning, selection
 from ..sources import dims, encoders
-from ..sources.proxies import frames, table
+from ..sources.proxies import SQL_FRAMES, frames, table
 from .export_queries import SQL_PARTS, parts
 from .registry import query
-from .sequence_queries import HOUR, SQL_KEYS, SQL_SCENES, clock, keys, scenes
+from .sequence_queries import HOUR, SCENE_EVERY, SQL_KEYS, SQL_SCENES, clock, keys, scenes
 
 MODES = (*encoders.AUDIO_ARGS, "no such")
 
@@ -220,6 +220,18 @@ def frame_at(spark: SparkSession, sf: str) -> DataFrame:
     return near.where("k_at_or_after is not null").select("video_id", "scene_index", F.col("k_at_or_after").alias("first_us"))
 
 
+@query(
+    f"""WITH {SQL_FRAMES}, f AS (SELECT video_id, i // {SCENE_EVERY} AS scene_index, i, is_key, seq FROM frames),
+    p AS (SELECT video_id, scene_index, coalesce(min(i) FILTER (WHERE is_key AND scene_index % 2 = 0), min(i)) AS i FROM f GROUP BY 1, 2)
+    SELECT video_id, scene_index, i, is_key, greatest(1, 960 * (seq % 5) // (16 + seq % 100)) AS height FROM p JOIN f USING (video_id, scene_index, i)"""
+)
+def thumbnails(spark: SparkSession, sf: str) -> DataFrame:
+    """The frame that stands for each scene, and its height at 960 columns; scenes of even number are copies."""
+    rows = frames(spark, sf).select("video_id", F.floor(F.col("i") / SCENE_EVERY).alias("scene_index"), "i", "is_key", "seq")
+    picked = selection.posters(rows, ["video_id", "scene_index"], "i", F.col("scene_index") % 2 == 0)
+    return picked.select("video_id", "scene_index", "i", "is_key", media.height_at(F.col("seq") % 100 + 16, F.col("seq") % 5).alias("height"))
+
+
 @query(
     """WITH k AS (SELECT user_id, event_id, (props::JSON->>'k')::BIGINT AS k FROM events), b AS (SELECT user_id, k % 4 AS block, max(32 + k) AS c FROM k GROUP BY 1, 2),
     g AS (SELECT user_id, max(block) AS last, count(*) AS n, list(c ORDER BY block) AS channels FROM b GROUP BY 1), w AS (SELECT user_id, max(k) + 8 AS second, max(4 * (k % 9)) AS out FROM k GROUP BY 1)

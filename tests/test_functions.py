@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cutline.functions import image, media, text, vector
-from cutline.sources import dims, files
+from cutline.sources import dims, files, raw_frames
 
 
 def value(spark, column):
@@ -212,3 +212,30 @@ def test_stream_windows_and_log_tail(spark, tmp_path):
     q.awaitTermination(100)
     tail = spark.read.parquet(f"{tmp_path}/tail").collect()
     assert {(r.message, r.percent, r.done, r.error) for r in tail} == {("Interpolated 30/120 Frames", 25.0, False, None), ("Interpolation failed", None, False, "Interpolation failed"), ("[Done]", None, True, None)}
+
+
+def test_raw_frames(spark, tmp_path):
+    size = 2 * 3 * 3
+    a, b = bytes(range(size)) * 5, bytes(size) * 2 + b"left behind"
+    (tmp_path / "a.raw").write_bytes(a)
+    (tmp_path / "b.raw").write_bytes(b)
+    (tmp_path / "c.raw").write_bytes(b"")
+    read = lambda path, **more: raw_frames.read_frames(spark, path, height=2, width=3, split=2 * size, **more)
+    rows = read(str(tmp_path)).orderBy("path", "i").collect()
+    assert [(r["path"][-5:], r["i"]) for r in rows] == [("a.raw", i) for i in range(5)] + [("b.raw", i) for i in range(2)]
+    assert b"".join(r["px"] for r in rows) == a + b[: 2 * size]
+    assert read(str(tmp_path)).rdd.getNumPartitions() == 4
+    assert read(f"file://{tmp_path}/a.raw", limit=3).count() == 3
+    assert read(f"{tmp_path}/c.raw").count() == 0
+    with pytest.raises(Exception, match="nowhere"):
+        read(f"{tmp_path}/nowhere").count()
+
+
+def test_posters(spark):
+    from cutline.operators import selection
+
+    rows = spark.createDataFrame([(1, 0, False, "a"), (1, 1, True, "b"), (2, 4, False, "c"), (2, 5, False, None)], "s long, i long, is_key boolean, note string")
+    found = lambda copied: {r["s"]: (r["i"], r["note"]) for r in selection.posters(rows, ["s"], "i", F.lit(copied)).collect()}
+    assert found(True) == {1: (1, "b"), 2: (4, "c")}
+    assert found(False) == {1: (0, "a"), 2: (4, "c")}
+    assert spark.range(1).select(media.height_at(F.lit(1920), F.lit(1080)), media.height_at(F.lit(5000), F.lit(1))).first()[:] == (540, 1)
