@@ -8,7 +8,7 @@ from typing import NamedTuple
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .vector import bilinear, bound, grid
+from .vector import bound, corners, grid, sample
 
 
 class Places(NamedTuple):
@@ -100,16 +100,23 @@ def resize(pixels: Column, height: int, width: int, factor: float) -> Column:
     """Bilinear, with cells' centres aligned and the border repeated."""
     oh, ow = int(height * factor), int(width * factor)
     at = lambda k: F.greatest(F.lit(0.0), (k + 0.5) / factor - 0.5)
-    return bound(pixels, lambda p: F.transform(grid(oh, ow), lambda k: bilinear(p, height, width, at(k % ow), at(F.floor(k / ow)))))
+    places = F.transform(grid(oh, ow), lambda k: corners(height, width, at(k % ow), at(F.floor(k / ow))))
+    return bound(pixels, lambda p: F.transform(places, lambda c: sample(p, height, width, c)))
 
 
 def binary_hole(mask: Column) -> Column:
     return F.transform(mask, lambda m: (m > 0.5).cast("double"))
 
 
+def targets(flow_x: Column, flow_y: Column, height: int, width: int, border: bool) -> Column:
+    """Where the flow of each cell points, as corners(): once for all that is sampled there."""
+    spots = F.transform(grid(height, width), lambda k: F.struct((k % width + F.get(flow_x, k)).alias("x"), (F.floor(k / width) + F.get(flow_y, k)).alias("y")))
+    return F.transform(spots, lambda p: corners(height, width, p["x"], p["y"], border))
+
+
 def warp(pixels: Column, flow_x: Column, flow_y: Column, height: int, width: int, border: bool = True) -> Column:
     """An image sampled where its flow points, cell by cell; beyond the image its border (border) or zero."""
-    every = lambda p: F.transform(grid(height, width), lambda k: bilinear(p["px"], height, width, k % width + F.get(p["x"], k), F.floor(k / width) + F.get(p["y"], k), border))
+    every = lambda p: F.transform(targets(p["x"], p["y"], height, width, border), lambda c: sample(p["px"], height, width, c))
     return bound(F.struct(pixels.alias("px"), flow_x.alias("x"), flow_y.alias("y")), every)
 
 
@@ -119,8 +126,7 @@ def splat(pixels: Column, flow_x: Column, flow_y: Column, height: int, width: in
     made = F.struct(F.zip_with(pixels, weights, lambda p, w: p * w).alias("v"), weights.alias("w"), flow_x.alias("x"), flow_y.alias("y"))
 
     def every(s: Column) -> Column:
-        sample = lambda c, k: bilinear(s[c], height, width, k % width + F.get(s["x"], k), F.floor(k / width) + F.get(s["y"], k), border=False)
-        return F.transform(grid(height, width), lambda k: sample("v", k) / F.greatest(F.lit(1e-7), sample("w", k)))
+        return F.transform(targets(s["x"], s["y"], height, width, border=False), lambda c: sample(s["v"], height, width, c) / F.greatest(F.lit(1e-7), sample(s["w"], height, width, c)))
 
     return bound(made, every)
 
