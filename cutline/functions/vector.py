@@ -98,18 +98,25 @@ def soft_match(own: Column, others: Column, channels: int, coords: Column, valid
     return bound(bound(score, shifted), lambda w: dot(w, coords) / total(w))
 
 
-def corners(height: int, width: int, x: Column, y: Column, border: bool = True) -> Column:
+def _corner(height: int, width: int, x: Column, y: Column, border: bool) -> tuple[Column, Column, Column, Column]:
     """The pixel above and to the left of a place, and how far the place is from it; border: the place is moved into the image first."""
     if border:
         x, y = F.greatest(F.lit(0.0), F.least(F.lit(width - 1.0), x)), F.greatest(F.lit(0.0), F.least(F.lit(height - 1.0), y))
     x0, y0 = F.floor(x), F.floor(y)
-    return F.struct(x0.alias("x0"), y0.alias("y0"), (x - x0).alias("fx"), (y - y0).alias("fy"))
+    return x0, y0, x - x0, y - y0
+
+
+def corners(height: int, width: int, x: Column, y: Column, border: bool = True) -> Column:
+    """_corner() as a struct, for places that are computed once and sampled in several images."""
+    return F.struct(*[c.alias(n) for n, c in zip(("x0", "y0", "fx", "fy"), _corner(height, width, x, y, border), strict=True)])
 
 
 def sample(pixels: Column, height: int, width: int, at: Column) -> Column:
     """A sample between the pixels at corners(); zero outside of the image."""
-    x0, y0, fx, fy = (at[n] for n in ("x0", "y0", "fx", "fy"))
+    return _between(pixels, height, width, *[at[n] for n in ("x0", "y0", "fx", "fy")])
+
 
+def _between(pixels: Column, height: int, width: int, x0: Column, y0: Column, fx: Column, fy: Column) -> Column:
     def px(r: Column, c: Column) -> Column:
         ok = (r >= 0) & (r < height) & (c >= 0) & (c < width)
         return F.when(ok, F.get(pixels, F.when(ok, r * width + c).otherwise(0).cast("int")).cast("double")).otherwise(0.0)
@@ -119,4 +126,4 @@ def sample(pixels: Column, height: int, width: int, at: Column) -> Column:
 
 def bilinear(pixels: Column, height: int, width: int, x: Column, y: Column, border: bool = True) -> Column:
     """A sample between pixels; outside of the image the border's value (border) or zero."""
-    return sample(pixels, height, width, corners(height, width, x, y, border))
+    return _between(pixels, height, width, *_corner(height, width, x, y, border))
