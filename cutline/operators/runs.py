@@ -9,10 +9,22 @@ from pyspark.sql import functions as F
 from .boundary import by_video, runs
 
 
-def dead(mean_mag: Column, diff_fraction: Column, inlier_ratio: Column, frob_norm: Column, flow: Column, area: Column, inlier: float = 0.8, skip_homography: bool = False, parallax: bool = False) -> Column:
+def dead(mean_mag: Column, diff_fraction: Column, inlier_ratio: Column, frob_norm: Column, flow: Column, area: Column, inlier: float = 0.8, skip_homography: bool | Column = False, parallax: bool | Column = False) -> Column:
     """Is a frame a repeat of the one before? The rules apply in order: motion, camera movement, changed area; all strictly."""
-    camera = F.lit(not skip_homography) & (inlier_ratio > inlier) & F.coalesce(frob_norm > 1.0, F.lit(False))
-    return F.when(mean_mag < flow, True).when(camera, F.lit(not parallax)).otherwise(diff_fraction < area)
+    camera = ~F.lit(skip_homography) & (inlier_ratio > inlier) & F.coalesce(frob_norm > 1.0, F.lit(False))
+    return F.when(mean_mag < flow, True).when(camera, ~F.lit(parallax)).otherwise(diff_fraction < area)
+
+
+def _limits(flow: Column, area: Column, lock_flow: bool | Column | None, lock_area: bool | Column | None, of) -> tuple[Column, Column]:
+    """Thresholds from the 20 % and 15 % percentiles of a video's statistics, where they aren't locked; of(aggregate, column) finds a video's value."""
+    lock_flow, lock_area = flow < 0.1 if lock_flow is None else lock_flow, area < 0.01 if lock_area is None else lock_area
+    clamp = lambda x, lo, hi: F.greatest(F.lit(lo), F.least(F.lit(hi), x))
+    enough = lambda c, lock: (of(F.count, c) >= 2) & ~F.lit(lock)
+    share = lambda c, p: of(lambda x: F.percentile(x, p), c)
+    return (
+        F.when(enough("mean_mag", lock_flow), clamp(share("mean_mag", 0.2) * 0.6, 0.2, 2.0)).otherwise(flow),
+        F.when(enough("diff_fraction", lock_area), clamp(share("diff_fraction", 0.15) * 0.4, 0.03, 0.25)).otherwise(area),
+    )
 
 
 def calibrate(stats: DataFrame, flow: float = 0.8, area: float = 0.1, lock_flow: bool | None = None, lock_area: bool | None = None, sample: int = 0) -> DataFrame:
@@ -21,16 +33,19 @@ def calibrate(stats: DataFrame, flow: float = 0.8, area: float = 0.1, lock_flow:
     The given thresholds stay with fewer than two values, or if locked: by default those below 0.1 and 0.01. An exact
     percentile holds the distinct values of one video in a task.
     """
-    lock_flow, lock_area = flow < 0.1 if lock_flow is None else lock_flow, area < 0.01 if lock_area is None else lock_area
     if sample:
         stats = stats.withColumn("_n", F.row_number().over(by_video("i"))).where(F.col("_n") <= sample)
-    clamp = lambda x, lo, hi: F.greatest(F.lit(lo), F.least(F.lit(hi), x))
-    out = stats.groupBy("video_id").agg(F.percentile("mean_mag", 0.2).alias("pf"), F.count("mean_mag").alias("nf"), F.percentile("diff_fraction", 0.15).alias("pa"), F.count("diff_fraction").alias("na"))
-    return out.select(
-        "video_id",
-        F.when((F.col("nf") >= 2) & F.lit(not lock_flow), clamp(F.col("pf") * 0.6, 0.2, 2.0)).otherwise(flow).alias("flow"),
-        F.when((F.col("na") >= 2) & F.lit(not lock_area), clamp(F.col("pa") * 0.4, 0.03, 0.25)).otherwise(area).alias("area"),
-    )
+    own_flow, own_area = _limits(F.lit(flow), F.lit(area), lock_flow, lock_area, lambda f, c: f(F.col(c)))
+    return stats.groupBy("video_id").agg(own_flow.alias("flow"), own_area.alias("area"))
+
+
+def with_limits(stats: DataFrame, flow: Column, area: Column, lock_flow: bool | Column | None = None, lock_area: bool | Column | None = None, sample: int = 0) -> DataFrame:
+    """stats with the thresholds of calibrate() beside each row: one shuffle by video and no join, and what follows by video reuses it."""
+    first = (F.col("_n") <= sample) if sample else F.lit(True)
+    w = W.partitionBy("video_id")
+    own_flow, own_area = _limits(flow, area, lock_flow, lock_area, lambda f, c: f(F.when(first, F.col(c))).over(w))
+    rows = stats.withColumn("_n", F.row_number().over(by_video("i"))) if sample else stats
+    return rows.withColumns({"flow": own_flow, "area": own_area}).drop("_n")
 
 
 def smooth(decisions: DataFrame, cadence: int) -> DataFrame:

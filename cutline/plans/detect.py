@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vector import cosine
@@ -78,24 +78,67 @@ def list_scenes(scenes: DataFrame, least_us: int = 0) -> DataFrame:
     return scenes.where(F.col("end_us") - F.col("start_us") >= least_us) if least_us > 0 else scenes
 
 
-def plan_cuts(scenes: DataFrame, keys: DataFrame, hevc: bool = False, cuda: bool = False, within_us: int = 200_000, snap_us: int = 5_000_000) -> DataFrame:
-    """Each scene with how it is cut, and from where. scenes (video_id, scene_index, start_us, end_us)."""
-    points = scenes.select("video_id", "scene_index", "end_us", F.col("start_us").alias("t_us"))
-    near = align.neighbours(points, keys, ("scene_index", "end_us"))
+def plan_cuts(scenes: DataFrame, keys: DataFrame, hevc: bool | Column = False, cuda: bool | Column = False, within_us: int = 200_000, snap_us: int = 5_000_000) -> DataFrame:
+    """Each scene with how it is cut, and from where. scenes (video_id, scene_index, start_us, end_us, ...); hevc and cuda may be columns of it. -> video_id, scene_index, start_us, end_us, mode, ..."""
+    more = tuple(c for c in scenes.columns if c not in ("video_id", "scene_index", "start_us", "end_us"))
+    points = scenes.select("video_id", "scene_index", "end_us", *more, F.col("start_us").alias("t_us"))
+    near = align.neighbours(points, keys, ("scene_index", "end_us", *more))
     t = F.col("t_us")
     on_key = F.coalesce(t - F.col("k_before") <= within_us, F.lit(False)) | F.coalesce(F.col("k_at_or_after") - t <= within_us, F.lit(False))
     snap = align.earlier_snap(t, F.col("k_at_or_before"), F.col("k_after"), snap_us, F.col("end_us"))
     mode = align.cut_mode(t, F.col("end_us"), on_key, snap, F.col("k_after"), F.lit(hevc), F.lit(cuda))
     rows = near.withColumn("mode", mode).withColumn("snap", snap)
-    return rows.select("video_id", "scene_index", F.when(F.col("mode") == "snapped_copy", F.col("snap")).otherwise(t).alias("start_us"), "end_us", "mode")
+    return rows.select("video_id", "scene_index", F.when(F.col("mode") == "snapped_copy", F.col("snap")).otherwise(t).alias("start_us"), "end_us", "mode", *more)
 
 
-def drop_dead_frames(stats: DataFrame, fps: float, auto: bool = True, cadence: int = 0, **rule) -> DataFrame:
-    """Kept frames as segments. stats (video_id, i from 1, mean_mag, diff_fraction, inlier_ratio, frob_norm); frame 0 is kept."""
-    rows = stats.join(runs.calibrate(stats), "video_id") if auto else stats.withColumn("flow", F.lit(0.8)).withColumn("area", F.lit(0.1))
-    is_dead = runs.dead(*[F.col(c) for c in ("mean_mag", "diff_fraction", "inlier_ratio", "frob_norm", "flow", "area")], **rule)
-    first = stats.select("video_id").distinct().select("video_id", F.lit(0).cast("long").alias("i"), F.lit(True).alias("keep"))
-    return runs.keep_segments(runs.smooth(first.unionByName(rows.select("video_id", "i", (~is_dead).alias("keep"))), cadence), fps)
+def dead_frames(stats: DataFrame, auto: bool = True, flow: float = 0.8, area: float = 0.1, keep_talking: bool = False, keep_camera: bool = False, safe: bool = False, small_movements: float | None = None, sample: int = 0, **rule) -> DataFrame:
+    """Decisions for each frame: video_id, i, keep. stats (video_id, i from 1, mean_mag, diff_fraction, inlier_ratio, frob_norm); frame 0 is kept.
+
+    The flags mean what planning.detector_options says; sample: how many of a video's first statistics are used for its
+    thresholds (0: all). The statistics are read once, and dealt by video once.
+    """
+    flags = map(F.lit, (flow, area, keep_talking, keep_camera, safe, auto))
+    options = planning.detector_options(*flags, F.lit(small_movements).cast("double"))
+    if auto or keep_talking or keep_camera or safe:
+        rows = runs.with_limits(stats, options["flow"], options["area"], options["lock_flow"], options["lock_area"], sample)
+    else:
+        rows = stats.withColumns({"flow": options["flow"], "area": options["area"]})
+    is_dead = runs.dead(*[F.col(c) for c in ("mean_mag", "diff_fraction", "inlier_ratio", "frob_norm", "flow", "area")], **{"skip_homography": options["skip_homography"], **rule})
+    own = F.struct(F.col("i").cast("long").alias("i"), (~is_dead).alias("keep"))
+    zero = F.struct(F.lit(0).cast("long").alias("i"), F.lit(True).alias("keep"))
+    head = F.row_number().over(boundary.by_video("i")) == 1
+    return rows.withColumn("_d", F.when(head, F.array(zero, own)).otherwise(F.array(own))).select("video_id", F.inline("_d"))
+
+
+def drop_dead_frames(stats: DataFrame, fps: float, auto: bool = True, cadence: int = 0, **options) -> DataFrame:
+    """Kept frames as segments, by dead_frames()."""
+    return runs.keep_segments(runs.smooth(dead_frames(stats, auto, **options), cadence), fps)
+
+
+def materialise(items: DataFrame, sources: DataFrame, keys: DataFrame) -> DataFrame:
+    """How each item of a batch becomes a clip of its own; one that can't says why, and the others go on.
+
+    items (item, clip, thumbnail, source, start_us, end_us): a clip that is there is copied, else a range of a source is
+    cut. sources (source, hevc), keys (source, t_us) are asked for the sources in use only. -> item, how (copied, a mode
+    of align.cut_mode, or null), start_us, poster (there, first_keyframe, first_frame), error.
+    """
+    has_clip = F.coalesce(F.col("clip") != "", F.lit(False))
+    wanted = items.where(~has_clip)
+    named = F.coalesce(F.col("source") != "", F.lit(False))
+    sources = sources.groupBy("source").agg(F.bool_or(F.coalesce("hevc", F.lit(False))).alias("hevc"))
+    known = wanted.join(sources, "source", "left")
+    span = F.col("start_us").isNotNull() & F.col("end_us").isNotNull()
+    error = F.when(~named, "no source").when(F.col("hevc").isNull(), "unknown source").when(~span, "no range").when(F.col("end_us") <= F.col("start_us"), "empty range")
+    known = known.withColumn("error", error)
+    nothing = lambda kind: F.lit(None).cast(kind)
+    copied = items.where(has_clip).select("item", F.lit("copied").alias("how"), nothing("long").alias("start_us"), F.when(F.coalesce(F.col("thumbnail") != "", F.lit(False)), "there").otherwise("first_keyframe").alias("poster"), nothing("string").alias("error"))
+    failed = known.where("error is not null").select("item", nothing("string").alias("how"), nothing("long").alias("start_us"), nothing("string").alias("poster"), "error")
+    good = known.where("error is null")
+    used = keys.join(good.select("source").distinct(), "source", "left_semi").select(F.col("source").alias("video_id"), "t_us")
+    cut = plan_cuts(good.select(F.col("source").alias("video_id"), F.col("item").alias("scene_index"), "start_us", "end_us", "hevc"), used, F.col("hevc"))
+    at_key = F.col("mode").isin("copy", "snapped_copy")
+    cut = cut.select(F.col("scene_index").alias("item"), F.col("mode").alias("how"), "start_us", F.when(at_key, "first_keyframe").otherwise("first_frame").alias("poster"), nothing("string").alias("error"))
+    return copied.unionByName(failed).unionByName(cut)
 
 
 def export_jobs(scenes: DataFrame, clips: DataFrame, select: str = "") -> DataFrame:

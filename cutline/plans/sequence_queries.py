@@ -384,10 +384,10 @@ def auto_calibration(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {SQL_CALIBRATED} SELECT s.video_id, count(*) AS n, count(*) FILTER ({SQL_DEAD.format('flow', 'area')}) AS n_dead FROM stats s JOIN c USING (video_id) GROUP BY 1")
 def calibrated_dead_frames(spark: SparkSession, sf: str) -> DataFrame:
-    """Frames dropped under calibrated thresholds: one row of thresholds a video, joined by the key the statistics are already dealt by."""
-    stats = pair_stats(spark, sf)
+    """Frames dropped under calibrated thresholds, which stand beside each row: one shuffle."""
     is_dead = runs.dead(F.col("mean_mag"), F.col("diff_fraction"), F.col("inlier_ratio"), F.col("frob_norm"), F.col("flow"), F.col("area"))
-    return stats.join(runs.calibrate(stats), "video_id").groupBy("video_id").agg(F.count("*").alias("n"), F.count_if(is_dead).alias("n_dead"))
+    rows = runs.with_limits(pair_stats(spark, sf), F.lit(0.8), F.lit(0.1))
+    return rows.groupBy("video_id").agg(F.count("*").alias("n"), F.count_if(is_dead).alias("n_dead"))
 
 
 @query(

@@ -92,6 +92,12 @@ class SceneCache:
         _, new = self.split(scenes)
         new.write.mode("append").partitionBy("method").parquet(self.path)
 
-    def clear(self) -> None:
-        target = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
-        target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    def listed(self) -> DataFrame | None:
+        """Scenes of each fingerprint and method."""
+        there = self._table()
+        return None if there is None else there.groupBy("print", "method").agg(F.count("*").alias("n_scenes"))
+
+    def clear(self, method: str | None = None) -> bool:
+        """Deletes what a method has made, or everything; was there anything?"""
+        target = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path if method is None else f"{self.path}/method={method}")
+        return target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)

@@ -127,8 +127,10 @@ def test_cache(spark, tmp_path):
     cache.add(rows)
     hit, miss = cache.split(spark.createDataFrame([("a",), ("c",)], "print string"))
     assert [r.print for r in hit.collect()] == ["a"] and [r.print for r in miss.collect()] == ["c"]
+    assert {(r.print, r.n_scenes) for r in cache.listed().collect()} == {("a", 1), ("b", 1)}
+    assert not cache.clear("edges") and cache.clear("keyframe")
     cache.clear()
-    assert cache.read() is None
+    assert cache.read() is None and cache.listed() is None
 
 
 def test_detect(spark):
@@ -191,6 +193,51 @@ def test_detect_by_models_and_edges(spark):
         detect.pipeline(df, [lambda x: x])
 
 
+def test_videos(spark, tmp_path):
+    from cutline.plans.videos import Videos
+    from cutline.sources.files import SceneCache
+
+    schema = "video_id long, path string, size long, mtime_ns long, rate string, dimensions string, seconds string, codec string"
+    facts = spark.createDataFrame([(1, "/in/a.mkv", 10, 5, "25/1", "64x48", "12.5", "hevc"), (2, "/in/b.mkv", 10, 5, "x", "N/A", "N/A", None)], schema)
+    packets = spark.createDataFrame([(1, k * 1_000_000, k % 4 == 0) for k in range(12)] + [(1, None, True)], "video_id long, t_us long, is_key boolean")
+    v = Videos(facts, packets)
+    cache = SceneCache(spark, f"{tmp_path}/cache")
+    rows = {r.video_id: r for r in v.probe(cache).collect()}
+    assert (rows[1].width, rows[1].n_frames, rows[1].hevc, rows[1].n_keys, rows[1].average_gap, rows[1].cached) == (64, 312, True, 3, 4.0, False)
+    assert (rows[2].width, rows[2].fps, rows[2].n_frames, rows[2].duration_ms, rows[2].n_keys) == (None, None, None, None, 0)
+    cache.add(v.with_prints().where("video_id = 1").selectExpr("print", "'keyframe' as method", "0 as scene_index"))
+    assert {r.video_id: r.cached for r in v.probe(cache).collect()} == {1: True, 2: False}
+    assert [(r.scene_index, r.start_us) for r in v.scenes(least_us=3_500_000).orderBy("scene_index").collect()] == [(0, 0), (1, 4_000_000)]
+    cuts = spark.createDataFrame([(1, 0, 4_000_000, 8_000_000), (1, 1, 5_000_000, 8_000_000), (3, 0, 0, 9)], "video_id long, scene_index long, start_us long, end_us long")
+    assert {(r.video_id, r.scene_index): (r.start_us, r.mode) for r in v.cuts(cuts).collect()} == {(1, 0): (4_000_000, "copy"), (1, 1): (4_000_000, "snapped_copy"), (3, 0): (0, "reencode")}
+    at = spark.createDataFrame([(1, 2_500_000, "x"), (1, 99_000_000, "y")], "video_id long, t_us long, name string")
+    assert [(r.name, r.frame_us) for r in v.frames_at(at).collect()] == [("x", 3_000_000)]
+    assert v.segments(spark.createDataFrame([(1, 2_000_000, 5_000_000)], "video_id long, start_us long, end_us long"), 2_000_000).count() == 3
+    s = "item long, clip string, thumbnail string, source string, start_us long, end_us long"
+    items = [(0, "c", "t", None, None, None), (1, "c", None, None, None, None), (2, None, None, None, 0, 1), (3, None, None, "/in/z", 0, 1), (4, "", "t", "/in/a.mkv", 5, 5), (5, None, None, "/in/a.mkv", None, 5), (6, None, None, "/in/a.mkv", 5_000_000, 8_000_000), (7, None, None, "/in/b.mkv", 0, 9)]
+    want = {0: ("copied", None, "there", None), 1: ("copied", None, "first_keyframe", None), 2: (None, None, None, "no source"), 3: (None, None, None, "unknown source"), 4: (None, None, None, "empty range"), 5: (None, None, None, "no range")}
+    want |= {6: ("snapped_copy", 4_000_000, "first_keyframe", None), 7: ("reencode", 0, "first_frame", None)}
+    assert {r[0]: tuple(r[1:]) for r in v.materialise(spark.createDataFrame(items, s)).collect()} == want
+    assert v.materialise(spark.createDataFrame([], s)).count() == 0
+
+
+def test_dead_frame_flags(spark):
+    from cutline.plans.detect import dead_frames
+
+    schema = "video_id long, i long, mean_mag double, diff_fraction double, inlier_ratio double, frob_norm double"
+    rows = [(1, 0.5, 0.5, 0.9, 2.0), (2, 0.04, 0.5, 0.0, None), (3, 3.0, 0.05, 0.0, None), (4, 3.0, 0.5, 0.9, 2.0)]
+    stats = spark.createDataFrame([(1, *r) for r in rows], schema)
+    kept = lambda **o: [r.i for r in dead_frames(stats, **o).where("keep").orderBy("i").collect()]
+    assert kept(auto=False) == [0]
+    assert kept(auto=False, parallax=True) == [0, 4]
+    assert kept(auto=False, small_movements=0.01) == [0, 2]
+    # calibrated: 0.6 x the 20 % percentile of 0.04, 0.5, 3, 3, and 0.4 x the 15 % percentile of 0.05 and 0.5
+    assert kept(keep_camera=True) == [0, 1, 4]
+    assert kept(safe=True) == [0, 1, 3, 4]
+    assert kept(keep_talking=True, sample=1) == [0, 3]
+    assert dead_frames(spark.createDataFrame([], schema)).count() == 0
+
+
 def test_stream_windows_and_log_tail(spark, tmp_path):
     from cutline.operators.boundary import sliding_windows
     from cutline.streaming import stateful
