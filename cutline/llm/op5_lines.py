@@ -13,8 +13,11 @@ selection leaves (12 for two edits; the three of its own length and places are t
 once). Lines that share a key, one of them by its index entry, are candidates. A key's lines are dealt to blocks of
 BLOCK, and each SUPER blocks to a superblock. Pairs of blocks are joined by (key, pair of superblocks), so the pairs of a
 frequent segment are dealt to as many groups as it has pairs of superblocks, and there is no row for each pair of lines.
-(Only the numbering of a key's lines, of 25 bytes each, is one task's work; it spills.) Within a pair of blocks, candidates are first held against a 64-bit parity signature of their bigrams (an edit flips at
-most four bits) and then verified by banded bit-parallel edit distance (Myers' recurrence on a band of 2 TAU + 1 rows,
+A key's lines are numbered for that in one task, but for hot keys: of those, which a sample by hash of one different
+line in SAMPLED shows HOT_SAMPLED times or more (about 16,000 lines), the most frequent HOT_KEYS have their lines dealt to
+blocks by hash before the shuffle. The sample only decides where lines are put, never whether they are compared. Within a
+pair of blocks, candidates are first held against a 64-bit parity signature of their bigrams (an edit flips at most four
+bits) and then verified by banded bit-parallel edit distance (Myers' recurrence on a band of 2 TAU + 1 rows,
 which moves down the diagonal with the column); only links leave. Lines that allow fewer edits are indexed in as many
 fewer segments: a pair's edits are those of its shorter line, whose length is part of the key.
 
@@ -36,6 +39,7 @@ from .common import BLANKS, broadcast_if, fresh, look_up, table, text_or_empty,
 from .components import components
 
 TAU, MIN_CHARS, BLOCK, SUPER = 2, 24, 32, 64
+SAMPLED, HOT_SAMPLED, HOT_KEYS = 256, 64, 10_000
 #: Characters of a line for each edit that it allows; and the min_chars that takes every line that isn't blank.
 PER_EDIT, EVERY_LINE = 12, 1
 #: Documents that lose lines, up to which they are broadcast (with ten lines each at most on average).
@@ -146,20 +150,32 @@ def within(a: Column, b: Column, tau: int = TAU) -> Column:
     return F.when(~near, F.lit(False)).when(a["len"] >= b["len"], distance(a, b) <= most).otherwise(distance(b, a) <= most)
 
 
+def hot_keys(texts: DataFrame, tau: int = TAU) -> DataFrame:
+    """texts (line, ...) -> _k, blocks: the most frequent keys, by a sample of the lines, and how many blocks each needs; HOT_KEYS rows at most."""
+    # a condition on the line, and not on its hash, stays above the aggregate of lines, whose shuffle is then used twice
+    sample = texts.where(F.pmod(F.xxhash64(F.lit(5), "line"), F.lit(SAMPLED)) == 0)
+    found = keys(sample, tau, per_edit=True).groupBy(F.col("k").alias("_k")).agg(F.count("*").alias("m")).where(F.col("m") >= HOT_SAMPLED)
+    return found.orderBy(F.desc("m"), "_k").limit(HOT_KEYS).select("_k", F.ceil(F.col("m") * SAMPLED / BLOCK).alias("blocks"))
+
+
 def line_links(each: DataFrame, tau: int = TAU) -> DataFrame:
     """each (line, h) -> links (u, v) between the hashes of different lines within tau edits."""
     from pyspark.sql import Window as W
 
     texts = each.where((F.col("h").isNotNull()) & (F.length("line") >= PER_EDIT)).groupBy("h").agg(F.first("line").alias("line")).withColumn("len", F.length("line"))
-    keyed = keys(texts, tau, per_edit=True)
-    group = W.partitionBy("k")
+    keyed = keys(texts, tau, per_edit=True).join(F.broadcast(hot_keys(texts, tau)), F.col("k") == F.col("_k"), "left")
+    # number of blocks and own block of a hot key's line; 0 for the others
+    deal = F.coalesce(F.shiftleft(F.col("blocks"), 32).bitwiseOR(F.pmod(F.xxhash64(F.lit(7), "h"), F.col("blocks"))), F.lit(0).cast("long"))
+    group = W.partitionBy("k", "deal")
+    is_hot = F.col("deal") > 0
     members = (
-        keyed.select("k", "h", "idx", F.min("h").over(group).alias("lo"), F.max("h").over(group).alias("hi"), F.max("idx").over(group).alias("any_idx"))
-        .where((F.col("lo") < F.col("hi")) & F.col("any_idx"))
-        .groupBy("k", "h")
+        keyed.select("k", deal.alias("deal"), "h", "idx")
+        .select("k", "deal", "h", "idx", F.min("h").over(group).alias("lo"), F.max("h").over(group).alias("hi"), F.max("idx").over(group).alias("any_idx"))
+        .where(is_hot | ((F.col("lo") < F.col("hi")) & F.col("any_idx")))
+        .groupBy("k", "deal", "h")
         .agg(F.max("idx").alias("idx"))
-        .withColumn("block", F.floor((F.row_number().over(group.orderBy("h")) - 1) / BLOCK))
-        .withColumn("supers", F.floor(F.max("block").over(group) / SUPER) + 1)
+        .withColumn("block", F.when(is_hot, F.col("deal").bitwiseAND(F.lit((1 << 32) - 1))).otherwise(F.floor((F.row_number().over(group.orderBy("h")) - 1) / BLOCK)))
+        .withColumn("supers", F.floor(F.when(is_hot, F.shiftright("deal", 32) - 1).otherwise(F.max("block").over(group)) / SUPER) + 1)
     )
     full = members.join(texts.withColumnRenamed("h", "_h"), F.col("h") == F.col("_h"))
     full = full.select("k", "block", "supers", F.struct("h", "idx", "line", "len", bigram_parity(F.col("line")).alias("sig")).alias("m"))

@@ -166,11 +166,14 @@ def test_line_dedup(spark, line_rows):
             assert (kept[i] or "") == left
 
 
-@pytest.mark.parametrize("hot", [3, 10_000])
-def test_frequent_lines_and_segments(spark, monkeypatch, hot):
-    """Several superblocks of one segment, and more known lines than are broadcast."""
+@pytest.mark.parametrize(("hot", "sampled"), [(3, (256, 64)), (10_000, (256, 64)), (10_000, (1, 20)), (10_000, (2, 1))])
+def test_frequent_lines_and_segments(spark, monkeypatch, hot, sampled):
+    """Several superblocks of one segment, more known lines than are broadcast, and hot segments whose lines are dealt by hash."""
     from cutline.llm import common
 
+    monkeypatch.setattr(lines, "SAMPLED", sampled[0])
+    monkeypatch.setattr(lines, "HOT_SAMPLED", sampled[1])
+
     monkeypatch.setattr(common, "HOT_KEYS", hot)
     monkeypatch.setattr(lines, "BLOCK", 2)
     monkeypatch.setattr(lines, "SUPER", 3)
