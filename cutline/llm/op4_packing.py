@@ -38,6 +38,9 @@ LENGTH = 1024
 #: Most pieces that share a sequence, and most loss-bearing tokens in it.
 SEGMENTS, LOSS = 12, 832
 PROMPT_PERCENT = 25
+#: Chunks that each Python worker remembers: by default, which fits beside the memory that earlier stages of a job have
+#: taken (some 80 MB), and in the query, which has the executor to itself (300 MB).
+REMEMBERED, REMEMBERED_ALONE = 400_000, 1_500_000
 #: Tokens that wait in a task before it packs.
 WINDOW = 1 << 20
 END = 0
@@ -53,7 +56,7 @@ class Encoder:
     remembered (at most `most` chunks, of about 200 bytes each). Texts where a space has white space on both sides are encoded whole.
     """
 
-    def __init__(self, path: str, most: int = 1_500_000):
+    def __init__(self, path: str, most: int = REMEMBERED):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -205,14 +208,14 @@ def unpadded(row: list[tuple[int, int, int]]) -> list[list[tuple[int, int, int]]
     return out
 
 
-def pack_texts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", segments: int = SEGMENTS, keep_ids: bool = False, loss_col: str | None = None, loss_tokens: int = LOSS) -> DataFrame:
-    """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and the ids). loss_col: how many of an example's last tokens, its end included, bear loss (null, or without loss_col: all but the first PROMPT_PERCENT); a sequence holds loss_tokens of them at most. tokenizer: a file of the tokenizers library, on every executor."""
+def pack_texts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", segments: int = SEGMENTS, keep_ids: bool = False, loss_col: str | None = None, loss_tokens: int = LOSS, remembered: int = REMEMBERED) -> DataFrame:
+    """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and the ids). loss_col: how many of an example's last tokens, its end included, bear loss (null, or without loss_col: all but the first PROMPT_PERCENT); a sequence holds loss_tokens of them at most. tokenizer: a file of the tokenizers library, on every executor. remembered: chunks whose ids a Python worker keeps, which changes the speed only."""
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * keep_ids
 
     def task(batches):
         import pyarrow as pa
 
-        encoder = _encoder(tokenizer)
+        encoder = _encoder(tokenizer, remembered)
         base = TaskContext.get().partitionId() << 32
         made, waits, held = 0, [], 0
         kinds = [pa.int64()] * 7 + [pa.list_(pa.int32())] * keep_ids
@@ -251,14 +254,14 @@ def pack_texts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("t"), *([F.col(loss_col).cast("long")] if loss_col else [])).mapInArrow(task, schema)
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, int], Encoder] = {}
 
 
-def _encoder(path: str) -> Encoder:
+def _encoder(path: str, most: int) -> Encoder:
     """One for each Python worker, which serves many tasks."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    if (path, most) not in _ENCODERS:
+        _ENCODERS[path, most] = Encoder(path, most)
+    return _ENCODERS[path, most]
 
 
 def tokenizer_path() -> str:
@@ -269,4 +272,4 @@ def tokenizer_path() -> str:
 
 def op4_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document packed into sequences of 1024 tokens, with SEGMENTS pieces and LOSS loss-bearing tokens at most."""
-    return pack_texts(table(spark, sf_dir, "documents"), tokenizer_path())
+    return pack_texts(table(spark, sf_dir, "documents"), tokenizer_path(), remembered=REMEMBERED_ALONE)
