@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -34,37 +35,57 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-_written: list[str] = []
+#: Tables of the innermost scratch() block of this context; a thread has a context of its own.
+_written: ContextVar[list[str] | None] = ContextVar("_written", default=None)
+
+
+def _new_path(spark: SparkSession, name: str) -> str:
+    path = f"{shared_dir(spark)}/cutline-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    if (own := _written.get()) is not None:
+        own.append(path)
+    return path
 
 
 def write_shared(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """df written as a Parquet table in the shared folder and read again (this cuts its lineage), and the table's path."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = _new_path(spark, name)
     df.write.parquet(path)
-    _written.append(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def shared_table(spark: SparkSession, name: str) -> tuple[Callable[[str], DataFrame], str]:
+    """A path in the shared folder for a table that several jobs append to, and what reads it with a schema."""
+    path = _new_path(spark, name)
+    return lambda schema: spark.read.schema(schema).parquet(path), path
+
+
 def drop_shared(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-    if path in _written:
-        _written.remove(path)
+    if (own := _written.get()) and path in own:
+        own.remove(path)
 
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
-    """Tables that are written within are deleted at the end. What is read from them has to be written elsewhere by then: a query's result is lazy, so its own tables stay until its caller leaves such a block."""
-    before = set(_written)
+    """Tables that this context (thread) writes within are deleted at the end. What is read from them has to be written elsewhere by then: a query's result is lazy, so its own tables stay until its caller leaves such a block, or expire() is called."""
+    own: list[str] = []
+    token = _written.set(own)
     try:
         yield
     finally:
-        for path in [p for p in _written if p not in before]:
+        _written.reset(token)
+        for path in own:
             drop_shared(spark, path)
 
 
+def expire(spark: SparkSession, application: str | None = None) -> None:
+    """Deletes all tables that an application (by default this one) has left in the shared folder."""
+    drop_shared(spark, f"{shared_dir(spark)}/cutline-{application or spark.sparkContext.applicationId}")
+
+
 def fresh(taken: list[str], *names: str) -> list[str]:
     """The names, each with as many underscores behind as make it differ from all that are taken, in any case."""
     have = {c.lower() for c in taken}

@@ -34,4 +34,65 @@ base AS (SELECT *, n_words < {quality.BASE_WORDS} OR 100 * n_repeat_words > {qua
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM fails) AS kept FROM base
 """
 
-ORACLE_SQL = {"op8_risk_controlled_quality": QUALITY}
+
+# the least bit of CRC-32 (polynomial 0xEDB88320) of the id's decimal digits
+_CRC = "list_reduce([4294967295::BIGINT] || [ascii(c)::BIGINT for c in string_split(doc_id::VARCHAR, '') if c <> ''], lambda a, x: list_reduce([xor(a, x)] || range(8), lambda r, k: xor(r >> 1, 3988292384 * (r & 1))))"
+_LEAF = "sha256(" + " || ".join(f"coalesce(octet_length(encode({c}))::VARCHAR || ':' || {c}, '-')" for c in ("doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", "{text}")) + ")"
+
+MERKLE = f"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce('=' || source, '') AS grp, {_LEAF.format(text="text")} AS leaf, CASE WHEN {_CRC} & 1 = 1 THEN {_LEAF.format(text="replace(text, chr(10), '')")} END AS tampered FROM documents),
+leaves AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx FROM d),
+lv AS (SELECT grp, 0 AS level, idx, leaf AS h FROM leaves
+  UNION ALL SELECT grp, level + 1, idx // 3, sha256(string_agg(h, '' ORDER BY idx)) FROM (SELECT *, count(*) OVER (PARTITION BY grp) AS m FROM lv) WHERE m > 1 GROUP BY grp, level, idx // 3),
+tops AS (SELECT grp, max(level) AS top, arg_max(h, level) AS subroot FROM lv GROUP BY grp),
+groups AS (SELECT grp, top, subroot, row_number() OVER (ORDER BY grp) - 1 AS idx FROM tops),
+up AS (SELECT 0 AS level, idx, subroot AS h FROM groups UNION ALL SELECT level + 1, idx // 3, sha256(string_agg(h, '' ORDER BY idx)) FROM (SELECT *, count(*) OVER () AS m FROM up) WHERE m > 1 GROUP BY level, idx // 3),
+root AS (SELECT max(level) AS top, arg_max(h, level) AS root FROM up),
+own AS (SELECT l.doc_id, l.leaf, l.idx, l.grp, coalesce(l.tampered, l.leaf) AS start, unnest(range(g.top)) AS level, g.top, g.idx AS g FROM leaves l JOIN groups g USING (grp)),
+steps AS (
+  SELECT o.grp, o.idx, o.level, string_agg(s.h, '' ORDER BY s.idx) FILTER (s.idx < o.idx // (3 ** o.level)::BIGINT) AS l, string_agg(s.h, '' ORDER BY s.idx) FILTER (s.idx > o.idx // (3 ** o.level)::BIGINT) AS r
+    FROM (SELECT * REPLACE (level::BIGINT AS level) FROM own) o JOIN lv s ON s.grp = o.grp AND s.level = o.level AND s.idx // 3 = (o.idx // (3 ** o.level)::BIGINT) // 3 GROUP BY ALL
+  UNION ALL
+  SELECT o.grp, o.idx, o.top + o.level, string_agg(s.h, '' ORDER BY s.idx) FILTER (s.idx < o.g // (3 ** o.level)::BIGINT), string_agg(s.h, '' ORDER BY s.idx) FILTER (s.idx > o.g // (3 ** o.level)::BIGINT)
+    FROM (SELECT l.grp, l.idx, g.idx AS g, g.top, unnest(range(root.top))::BIGINT AS level FROM leaves l JOIN groups g USING (grp) CROSS JOIN root) o JOIN up s ON s.level = o.level AND s.idx // 3 = (o.g // (3 ** o.level)::BIGINT) // 3 GROUP BY o.grp, o.idx, o.top, o.level, o.g),
+fold AS (SELECT grp, idx, 0 AS level, coalesce(tampered, leaf) AS h FROM leaves
+  UNION ALL SELECT f.grp, f.idx, f.level + 1, sha256(coalesce(s.l, '') || f.h || coalesce(s.r, '')) FROM fold f JOIN steps s ON s.grp = f.grp AND s.idx = f.idx AND s.level = f.level),
+folded AS (SELECT grp, idx, arg_max(h, level) AS h FROM fold GROUP BY ALL),
+proofs AS (SELECT grp, idx, string_agg(coalesce(l, '') || coalesce(r, ''), '' ORDER BY level) AS p FROM steps GROUP BY ALL)
+SELECT l.doc_id, l.leaf, g.subroot, root, sha256(coalesce(p, '')) AS proof_sha256, f.h AS folded_root, f.h = root AS verified
+FROM leaves l JOIN groups g USING (grp) JOIN folded f ON f.grp = l.grp AND f.idx = l.idx LEFT JOIN proofs q ON q.grp = l.grp AND q.idx = l.idx CROSS JOIN root
+"""
+
+_LATIN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+CONTAMINATION = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce({_LOWER.format("text")}, ''), '{_LATIN}') AS w FROM documents),
+b AS (SELECT coalesce(item_id::VARCHAR, '') AS item, regexp_extract_all(coalesce({_LOWER.format("text")}, ''), '{_LATIN}') AS w FROM benchmark),
+win AS (SELECT DISTINCT item, n, array_to_string(w[i:i + n - 1], ' ') AS s FROM (SELECT item, w, least(len(w), 10) AS n, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM b WHERE len(w) > 0)),
+grams AS (SELECT r, n, i, array_to_string(w[i:i + n - 1], ' ') AS s FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d CROSS JOIN (SELECT DISTINCT n FROM win) WHERE len(w) >= n)),
+found AS (SELECT r, i, n, item FROM grams JOIN win USING (n, s)),
+hit AS (SELECT r, count(DISTINCT i + k) AS n_hit FROM (SELECT DISTINCT r, i, unnest(range(n)) AS k FROM found) GROUP BY 1),
+items AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM found) GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (r) LEFT JOIN items USING (r)
+"""
+
+AUDIT = f"""
+WITH t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents),
+first AS (SELECT t, min(doc_id) AS least FROM t GROUP BY 1),
+marks AS (SELECT doc_id, bool_or(coalesce(quality = 1, false)) AS good, bool_or(coalesce(toxic = 1, false)) AS toxic FROM labels GROUP BY 1),
+f AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, len(w) < 100 AS a, 100 * len(list_distinct(w)) < 80 * len(w) AS b, 100 * len(regexp_extract_all(t.t, '[A-Z]')) > 10 * length(t.t) AS c,
+    regexp_matches(t.t, '[#$%&*|]') AS d, coalesce(t.doc_id > least, false) AS e FROM t JOIN first USING (t) LEFT JOIN marks ON marks.doc_id = t.doc_id),
+kinds AS (SELECT part, a::INT + 2 * b::INT + 4 * c::INT + 8 * d::INT + 16 * e::INT AS fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM f GROUP BY ALL),
+l AS (SELECT unnest(range(5)) AS i), parts AS (SELECT DISTINCT part FROM f),
+o AS (SELECT [p.i, q.i, r.i, s.i, t.i] AS o FROM l p, l q, l r, l s, l t WHERE len(list_distinct([p.i, q.i, r.i, s.i, t.i])) = 5),
+steps AS (SELECT array_to_string([chr((65 + x)::INT) for x in o], '') AS filter_order, k AS step, o[k] AS i, coalesce(list_sum([(1::BIGINT << x) for x in o[1:k - 1]]), 0)::BIGINT AS before FROM (SELECT o, unnest(range(1, 6)) AS k FROM o)),
+counts AS (SELECT part, filter_order, step, i,
+    coalesce(sum(n) FILTER (fails & (before | (1 << i)) = 0), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (fails & before = 0 AND fails & (1 << i) > 0), 0)::BIGINT AS removed, coalesce(sum(n) FILTER (fails & before > 0 AND fails & (1 << i) > 0), 0)::BIGINT AS redundant,
+    coalesce(sum(n) FILTER (fails = 1 << i), 0)::BIGINT AS unique_fails, coalesce(sum(good) FILTER (fails & before = 0 AND fails & (1 << i) > 0), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (fails & before = 0 AND fails & (1 << i) > 0), 0)::BIGINT AS toxic_lost
+    FROM kinds CROSS JOIN steps GROUP BY ALL)
+SELECT part, filter_order, step::INT AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, i))::BIGINT AS shapley FROM counts
+"""
+
+ORACLE_SQL = {"op8_risk_controlled_quality": QUALITY, "op11_merkle_manifest": MERKLE, "op12_benchmark_decontamination": CONTAMINATION, "op13_filter_audit": AUDIT}

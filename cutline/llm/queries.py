@@ -14,6 +14,9 @@ from .op7_mixing import op7_source_mixing
 from .op8_quality import op8_risk_controlled_quality
 from .op9_simhash import op9_simhash_near_dedup
 from .op10_importance import op10_importance_resampling
+from .op11_merkle import op11_merkle_manifest
+from .op12_decontaminate import op12_benchmark_decontamination
+from .op13_audit import op13_filter_audit
 from .oracle import ORACLE_SQL  # noqa: F401
 
 
@@ -37,6 +40,9 @@ QUERIES = {
         op8_risk_controlled_quality,
         op9_simhash_near_dedup,
         op10_importance_resampling,
+        op11_merkle_manifest,
+        op12_benchmark_decontamination,
+        op13_filter_audit,
         pipeline,
     )
 }
