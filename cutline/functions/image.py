@@ -120,17 +120,6 @@ def warp(pixels: Column, flow_x: Column, flow_y: Column, height: int, width: int
     return bound(F.struct(pixels.alias("px"), flow_x.alias("x"), flow_y.alias("y")), every)
 
 
-def splat(pixels: Column, flow_x: Column, flow_y: Column, height: int, width: int, metric: Column | None = None) -> Column:
-    """Weighted samples where the flow points, over the sum of the weights there: all 1, or exp(metric)."""
-    weights = F.transform(pixels, lambda _: F.lit(1.0)) if metric is None else F.transform(metric, lambda m: F.exp(m))
-    made = F.struct(F.zip_with(pixels, weights, lambda p, w: p * w).alias("v"), weights.alias("w"), flow_x.alias("x"), flow_y.alias("y"))
-
-    def every(s: Column) -> Column:
-        return F.transform(targets(s["x"], s["y"], height, width, border=False), lambda c: sample(s["v"], height, width, c) / F.greatest(F.lit(1e-7), sample(s["w"], height, width, c)))
-
-    return bound(made, every)
-
-
 def normalised(x: Column, size: int) -> Column:
     """A coordinate from -1 to 1 across the image."""
     half = (size - 1) / 2
@@ -156,25 +145,3 @@ def occluded(fx: Column, fy: Column, bx: Column, by: Column, height: int, width:
         return F.transform(grid(height, width), lambda k: norm(v("fx", k) + v("wx", k), v("fy", k) + v("wy", k)) > share * (norm(v("fx", k), v("fy", k)) + norm(v("bx", k), v("by", k))) + floor)
 
     return bound(made, every)
-
-
-def pair_features(before: Column, now: Column, above: float = 25) -> Column:
-    """Struct of mean_before, mean, variance (of all pixels) and diff_fraction (pixels that differ by more than `above`)."""
-    mean = lambda xs: F.aggregate(xs, F.lit(0.0), lambda s, x: s + x) / F.size(xs)
-
-    def features(s: Column) -> Column:
-        spread = bound(mean(s["b"]), lambda m: F.aggregate(s["b"], F.lit(0.0), lambda t, x: t + (x - m) * (x - m)) / F.size(s["b"]))
-        apart = F.size(F.filter(F.zip_with(s["a"], s["b"], lambda x, y: F.abs(x - y) > above), lambda d: d))
-        return F.struct(mean(s["a"]).alias("mean_before"), mean(s["b"]).alias("mean"), spread.alias("variance"), (apart / F.size(s["b"])).alias("diff_fraction"))
-
-    return bound(F.struct(before.alias("a"), now.alias("b")), features)
-
-
-def flash_or_flat(features: Column, jump: float = 40, least: float = 5.0) -> Column:
-    """Does the brightness jump, or is there next to nothing in the picture?"""
-    return (F.abs(features["mean"] - features["mean_before"]) > jump) | (features["variance"] < least)
-
-
-def above(pixels: Column, threshold: float, most: float = 255.0) -> Column:
-    """Binary image of the pixels above a threshold."""
-    return F.transform(pixels, lambda p: F.when(p > threshold, most).otherwise(0.0))

@@ -25,6 +25,17 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norm == 0, 1.0).otherwise(dot(a, b) / F.nullif(norm, F.lit(0.0)))
 
 
+def with_norm(v: Column) -> Column:
+    """A vector beside its length, so that cosines with many others need one product each."""
+    return bound(v, lambda x: F.struct(x.alias("v"), F.sqrt(dot(x, x)).alias("norm")))
+
+
+def cosine_of(a: Column, b: Column) -> Column:
+    """cosine() of two with_norm()."""
+    norm = a["norm"] * b["norm"]
+    return F.when(norm == 0, 1.0).otherwise(dot(a["v"], b["v"]) / F.nullif(norm, F.lit(0.0)))
+
+
 def grid(height: int, width: int) -> Column:
     return F.sequence(F.lit(0), F.lit(height * width - 1))
 
@@ -89,15 +100,6 @@ def normalise_image(pixels: Column, mean: float, sd: float) -> Column:
     return F.transform(pixels, lambda p: (p.cast("double") / 255 - mean) / sd)
 
 
-def soft_match(own: Column, others: Column, channels: int, coords: Column, valid: Column | None = None) -> Column:
-    """Expected coordinate of `own` among `others` (array of vectors) by softmax of dot / sqrt(channels); where `valid` is false, the score is -1e9."""
-    score = F.transform(others, lambda o: dot(own, o) / channels**0.5)
-    if valid is not None:
-        score = F.zip_with(score, valid, lambda s, v: F.when(v, s).otherwise(-1e9))
-    shifted = lambda xs: bound(F.array_max(xs), lambda top: F.transform(xs, lambda s: F.exp(s - top)))
-    return bound(bound(score, shifted), lambda w: dot(w, coords) / total(w))
-
-
 def _corner(height: int, width: int, x: Column, y: Column, border: bool) -> tuple[Column, Column, Column, Column]:
     """The pixel above and to the left of a place, and how far the place is from it; border: the place is moved into the image first."""
     if border:

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from itertools import chain, groupby, islice
-from operator import itemgetter
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.vector import bound
+
 US = 1_000_000
 
 
@@ -17,37 +17,39 @@ def by_video(*order: str):
     return W.partitionBy("video_id").orderBy(*order)
 
 
-def per_video(rows: DataFrame, order: list[str], schema: str, walk: Callable[[Iterator[tuple]], Iterator[tuple]]) -> DataFrame:
-    """walk over each video's rows (tuples of the columns, video_id first) in their order. One shuffle and a sort that spills; a task holds a batch of rows and what walk holds, so a video may be of any length."""
-
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
+def kept(rows: Column, keeps: Callable[[Column, Column], Column], chunk: int = 1024) -> Column:
+    """Of an array in order, the first element and each for which keeps(last one kept, it). Folded chunk by chunk, so that what is appended to stays short."""
+    none = F.get(rows, F.lit(-1))
 
-    out = to_arrow_schema(_parse_datatype_string(schema))
+    def fold(part: Column, last: Column) -> Column:
+        start = F.struct(F.slice(part, 1, 0).alias("out"), last.alias("last"))
+        step = lambda acc, r: F.when(acc["last"].isNull() | keeps(acc["last"], r), F.struct(F.concat(acc["out"], F.array(r)).alias("out"), r.alias("last"))).otherwise(acc)
+        return F.aggregate(part, start, step)
 
-    def task(batches):
-        import pyarrow as pa
+    def add(acc: Column, part: Column) -> Column:
+        return bound(fold(part, acc["last"]), lambda x: F.struct(F.concat(acc["parts"], F.array(x["out"])).alias("parts"), x["last"].alias("last")))
 
-        each = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
-        made = (x for _, video in groupby(each, key=itemgetter(0)) for x in walk(video))
-        while part := list(islice(made, 8192)):
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part, strict=True), out, strict=True)], schema=out)
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(rows) - 1) / chunk)), lambda i: F.slice(rows, (i * chunk + 1).cast("int"), chunk))
+    several = F.flatten(F.aggregate(chunks, F.struct(F.slice(F.array(rows), 1, 0).alias("parts"), none.alias("last")), add, lambda acc: acc["parts"]))
+    return F.when(F.size(rows) == 1, rows).when(F.size(rows) <= chunk, fold(rows, none)["out"]).otherwise(several)
 
-    rows = rows.select("video_id", *[c for c in rows.columns if c != "video_id"])
-    return rows.repartition("video_id").sortWithinPartitions("video_id", *order).mapInArrow(task, schema)
 
+def islands(rows: DataFrame, order: list[str], always: Column) -> DataFrame:
+    """rows by video and island as sorted arrays `rows` of structs: an island begins at the first row and wherever `always` holds. One shuffle by video, for the window and the arrays; a row holds one island."""
+    w = by_video(*order)
+    others = [c for c in rows.columns if c not in ("video_id", *order)]
+    marked = rows.withColumn("_a", F.coalesce(always, F.lit(True)).cast("int")).withColumn("_i", F.sum("_a").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    return marked.groupBy("video_id", "_i").agg(F.array_sort(F.collect_list(F.struct(*order, *others))).alias("rows"))
 
-def spaced(least: int, at: int = 1) -> Callable[[Iterator[tuple]], Iterator[tuple]]:
-    """Rows whose value at place `at` is `least` or more above that of the last one kept; the first is kept."""
 
-    def walk(rows: Iterator[tuple]) -> Iterator[tuple]:
-        last = None
-        for r in rows:
-            if last is None or r[at] - last >= least:
-                last = r[at]
-                yield r
+def walked(rows: DataFrame, order: list[str], always: Column, keeps: Callable[[Column, Column], Column]) -> DataFrame:
+    """The rows of each video that are passed on: the first, and each for which keeps(last one passed on, it).
 
-    return walk
+    always: what is sure to be passed on whatever came before, as windows along the order. A video is cut there, as what
+    follows depends on that row alone, and each island is folded by itself. Columns are those of rows.
+    """
+    found = islands(rows, order, always).select("video_id", F.inline(kept(F.col("rows"), keeps)))
+    return found.select(*rows.columns)
 
 
 def runs(df: DataFrame, flag: Column, order: str = "i", key: str = "video_id") -> DataFrame:
@@ -88,13 +90,11 @@ def bounds_to_scenes(cuts: DataFrame, totals: DataFrame) -> DataFrame:
 
 def greedy_merge(bounds: DataFrame, least_us: int, col: str = "t_us") -> DataFrame:
     """Keeps a boundary if it is at least `least_us` after the last one kept; two boundaries or fewer stay as they are."""
-    keep = spaced(least_us)
-
-    def walk(rows: Iterator[tuple]) -> Iterator[tuple]:
-        head = list(islice(rows, 3))
-        return iter(head) if len(head) <= 2 else keep(chain(head, rows))
-
-    return per_video(bounds.select("video_id", F.col(col).cast("long")), [col], f"video_id {dict(bounds.dtypes)['video_id']}, {col} long", walk)
+    # with n <= 2 nothing is merged: each boundary is sure to stay
+    n = F.count("*").over(W.partitionBy("video_id"))
+    always = (F.col(col) - F.lag(col).over(by_video(col)) >= least_us) | (F.col("_n") <= 2)
+    rows = bounds.select("video_id", F.col(col).cast("long").alias(col)).withColumn("_n", n)
+    return walked(rows, [col], always, lambda last, r: r[col] - last[col] >= least_us).drop("_n")
 
 
 def keyframe_cuts(keys: DataFrame, least_us: int) -> DataFrame:
@@ -104,6 +104,25 @@ def keyframe_cuts(keys: DataFrame, least_us: int) -> DataFrame:
     return greedy_merge(zero.unionByName(rest), least_us).where("t_us <> 0")
 
 
+def pathological(times: DataFrame, videos: DataFrame) -> DataFrame:
+    """Can a video's keyframe times not be used: fewer than two, one twice, more than ten a second of its duration, or an upper median gap below 50 ms?
+
+    times (video_id, t_us): in any order, nulls don't count. videos (video_id, duration_us: null or 0 if unknown) ->
+    video_id, n, pathological. The median is a row by its rank, so that no row holds a video.
+    """
+    known = times.where("t_us is not null")
+    steps = known.select("video_id", (F.col("t_us") - F.lag("t_us").over(by_video("t_us"))).alias("delta"))
+    # the first time has no gap and rank 0
+    rank = F.row_number().over(W.partitionBy("video_id").orderBy(F.asc_nulls_first("delta"))) - 1
+    ranked = steps.withColumn("rank", rank).withColumn("m", F.count("delta").over(W.partitionBy("video_id")))
+    median = F.max(F.when(F.col("rank") == F.floor(F.col("m") / 2) + 1, F.col("delta")))
+    g = ranked.groupBy("video_id").agg(F.count("*").alias("n"), F.min("delta").alias("least"), median.alias("median"))
+    rows = videos.join(g, "video_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    dense = F.col("n") * US > 10 * F.col("duration_us")
+    bad = (F.col("n") < 2) | (F.col("least") <= 0) | (F.coalesce(F.col("duration_us") > 0, F.lit(False)) & dense) | (F.col("median") < 50_000)
+    return rows.select("video_id", "n", F.coalesce(bad, F.lit(True)).alias("pathological"))
+
+
 def pack_scenes(cuts: DataFrame, durations: DataFrame, least_us: int, eps_us: int = 1, shortest_us: int = 40_000) -> DataFrame:
     """Scenes from cuts that lie more than eps inside (0, duration); without a usable duration the last one gets the least length.
 
@@ -193,19 +212,14 @@ def merge_similar(scenes: DataFrame, pairs: DataFrame, reindex: bool = False) ->
     """
     partner = pairs.groupBy("video_id", F.col("a").alias("pos")).agg(F.min(F.when(F.col("b") > F.col("a"), F.col("b"))).alias("to"))
     n = F.count("*").over(W.partitionBy("video_id"))
-    rows = scenes.withColumn("pos", (F.row_number().over(by_video("scene_index")) - 1).cast("long")).withColumn("n", n).join(partner, ["video_id", "pos"], "left")
-
-    def walk(ss: Iterator[tuple]) -> Iterator[tuple]:
-        made, start, until = 0, None, None
-        for video, pos, index, start_us, end_us, to, n in ss:
-            if until is None and to is not None and to < n:
-                start, until = start_us, to
-            if until is None:
-                yield video, made if reindex else index, start_us, end_us
-                made += 1
-            elif pos == until:
-                yield video, made, start, end_us
-                made, until = made + 1, None
-
-    kept = rows.select("video_id", "pos", *[F.col(c).cast("long") for c in ("scene_index", "start_us", "end_us", "to", "n")])
-    return per_video(kept, ["pos"], f"video_id {dict(scenes.dtypes)['video_id']}, scene_index long, start_us long, end_us long", walk)
+    rows = scenes.select("video_id", *[F.col(c).cast("long").alias(c) for c in ("scene_index", "start_us", "end_us")]).withColumn("pos", (F.row_number().over(by_video("scene_index")) - 1).cast("long")).withColumn("n", n)
+    rows = rows.join(partner, ["video_id", "pos"], "left").select("video_id", "pos", "scene_index", "start_us", "end_us", F.when(F.col("to") < F.col("n"), F.col("to")).alias("to"))
+    # no earlier scene reaches a scene that is sure to be looked at, so its island holds all that it can take
+    reach = F.max(F.coalesce("to", "pos")).over(by_video("pos").rowsBetween(W.unboundedPreceding, -1))
+    found = islands(rows, ["pos"], F.col("pos") > reach)
+    until = lambda r: F.coalesce(r["to"], r["pos"])
+    with_end = lambda every: F.transform(kept(every, lambda last, r: r["pos"] > until(last)), lambda r: r.withField("end_us", F.get(every, (until(r) - F.get(every, F.lit(0))["pos"]).cast("int"))["end_us"]))
+    left = found.select("video_id", F.inline(bound(F.col("rows"), with_end)))
+    made = (F.row_number().over(by_video("pos")) - 1).cast("long")
+    number = made if reindex else F.when(F.col("to").isNull(), F.col("scene_index")).otherwise(made)
+    return left.select("video_id", number.alias("scene_index"), "start_us", "end_us")

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .boundary import by_video, per_video, spaced
+from .boundary import by_video, walked
 
 
 def monotone(events: DataFrame, value: str, order: list[str]) -> DataFrame:
@@ -19,16 +17,16 @@ def monotone(events: DataFrame, value: str, order: list[str]) -> DataFrame:
 
 def throttled(events: DataFrame, least: int, order: str, tie: str) -> DataFrame:
     """Events at least `least` after the last one passed on; the first is."""
-    kinds = dict(events.dtypes)
-    return per_video(events.select("video_id", order, tie), [order, tie], f"video_id {kinds['video_id']}, {order} {kinds[order]}, {tie} {kinds[tie]}", spaced(least))
+    apart = F.col(order) - F.lag(order).over(by_video(order, tie)) >= least
+    return walked(events.select("video_id", order, tie), [order, tie], apart, lambda last, r: r[order] - last[order] >= least)
 
 
 def previews(events: DataFrame, value: str, least: float, order: list[str]) -> DataFrame:
     """Previews passed on when a value has grown by `least` since the last one: video_id, the order, the value, number (from 1), slot (1 and 0 in turn)."""
-    kinds = dict(events.dtypes)
-    keep = spaced(least, 1 + len(order))
-    walk = lambda rows: ((*r, n, n % 2) for n, r in enumerate(keep(rows), 1))
-    return per_video(events.select("video_id", *order, value), order, "".join(f"{c} {kinds[c]}, " for c in ("video_id", *order, value)) + "number long, slot long", walk)
+    most = F.max(value).over(by_video(*order).rowsBetween(W.unboundedPreceding, -1))
+    sent = walked(events.select("video_id", *order, value), order, F.col(value) - most >= least, lambda last, r: r[value] - last[value] >= least)
+    number = F.row_number().over(by_video(*order)).cast("long")
+    return sent.withColumn("number", number).withColumn("slot", F.col("number") % 2)
 
 
 def pair_emission(ready: DataFrame, first: int) -> DataFrame:
@@ -58,13 +56,7 @@ def finished(opened: DataFrame, order: list[str]) -> DataFrame:
 
 def changed_or_due(events: DataFrame, detail: str, least_us: int) -> DataFrame:
     """Updates passed on: a detail that differs from that of the last one passed on, or `least_us` since that one. A null detail always differs, as it is held as an empty one. -> video_id, ts_us, seq, detail."""
-    kinds = dict(events.dtypes)
-
-    def walk(rows: Iterator[tuple]) -> Iterator[tuple]:
-        last, held = None, ""
-        for r in rows:
-            if last is None or r[1] - last >= least_us or r[3] != held:
-                last, held = r[1], r[3] or ""
-                yield r
-
-    return per_video(events.select("video_id", "ts_us", "seq", detail), ["ts_us", "seq"], "".join(f"{c} {kinds[c]}, " for c in ("video_id", "ts_us", "seq", detail))[:-2], walk)
+    at = by_video("ts_us", "seq")
+    always = (F.col("ts_us") - F.lag("ts_us").over(at) >= least_us) | F.col(detail).isNull()
+    differs = lambda last, r: r[detail].isNull() | (r[detail] != F.coalesce(last[detail], F.lit("")))
+    return walked(events.select("video_id", "ts_us", "seq", detail), ["ts_us", "seq"], always, lambda last, r: (r["ts_us"] - last["ts_us"] >= least_us) | differs(last, r))

@@ -18,9 +18,9 @@ def only(condition: Column, xs: Column) -> Column:
     return F.when(F.coalesce(condition, F.lit(False)), xs).otherwise(F.array().cast("array<string>"))
 
 
-def _listed(table: dict[str, str | None], key: Column) -> Column:
+def _listed(table: dict[str, tuple[str, ...] | None], key: Column) -> Column:
     """Arguments by key from a literal map; null for what it doesn't have."""
-    pairs = [x for k, v in table.items() if v is not None for x in (F.lit(k), F.split(F.lit(v), " "))]
+    pairs = [x for k, v in table.items() if v is not None for x in (F.lit(k), words(*v))]
     return F.try_element_at(F.create_map(*pairs), key)
 
 
@@ -34,7 +34,7 @@ def video_args(codec: Column, gpu: Column) -> Column:
 
 
 def audio_args(mode: Column) -> Column:
-    return F.coalesce(_listed(encoders.AUDIO_ARGS, mode), F.split(F.lit(encoders.AUDIO_ARGS[encoders.DEFAULT_AUDIO]), " "))
+    return F.coalesce(_listed(encoders.AUDIO_ARGS, mode), words(*encoders.AUDIO_ARGS[encoders.DEFAULT_AUDIO]))
 
 
 def audio_maps(audio: Column, track: Column, count: Column, single: Column) -> Column:
@@ -156,12 +156,9 @@ def detector_scale(scale: Column, height: Column) -> Column:
     return F.greatest(F.lit(0.1), F.least(F.lit(1.0), asked))
 
 
-def upscale_problem(model: Column, method: Column, scales: Column, scale: Column) -> Column:
-    """Why a model can't be run at a scale, or null."""
-    listed = F.array_join(F.transform(scales, lambda s: F.concat(s.cast("string"), F.lit("x"))), "/")
-    wrong_scale = F.concat(F.lit("Model '"), model, F.lit("' supports "), listed, F.lit(", got "), scale.cast("string"), F.lit("x"))
-    wrong_method = F.concat(F.lit("Unknown method '"), method, F.lit("' for model '"), model, F.lit("'"))
-    return F.when(~F.array_contains(scales, scale), wrong_scale).when(~method.isin("ml", "shader", "onnx"), wrong_method)
+def upscale_problem(method: Column, scales: Column, scale: Column) -> Column:
+    """Why a model can't be run at a scale: `scale` (not among its own), `method` (an unknown one), or null."""
+    return F.when(~F.array_contains(scales, scale), "scale").when(~method.isin("ml", "shader", "onnx"), "method")
 
 
 def shader_chain(mode: Column, scale: Column) -> Column:
@@ -213,10 +210,10 @@ def state_blocks(keys: DataFrame, group: str) -> DataFrame:
     encode = F.when(F.col("head4"), "head4").when(F.col("head2"), "head2")
     baseline = F.when(encode.isNotNull(), 6 + 2 * 4 + 1 + 1 + 4).otherwise(6 + 1 + 1 + 4)
     problem = (
-        F.when(F.col("last").isNull() | (F.col("last") + 1 != F.col("blocks")), "no contiguous blocks")
-        .when(F.size("firsts") < F.col("blocks"), "missing conv0 weights")
-        .when(F.col("out").isNull(), "missing lastconv weights")
-        .when(F.col("second").isNull(), "missing block1 weights")
+        F.when(F.col("last").isNull() | (F.col("last") + 1 != F.col("blocks")), "blocks")
+        .when(F.size("firsts") < F.col("blocks"), "conv0")
+        .when(F.col("out").isNull(), "lastconv")
+        .when(F.col("second").isNull(), "block1")
     )
     ok = lambda x: F.when(problem.isNull(), x)
     return g.select(group, problem.alias("problem"), ok(F.col("firsts")["c"]).alias("channels"), ok(F.floor(F.col("out") / 4)).alias("out_channels"), ok(encode).alias("encode"), ok(F.col("second") > baseline).alias("propagates"))

@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 
 from .boundary import by_video, runs
 
+#: Motion in pixels, changed area, matches that follow one homography, and the shortest run of dead frames that is dropped.
+FLOW, AREA, INLIER, CADENCE = 0.5, 0.15, 0.5, 3
 
-def dead(mean_mag: Column, diff_fraction: Column, inlier_ratio: Column, frob_norm: Column, flow: Column, area: Column, inlier: float = 0.8, skip_homography: bool | Column = False, parallax: bool | Column = False) -> Column:
+
+def dead(mean_mag: Column, diff_fraction: Column, inlier_ratio: Column, frob_norm: Column, flow: Column, area: Column, inlier: float = INLIER, skip_homography: bool | Column = False, parallax: bool | Column = False) -> Column:
     """Is a frame a repeat of the one before? The rules apply in order: motion, camera movement, changed area; all strictly."""
     camera = ~F.lit(skip_homography) & (inlier_ratio > inlier) & F.coalesce(frob_norm > 1.0, F.lit(False))
     return F.when(mean_mag < flow, True).when(camera, ~F.lit(parallax)).otherwise(diff_fraction < area)
@@ -27,7 +30,7 @@ def _limits(flow: Column, area: Column, lock_flow: bool | Column | None, lock_ar
     )
 
 
-def calibrate(stats: DataFrame, flow: float = 0.8, area: float = 0.1, lock_flow: bool | None = None, lock_area: bool | None = None, sample: int = 0) -> DataFrame:
+def calibrate(stats: DataFrame, flow: float = FLOW, area: float = AREA, lock_flow: bool | None = None, lock_area: bool | None = None, sample: int = 0) -> DataFrame:
     """video_id, flow, area from exact percentiles of a video's statistics, of its first `sample` ones if above 0.
 
     The given thresholds stay with fewer than two values, or if locked: by default those below 0.1 and 0.01. An exact

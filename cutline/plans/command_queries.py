@@ -46,7 +46,7 @@ def probe_report(spark: SparkSession, sf: str) -> DataFrame:
 
 # camera movement is kept, so the rule in the middle is off
 @query(
-    f"""WITH {SQL_STATS}, c AS (SELECT video_id, CASE WHEN count(*) >= 2 THEN greatest(0.2, least(2.0, quantile_cont(mean_mag, 0.2) * 0.6)) ELSE 0.8 END::DOUBLE AS flow, CASE WHEN count(*) >= 2 THEN greatest(0.03, least(0.25, quantile_cont(diff_fraction, 0.15) * 0.4)) ELSE 0.1 END::DOUBLE AS area FROM stats GROUP BY 1),
+    f"""WITH {SQL_STATS}, c AS (SELECT video_id, CASE WHEN count(*) >= 2 THEN greatest(0.2, least(2.0, quantile_cont(mean_mag, 0.2) * 0.6)) ELSE 0.5 END::DOUBLE AS flow, CASE WHEN count(*) >= 2 THEN greatest(0.03, least(0.25, quantile_cont(diff_fraction, 0.15) * 0.4)) ELSE 0.15 END::DOUBLE AS area FROM stats GROUP BY 1),
     decided AS (SELECT video_id, i, NOT (mean_mag < flow OR diff_fraction < area) AS keep FROM stats JOIN c USING (video_id) UNION ALL SELECT DISTINCT video_id, 0, true FROM stats),
     g AS (SELECT *, i - row_number() OVER (PARTITION BY video_id, keep ORDER BY i) AS grp FROM decided), s AS (SELECT video_id, i, keep OR count(*) OVER (PARTITION BY video_id, keep, grp) < 2 AS keep FROM g),
     h AS (SELECT *, i - row_number() OVER (PARTITION BY video_id, keep ORDER BY i) AS grp FROM s)
@@ -58,12 +58,12 @@ def dead_frame_segments(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {SQL_STATS}, c AS (SELECT video_id, CASE WHEN count(*) >= 2 THEN greatest(0.2, least(2.0, quantile_cont(mean_mag, 0.2) * 0.6)) ELSE 0.8 END::DOUBLE AS flow FROM stats WHERE i <= 5 GROUP BY 1)
-    SELECT video_id, i, NOT ({SQL_DEAD.format('coalesce(flow, 0.8)', '0.005')}) AS keep FROM stats LEFT JOIN c USING (video_id) UNION ALL SELECT DISTINCT video_id, 0, true FROM stats"""
+    f"""WITH {SQL_STATS}, c AS (SELECT video_id, CASE WHEN count(*) >= 2 THEN greatest(0.2, least(2.0, quantile_cont(mean_mag, 0.2) * 0.6)) ELSE 0.5 END::DOUBLE AS flow FROM stats WHERE i <= 5 GROUP BY 1)
+    SELECT video_id, i, NOT ({SQL_DEAD.format('coalesce(flow, 0.5)', '0.005')}) AS keep FROM stats LEFT JOIN c USING (video_id) UNION ALL SELECT DISTINCT video_id, 0, true FROM stats"""
 )
 def sampled_dead_frames(spark: SparkSession, sf: str) -> DataFrame:
     """Decisions with a flow threshold from each video's first five statistics, and an area that is too small to be calibrated."""
-    return detect.dead_frames(pair_stats(spark, sf), area=0.005, sample=5)
+    return detect.dead_frames(pair_stats(spark, sf), auto=True, area=0.005, sample=5)
 
 
 _EARLIER = "CASE WHEN d IS NULL THEN u WHEN u IS NULL THEN d WHEN u - start_us < start_us - d THEN u ELSE d END"

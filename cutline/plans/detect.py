@@ -54,17 +54,13 @@ def detect_scenes(packets: DataFrame, method: str = "keyframe", threshold: float
     return boundary.bounds_to_scenes(boundary.window_cuts(scanned, apart, threshold, least_us), totals)
 
 
-def keyframe_times(packets: DataFrame, decoded: DataFrame) -> DataFrame:
-    """Keyframe times of each video, from its packets, or from its decoded keyframes where those of the packets are pathological. packets, decoded (video_id, seq, t_us) -> video_id, t_us, decoded."""
-    w = boundary.by_video("seq")
-    steps = packets.withColumn("delta", F.col("t_us") - F.lag("t_us").over(w))
-    g = steps.groupBy("video_id").agg(F.count("*").alias("n"), F.min("delta").alias("least"), ((F.max("t_us") - F.min("t_us")) / 1e6).alias("span"), F.array_sort(F.collect_list("delta")).alias("deltas"))
-    median = F.get("deltas", F.floor(F.size("deltas") / 2).cast("int"))
-    bad = (F.col("n") < 2) | F.coalesce(F.col("least") <= 0, F.lit(False)) | F.coalesce(F.try_divide("n", "span") > 10, F.lit(False)) | F.coalesce(median < 50_000, F.lit(False))
+def keyframe_times(packets: DataFrame, decoded: DataFrame, durations: DataFrame | None = None) -> DataFrame:
+    """Keyframe times of each video, from its packets, or from its decoded keyframes where those of the packets are pathological. packets, decoded (video_id, t_us), durations (video_id, duration_us) -> video_id, t_us, decoded."""
     videos = packets.select("video_id").union(decoded.select("video_id")).distinct()
-    verdict = videos.join(g.select("video_id", bad.alias("bad")), "video_id", "left").select("video_id", F.coalesce("bad", F.lit(True)).alias("bad"))
+    known = videos.withColumn("duration_us", F.lit(0).cast("long")) if durations is None else videos.join(durations.select("video_id", "duration_us"), "video_id", "left")
+    verdict = boundary.pathological(packets, known).select("video_id", "pathological")
     either = packets.select("video_id", "t_us", F.lit(False).alias("decoded")).unionByName(decoded.select("video_id", "t_us", F.lit(True).alias("decoded")))
-    return either.join(verdict, "video_id").where((F.col("decoded") == F.col("bad")) & (F.col("t_us") >= 0)).select("video_id", "t_us", "decoded").distinct()
+    return either.join(verdict, "video_id").where((F.col("decoded") == F.col("pathological")) & (F.col("t_us") >= 0)).select("video_id", "t_us", "decoded").distinct()
 
 
 def keyframe_summary(keys: DataFrame) -> DataFrame:
@@ -91,7 +87,7 @@ def plan_cuts(scenes: DataFrame, keys: DataFrame, hevc: bool | Column = False, c
     return rows.select("video_id", "scene_index", F.when(F.col("mode") == "snapped_copy", F.col("snap")).otherwise(t).alias("start_us"), "end_us", "mode", *more)
 
 
-def dead_frames(stats: DataFrame, auto: bool = True, flow: float = 0.8, area: float = 0.1, keep_talking: bool = False, keep_camera: bool = False, safe: bool = False, small_movements: float | None = None, sample: int = 0, **rule) -> DataFrame:
+def dead_frames(stats: DataFrame, auto: bool = False, flow: float = runs.FLOW, area: float = runs.AREA, keep_talking: bool = False, keep_camera: bool = False, safe: bool = False, small_movements: float | None = None, sample: int = 0, **rule) -> DataFrame:
     """Decisions for each frame: video_id, i, keep. stats (video_id, i from 1, mean_mag, diff_fraction, inlier_ratio, frob_norm); frame 0 is kept.
 
     The flags mean what planning.detector_options says; sample: how many of a video's first statistics are used for its
@@ -110,11 +106,18 @@ def dead_frames(stats: DataFrame, auto: bool = True, flow: float = 0.8, area: fl
     return rows.withColumn("_d", F.when(head, F.array(zero, own)).otherwise(F.array(own))).select("video_id", F.inline("_d"))
 
 
-def drop_dead_frames(stats: DataFrame, fps: float, auto: bool = True, cadence: int = 0, **options) -> DataFrame:
+def drop_dead_frames(stats: DataFrame, fps: float, auto: bool = False, cadence: int = runs.CADENCE, **options) -> DataFrame:
     """Kept frames as segments, by dead_frames()."""
     return runs.keep_segments(runs.smooth(dead_frames(stats, auto, **options), cadence), fps)
 
 
+def dead_frame_outcome(decisions: DataFrame, fps: float) -> DataFrame:
+    """What becomes of each video: video_id, total, kept, dropped, copied (nothing is dropped, or at most one frame would be left: the input is taken as it is), duration_after (of the segments). decisions (video_id, i, keep): smoothed."""
+    g = decisions.groupBy("video_id").agg(F.count("*").alias("total"), F.count_if("keep").alias("kept"))
+    dropped = F.col("total") - F.col("kept")
+    return g.select("video_id", "total", "kept", dropped.alias("dropped"), ((dropped == 0) | (F.col("kept") <= 1)).alias("copied"), (F.col("kept") / fps).alias("duration_after"))
+
+
 def materialise(items: DataFrame, sources: DataFrame, keys: DataFrame) -> DataFrame:
     """How each item of a batch becomes a clip of its own; one that can't says why, and the others go on.
 

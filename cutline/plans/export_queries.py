@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import selection
+from ..functions import text
+from ..operators import attempts, selection
 from ..sources import dims
+from ..sources.files import shared_folder
 from ..sources.proxies import SQL_PACKETS, packets, table
 from .registry import query
 from .sequence_queries import HOUR, SQL_SCENES, scenes
@@ -144,10 +146,19 @@ def registry_lookup(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"WITH {SQL_PARTS} SELECT p_partkey, CASE WHEN codec = 'copy' AND p_partkey % 7 > 0 THEN 'copy' WHEN p_partkey % 11 > 0 THEN 'reencode' WHEN p_partkey % 2 = 0 THEN 'reencode_cpu' ELSE 'failed' END AS how FROM p")
 def fallback_ladder(spark: SparkSession, sf: str) -> DataFrame:
     """The first way of exporting that works: copy, encode, encode without GPU."""
-    p = F.col("p_partkey")
-    copies, encodes, session_error = p % 7 > 0, p % 11 > 0, p % 2 == 0
-    how = F.coalesce(F.when((F.col("codec") == "copy") & copies, "copy"), F.when(encodes, "reencode"), F.when(session_error, "reencode_cpu"), F.lit("failed"))
-    return parts(spark, sf).select("p_partkey", how.alias("how"))
+    def copy(row: dict) -> str:
+        if row["p_partkey"] % 7 == 0:
+            raise ValueError("parameters don't match")
+        return "copy"
+
+    def on_gpu(row: dict) -> str:
+        if row["p_partkey"] % 11 == 0:
+            raise RuntimeError("NVENC: no capable devices found" if row["p_partkey"] % 2 == 0 else "disk full")
+        return "reencode"
+
+    rungs = [("copy", copy, F.col("codec") == "copy"), ("reencode", on_gpu, None), ("reencode_cpu", lambda row: "reencode", text.gpu_session_error(F.col("error")))]
+    tried = attempts.ladder(parts(spark, sf).select("p_partkey", "codec"), rungs, shared_folder(spark, "ladder"))
+    return tried.select("p_partkey", F.coalesce("how", F.lit("failed")).alias("how"))
 
 
 @query(

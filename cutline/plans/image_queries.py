@@ -1,13 +1,11 @@
-"""Queries over images: warps, splats, resizing, tiles, turning, and the image-level rule of dead frames."""
+"""Queries over images: warps, splats, resizing, tiles, turning."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import image
-from ..operators import runs
+from ..functions import image, planes
 from .registry import query
 from .vector_queries import SQL_IMAGES, cells, images
 
@@ -54,10 +52,25 @@ def flow_warp(spark: SparkSession, sf: str) -> DataFrame:
 )
 def softsplat(spark: SparkSession, sf: str) -> DataFrame:
     """Samples where the flow points, over the sum of their weights: even, and by a metric."""
-    f = flows(spark, sf)
-    args = (F.col("px"), F.col("x"), F.col("y"), H, WIDTH)
-    made = f.select("vec_id", F.arrays_zip(image.splat(*args).alias("a"), image.splat(*args, metric=F.col("nx")).alias("s")).alias("z"))
-    return made.select("vec_id", F.posexplode("z").alias("cell", "z")).select("vec_id", F.col("cell").cast("long").alias("cell"), F.bround(F.col("z")["a"], 6).alias("average"), F.bround(F.col("z")["s"], 6).alias("soft"))
+    made = flows(spark, sf).select("vec_id", planes.splats(F.col("px"), F.col("x"), F.col("y"), F.col("nx"), H, WIDTH).alias("z"))
+    both = made.select("vec_id", F.posexplode(F.arrays_zip("z.average", "z.soft")).alias("cell", "z"))
+    return both.select("vec_id", F.col("cell").cast("long").alias("cell"), F.bround(F.col("z")["average"], 6).alias("average"), F.bround(F.col("z")["soft"], 6).alias("soft"))
+
+
+@query(
+    f"""WITH {SQL_NEXT}, spots AS (SELECT vec_id, px, nx, unnest(range(64)) AS cell FROM nexts),
+    half AS (SELECT *, greatest(0, least(3, (cell % 8 + 0.5::DOUBLE) / 2 - 0.5)) AS x, greatest(0, least(3, (cell // 8 + 0.5::DOUBLE) / 2 - 0.5)) AS y, nx[1:16] AS fx, nx[17:32] AS fy, nx[33:48] AS m FROM spots), q AS (SELECT *, {SQL_FLOOR} FROM half),
+    flow AS (SELECT vec_id, px, cell, cell % 8 + 2 * {sql_sample('fx', 4, 4)} AS x, cell // 8 + 2 * {sql_sample('fy', 4, 4)} AS y, exp({sql_sample('m', 4, 4)}) AS e FROM q),
+    w AS (SELECT vec_id, list(e ORDER BY cell) AS w FROM flow GROUP BY 1), p AS (SELECT f.*, w, [1.0::DOUBLE for k in px] AS ones, [px[k] * w[k] for k in range(1, 65)] AS pw FROM flow f JOIN w USING (vec_id)), z AS (SELECT *, {SQL_FLOOR} FROM p)
+    SELECT vec_id, cell, round_even({sql_sample('px')} / greatest(1e-7, {sql_sample('ones')}), 6) AS average, round_even({sql_sample('pw')} / greatest(1e-7, {sql_sample('w')}), 6) AS soft FROM z"""
+)
+def softsplat_resized(spark: SparkSession, sf: str) -> DataFrame:
+    """softsplat() with a flow and a metric of half the image's size, which are brought to it first."""
+    f = with_next(spark, sf)
+    part = lambda k: F.slice("nx", 16 * k + 1, 16)
+    made = f.select("vec_id", planes.splats(F.col("px"), part(0), part(1), part(2), H, WIDTH, 4, 4).alias("z"))
+    both = made.select("vec_id", F.posexplode(F.arrays_zip("z.average", "z.soft")).alias("cell", "z"))
+    return both.select("vec_id", F.col("cell").cast("long").alias("cell"), F.bround(F.col("z")["average"], 6).alias("average"), F.bround(F.col("z")["soft"], 6).alias("soft"))
 
 
 @query(
@@ -115,36 +128,3 @@ def image_rotate(spark: SparkSession, sf: str) -> DataFrame:
 def image_beside(spark: SparkSession, sf: str) -> DataFrame:
     """Two images side by side."""
     return cells(with_next(spark, sf).select("vec_id", image.beside(F.col("px"), F.col("nx"), H, WIDTH, WIDTH).alias("v")), "v")
-
-
-#: Gray levels from the embeddings; every seventh image is dark, every eleventh flat.
-SQL_GRAY = f"""{SQL_IMAGES}, gray AS (SELECT label, vec_id, [CASE WHEN vec_id % 7 = 0 THEN 60 ELSE 128 END + CASE WHEN vec_id % 11 = 0 THEN 1 ELSE 90 END * x for x in px] AS g FROM images),
-    pair AS (SELECT *, lag(g) OVER (PARTITION BY label ORDER BY vec_id) AS b FROM gray),
-    feats AS (SELECT label, vec_id, list_avg(b) AS mean_before, list_avg(g) AS mean, list_avg([pow(x - list_avg(g), 2) for x in g]) AS variance, len([k for k in range(1, 65) if abs(g[k] - b[k]) > 25]) / 64.0::DOUBLE AS diff_fraction FROM pair WHERE b IS NOT NULL)"""
-
-
-def gray_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """label, vec_id, f: features of each image and the one before of its label."""
-    i = images(spark, sf)
-    level, spread = F.when(F.col("vec_id") % 7 == 0, 60.0).otherwise(128.0), F.when(F.col("vec_id") % 11 == 0, 1.0).otherwise(90.0)
-    gray = i.select("label", "vec_id", level.alias("level"), spread.alias("spread"), "px").select("label", "vec_id", F.transform("px", lambda x: F.col("level") + F.col("spread") * x).alias("g"))
-    pairs = gray.withColumn("b", F.lag("g").over(W.partitionBy("label").orderBy("vec_id"))).where("b is not null")
-    return pairs.select("label", "vec_id", image.pair_features(F.col("b"), F.col("g")).alias("f"))
-
-
-@query(f"WITH {SQL_GRAY} SELECT label, vec_id, round_even(mean_before, 6) AS mean_before, round_even(mean, 6) AS mean, round_even(variance, 6) AS variance, diff_fraction FROM feats")
-def image_pair_stats(spark: SparkSession, sf: str) -> DataFrame:
-    """Means, variance and changed pixels of neighbouring images."""
-    r = lambda c: F.bround(F.col("f")[c], 6).alias(c)
-    return gray_pairs(spark, sf).select("label", "vec_id", r("mean_before"), r("mean"), r("variance"), F.col("f")["diff_fraction"].alias("diff_fraction"))
-
-
-@query(
-    f"""WITH {SQL_GRAY} SELECT label, vec_id, CASE WHEN abs(mean - mean_before) > 40 THEN true WHEN variance < 5 THEN true WHEN (vec_id * 37 % 100) / 50.0 < 0.5 THEN true
-    WHEN (vec_id % 10) / 10.0 > 0.5 AND (CASE WHEN vec_id % 3 > 0 THEN vec_id % 5 / 2.0 END) > 1 THEN true ELSE diff_fraction < 0.15 END AS dead FROM feats"""
-)
-def image_dead_rule(spark: SparkSession, sf: str) -> DataFrame:
-    """Is an image a repeat of the one before: a flash or a flat picture first, then motion, camera movement and changed area? Motion and camera stand in for a model's."""
-    f, v = F.col("f"), F.col("vec_id")
-    rule = runs.dead(v * 37 % 100 / 50.0, f["diff_fraction"], v % 10 / 10.0, F.when(v % 3 > 0, v % 5 / 2.0), F.lit(0.5), F.lit(0.15), inlier=0.5)
-    return gray_pairs(spark, sf).select("label", "vec_id", F.when(image.flash_or_flat(f), True).otherwise(rule).alias("dead"))

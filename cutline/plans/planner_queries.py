@@ -35,8 +35,8 @@ def jobs(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-_VALUES = ", ".join(f"('{k}', '{c}', {repr(g) if g else 'NULL'})" for k, (c, g) in encoders.VIDEO_ARGS.items())
-_AUDIO = ", ".join(f"('{k}', '{v}')" for k, v in encoders.AUDIO_ARGS.items())
+_VALUES = ", ".join(f"('{k}', '{' '.join(c)}', {repr(' '.join(g)) if g else 'NULL'})" for k, (c, g) in encoders.VIDEO_ARGS.items())
+_AUDIO = ", ".join(f"('{k}', '{' '.join(v)}')" for k, v in encoders.AUDIO_ARGS.items())
 _SECONDS = "rtrim(rtrim(printf('%d.%03d', {0} // 1000, {0} % 1000), '0'), '.')"
 SQL_JOBS = f"""{SQL_PARTS}, video(name, cpu, gpu_args) AS (VALUES {_VALUES}), sound(mode, args) AS (VALUES {_AUDIO}),
     j AS (SELECT p_partkey, codec, container, 'in' || p_partkey || '.mkv' AS source, 'out.' || container AS target, ['{"', '".join(MODES)}'][p_partkey % {len(MODES)} + 1] AS audio,
@@ -118,8 +118,7 @@ def x265_profile(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    """SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 AND p_size % 6 <> 2 OR p_partkey % 3 > 0 AND p_size % 6 NOT IN (2, 4) THEN 'Model ''m' || p_partkey % 3 || ''' supports ' || CASE WHEN p_partkey % 3 = 0 THEN '2x' ELSE '2x/4x' END || ', got ' || p_size % 6 || 'x'
-    WHEN p_partkey % 4 = 3 THEN 'Unknown method ''other'' for model ''m' || p_partkey % 3 || '''' END AS problem,
+    """SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 AND p_size % 6 <> 2 OR p_partkey % 3 > 0 AND p_size % 6 NOT IN (2, 4) THEN 'scale' WHEN p_partkey % 4 = 3 THEN 'method' END AS problem,
     CASE p_partkey % 5 WHEN 0 THEN '' WHEN 3 THEN 'Anime4K_Clamp_Highlights.glsl,Anime4K_Restore_CNN_VL.glsl,' ELSE 'Anime4K_Restore_CNN_M.glsl,' END || array_to_string(['Anime4K_Upscale_CNN_x2_' || CASE p_partkey % 5 WHEN 0 THEN 'S' WHEN 3 THEN 'VL' ELSE 'M' END || '.glsl' for i in range(greatest(1, p_size % 6 // 2))], ',') AS shaders FROM part"""
 )
 def shader_chain(spark: SparkSession, sf: str) -> DataFrame:
@@ -127,7 +126,7 @@ def shader_chain(spark: SparkSession, sf: str) -> DataFrame:
     p, scale = F.col("p_partkey"), (F.col("p_size") % 6).cast("int")
     pick = lambda xs, n: F.get(F.array(*map(F.lit, xs)), n.cast("int"))
     scales = F.when(p % 3 == 0, F.array(F.lit(2))).otherwise(F.array(F.lit(2), F.lit(4)))
-    problem = planning.upscale_problem(F.concat(F.lit("m"), (p % 3).cast("string")), pick(("ml", "shader", "onnx", "other"), p % 4), scales, scale)
+    problem = planning.upscale_problem(pick(("ml", "shader", "onnx", "other"), p % 4), scales, scale)
     chain = planning.shader_chain(pick(("light", "medium", "no such", "strong", "Medium"), p % 5), scale)
     return table(spark, sf, "part").select("p_partkey", problem.alias("problem"), F.array_join(chain, ",").alias("shaders"))
 
@@ -235,7 +234,7 @@ def thumbnails(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     """WITH k AS (SELECT user_id, event_id, (props::JSON->>'k')::BIGINT AS k FROM events), b AS (SELECT user_id, k % 4 AS block, max(32 + k) AS c FROM k GROUP BY 1, 2),
     g AS (SELECT user_id, max(block) AS last, count(*) AS n, list(c ORDER BY block) AS channels FROM b GROUP BY 1), w AS (SELECT user_id, max(k) + 8 AS second, max(4 * (k % 9)) AS out FROM k GROUP BY 1)
-    SELECT user_id, CASE WHEN last + 1 <> n THEN 'no contiguous blocks' END AS problem, CASE WHEN last + 1 = n THEN array_to_string(channels, ',') END AS channels, CASE WHEN last + 1 = n THEN out // 4 END AS out_channels,
+    SELECT user_id, CASE WHEN last + 1 <> n THEN 'blocks' END AS problem, CASE WHEN last + 1 = n THEN array_to_string(channels, ',') END AS channels, CASE WHEN last + 1 = n THEN out // 4 END AS out_channels,
     CASE WHEN last + 1 = n AND user_id % 3 > 0 THEN CASE WHEN user_id % 3 = 1 THEN 'head4' ELSE 'head2' END END AS encode, CASE WHEN last + 1 = n THEN second > CASE WHEN user_id % 3 > 0 THEN 20 ELSE 12 END END AS propagates FROM g JOIN w USING (user_id)"""
 )
 def architecture(spark: SparkSession, sf: str) -> DataFrame:

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.vector import average_pool, cosine
+from ..functions.vector import average_pool, cosine_of, with_norm
 from ..operators import align, boundary, emission, runs, selection
 from ..sources.proxies import SQL_FRAMES, SQL_PACKETS, SQL_STATS, frames, packets, pair_stats, table
+from . import detect
 from .registry import query
 
 FPS, THRESHOLD = 25.0, 60.0
@@ -96,23 +97,36 @@ def keyframe_scan_v2(spark: SparkSession, sf: str) -> DataFrame:
 
 
 SQUEEZE = 600_000
+SQL_SQUEEZED = f"""{SQL_PACKETS}, dur AS (SELECT video_id, CASE WHEN video_id % 5 > 0 THEN (max(ts_us) - min(ts_us)) // {SQUEEZE} ELSE 0 END AS duration FROM packets GROUP BY 1),
+    k AS (SELECT video_id, seq, (ts_us + seq % 3 * 150000000000) // {SQUEEZE} AS t FROM packets WHERE is_key),
+    gaps AS (SELECT video_id, t, t - lag(t) OVER (PARTITION BY video_id ORDER BY t) AS delta FROM k),
+    sums AS (SELECT video_id, count(*) AS n, bool_or(delta <= 0) AS again, list_sort(list(delta) FILTER (delta IS NOT NULL)) AS deltas FROM gaps GROUP BY 1),
+    verdict AS (SELECT d.video_id, coalesce(n, 0) AS n, coalesce(n, 0) < 2 OR again OR (duration > 0 AND n / (duration / 1e6::DOUBLE) > 10) OR deltas[len(deltas) // 2 + 1] < 50000 AS pathological FROM dur d LEFT JOIN sums s USING (video_id))"""
+
+
+def squeezed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Keyframe times that come out of order, and durations that every fifth video lacks, on a scale where all rules take part."""
+    rows = packets(spark, sf)
+    t = rows.where("is_key").select("video_id", "seq", F.expr(f"(ts_us + seq % 3 * 150000000000) div {SQUEEZE}").alias("t_us"))
+    span = F.expr(f"(max(ts_us) - min(ts_us)) div {SQUEEZE}")
+    return t, rows.groupBy("video_id").agg(span.alias("d")).select("video_id", F.when(F.col("video_id") % 5 > 0, F.col("d")).otherwise(0).cast("long").alias("duration_us"))
+
+
+@query(f"WITH {SQL_SQUEEZED} SELECT * FROM verdict")
+def keyframe_pathology(spark: SparkSession, sf: str) -> DataFrame:
+    """Which videos' keyframe times can't be used."""
+    return boundary.pathological(*squeezed(spark, sf))
 
 
 @query(
-    f"""WITH {SQL_PACKETS}, k AS (SELECT video_id, ts_us // {SQUEEZE} AS t, seq FROM packets WHERE is_key),
-    d AS (SELECT *, t - lag(t) OVER (PARTITION BY video_id ORDER BY seq) AS delta FROM k)
-    SELECT video_id, count(*) AS n, (count(*) < 2 OR coalesce(min(delta) <= 0, false) OR count(*) / nullif((max(t) - min(t)) / 1e6::DOUBLE, 0) > 10
-      OR list_sort(list(delta) FILTER (delta IS NOT NULL))[(count(*) - 1) // 2 + 1] < 50000) AS pathological FROM d GROUP BY 1"""
+    f"""WITH {SQL_SQUEEZED}, d AS (SELECT video_id, ts_us // {SQUEEZE} AS t FROM packets WHERE kind <> 'view')
+    SELECT DISTINCT video_id, t AS t_us, pathological AS decoded FROM verdict JOIN (SELECT video_id, t, false AS own FROM k UNION ALL SELECT video_id, t, true FROM d) USING (video_id) WHERE own = pathological AND t >= 0"""
 )
-def keyframe_pathology(spark: SparkSession, sf: str) -> DataFrame:
-    """Is a video's list of keyframe times unusable: too short, not rising, too dense, or with a small upper median gap?"""
-    w = W.partitionBy("video_id").orderBy("seq")
-    t = packets(spark, sf).where("is_key").select("video_id", "seq", F.floor(F.col("ts_us") / SQUEEZE).alias("t"))
-    d = t.withColumn("delta", F.col("t") - F.lag("t").over(w))
-    g = d.groupBy("video_id").agg(F.count("*").alias("n"), F.min("delta").alias("least"), ((F.max("t") - F.min("t")) / 1e6).alias("span"), F.array_sort(F.collect_list("delta")).alias("deltas"))
-    median = F.get("deltas", F.floor(F.size("deltas") / 2).cast("int"))
-    bad = (F.col("n") < 2) | F.coalesce(F.col("least") <= 0, F.lit(False)) | F.coalesce(F.try_divide("n", "span") > 10, F.lit(False)) | F.coalesce(median < 50_000, F.lit(False))
-    return g.select("video_id", "n", bad.alias("pathological"))
+def keyframe_fallback(spark: SparkSession, sf: str) -> DataFrame:
+    """Keyframe times, decoded ones where those of the packets can't be used; here the decoder finds every event but the views."""
+    times, durations = squeezed(spark, sf)
+    decoded = packets(spark, sf).where("kind <> 'view'").select("video_id", F.expr(f"ts_us div {SQUEEZE}").alias("t_us"))
+    return detect.keyframe_times(times, decoded, durations)
 
 
 @query(f"WITH {SQL_KEYS} SELECT video_id, t_us, t_us - lag(t_us) OVER (PARTITION BY video_id ORDER BY t_us) AS gap_us FROM keys")
@@ -169,14 +183,12 @@ def keyframe_scenes_packed(spark: SparkSession, sf: str) -> DataFrame:
 
 
 RADIUS = 6 * HOUR
-#: Edge images: as many of the embeddings as each size of the tables has.
-VECTORS = 500
 
 
 @query(
     f"""WITH RECURSIVE {SQL_KEYS}, wins AS (SELECT video_id, row_number() OVER (PARTITION BY video_id ORDER BY t_us) - 1 AS window_id, greatest(0, t_us - {RADIUS}) AS s, t_us + {RADIUS} AS e FROM keys),
-    edges AS (SELECT vec_id, list(a ORDER BY k) AS pooled FROM (SELECT vec_id, (i // 16) * 4 + i % 8 // 2 AS k, avg(embedding[i + 1]::DOUBLE) AS a FROM (SELECT vec_id, embedding, unnest(range(64)) AS i FROM embeddings WHERE vec_id < {VECTORS}) GROUP BY 1, 2) GROUP BY 1),
-    seen AS (SELECT w.video_id, w.window_id, f.ts_us - {START} AS t, pooled FROM frames f JOIN wins w ON f.video_id = w.video_id AND f.ts_us - {START} BETWEEN w.s AND w.e JOIN edges ON vec_id = f.seq % {VECTORS} WHERE f.score >= 5),
+    edges AS (SELECT vec_id, list(a ORDER BY k) AS pooled FROM (SELECT vec_id, (i // 16) * 4 + i % 8 // 2 AS k, avg(embedding[i + 1]::DOUBLE) AS a FROM (SELECT vec_id, embedding, unnest(range(64)) AS i FROM embeddings) GROUP BY 1, 2) GROUP BY 1),
+    seen AS (SELECT w.video_id, w.window_id, f.ts_us - {START} AS t, pooled FROM frames f JOIN wins w ON f.video_id = w.video_id AND f.ts_us - {START} BETWEEN w.s AND w.e JOIN edges ON vec_id = f.seq % (SELECT count(*) FROM embeddings) WHERE f.score >= 5),
     steps AS (SELECT *, lag(pooled) OVER (PARTITION BY video_id, window_id ORDER BY t) AS b FROM seen),
     cuts AS (SELECT DISTINCT video_id, t AS t_us FROM steps WHERE b IS NOT NULL AND abs(1 - list_cosine_similarity(pooled, b)) > 1.1),
     {sql_merge('SELECT * FROM cuts UNION SELECT DISTINCT video_id, 0 FROM cuts', 2 * HOUR)} SELECT * FROM merged WHERE t_us > 0"""
@@ -184,10 +196,11 @@ VECTORS = 500
 def edge_window_cuts(spark: SparkSession, sf: str) -> DataFrame:
     """Cuts from scans around keyframes, where pooled edge images of neighbours differ; frames of low score have no edges and are skipped."""
     wins = boundary.windows_of(keys(spark, sf), RADIUS)
-    edges = table(spark, sf, "embeddings").where(F.col("vec_id") < VECTORS).select("vec_id", average_pool(F.col("embedding"), 8, 8, 2).alias("feature"))
-    f = clock(frames(spark, sf)).where("score >= 5").withColumn("vec_id", F.col("seq") % VECTORS).join(edges, "vec_id").select("video_id", "t_us", "feature", F.lit(True).alias("usable"))
+    images = table(spark, sf, "embeddings")
+    edges = images.select("vec_id", with_norm(average_pool(F.col("embedding"), 8, 8, 2)).alias("feature"))
+    f = clock(frames(spark, sf)).where("score >= 5").withColumn("vec_id", F.col("seq") % images.count()).join(edges, "vec_id").select("video_id", "t_us", "feature", F.lit(True).alias("usable"))
     scanned = boundary.join_windows(f, wins, 2 * RADIUS)
-    return boundary.window_cuts(scanned, F.abs(1 - cosine(F.col("feature"), F.col("before"))), 1.1, 2 * HOUR)
+    return boundary.window_cuts(scanned, F.abs(1 - cosine_of(F.col("feature"), F.col("before"))), 1.1, 2 * HOUR)
 
 
 @query(
@@ -305,7 +318,7 @@ def gop_trim(spark: SparkSession, sf: str) -> DataFrame:
 # decisions
 
 FLOW, AREA = 0.4, 0.06
-SQL_DEAD = "CASE WHEN mean_mag < {0} THEN true WHEN inlier_ratio > 0.8 AND frob_norm > 1.0 THEN true ELSE diff_fraction < {1} END"
+SQL_DEAD = "CASE WHEN mean_mag < {0} THEN true WHEN inlier_ratio > 0.5 AND frob_norm > 1.0 THEN true ELSE diff_fraction < {1} END"
 SQL_DECIDED = f"""{SQL_STATS}, decided AS (SELECT f.video_id, f.i, coalesce(NOT ({SQL_DEAD.format(FLOW, AREA)}), true) AS keep FROM frames f LEFT JOIN stats s ON f.video_id = s.video_id AND f.i = s.i)"""
 
 
@@ -372,8 +385,8 @@ def kept_dropped_stats(spark: SparkSession, sf: str) -> DataFrame:
     return s.groupBy("video_id").agg(F.count("*").alias("total"), F.count_if("keep").alias("kept"), F.count_if(~F.col("keep")).alias("dropped"), (F.count_if("keep") / FPS).alias("duration_after"))
 
 
-SQL_CALIBRATED = f"""{SQL_STATS}, c AS (SELECT video_id, CASE WHEN count(*) >= 2 THEN greatest(0.2, least(2.0, quantile_cont(mean_mag, 0.2) * 0.6)) ELSE 0.8 END::DOUBLE AS flow,
-    CASE WHEN count(*) >= 2 THEN greatest(0.03, least(0.25, quantile_cont(diff_fraction, 0.15) * 0.4)) ELSE 0.1 END::DOUBLE AS area FROM stats GROUP BY 1)"""
+SQL_CALIBRATED = f"""{SQL_STATS}, c AS (SELECT video_id, CASE WHEN count(*) >= 2 THEN greatest(0.2, least(2.0, quantile_cont(mean_mag, 0.2) * 0.6)) ELSE 0.5 END::DOUBLE AS flow,
+    CASE WHEN count(*) >= 2 THEN greatest(0.03, least(0.25, quantile_cont(diff_fraction, 0.15) * 0.4)) ELSE 0.15 END::DOUBLE AS area FROM stats GROUP BY 1)"""
 
 
 @query(f"WITH {SQL_CALIBRATED} SELECT video_id, round_even(flow, 6) AS flow, round_even(area, 6) AS area FROM c")
@@ -386,7 +399,7 @@ def auto_calibration(spark: SparkSession, sf: str) -> DataFrame:
 def calibrated_dead_frames(spark: SparkSession, sf: str) -> DataFrame:
     """Frames dropped under calibrated thresholds, which stand beside each row: one shuffle."""
     is_dead = runs.dead(F.col("mean_mag"), F.col("diff_fraction"), F.col("inlier_ratio"), F.col("frob_norm"), F.col("flow"), F.col("area"))
-    rows = runs.with_limits(pair_stats(spark, sf), F.lit(0.8), F.lit(0.1))
+    rows = runs.with_limits(pair_stats(spark, sf), F.lit(runs.FLOW), F.lit(runs.AREA))
     return rows.groupBy("video_id").agg(F.count("*").alias("n"), F.count_if(is_dead).alias("n_dead"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import image, vector
+from ..functions import image, planes, vector
 from ..operators import similarity
 from ..sources.proxies import table
 from .registry import query
@@ -92,35 +92,33 @@ def gaussian_log_density(spark: SparkSession, sf: str) -> DataFrame:
     return images(spark, sf).select("vec_id", F.bround(vector.total(logs), 6).alias("log_density"))
 
 
-SQL_TOKENS = f"{SQL_IMAGES}, tokens AS (SELECT vec_id, k, px[4 * k + 1 : 4 * k + 4] AS v FROM (SELECT vec_id, px, unnest(range(16)) AS k FROM images))"
+#: Blocks of 2 x 2 pixels as cells of a 4 x 4 plane, with four channels each.
+SQL_PLANES = f"""{SQL_IMAGES}, planes AS (SELECT vec_id, k, [px[(k // 4 * 2 + j // 2) * 8 + k % 4 * 2 + j % 2 + 1] for j in range(4)] AS v FROM (SELECT vec_id, px, unnest(range(16)) AS k FROM images)),
+    s AS (SELECT a.vec_id, a.k, b.k AS j, list_inner_product(a.v, b.v) / 2 AS s FROM planes a JOIN planes b ON b.vec_id = a.vec_id + 1)"""
+SQL_MATCHED = "e AS (SELECT *, exp(s - max(s) OVER (PARTITION BY vec_id, k)) AS w FROM {0}) SELECT vec_id, k AS cell, round_even(sum(w * (j % 4)) / sum(w) - k % 4, 6) AS x, round_even(sum(w * (j // 4)) / sum(w) - k // 4, 6) AS y FROM e GROUP BY 1, 2"
 
 
-@query(
-    f"""WITH {SQL_TOKENS}, s AS (SELECT a.vec_id, a.k, b.k AS j, list_inner_product(a.v, b.v) / 2 AS s FROM tokens a JOIN tokens b ON b.vec_id = a.vec_id + 1),
-    e AS (SELECT *, exp(s - max(s) OVER (PARTITION BY vec_id, k)) AS w FROM s)
-    SELECT vec_id, k AS cell, round_even(sum(w * j) / sum(w) - k, 6) AS v FROM e GROUP BY 1, 2"""
-)
+def plane_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """vec_id, own, other: an image and the next, as cells of four channels one after the other."""
+    places = F.array(*[F.lit((k // 4 * 2 + j // 2) * 8 + k % 4 * 2 + j % 2) for k in range(16) for j in range(4)])
+    own = images(spark, sf).select("vec_id", vector.bound(F.col("px"), lambda p: F.transform(places, lambda i: F.get(p, i))).alias("own"))
+    return own.join(own.select((F.col("vec_id") - 1).alias("vec_id"), F.col("own").alias("other")), "vec_id")
+
+
+def matched(found: DataFrame) -> DataFrame:
+    return found.select("vec_id", "cell", F.bround("x", 6).alias("x"), F.bround("y", 6).alias("y"))
+
+
+@query(f"WITH {SQL_PLANES}, {SQL_MATCHED.format('s')}")
 def correlation_soft_match(spark: SparkSession, sf: str) -> DataFrame:
-    """Where each block of an image is found in the next image: softmax over all its blocks."""
-    tokens = images(spark, sf).select("vec_id", F.transform(F.sequence(F.lit(0), F.lit(15)), lambda k: F.slice("px", k * 4 + 1, 4)).alias("own"))
-    both = tokens.join(tokens.select((F.col("vec_id") - 1).alias("vec_id"), F.col("own").alias("other")), "vec_id")
-    coords = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda k: k.cast("double"))
-    return cells(both.select("vec_id", F.transform("own", lambda o, k: vector.soft_match(o, F.col("other"), 4, coords) - k).alias("v")), "v")
+    """How far each block of an image has moved in the next one, in x and y: softmax over all its blocks, row of tiles by row of tiles."""
+    return matched(planes.match_flow(plane_pairs(spark, sf), "vec_id", "own", "other", 4, 4, 4, tile_rows=2))
 
 
-@query(
-    f"""WITH {SQL_TOKENS}, s AS (SELECT a.vec_id, a.k, b.k AS j, CASE WHEN abs(a.k - b.k) <= 2 THEN list_inner_product(a.v, b.v) / 2 ELSE -1e9 END AS s FROM tokens a JOIN tokens b ON b.vec_id = a.vec_id + 1),
-    e AS (SELECT *, exp(s - max(s) OVER (PARTITION BY vec_id, k)) AS w FROM s)
-    SELECT vec_id, k AS cell, round_even(sum(w * j) / sum(w) - k, 6) AS v FROM e GROUP BY 1, 2"""
-)
+@query(f"WITH {SQL_PLANES}, near AS (SELECT * FROM s WHERE abs(k % 4 - j % 4) <= 1 AND abs(k // 4 - j // 4) <= 1), {SQL_MATCHED.format('near')}")
 def local_soft_match(spark: SparkSession, sf: str) -> DataFrame:
-    """As correlation_soft_match, within two blocks."""
-    tokens = images(spark, sf).select("vec_id", F.transform(F.sequence(F.lit(0), F.lit(15)), lambda k: F.slice("px", k * 4 + 1, 4)).alias("own"))
-    both = tokens.join(tokens.select((F.col("vec_id") - 1).alias("vec_id"), F.col("own").alias("other")), "vec_id")
-    seq = F.sequence(F.lit(0), F.lit(15))
-    coords = F.transform(seq, lambda k: k.cast("double"))
-    near = F.transform("own", lambda o, k: vector.soft_match(o, F.col("other"), 4, coords, F.transform(seq, lambda j: F.abs(j - k) <= 2)) - k)
-    return cells(both.select("vec_id", near.alias("v")), "v")
+    """As correlation_soft_match, among the nine blocks around each place that are in the image."""
+    return matched(planes.match_flow(plane_pairs(spark, sf), "vec_id", "own", "other", 4, 4, 4, tile_rows=2, radius=1))
 
 
 def _sql_warped(a: str) -> str:

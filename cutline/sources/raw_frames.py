@@ -7,6 +7,7 @@ block of frames. Paths may be of any file system that pyarrow opens.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,6 +18,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 HEIGHT, WIDTH, CHANNELS = 27, 48, 3
 #: Bytes that a task reads, and that it holds at a time.
 SPLIT, HELD = 64 << 20, 1 << 20
+MANIFEST = "_manifest.json"
 
 
 def _system(path: str):
@@ -26,6 +28,17 @@ def _system(path: str):
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
 
+def manifest_of(system, root: str) -> list[dict] | None:
+    """The files that a folder's manifest names, if it has one: what a job hasn't published isn't there."""
+    from pyarrow import fs
+
+    path = f"{root.rstrip('/')}/{MANIFEST}"
+    if system.get_file_info(path).type == fs.FileType.NotFound:
+        return None
+    with system.open_input_stream(path) as f:
+        return json.loads(f.read())
+
+
 def _files(path: str) -> list[tuple[str, int]]:
     """Path and size of the file, or of the folder's files, in order."""
     from pyarrow import fs
@@ -34,6 +47,8 @@ def _files(path: str) -> list[tuple[str, int]]:
     info = system.get_file_info(root)
     if info.type == fs.FileType.NotFound:
         raise FileNotFoundError(path)
+    if info.type != fs.FileType.File and (listed := manifest_of(system, root)) is not None:
+        return [(x["path"], x["bytes"]) for x in listed]
     infos = [info] if info.type == fs.FileType.File else system.get_file_info(fs.FileSelector(root, recursive=True))
     return sorted((x.path, x.size) for x in infos if x.type == fs.FileType.File and not x.base_name.startswith(("_", ".")))
 

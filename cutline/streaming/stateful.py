@@ -13,9 +13,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQueryListener
-from pyspark.sql.types import DoubleType, LongType, StructField, StructType
+from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, StructType
 
 from ..functions import text
+from ..sources.log_lines import read_lines
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -128,11 +129,39 @@ def sliding_windows(frames: DataFrame, window: int = 100, stride: int = 50) -> D
     return frames.select("video_id", "i", "value", "last").groupBy("video_id").transformWithStateInPandas(_Windows(window, stride), schema, "append", "None")
 
 
-def log_tail(spark: SparkSession, folder: str) -> DataFrame:
-    """New lines of log files in a folder, as they are added as files: line, message (without its prefix), percent, done, error. Offsets are the source's, so a line is read once."""
-    lines = spark.readStream.text(folder).where("value <> ''").withColumnRenamed("value", "line")
+def log_tail(spark: SparkSession, folder: str, **options) -> DataFrame:
+    """The lines that are added to a log file, or to the files of a folder, each once and when it is whole: path, at, line, message (without its prefix), percent, done, error. Empty lines are left out. options: those of log_lines."""
+    lines = read_lines(spark, folder, **options).where("line <> ''")
     line = F.col("line")
-    return lines.select("line", text.log_message(line).alias("message"), F.when(text.progress(line) > 100, 100.0).otherwise(text.progress(line)).alias("percent"), text.completed(line).alias("done"), text.error(line).alias("error"))
+    return lines.select("path", "at", "line", text.log_message(line).alias("message"), F.when(text.progress(line) > 100, 100.0).otherwise(text.progress(line)).alias("percent"), text.completed(line).alias("done"), text.error(line).alias("error"))
+
+
+class _Progress(StatefulProcessor):
+    """State: the greatest percentage so far, and whether the work counts as done."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("state", StructType([StructField("percent", DoubleType()), StructField("done", BooleanType())]))
+
+    def handleInputRows(self, key, rows, timerValues):
+        most, done = self.state.get() if self.state.exists() else (-1.0, False)
+        out = []
+        for at, percent, says_done, error in sorted(r for part in rows for r in zip(part["at"].tolist(), part["percent"].tolist(), part["done"].tolist(), part["error"].tolist(), strict=True)):
+            rises = percent is not None and percent > most
+            now_done = done or bool(says_done) or (rises and percent >= 99.5)
+            if rises or now_done != done or error is not None:
+                most = percent if rises else most
+                done = now_done
+                out.append((key[0], at, percent if rises else None, done, error))
+        self.state.update((most, done))
+        yield pd.DataFrame(out, columns=["path", "at", "percent", "done", "error"])
+
+    def close(self) -> None:
+        pass
+
+
+def log_progress(lines: DataFrame) -> DataFrame:
+    """What a log's reader is told: path, at, percent (where it rises), done (from 99.5 on, or where a line says so), error. lines: log_tail()."""
+    return lines.select("path", "at", "percent", "done", "error").groupBy("path").transformWithStateInPandas(_Progress(), "path string, at long, percent double, done boolean, error string", "append", "None")
 
 
 class ProgressListener(StreamingQueryListener):

@@ -147,7 +147,9 @@ def test_detect(spark):
     clips = spark.createDataFrame([(1, 0, "c0", "copy"), (1, 1, "c1", "failed")], "video_id long, scene_index long, path string, mode string")
     assert {(r.scene_index, r.input, r.seek_ms) for r in export_jobs(scenes, clips, "0-1").collect()} == {(0, "c0", None), (1, "video_1", 5000)}
     stats = spark.createDataFrame([(1, i, 0.0 if i == 2 else 3.0, 0.5, 0.0, None) for i in range(1, 5)], "video_id long, i long, mean_mag double, diff_fraction double, inlier_ratio double, frob_norm double")
-    assert [(r.start_sec, r.end_sec) for r in drop_dead_frames(stats, 1.0).orderBy("segment_index").collect()] == [(0.0, 2.0), (3.0, 5.0)]
+    assert [(r.start_sec, r.end_sec) for r in drop_dead_frames(stats, 1.0, cadence=1).orderBy("segment_index").collect()] == [(0.0, 2.0), (3.0, 5.0)]
+    # a run shorter than three is an animation's own hold
+    assert [(r.start_sec, r.end_sec) for r in drop_dead_frames(stats, 1.0).collect()] == [(0.0, 5.0)]
 
 
 def stream(spark, tmp_path, rows, schema, op, name):
@@ -229,7 +231,7 @@ def test_dead_frame_flags(spark):
     stats = spark.createDataFrame([(1, *r) for r in rows], schema)
     kept = lambda **o: [r.i for r in dead_frames(stats, **o).where("keep").orderBy("i").collect()]
     assert kept(auto=False) == [0]
-    assert kept(auto=False, parallax=True) == [0, 4]
+    assert kept(auto=False, parallax=True) == [0, 1, 4]
     assert kept(auto=False, small_movements=0.01) == [0, 2]
     # calibrated: 0.6 x the 20 % percentile of 0.04, 0.5, 3, 3, and 0.4 x the 15 % percentile of 0.05 and 0.5
     assert kept(keep_camera=True) == [0, 1, 4]

@@ -136,7 +136,8 @@ def test_calibration(spark):
     stats = spark.createDataFrame(list(zip([1] * 4, [1.0, 2.0, 0.5, 3.0], [0.2, 0.3, 0.1, 0.5])), "video_id long, mean_mag double, diff_fraction double")
     r = runs.calibrate(stats).first()
     assert abs(r.flow - 0.48) < 1e-12 and abs(r.area - 0.058) < 1e-12
-    assert runs.calibrate(stats.limit(1)).first().flow == 0.8 and runs.calibrate(stats, lock_flow=True).first().flow == 0.8
+    assert runs.calibrate(stats.limit(1)).first().flow == 0.5 and runs.calibrate(stats, lock_flow=True).first().flow == 0.5
+    assert runs.calibrate(stats.limit(1)).first().area == 0.15
 
 
 def test_dead_rule_order(spark):
