@@ -130,7 +130,7 @@ def look_up(rows: DataFrame, key: str, known: DataFrame, spread: list[str]) -> D
         return rows.withColumnRenamed("_hot", "found").drop("_hk")
     cold = known.select(F.col("k").alias("_ck"), F.struct("*").alias("_cold"))
     open_ = F.col(key).isNotNull() & F.col("_hk").isNull()
-    rows = rows.withColumn("_open", open_).withColumn("_deal", F.when(open_, F.col(key)).otherwise(F.xxhash64(*spread)))
+    rows = rows.withColumn("_open", open_).withColumn("_deal", F.when(open_, F.col(key)).otherwise(F.xxhash64(*spread).cast(rows.schema[key].dataType)))
     rows = rows.join(cold, (F.col("_deal") == F.col("_ck")) & F.col("_open"), "left")
     return rows.withColumn("found", F.coalesce("_hot", "_cold")).drop("_hk", "_hot", "_ck", "_cold", "_open", "_deal")
 
