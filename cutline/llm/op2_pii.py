@@ -7,19 +7,23 @@ seeing it tells that the entity is near: with document frequencies over the whol
 
 where p(c|t) is n(c,t) / n(t), and n(c,t) counts documents in which t stands within WINDOW words of c. It is 1 for a
 term that only ever comes with the entity. For pairs that aren't seen in different contexts of different documents,
-p(c|t) is the lower bound of that share (Wilson's, with Z): a term seen once, in a corpus of 10,000 documents, comes to
-0.78. Terms of
-at least GENERALISE are replaced by their class, those of at least REMOVE are taken out, wherever they stand in a
-document that holds the entity. Every pair counts, also those seen once or in copies of one passage. Documents without
+p(c|t) is the lower bound of that share (Wilson's, with Z), at most 1 / (1 + Z ** 2 / n(t)). Terms of at least GENERALISE are
+replaced by their class, wherever they stand in a document that holds the entity. They are taken out if their disclosure is
+at least REMOVE of the most that as many sightings can show: of 1, or where the bound counts, of the disclosure of a term
+that is seen as often and only with the entity. So what the bound costs a rare pair decides whether it is sanitised at all,
+and not how; a term that stands once, beside an entity of that document alone, goes from SMALLEST documents on, whatever
+other documents there are. Every pair counts, also those seen once or in copies of one passage. Documents without
 an entity are left alone.
 
 Plan: one scan finds spans, the terms near them, and where each term of a document with an entity stands, and is written
 as a table without texts; one scan counts the documents of each term, summed within tasks before the shuffle; pairs are
-summed and joined by key, where Spark may split a hot one. Places are first held against the terms that disclose any
-entity, and then joined with their document's entities and the pairs. Nothing is broadcast or collected but N.
+summed and meet the counts of their term and of their entity by look_up(), so that a frequent term, or an address that a
+third of the documents holds, isn't one task; the same goes for the places of a term, which are then joined with their
+document's entities by row. Nothing else is broadcast, and only N is collected.
 
-Null texts count as empty. Repeated rows are documents of their own. Spans are code points of the whole text. An empty
-table gives no rows.
+Null texts count as empty. Repeated rows are documents of their own. Of equal disclosures the action is the same; a term
+that one entity generalises and another removes is removed. Spans are code points of the whole text, however long. Columns
+of `keep` must not be called base, entities, near, terms or row; other columns aren't read. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,13 +34,15 @@ from collections import Counter
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_rows, table, text_or_empty, write_shared
+from .common import look_up, map_rows, table, text_or_empty, write_shared
 
 KINDS = ("email", "ip", "card", "phone", "generalise", "remove")
 WINDOW = 10
 GENERALISE, REMOVE = 0.6, 0.85
 #: Two-sided 99 % of the normal distribution.
 Z = 2.5758
+#: Documents (for each that holds the entity) from which on a pair that is seen once is sanitised: ln(1 + Z ** 2) / ln N is 1 - GENERALISE there.
+SMALLEST = 162
 #: Terms held in a task before their counts are passed on.
 HELD = 300_000
 
@@ -176,7 +182,7 @@ def term_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def disclosure(found: DataFrame, terms: DataFrame, n_docs: int, generalise: float = GENERALISE, remove: float = REMOVE, z: float = Z) -> DataFrame:
-    """entity, term, action for the pairs beyond the thresholds. found: rows (row, entity, term, context)."""
+    """entity, term, docs (of the term), action for the pairs beyond the thresholds. found: rows (row, entity, term, context)."""
     by_row = found.groupBy("entity", "term", "row").agg(F.min("context").alias("lo"), F.max("context").alias("hi"))
     pairs = by_row.groupBy("entity", "term").agg(F.count("*").alias("together"), (F.min("lo") != F.max("hi")).alias("varied"))
     entities = found.select("entity", "row").distinct().groupBy("entity").agg(F.count("*").alias("of_entity"))
@@ -184,13 +190,17 @@ def disclosure(found: DataFrame, terms: DataFrame, n_docs: int, generalise: floa
     seen, share = F.col("docs").cast("double"), F.col("together") / F.col("docs")
     low = (share + z * z / (2 * seen) - z * F.sqrt(share * (1 - share) / seen + z * z / (4 * seen * seen))) / (1 + z * z / seen)
     known = F.when(F.col("varied") & (F.col("together") > 1), share).otherwise(low)
-    share = F.try_divide(F.log(n * known / F.col("of_entity")), F.log(n / F.col("of_entity")))
+    told = lambda p: F.coalesce(F.try_divide(F.log(n * p / F.col("of_entity")), F.log(n / F.col("of_entity"))), F.lit(0.0))
+    most = told(F.when(F.col("varied") & (F.col("together") > 1), 1.0).otherwise(1 / (1 + z * z / seen)))
+    pairs, _ = write_shared(pairs, "pii-pairs")
+    by_entity, _ = write_shared(pairs.groupBy(F.col("entity").alias("k")).agg(F.count("*").alias("n")).join(entities.withColumnRenamed("entity", "k"), "k"), "pii-entities")
+    by_term, _ = write_shared(pairs.groupBy(F.col("term").alias("k")).agg(F.count("*").alias("n")).join(terms.withColumnRenamed("term", "k"), "k"), "pii-terms")
+    counted = look_up(pairs, "entity", by_entity, ["term"]).withColumn("of_entity", F.col("found")["of_entity"]).drop("found")
+    counted = look_up(counted, "term", by_term, ["entity"]).withColumn("docs", F.col("found")["docs"]).drop("found")
     return (
-        pairs.join(entities, "entity")
-        .join(terms, "term")
-        .withColumn("disclosure", F.coalesce(share, F.lit(0.0)))
+        counted.withColumn("disclosure", told(known))
         .where(F.col("disclosure") >= generalise)
-        .select("entity", "term", F.when(F.col("disclosure") >= remove, "remove").otherwise("generalise").alias("action"))
+        .select("entity", "term", "docs", F.when(F.col("disclosure") >= remove * most, "remove").otherwise("generalise").alias("action"))
     )
 
 
@@ -200,16 +210,18 @@ def sanitisation_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     near = found.select("row", F.inline("near"))
     policy, _ = write_shared(disclosure(near, term_counts(docs, text_col), found.count()), "pii-policy")
     # a term discloses few entities, while a row may have many terms and many entities: never all pairs of a row's
-    places = found.where(F.size("terms") > 0).select("row", F.inline("terms")).join(policy.select("term").distinct(), "term", "left_semi")
+    gives, _ = write_shared(policy.groupBy(F.col("term").alias("k")).agg(F.max("docs").alias("n"), F.collect_list(F.struct("entity", "action")).alias("gives")), "pii-gives")
+    places = look_up(found.where(F.size("terms") > 0).select("row", F.inline("terms")), "term", gives, ["row"]).where("found is not null")
+    places, _ = write_shared(places.select("row", "term", "places", F.col("found")["gives"].alias("gives")), "pii-places")
     goes = (
-        places.select("row", "term")
-        .join(policy, "term")
+        places.select("row", "term", F.inline("gives"))
         .join(found.select("row", F.explode("entities").alias("entity")), ["row", "entity"], "left_semi")
         .groupBy("row", "term")
         .agg(F.max("action").alias("kind"))
     )
     added = (
-        places.join(goes, ["row", "term"])
+        places.drop("gives")
+        .join(goes, ["row", "term"])
         .groupBy("row")
         .agg(F.flatten(F.collect_list(F.transform("places", lambda p: F.struct(F.col("kind").alias("kind"), p["start"].alias("start"), p["end"].alias("end"))))).alias("added"))
     )

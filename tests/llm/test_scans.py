@@ -8,6 +8,7 @@ import re
 
 import pytest
 
+from cutline.llm import common
 from cutline.llm import op1_secrets as secrets
 from cutline.llm import op2_pii as pii
 from cutline.llm import op6_licenses as licenses
@@ -161,11 +162,44 @@ def test_terms_seen_once_are_disclosing(spark):
     copies = [(6000 + i, "the same words from Ottokar more some ok@ex.org here") for i in range(50)]
     got = {r.doc_id: r for r in pii.sanitisation_spans(spark.createDataFrame(filler + once + copies, "doc_id long, text string")).collect()}
     taken = lambda i, t: {(t[s["start"] : s["end"]], s["kind"]) for s in got[i].spans if s["kind"] != "email"}
-    assert {("Quxley", "generalise"), ("Brandt", "generalise")} <= taken(5000, once[0][1])
+    assert {("Quxley", "remove"), ("Brandt", "remove")} <= taken(5000, once[0][1])
     assert ("Ottokar", "remove") in taken(6000, copies[0][1])
     assert not {w for w, _ in taken(5000, once[0][1]) | taken(6000, copies[0][1])} & {"common", "words", "here", "more", "some"}
 
 
+def test_planted_leaks_are_removed_at_any_size(spark):
+    """A name that stands once, beside an address of its own, goes from SMALLEST documents on, also among the given documents."""
+    given = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    leaks = [(10**9 + k, f"{given[k][1][:300]} Zq{k}vex the mail zq{k}vex@planted.example of {given[k + 9][1][:200]}") for k in range(5)]
+    for rest in (given, given[: pii.SMALLEST - len(leaks)]):
+        docs = spark.createDataFrame(rest + leaks, "doc_id long, text string").repartition(4)
+        got = {r.doc_id: r.spans for r in pii.sanitisation_spans(docs).collect()}
+        for i, t in leaks:
+            name = f"Zq{i - 10**9}vex"
+            assert any(s.kind == "remove" and t[s.start : s.end] == name for s in got[i])
+        assert all(not x or any(s.kind in pii.KINDS[:4] for s in x) for x in got.values())
+
+
+def test_hot_terms_and_entities(spark, monkeypatch):
+    """The same policy whether keys are met by broadcast or by shuffle."""
+    rows = [(k, f"write to help@desk.example about case{k % 7} name{k % 50} or mail m{k % 9}@x.example") for k in range(300)] + [(400 + k, f"plain words case{k % 7}") for k in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    one = sorted(map(str, pii.sanitisation_spans(docs).collect()))
+    monkeypatch.setattr(common, "HOT_KEYS", 1)
+    assert sorted(map(str, pii.sanitisation_spans(docs).collect())) == one
+    assert any("generalise" in x or "remove" in x for x in one)
+
+
+def test_licences_of_many_directories(spark, monkeypatch):
+    files = [(k, f"d{k % 5}/s{k}/f.txt", "text without any") for k in range(40)] + [(100 + k, f"d{k}/LICENSE", "Released under the MIT License") for k in range(4)]
+    df = spark.createDataFrame(files, "doc_id long, path string, text string").repartition(3)
+    one = sorted(map(str, licenses.scan_licenses(df, keep=("doc_id",)).collect()))
+    monkeypatch.setattr(licenses, "BROADCAST_DIRS", 1)
+    monkeypatch.setattr(common, "HOT_KEYS", 2)
+    assert sorted(map(str, licenses.scan_licenses(df, keep=("doc_id",)).collect())) == one
+    assert sum("inherited" in x for x in one) == 32
+
+
 def test_disclosing_terms_go_from_the_whole_document(spark):
     filler = [(i, f"some common words here number{i} and more of the same") for i in range(300)]
     leak = [(1000 + i, f"word{i} the person Zorblax wrote from zed@ex.org about common words plus{i}") for i in range(4)]
@@ -292,14 +326,15 @@ def plain_policy(rows):
     out = {}
     for (c, w), seen in near.items():
         together = len({k for k, _ in seen})
-        share = together / docs[w]
+        share, most = together / docs[w], 1.0
         if together < 2 or len({x for _, x in seen}) < 2:
             m, z = docs[w], pii.Z
-            share = (share + z * z / (2 * m) - z * math.sqrt(share * (1 - share) / m + z * z / (4 * m * m))) / (1 + z * z / m)
+            share, most = ((p + z * z / (2 * m) - z * math.sqrt(p * (1 - p) / m + z * z / (4 * m * m))) / (1 + z * z / m) for p in (share, 1.0))
         tells = math.log(n / len(holds[c]))
-        d = math.log(n * share / len(holds[c])) / tells if tells else 0
+        d, best = (math.log(n * p / len(holds[c])) / tells if tells else 0 for p in (share, most))
         if d >= pii.GENERALISE:
-            out[c, w] = "remove" if d >= pii.REMOVE else "generalise"
+            assert abs(d - pii.REMOVE * best) > 1e-9
+            out[c, w] = "remove" if d >= pii.REMOVE * best else "generalise"
     return out
 
 
