@@ -10,6 +10,9 @@ parse up to the cut is shared. Documents are dealt to ranges of the id; each ran
 range after it, so that every neighbour is found without a second pass over the texts. What the driver gets is one
 pair of ids for each range.
 
+Ranges are dealt to tasks by their number, one to each. A text of any length is parsed whole, in one task. Other columns
+aren't read.
+
 Null texts count as empty; two empty texts have likeness 1, an empty and a filled one 0. Equal ids are ordered by text,
 null ids come first. Equal texts have equal fingerprints. An empty table gives no rows.
 """
@@ -160,7 +163,7 @@ def fingerprint_with_neighbour(docs: DataFrame, parts: int | None = None, id_col
         .withColumn("p", place)
         .withColumn("q", F.when(F.get(head, F.col("p")).eqNullSafe(F.col("i")), F.get(to, F.col("p"))))
         .select("i", "t", F.inline(F.filter(F.array(F.struct(F.col("p").alias("range"), F.lit(0).alias("extra")), F.struct(F.col("q").alias("range"), F.lit(1).alias("extra"))), lambda x: x["range"].isNotNull())))
-        .repartition(parts, "range")
+        .repartitionById(parts, F.pmod("range", F.lit(parts)))
         .sortWithinPartitions("range", "extra", "i", "t")
         .select("range", "extra", "i", "t")
     )
