@@ -14,10 +14,10 @@ one most of whose words are in the window.
 Files without a licence of their own take that of the licence files in the nearest directory above them (or their own
 directory). Directories, not files, are joined with their ancestors, so a directory of a third of all files costs what
 any other does; the files are then joined with their directories, by broadcast if there are at most BROADCAST_DIRS
-that have a licence to give.
+that have a licence to give, else by look_up(), so that the files of one directory need not meet in one task.
 
 Null texts count as empty, null paths have no directory and inherit nothing. Ties take the licence's name, then the
-path. The best other licence that overlaps the found one is the runner-up, and the find is ambiguous if their scores
+path. Texts of any length are read whole; `keep` must not name columns that the result has; other columns aren't read. The best other licence that overlaps the found one is the runner-up, and the find is ambiguous if their scores
 differ by CLOSE at most: a BSD notice without the rest of the text is. Repeated rows give repeated results. An empty table gives no rows.
 """
 
@@ -31,7 +31,7 @@ from collections import Counter
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_rows, small, table, text_or_empty, write_shared
+from .common import look_up, map_rows, small, table, text_or_empty, write_shared
 
 #: Notices of public licences, by SPDX identifier.
 TEMPLATES = (
@@ -266,10 +266,15 @@ def scan_licenses(files: DataFrame, path_col: str = "path", text_col: str = "tex
         .select(F.col("dir").alias("_dir"), F.col("from")["given"].alias("given"), F.col("from")["giver"].alias("giver"))
     )
     rows = small(nearest, BROADCAST_DIRS)
+    open_ = F.when(F.col("licence").isNull(), F.col("dir"))
     if rows is not None:
-        nearest = F.broadcast(files.sparkSession.createDataFrame(rows, nearest.schema))
+        placed = own.join(F.broadcast(files.sparkSession.createDataFrame(rows, nearest.schema)), open_ == F.col("_dir"), "left")
+    else:
+        sizes = own.where("licence is null").groupBy("dir").agg(F.count("*").alias("n"))
+        known, _ = write_shared(nearest.join(sizes, F.col("_dir") == F.col("dir")).select(F.col("_dir").alias("k"), "n", "given", "giver"), "licence-dirs")
+        placed = look_up(own.withColumn("open_dir", open_), "open_dir", known, ["path", *keep]).withColumn("given", F.col("found")["given"]).withColumn("giver", F.col("found")["giver"])
     inherits = F.col("licence").isNull() & F.col("given").isNotNull()
-    return own.join(nearest, F.col("licence").isNull() & (F.col("dir") == F.col("_dir")), "left").select(
+    return placed.select(
         *keep,
         "path",
         F.coalesce("licence", "given").alias("licence"),
