@@ -104,6 +104,34 @@ def resize(pixels: Column, height: int, width: int, factor: float) -> Column:
     return bound(pixels, lambda p: F.transform(places, lambda c: sample(p, height, width, c)))
 
 
+def above(pixels: Column, threshold: float, most: float = 255.0) -> Column:
+    """Binary image of the pixels above a threshold."""
+    return F.transform(pixels, lambda p: F.when(p > threshold, most).otherwise(0.0))
+
+
+#: The colours of a map, by their places from 0 to 1 (red, green, blue).
+JET = ((0.0, (0, 0, 128)), (0.125, (0, 0, 255)), (0.375, (0, 255, 255)), (0.625, (255, 255, 0)), (0.875, (255, 0, 0)), (1.0, (128, 0, 0)))
+
+
+def coloured(levels: Column, stops: tuple = JET) -> Column:
+    """Levels from 0 to 255 as colours, channel by channel within a cell: linear between the stops of a map, cut to whole numbers."""
+
+    def channel(x: Column, c: int) -> Column:
+        out = F.lit(float(stops[-1][1][c]))
+        for (a, low), (b, high) in reversed(list(zip(stops, stops[1:], strict=False))):
+            out = F.when(x <= b, low[c] + (x - a) / (b - a) * (high[c] - low[c])).otherwise(out)
+        return F.floor(out)
+
+    return F.flatten(F.transform(levels, lambda v: bound(v / 255.0, lambda x: F.array(*[channel(x, c) for c in range(3)]))))
+
+
+def panel(left: Column, right: Column, height: int, width: int, margin: int, channels: int = 3, fill: int = 255) -> Column:
+    """Two images of a size beside each other, with a margin of one colour between them. Channels of a cell stand together."""
+    row = lambda p, r: F.slice(p, r * width * channels + 1, width * channels)
+    between = F.array_repeat(F.lit(fill).cast("long"), margin * channels)
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(height - 1)), lambda r: F.concat(row(left, r), between, row(right, r))))
+
+
 def binary_hole(mask: Column) -> Column:
     return F.transform(mask, lambda m: (m > 0.5).cast("double"))
 

@@ -1,10 +1,12 @@
-"""Sizes and bit rates."""
+"""Sizes, bit rates, streams."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import fraction
+
 
 def clamp(x: Column, low, high) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), x))
@@ -52,3 +54,29 @@ def luma(r: Column, g: Column, b: Column) -> Column:
 
 def encode_threads(width: Column, height: Column, cores: Column) -> Column:
     return F.greatest(F.lit(2), F.least(cores, F.when(width * height >= 3840 * 2160, 4).otherwise(8)))
+
+
+#: What a probe tells of a stream.
+STREAM = "index int, codec_type string, codec_name string, width int, height int, avg_frame_rate string, sample_rate string, channels int, bit_rate string"
+
+
+def streams(probe: Column) -> Column:
+    """The streams of a probed file, a JSON object, as an array of structs: index, type, codec, width, height and fps (0 if unknown) of video, sample_rate and channels of audio, bit_rate. What a stream hasn't is null."""
+    found = F.from_json(probe, f"streams array<struct<{', '.join(x.replace(' ', ': ', 1) for x in STREAM.split(', '))}>>")["streams"]
+
+    def stream(s: Column) -> Column:
+        video, audio = s["codec_type"] == "video", s["codec_type"] == "audio"
+        only = lambda kind, x: F.when(kind, x)
+        return F.struct(
+            s["index"].alias("index"),
+            s["codec_type"].alias("type"),
+            s["codec_name"].alias("codec"),
+            only(video, s["width"]).alias("width"),
+            only(video, s["height"]).alias("height"),
+            only(video, F.coalesce(fraction(s["avg_frame_rate"]), F.lit(0.0))).alias("fps"),
+            only(audio, s["sample_rate"].try_cast("int")).alias("sample_rate"),
+            only(audio, s["channels"]).alias("channels"),
+            s["bit_rate"].try_cast("long").alias("bit_rate"),
+        )
+
+    return F.transform(found, stream)

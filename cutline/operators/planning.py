@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import ms_text, path_suffix
 from ..sources import dims, encoders
-from .selection import hoisted, track_order
+from .selection import hoisted, language_track, track_order
 
 
 def words(*xs: str | Column) -> Column:
@@ -92,6 +92,56 @@ def encode_args(source: Column, target: Column, codec: Column, audio: Column, gp
     )
 
 
+#: Seconds that a seek lands before an edge, and what edges are encoded with.
+PRE_SEEK = 10.0
+EDGE_CPU = ("-c:v", "libx264", "-preset", "ultrafast", "-crf", "16")
+EDGE_GPU = ("-c:v", "h264_nvenc", "-preset", "p1", "-rc", "vbr", "-cq", "16", "-b:v", "0")
+
+
+def seconds_text(us: Column) -> Column:
+    """Microseconds as seconds with three places."""
+    return F.format_string("%.3f", us / 1e6)
+
+
+def edge_args(source: Column, target: Column, start_us: Column, end_us: Column, cuda: Column) -> Column:
+    """Arguments that encode an edge of a scene: a coarse seek before it, and the rest of the way frame by frame."""
+    before = F.greatest(F.lit(0).cast("long"), start_us - int(PRE_SEEK * 1e6))
+    return F.concat(
+        words("-y"),
+        only(before > 0, words("-ss", seconds_text(before))),
+        words("-i", source, "-ss", seconds_text(start_us - before), "-t", seconds_text(end_us - start_us), "-map", "0:v:0", "-map", "0:a?", "-pix_fmt", "yuv420p"),
+        F.when(cuda, words(*EDGE_GPU)).otherwise(words(*EDGE_CPU)),
+        words("-c:a", "aac", "-b:a", "128k", target),
+    )
+
+
+def concat_args(listed: Column, target: Column, audio: Column, track: Column, count: Column, bsf: Column) -> Column:
+    """Arguments that join the files of a list without encoding: the video and, unless there is to be none, the audio are copied."""
+    extension = F.lower(path_suffix(target))
+    return F.concat(
+        words("-y", "-f", "concat", "-safe", "0", "-i", listed, "-map", "0:v:0"),
+        audio_maps(audio, track, count, F.lit(False)),
+        words("-c:v", "copy"),
+        F.when(audio == "none", words("-an")).otherwise(words("-c:a", "copy")),
+        dispositions(audio, track, count, F.lit(False)),
+        only(F.length(bsf) > 0, words("-bsf:v", bsf)),
+        only(extension.isin(".mp4", ".mov"), words("-movflags", "+faststart")),
+        words("-max_muxing_queue_size", "1024", target),
+    )
+
+
+def smartcut_parts(cuts: DataFrame) -> DataFrame:
+    """The three steps of each scene that is cut in two: its head is encoded up to the next keyframe, its tail copied from there, and both are joined.
+
+    cuts (video_id, scene_index, start_us, end_us, next_us, mode) -> video_id, scene_index, part, how, start_us, end_us (null
+    for the join).
+    """
+    step = lambda part, how, a, b: F.struct(F.lit(part).alias("part"), F.lit(how).alias("how"), a.alias("start_us"), b.alias("end_us"))
+    none = F.lit(None).cast("long")
+    steps = F.array(step(0, "encode", F.col("start_us"), F.col("next_us")), step(1, "copy", F.col("next_us"), F.col("end_us")), step(2, "concat", none, none))
+    return cuts.where("mode = 'smartcut'").select("video_id", "scene_index", F.inline(steps))
+
+
 def copy_concat_safe(first_is_key: Column, first_sec: Column) -> Column:
     """May a clip be joined without encoding: does it show a keyframe first, at once? A clip without frames may not."""
     return F.coalesce(first_is_key & (F.coalesce(first_sec, F.lit(0.0)) < 0.001), F.lit(False))
@@ -100,15 +150,19 @@ def copy_concat_safe(first_is_key: Column, first_sec: Column) -> Column:
 def merge_plan(clips: DataFrame, settings: DataFrame, key: str) -> DataFrame:
     """How the clips of each key are merged. One aggregation; all legs are minima, maxima and counts, so partial sums go through the shuffle.
 
-    clips (key, seek_ms, codec, first_is_key, first_sec, languages), settings (key, codec, audio, audio_count) -> key, n,
-    direct (joined as they are), segment_codec, segment_audio, audio_single, segment_audio_count (null if direct), result.
+    clips (key, pos, seek_ms, codec, first_is_key, first_sec, languages), settings (key, codec, audio, audio_count,
+    audio_track, audio_language) -> key, n, direct (joined as they are), segment_codec, segment_audio, audio_single,
+    segment_audio_count (null if direct), direct_track, direct_count (null if not: those of the first clip's languages, or
+    else the settings'), result. Codecs and languages are compared by 64-bit hashes, so that the aggregation is by hash.
     """
+    clips = clips.withColumns({"_codec": F.xxhash64("codec"), "_langs": F.xxhash64("languages"), "_none": F.col("codec").isNull().cast("int")})
     facts = clips.groupBy(key).agg(
         F.count("*").alias("n"),
         F.bool_or(F.col("seek_ms").isNotNull()).alias("ranges"),
-        ((F.min("codec") == F.max("codec")) & (F.count("codec") == F.count("*"))).alias("one_codec"),
+        ((F.min("_codec") == F.max("_codec")) & (F.max("_none") == 0)).alias("one_codec"),
         F.bool_and(copy_concat_safe(F.col("first_is_key"), F.col("first_sec"))).alias("safe"),
-        (F.min("languages") == F.max("languages")).alias("uniform"),
+        (F.min("_langs") == F.max("_langs")).alias("uniform"),
+        F.min_by("languages", "pos").alias("first_languages"),
         F.max(F.size("languages")).cast("long").alias("tracks"),
     )
     rows = settings.join(facts, key)
@@ -126,6 +180,8 @@ def merge_plan(clips: DataFrame, settings: DataFrame, key: str) -> DataFrame:
         segments(audio).alias("segment_audio"),
         segments(~F.col("uniform")).alias("audio_single"),
         segments(F.when(F.col("uniform"), F.col("tracks")).otherwise(F.col("audio_count"))).alias("segment_audio_count"),
+        F.when(direct, F.coalesce(language_track(F.col("first_languages"), F.col("audio_language")), F.col("audio_track"))).cast("long").alias("direct_track"),
+        F.when(direct, F.when(F.size("first_languages") > 0, F.size("first_languages")).otherwise(F.col("audio_count"))).cast("long").alias("direct_count"),
         F.when(direct | by_copy, "copy").otherwise("reencode").alias("result"),
     )
 

@@ -126,22 +126,21 @@ def materialise(items: DataFrame, sources: DataFrame, keys: DataFrame) -> DataFr
     of align.cut_mode, or null), start_us, poster (there, first_keyframe, first_frame), error.
     """
     has_clip = F.coalesce(F.col("clip") != "", F.lit(False))
-    wanted = items.where(~has_clip)
     named = F.coalesce(F.col("source") != "", F.lit(False))
-    sources = sources.groupBy("source").agg(F.bool_or(F.coalesce("hevc", F.lit(False))).alias("hevc"))
-    known = wanted.join(sources, "source", "left")
+    kinds = sources.groupBy(F.col("source").alias("_source")).agg(F.bool_or(F.coalesce("hevc", F.lit(False))).alias("hevc"))
+    known = items.join(kinds, F.col("source") == F.col("_source"), "left")
     span = F.col("start_us").isNotNull() & F.col("end_us").isNotNull()
-    error = F.when(~named, "no source").when(F.col("hevc").isNull(), "unknown source").when(~span, "no range").when(F.col("end_us") <= F.col("start_us"), "empty range")
-    known = known.withColumn("error", error)
-    nothing = lambda kind: F.lit(None).cast(kind)
-    copied = items.where(has_clip).select("item", F.lit("copied").alias("how"), nothing("long").alias("start_us"), F.when(F.coalesce(F.col("thumbnail") != "", F.lit(False)), "there").otherwise("first_keyframe").alias("poster"), nothing("string").alias("error"))
-    failed = known.where("error is not null").select("item", nothing("string").alias("how"), nothing("long").alias("start_us"), nothing("string").alias("poster"), "error")
-    good = known.where("error is null")
-    used = keys.join(good.select("source").distinct(), "source", "left_semi").select(F.col("source").alias("video_id"), "t_us")
-    cut = plan_cuts(good.select(F.col("source").alias("video_id"), F.col("item").alias("scene_index"), "start_us", "end_us", "hevc"), used, F.col("hevc"))
-    at_key = F.col("mode").isin("copy", "snapped_copy")
-    cut = cut.select(F.col("scene_index").alias("item"), F.col("mode").alias("how"), "start_us", F.when(at_key, "first_keyframe").otherwise("first_frame").alias("poster"), nothing("string").alias("error"))
-    return copied.unionByName(failed).unionByName(cut)
+    why = F.when(~named, "no source").when(F.col("hevc").isNull(), "unknown source").when(~span, "no range").when(F.col("end_us") <= F.col("start_us"), "empty range")
+    known = known.withColumn("copied", has_clip).withColumn("error", F.when(~has_clip, why))
+    # one pass over the items; those that aren't cut meet no keyframes, each under a name of its own
+    cut = ~F.col("copied") & F.col("error").isNull()
+    video = F.when(cut, F.concat(F.lit("="), "source")).otherwise(F.concat(F.lit("!"), F.monotonically_increasing_id().cast("string")))
+    there = F.coalesce(F.col("thumbnail") != "", F.lit(False))
+    points = known.select(video.alias("video_id"), F.col("item").alias("scene_index"), F.coalesce("start_us", F.lit(0)).cast("long").alias("start_us"), "end_us", F.coalesce("hevc", F.lit(False)).alias("hevc"), "copied", there.alias("there"), "error")
+    planned = plan_cuts(points, keys.select(F.concat(F.lit("="), "source").alias("video_id"), "t_us"), F.col("hevc"))
+    is_cut = ~F.col("copied") & F.col("error").isNull()
+    poster = F.when(F.col("copied"), F.when(F.col("there"), "there").otherwise("first_keyframe")).when(is_cut, F.when(F.col("mode").isin("copy", "snapped_copy"), "first_keyframe").otherwise("first_frame"))
+    return planned.select(F.col("scene_index").alias("item"), F.when(F.col("copied"), "copied").when(is_cut, F.col("mode")).alias("how"), F.when(is_cut, F.col("start_us")).alias("start_us"), poster.alias("poster"), "error")
 
 
 def export_jobs(scenes: DataFrame, clips: DataFrame, select: str = "") -> DataFrame:

@@ -80,12 +80,15 @@ def encode_args(spark: SparkSession, sf: str) -> DataFrame:
     s AS (SELECT g.*, CASE WHEN o_orderkey % 3 = 0 THEN 'h265' ELSE 'copy' END AS codec, CASE WHEN o_orderkey % 2 = 0 THEN 'copy' ELSE 'opus' END AS audio, o_custkey % 4 AS given FROM g JOIN orders USING (o_orderkey)),
     d AS (SELECT *, codec = 'copy' AND NOT ranges AND one AND safe AS direct, codec = 'copy' AND ranges AS by_copy FROM s)
     SELECT o_orderkey, n, direct, CASE WHEN direct THEN NULL WHEN by_copy THEN 'copy' WHEN codec = 'copy' THEN 'h264_high' ELSE codec END AS segment_codec, CASE WHEN direct THEN NULL WHEN audio = 'copy' AND NOT by_copy THEN 'aac' ELSE audio END AS segment_audio,
-    CASE WHEN NOT direct THEN NOT uniform END AS audio_single, CASE WHEN direct THEN NULL WHEN uniform THEN tracks ELSE given END AS segment_audio_count, CASE WHEN direct OR by_copy THEN 'copy' ELSE 'reencode' END AS result FROM d"""
+    CASE WHEN NOT direct THEN NOT uniform END AS audio_single, CASE WHEN direct THEN NULL WHEN uniform THEN tracks ELSE given END AS segment_audio_count, CASE WHEN direct THEN CASE WHEN o_orderkey % 4 = 0 THEN given WHEN o_orderkey % 4 = 1 THEN coalesce(list_position(first, 'de') - 1, given) ELSE coalesce(list_position(first, 'en') - 1, given) END END::BIGINT AS direct_track,
+    CASE WHEN direct THEN len(first) END AS direct_count, CASE WHEN direct OR by_copy THEN 'copy' ELSE 'reencode' END AS result FROM d
+    JOIN (SELECT l_orderkey AS o_orderkey, arg_min(CASE WHEN l_returnflag = 'R' THEN ['de', 'en'] ELSE ['en'] END, l_linenumber::BIGINT * 1000000000000 + l_partkey * 1000000 + l_suppkey) AS first FROM lineitem GROUP BY 1) USING (o_orderkey)"""
 )
 def merge_plan(spark: SparkSession, sf: str) -> DataFrame:
     """How an order's clips are merged."""
     clips = table(spark, sf, "lineitem").select(
         F.col("l_orderkey").alias("o_orderkey"),
+        (F.col("l_linenumber").cast("long") * 1_000_000_000_000 + F.col("l_partkey") * 1_000_000 + F.col("l_suppkey")).alias("pos"),
         F.when(F.col("l_quantity") > 48, F.col("l_linenumber") * 1000).alias("seek_ms"),
         F.when(F.col("l_tax") < 0.08, F.col("l_linestatus")).alias("codec"),
         (F.col("l_discount") < 0.09).alias("first_is_key"),
@@ -93,7 +96,7 @@ def merge_plan(spark: SparkSession, sf: str) -> DataFrame:
         F.when(F.col("l_returnflag") == "R", F.array(F.lit("de"), F.lit("en"))).otherwise(F.array(F.lit("en"))).alias("languages"),
     )
     o = F.col("o_orderkey")
-    settings = table(spark, sf, "orders").select("o_orderkey", F.when(o % 3 == 0, "h265").otherwise("copy").alias("codec"), F.when(o % 2 == 0, "copy").otherwise("opus").alias("audio"), (F.col("o_custkey") % 4).alias("audio_count"))
+    settings = table(spark, sf, "orders").select("o_orderkey", F.when(o % 3 == 0, "h265").otherwise("copy").alias("codec"), F.when(o % 2 == 0, "copy").otherwise("opus").alias("audio"), (F.col("o_custkey") % 4).alias("audio_count"), (F.col("o_custkey") % 4).alias("audio_track"), F.when(o % 4 == 1, "de").when(o % 4 > 1, "EN").alias("audio_language"))
     return planning.merge_plan(clips, settings, "o_orderkey")
 
 

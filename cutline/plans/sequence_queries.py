@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.rounding import exact_round
 from ..functions.vector import average_pool, cosine_of, with_norm
 from ..operators import align, boundary, emission, runs, selection
 from ..sources.proxies import SQL_FRAMES, SQL_PACKETS, SQL_STATS, frames, packets, pair_stats, table
@@ -84,16 +85,19 @@ def boundaries_to_scenes(spark: SparkSession, sf: str) -> DataFrame:
 def keyframe_scan_v1(spark: SparkSession, sf: str) -> DataFrame:
     """Keyframe times from the tenth day on, to six places, each once."""
     ts = (F.col("ts_us") - (START + 240 * HOUR)) / 1e6
-    return packets(spark, sf).where("is_key").select("video_id", F.bround(ts, 6).alias("ts")).where("ts >= 0").distinct()
+    return packets(spark, sf).where("is_key").select("video_id", exact_round(ts, 6).alias("ts")).where("ts >= 0").distinct()
 
 
 @query(
-    f"""WITH {SQL_PACKETS} SELECT DISTINCT video_id, round_even(coalesce(CASE WHEN value >= 5 THEN ts_us END, ts_us - 40000) / 1e6::DOUBLE - {START // 1_000_000}, 2) AS ts FROM packets WHERE is_key"""
+    f"""WITH {SQL_PACKETS}, n AS (SELECT video_id, coalesce(CASE WHEN value >= 5 THEN ts_us // 5000 * 5000 END, ts_us - 40000) - {START} AS n FROM packets WHERE is_key),
+    -- the exact value of the double against the tie that its text is: its fraction has at most 52 bits
+    x AS (SELECT *, n / 1e6::DOUBLE AS x, ((n / 1e6::DOUBLE - floor(n / 1e6::DOUBLE)) * 4503599627370496::DOUBLE)::HUGEINT * 1000000 - (((n % 1000000) + 1000000) % 1000000)::HUGEINT * 4503599627370496 AS over FROM n)
+    SELECT DISTINCT video_id, CASE WHEN abs(n) % 10000 <> 5000 THEN round_even(x, 2) WHEN over > 0 THEN ((n + 5000) // 10000) / 100::DOUBLE WHEN over < 0 THEN ((n - 5000) // 10000) / 100::DOUBLE ELSE round_even(x, 2) END AS ts FROM x"""
 )
 def keyframe_scan_v2(spark: SparkSession, sf: str) -> DataFrame:
-    """Keyframe times to two places; the decoding time stands in for a missing presentation time."""
-    pts = F.when(F.col("value") >= 5, F.col("ts_us"))
-    return packets(spark, sf).where("is_key").select("video_id", F.bround(F.coalesce(pts, F.col("ts_us") - 40_000) / 1e6 - START // 1_000_000, 2).alias("ts")).distinct()
+    """Keyframe times to two places, rounded by their exact value; half of all presentation times, cut to 5 ms, are ties. The decoding time stands in for a missing presentation time."""
+    pts = F.when(F.col("value") >= 5, F.expr("ts_us div 5000 * 5000"))
+    return packets(spark, sf).where("is_key").select("video_id", exact_round((F.coalesce(pts, F.col("ts_us") - 40_000) - START) / 1e6, 2).alias("ts")).distinct()
 
 
 SQUEEZE = 600_000

@@ -38,6 +38,9 @@ AUDIO_COPY = {
 #: Quality presets (crf, x264 preset).
 PRESETS = {"archival": (14, "slow"), "high": (17, "slow"), "balanced": (20, "medium"), "fast": (22, "veryfast"), "draft": (26, "ultrafast")}
 
+#: Encoders that run on a GPU.
+GPU_ENCODERS = ("h264_nvenc", "hevc_nvenc", "av1_nvenc")
+
 
 def codecs(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(k, *v) for k, v in CODECS.items()], "codec string, family string, cpu string, gpu string, profile string, profile_elsewhere string")
@@ -96,6 +99,16 @@ def stream_filter(codec: Column, container: Column) -> Column:
     return F.when(container.isin("mp4", "mov", "m4v", "m4a", "3gp", "3g2"), None).when(name.isin("h264", "avc", "avc1"), "h264_mp4toannexb").when(name.isin("hevc", "h265", "hvc1", "hev1"), "hevc_mp4toannexb")
 
 
+def listed_encoders(listing: Column) -> Column:
+    """The GPU encoders that a listing of all encoders names."""
+    return F.filter(F.array(*[F.lit(e) for e in GPU_ENCODERS]), lambda e: listing.contains(e))
+
+
+def use_cuda(hardware: Column, encoders: Column) -> Column:
+    """For edges of scenes: unless the CPU was asked for, if the first GPU encoder is installed."""
+    return F.coalesce((hardware != "cpu") & F.array_contains(encoders, GPU_ENCODERS[0]), F.lit(False))
+
+
 def use_gpu(codec: Column, hardware: Column, cuda: Column, encoders: Column) -> Column:
     """Only if asked for (or auto with CUDA), if the codec has a GPU encoder, and if that is installed."""
     gpu = lookup({k: v[2] for k, v in CODECS.items() if v[2]}, normalise(codec))

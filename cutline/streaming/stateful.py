@@ -1,19 +1,22 @@
 """Operators on ordered streams as Structured Streaming: one small state for each key, in the RocksDB state store.
 
-Input comes in time order for each key, or is sorted within a micro-batch; what arrives late in a later batch is judged
-against the state as it then is (a late boundary is dropped by the greedy fold). State grows with the number of keys
+greedy() and monotone() take input in time order for each key, or sort it within a micro-batch; what arrives late in a later
+batch is judged against the state as it then is (a late boundary is dropped by the greedy fold). in_time() and what is made
+of it wait for the watermark, so that events in any order give what a batch gives. State grows with the number of keys
 only, except for ordered emission, which holds what waits for its turn.
 """
 
 from __future__ import annotations
 
+import json
 from collections import deque
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQueryListener
-from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, StructType
+from pyspark.sql.types import BooleanType, DoubleType, LongType, StringType, StructField, StructType
 
 from ..functions import text
 from ..sources.log_lines import read_lines
@@ -164,6 +167,101 @@ def log_progress(lines: DataFrame) -> DataFrame:
     return lines.select("path", "at", "percent", "done", "error").groupBy("path").transformWithStateInPandas(_Progress(), "path string, at long, percent double, done boolean, error string", "append", "None")
 
 
+class _InTime(StatefulProcessor):
+    """Rows of a key are held until the watermark has passed them, and then folded in the order of their times: fold(state, row) -> (state, row out or None). States and rows are JSON texts in the store."""
+
+    def __init__(self, names: list[str], order: list[int], fold: Callable, out: list[str]):
+        self.names, self.order, self.fold, self.out = names, order, fold, out
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        text_ = StructType([StructField("v", StringType())])
+        self.held, self.state = handle.getListState("held", text_), handle.getValueState("state", text_)
+
+    def _release(self, key, upto_ms: int) -> pd.DataFrame:
+        rows = [json.loads(r[0]) for r in self.held.get()]
+        ready = sorted((r for r in rows if r[0] // 1000 <= upto_ms), key=lambda r: [r[i] for i in self.order])
+        waits = [r for r in rows if r[0] // 1000 > upto_ms]
+        state = json.loads(self.state.get()[0]) if self.state.exists() else None
+        out = []
+        for r in ready:
+            state, made = self.fold(state, dict(zip(self.names, r, strict=True)))
+            if made is not None:
+                out.append((key[0], *made))
+        if ready:
+            self.state.update((json.dumps(state),))
+        self.held.clear()
+        if waits:
+            self.held.put([(json.dumps(r),) for r in waits])
+            self.handle.registerTimer(min(r[0] for r in waits) // 1000 + 1)
+        return pd.DataFrame(out, columns=["video_id", *self.out])
+
+    def handleInputRows(self, key, rows, timerValues):
+        mark = timerValues.getCurrentWatermarkInMs()
+        first = None
+        for part in rows:
+            for r in zip(*(part[c].tolist() for c in self.names), strict=True):
+                r = [None if isinstance(x, float) and x != x else x for x in r]
+                self.held.appendValue((json.dumps(r),))
+                first = r[0] if first is None else min(first, r[0])
+        if first is not None:
+            self.handle.registerTimer(max(first // 1000 + 1, mark + 1))
+        yield pd.DataFrame([], columns=["video_id", *self.out])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        yield self._release(key, timerValues.getCurrentWatermarkInMs())
+
+    def close(self) -> None:
+        pass
+
+
+def in_time(events: DataFrame, order: list[str], columns: list[str], fold: Callable, out: str, late: str = "10 seconds") -> DataFrame:
+    """events (video_id, ts_us, ...) folded by video in the order of time, whatever micro-batch they come in, as a batch over all of them would: fold(state, row as a dict) -> (state, tuple of the columns of `out`, or None).
+
+    Rows wait until the watermark, `late` behind the newest time of all videos, has passed them; what comes later than that
+    is dropped. State: the rows that wait, and the fold's own (JSON values). order: of the columns, time first.
+    """
+    names = ["ts_us", *[c for c in columns if c != "ts_us"]]
+    marked = events.select("video_id", *names, F.timestamp_micros("ts_us").alias("_ts")).withWatermark("_ts", late)
+    processor = _InTime(names, [names.index(c) for c in order], fold, [c.split()[0] for c in out.split(", ")])
+    return marked.groupBy("video_id").transformWithStateInPandas(processor, f"video_id long, {out}", "append", "EventTime", eventTimeColumnName="")
+
+
+def previews(events: DataFrame, value: str, least: float, late: str = "10 seconds") -> DataFrame:
+    """emission.previews() of a stream: events (video_id, ts_us, seq, value) -> video_id, ts_us, seq, value, number, slot."""
+
+    def fold(state, r):
+        if state is not None and r[value] - state[0] < least:
+            return state, None
+        n = (state[1] if state else 0) + 1
+        return [r[value], n], (r["ts_us"], r["seq"], r[value], n, n % 2)
+
+    return in_time(events, ["ts_us", "seq"], ["ts_us", "seq", value], fold, f"ts_us long, seq long, {value} double, number long, slot long", late)
+
+
+def presence(events: DataFrame, detail: str, least_us: int, late: str = "10 seconds") -> DataFrame:
+    """emission.changed_or_due() of a stream: events (video_id, ts_us, seq, detail)."""
+
+    def fold(state, r):
+        if state is not None and r["ts_us"] - state[0] < least_us and r[detail] == state[1]:
+            return state, None
+        return [r["ts_us"], r[detail] or ""], (r["ts_us"], r["seq"], r[detail])
+
+    return in_time(events, ["ts_us", "seq"], ["ts_us", "seq", detail], fold, f"ts_us long, seq long, {detail} string", late)
+
+
+def stable(polls: DataFrame, value: str, times: int, late: str = "10 seconds") -> DataFrame:
+    """emission.stable() of a stream: polls (video_id, ts_us, i, value) -> video_id, stable_at, once for each video."""
+
+    def fold(state, r):
+        last, run, done = state or [None, 0, False]
+        run = run + 1 if r[value] is not None and r[value] > 0 and r[value] == last else 0
+        now = not done and run >= times
+        return [r[value], run, done or now], ((r["i"],) if now else None)
+
+    return in_time(polls, ["ts_us", "i"], ["ts_us", "i", value], fold, "stable_at long", late)
+
+
 class ProgressListener(StreamingQueryListener):
     """Samples of a query's progress: rows in and rows a second, batch by batch; the newest `most` are kept."""
 

@@ -360,3 +360,93 @@ def test_job_as_one_object(spark, tmp_path):
     got = {x["job"]: x for x in (json.loads(r.value) for r in spark.read.text(f"{tmp_path}/jobs").collect())}
     assert [s["scene_index"] for s in got[1]["scenes"]] == [0, 1] and got[1]["scenes"][1]["duration"] == 1.5 and got[1]["ok"] and got[1]["warnings"] == ["slow"] and got[1]["error"] is None
     assert got[2]["scenes"] == [] and not got[2]["ok"] and got[2]["error"] == "no stream" and got[2]["warnings"] == []
+
+
+# packets, rounding, streams in time
+
+
+def test_exact_rounding(spark):
+    rng = random.Random(12)
+    xs = [2.675, 1.005, 0.5, 1.5, 2.5, -2.675, 1e-9, 0.0, -0.0, 0.125, 0.375, 1e15 + 0.5, 123456.785, float(1 << 46), 5e22, -1e300]
+    xs += [rng.randrange(-(10**9), 10**9) / 1000 for _ in range(40_000)] + [rng.randrange(10**7) * 0.005 for _ in range(40_000)] + [rng.uniform(-1e6, 1e6) for _ in range(20_000)]
+    from cutline.functions.rounding import exact_round
+
+    df = spark.createDataFrame([(x,) for x in xs], "x double")
+    got = df.select("x", exact_round(F.col("x"), 2).alias("r"), exact_round(F.col("x"), 0).alias("z"), F.bround("x", 2).alias("b")).collect()
+    assert [(r.x, r.r, r.z) for r in got if (r.r, r.z) != (round(r.x, 2), round(r.x, 0))] == []
+    assert sum(r.r != r.b for r in got) > 1000
+    assert spark.createDataFrame([(None,), (float("nan"),)], "x double").select(exact_round(F.col("x"), 2).alias("r")).where("r is not null and not isnan(r)").count() == 0
+
+
+def test_packets_are_read_by_index(spark, tmp_path):
+    from cutline.sources import packet_files
+
+    n = 20_000
+    rows = [(v, i, None if i % 11 == 3 else i * 1000 + v, i * 1000, i % 50 == 0) for v in (1, 2) for i in range(n)] + [(3, 0, None, None, True)]
+    packets = spark.createDataFrame(rows, "video_id long, seq long, pts_us long, dts_us long, is_key boolean")
+    path = f"{tmp_path}/packets"
+    packet_files.write_packets(packets, path, block=500)
+    files_ = [x for x in os.listdir(path) if not x.startswith((".", "_"))]
+    assert sorted(files_) == ["1.packets", "2.packets", "3.packets"]
+    whole = sum(os.path.getsize(f"{path}/{f}") for f in files_)
+
+    def read(condition):
+        trace = tmp_path / f"trace-{abs(hash(condition))}"
+        df = packet_files.read_packets(spark, path, trace=str(trace))
+        got = sorted(map(tuple, (df.where(condition) if condition else df).collect()), key=str)
+        return got, sum(map(int, trace.read_text().split()))
+
+    t = lambda p, d: d if p is None else p
+    want = sorted([(str(v), i, p, d, t(p, d), k) for v, i, p, d, k in rows], key=str)
+    got, size = read("")
+    assert got == want and size >= 0.9 * whole
+    got, size = read("is_key")
+    assert got == [x for x in want if x[5]] and size < 0.05 * whole
+    got, size = read("t_us >= 5000000 and t_us < 6000000")
+    assert got == [x for x in want if x[4] is not None and 5_000_000 <= x[4] < 6_000_000] and size < 0.15 * whole
+    got, size = read("is_key = true and t_us > 19000000")
+    assert got == [x for x in want if x[5] and x[4] is not None and x[4] > 19_000_000] and size < 0.03 * whole
+    got, _ = read("not is_key and seq < 5")
+    assert got == [x for x in want if not x[5] and x[1] < 5]
+
+
+def test_streams_in_any_order_equal_batches(spark, tmp_path):
+    from cutline.operators import emission
+    from cutline.streaming import stateful
+
+    rng, rows = random.Random(4), []
+    for v in (1, 2):
+        t, pct = 0, 0.0
+        for k in range(120):
+            t += rng.choice([200_000, 1_000_000, 2_500_000])
+            pct += rng.choice([-1.0, 0.5, 2.0])
+            rows.append((v, t, k, pct, rng.choice(["a", "a", "b", None]), k // 9 % 3))
+    schema = "video_id long, ts_us long, seq long, pct double, detail string, size long"
+    batch = spark.createDataFrame(rows, schema)
+    # shuffled within a few seconds, so across micro-batches; far events at the end let all others pass
+    shuffled = sorted(rows, key=lambda r: r[1] + rng.randrange(8_000_000))
+    parts = [shuffled[k : k + 40] for k in range(0, len(shuffled), 40)] + [[(v, 10**12, 999, 1e9, "end", 0) for v in (1, 2)]] + [[(3, 2 * 10**12, 1, 0.0, "x", 0)]]
+
+    def stream(make, name):
+        folder = tmp_path / name
+        folder.mkdir()
+        source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(folder))
+        q = make(source).writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", f"{tmp_path}/{name}-cp").start()
+        for k, part in enumerate(parts):
+            with open(f"{tmp_path}/part", "w") as f:
+                f.writelines(json.dumps(dict(zip(("video_id", "ts_us", "seq", "pct", "detail", "size"), r, strict=True))) + "\n" for r in part)
+            os.rename(f"{tmp_path}/part", folder / f"{k}.json")
+            q.processAllAvailable()
+        q.stop()
+        return [r for r in spark.table(name).collect() if getattr(r, "seq", 0) != 999]
+
+    got = stream(lambda s: stateful.previews(s, "pct", 3.0), "previews")
+    want = emission.previews(batch, "pct", 3.0, ["ts_us", "seq"]).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(got) > 20
+    got = stream(lambda s: stateful.presence(s, "detail", 15_000_000), "presence")
+    want = emission.changed_or_due(batch, "detail", 15_000_000).collect()
+    key = lambda r: tuple(map(str, r))
+    assert sorted(map(key, got)) == sorted(map(key, want))
+    got = stream(lambda s: stateful.stable(s.withColumnRenamed("seq", "i"), "size", 3), "stable")
+    want = emission.stable(batch.withColumnRenamed("seq", "i"), "size", 3).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(want) == 2
