@@ -18,6 +18,10 @@ from cutline.llm import op9_simhash as simhash
 from cutline.llm.common import BLANKS, broadcast_if, drop_shared, numbered_columns, scratch, shared_dir, table, text_or_empty, write_shared
 
 
+#: Labelled ids that are broadcast.
+LABELLED = 1_000_000
+
+
 def _columns(docs: DataFrame, *names: str) -> tuple[DataFrame, list[str]]:
     """docs under names that can't clash, and what the given names have become."""
     return numbered_columns(docs), [f"c{docs.columns.index(n)}" for n in names]
@@ -34,13 +38,19 @@ def _with_text(rows: DataFrame, docs: DataFrame, text: Column) -> DataFrame:
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the risk-controlled rules keep.
 
-    Only the narrow statistics are stored; the verdict is computed with them again, which costs CPU but moves no texts.
+    Only the narrow statistics of labelled documents are stored (of all, where there are more than LABELLED ids to tell
+    them by); the verdict is computed with statistics again, which costs CPU but moves no texts.
     A null text has no words and goes; a null language uses the cutoffs of labelled documents without one; repeated rows
     share their fate; labels of a repeated id count once for each of its rows.
     """
     rows, (doc_id, lang, text) = _columns(docs, "doc_id", "lang", "text")
-    measured, _ = write_shared(quality.features(rows.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("stratum"), text), text_or_empty(text)).drop(text), "quality")
-    cutoffs = quality.cutoffs_for(measured, table(spark, sf_dir, "labels"))
+    labels = table(spark, sf_dir, "labels")
+    held = rows.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("stratum"), text)
+    ids = labels.where("doc_id is not null and quality is not null").select("doc_id").distinct()
+    if ids.limit(LABELLED + 1).count() <= LABELLED:
+        held = held.join(F.broadcast(ids), "doc_id", "left_semi")
+    measured, _ = write_shared(quality.features(held, text_or_empty(text)).drop(text), "quality")
+    cutoffs = quality.cutoffs_for(measured, labels)
     judged = quality.with_verdict(quality.features(rows, text_or_empty(text)), cutoffs, stratum=lang)
     return judged.where("kept").select(rows.columns).toDF(*docs.columns)
 
@@ -86,12 +96,15 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it; the one where a source's budget ends comes with its first words only.
 
-    Documents without a word, null texts among them, have nothing to take and go. A null source is a source. Repeated
-    rows are taken alike.
+    Which ones come when not all can is decided by the quality that is learned from the labels. Documents without a word,
+    null texts among them, have nothing to take and go. A null source is a source. Repeated rows are taken alike; equal
+    ids of equal size share what is left at the cut. Texts of any length come whole, but for the one at the cut.
     """
     rows, (doc_id, source, text) = _columns(docs, "doc_id", "source", "text")
-    own = text_or_empty(text)
-    mixed = mixing.mix(rows, mixing.n_words(own), mixing.quality_weight(own), doc_id, source).where("taken > 0")
+    # texts go along, so that their statistics are found once for learning, for the cut and for the documents
+    rows, _ = write_shared(mixing.measured(rows, text_or_empty(text)), "measured")
+    weight = mixing.learned_quality(rows, table(spark, sf_dir, "labels"), doc_id)
+    mixed = mixing.mix(rows, F.col("words"), weight, doc_id, source).where("taken > 0").drop("words")
     part = (F.col("taken") % F.col("size")).cast("int")
     copies = F.concat(F.array_repeat(F.lit(0), (F.col("taken") / F.col("size")).cast("int")), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<int>")))
     taken = mixed.withColumn("words", F.explode(copies))
@@ -100,7 +113,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of 1024 tokens, with their ids. Null texts count as empty; repeated rows are packed as often as they come."""
+    """Pieces of documents in sequences of 1024 tokens, with their ids. Null texts count as empty; repeated rows are packed as often as they come. Texts of any length are cut; of sizes with the same score the one that came first is placed."""
     return packing.pack_texts(docs, packing.tokenizer_path(), keep_ids=True)
 
 

@@ -10,7 +10,10 @@ of the key's range (partial sums before the shuffle), the slice where each budge
 only the documents of that slice are ordered. What goes back to all documents is one row for each source; it is
 broadcast if there are at most BROADCAST_SOURCES of them, else joined.
 
-Null texts have size 0; a null source is a source, after all others. Equal ids with equal sizes share what is left at
+A document's weight is the probability that it is good, as learned from the labels: naive Bayes over the bins of four
+statistics of its text, fitted on all labelled documents by one aggregation. Where nothing can be learned all weights are 1.
+
+Null texts have size 0; texts of any length are read whole; a null source is a source, after all others. Equal ids with equal sizes share what is left at
 the cut evenly (rounded down). An empty table gives no rows; a source without words has target 0.
 """
 
@@ -22,13 +25,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, fresh, small, table, text_or_empty, write_shared
+from .common import GAP, WORD, fresh, small, table, text_or_empty, write_shared
 
 #: Slices of the keys' range, at least; with more than SLICES ** 2 documents, the square root of their number.
 SLICES = 4096
 BROADCAST_SOURCES = 10_000
 #: A target stops at so many times its source's size.
 REPEATS = 3
+#: Statistics that quality is learned from, with the number of their bins: shares of plain characters, of different words
+#: and of capitals, and the mean length of words.
+FEATURES = {"plain": 21, "distinct": 11, "capital": 11, "length": 13}
+LEAST_WEIGHT = 0.02
 MOST_ROUNDS = 1000
 
 
@@ -36,11 +43,39 @@ def n_words(text: Column) -> Column:
     return F.regexp_count(text, F.lit(WORD)).cast("long")
 
 
-def quality_weight(text: Column) -> Column:
-    """Between 0.25 and 1: the share of letters, digits and blanks among the characters."""
-    n = F.length(text)
-    plain = n - F.length(F.regexp_replace(text, r"[\p{L}\p{N}\x20]++", ""))
-    return F.when(n == 0, 0.25).otherwise(F.greatest(F.lit(0.25), plain / n))
+def statistics(text: Column) -> dict[str, Column]:
+    """`words`, and for each of FEATURES the text's bin."""
+    w = F.array_remove(F.split(text, GAP), "")
+    n, length = F.size(w), F.length(text)
+    bin_of = lambda x, of, bins: F.when(of > 0, F.least(F.lit(bins - 1), F.floor(x / of))).otherwise(0).cast("int")
+    share = lambda x, of, bins: bin_of(x * (bins - 1), of, bins)
+    return {
+        "words": n.cast("long"),
+        "plain": share(length - F.length(F.regexp_replace(text, r"[\p{L}\p{N}\x20]++", "")), length, FEATURES["plain"]),
+        "distinct": share(F.size(F.array_distinct(w)), n, FEATURES["distinct"]),
+        "capital": share(5 * F.regexp_count(text, F.lit(r"\p{Lu}")), length, FEATURES["capital"]),
+        "length": bin_of(length, n, FEATURES["length"]),
+    }
+
+
+def learned_quality(measured: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> Column:
+    """The probability that a document is good, by the labels: naive Bayes over the bins of FEATURES, at least LEAST_WEIGHT. 1 for all where labels have but one kind.
+
+    measured: a table with the id and the bins. What the driver gets is one row for each bin.
+    """
+    good = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").alias("_l")).agg((F.min("quality") > 0).alias("_good"))
+    held = measured.join(good, F.col(f"`{id_col}`") == F.col("_l"))
+    each = held.select("_good", F.inline(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"`{f}`").alias("bin")) for f in FEATURES])))
+    seen = {(r.feature, r.bin): (r.good, r.bad) for r in each.groupBy("feature", "bin").agg(F.count_if("_good").alias("good"), F.count_if(~F.col("_good")).alias("bad")).collect()}
+    # each labelled row has one bin of each feature
+    n_good, n_bad = (sum(v[k] for (f, _), v in seen.items() if f == "plain") for k in (0, 1))
+    if not n_good or not n_bad:
+        return F.lit(1.0)
+    odds = F.lit(math.log((n_good + 1) / (n_bad + 1)))
+    for f, bins in FEATURES.items():
+        table_ = [math.log((g + 1) / (n_good + bins)) - math.log((b + 1) / (n_bad + bins)) for g, b in (seen.get((f, k), (0, 0)) for k in range(bins))]
+        odds = odds + F.get(F.array(*map(F.lit, table_)), F.col(f"`{f}`"))
+    return F.greatest(F.lit(LEAST_WEIGHT), 1 / (1 + F.exp(-odds)))
 
 
 def uniform(*cols: Column, seed: int = 7) -> Column:
@@ -124,9 +159,14 @@ def mix(docs: DataFrame, size: Column, weight: Column, id_col: str = "doc_id", s
     )
 
 
+def measured(docs: DataFrame, text: Column) -> DataFrame:
+    """docs with statistics() of a text; the names must be free."""
+    return docs.select("*", *[c.alias(n) for n, c in statistics(text).items()])
+
+
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words of every document the mix takes."""
     docs = table(spark, sf_dir, "documents")
-    text = text_or_empty()
-    sized, _ = write_shared(docs.select("doc_id", "source", n_words(text).alias("words"), quality_weight(text).alias("weight")), "sizes")
-    return mix(sized, F.col("words"), F.col("weight")).select("doc_id", "size", "source_size", "target", "taken")
+    sized, _ = write_shared(docs.select("doc_id", "source", *[c.alias(n) for n, c in statistics(text_or_empty()).items()]), "sizes")
+    weight = learned_quality(sized, table(spark, sf_dir, "labels"))
+    return mix(sized, F.col("words"), weight).select("doc_id", "size", "source_size", "target", "taken")

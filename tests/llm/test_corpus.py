@@ -171,8 +171,9 @@ def test_mixing(spark, rows, sf):
 def test_mixing_takes_by_key_and_budget(spark, rows, sf):
     """The selection recomputed: whole epochs, then by falling key until the budget is full."""
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    text = F.coalesce("text", F.lit(""))
-    keyed = docs.select("doc_id", "source", mixing.n_words(text).alias("n"), F.pow(mixing.uniform(F.col("doc_id")), 1 / mixing.quality_weight(text)).alias("u")).collect()
+    measured = docs.select("doc_id", "source", *[c.alias(k) for k, c in mixing.statistics(F.coalesce("text", F.lit(""))).items()])
+    weight = mixing.learned_quality(measured, spark.read.parquet(f"{sf}/labels.parquet"))
+    keyed = measured.select("doc_id", "source", F.col("words").alias("n"), F.pow(mixing.uniform(F.col("doc_id")), 1 / weight).alias("u")).collect()
     sizes = defaultdict(int)
     for r in keyed:
         sizes[r.source] += r.n
@@ -201,6 +202,64 @@ def test_mixing_prefers_weight_and_caps(spark):
     assert heavy > 1.02 * light and all(r.taken <= 10 for r in part)
 
 
+def plain_bins(t):
+    t = t or ""
+    w = words(t)
+    share = lambda x, of, bins: min(bins - 1, math.floor(x * (bins - 1) / of)) if of else 0
+    return {
+        "plain": share(sum(c.isalpha() or c.isnumeric() or c == " " for c in t), len(t), 21),
+        "distinct": share(len(set(w)), len(w), 11),
+        "capital": share(5 * sum(c.isupper() for c in t), len(t), 11),
+        "length": min(12, len(t) // len(w)) if w else 0,
+    }
+
+
+def test_learned_quality_is_naive_bayes(spark, rows, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id is not null")
+    measured = docs.select("doc_id", *[c.alias(k) for k, c in mixing.statistics(F.coalesce("text", F.lit(""))).items()])
+    labels = [(i, i % 3 and 1) for i, _, _, _ in rows if i is not None and i % 4] + [(1, 0), (2, None), (777_777, 1)]
+    weight = mixing.learned_quality(measured, spark.createDataFrame(labels, "doc_id long, quality int"))
+    got = {r.doc_id: r for r in measured.withColumn("w", weight).collect()}
+    good = {}
+    for i, q in labels:
+        if q is not None:
+            good[i] = good.get(i, True) and q > 0
+    held = [(plain_bins(t), good[i]) for i, t, _, _ in rows if i in good]
+    n = Counter(g for _, g in held)
+    for i, t, _, _ in rows:
+        if i is None:
+            continue
+        own = plain_bins(t)
+        assert {k: got[i][k] for k in own} == own and got[i].words == len(words(t))
+        odds = math.log((n[True] + 1) / (n[False] + 1))
+        for f, bins in mixing.FEATURES.items():
+            a, b = (sum(g == kind and x[f] == own[f] for x, g in held) for kind in (True, False))
+            odds += math.log((a + 1) / (n[True] + bins)) - math.log((b + 1) / (n[False] + bins))
+        assert abs(got[i].w - max(mixing.LEAST_WEIGHT, 1 / (1 + math.exp(-odds)))) < 1e-9
+    one = mixing.learned_quality(measured, spark.createDataFrame([(3, 1)], "doc_id long, quality int"))
+    assert measured.select(one.alias("w")).distinct().collect() == [(1.0,)]
+
+
+def test_mixing_takes_good_documents_first(spark):
+    """Labels of half of the given documents teach the weight; of the other half, those labelled good are taken more often than bad ones of about the same size."""
+    given = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{given}/{t}.parquet") for t in ("documents", "labels"))
+    held = F.xxhash64("doc_id") % 2 == 0
+    measured = docs.select("doc_id", "source", *[c.alias(k) for k, c in mixing.statistics(F.coalesce("text", F.lit(""))).items()])
+    weight = mixing.learned_quality(measured, labels.where(~held))
+    got = mixing.mix(measured.withColumn("w", weight), F.col("words"), F.col("w")).join(labels.where(held & F.col("quality").isNotNull()), "doc_id")
+    # of each document's words, how many are taken beyond the epochs that all have
+    part = F.col("taken") / F.col("size") - F.floor(F.round("target") / F.col("source_size"))
+    rows = got.where("size > 0").select(F.floor(F.log2("size") / 2).alias("k"), "quality", part.alias("part"), "w").collect()
+    good, bad = ([r for r in rows if r.quality == q] for q in (1, 0))
+    mean = lambda xs: sum(xs) / len(xs)
+    assert len(bad) > 100 and mean([r.w for r in good]) > 2 * mean([r.w for r in bad])
+    assert mean([r.part for r in good]) > 1.3 * mean([r.part for r in bad])
+    for k in {r.k for r in bad}:
+        if min(sum(r.k == k for r in x) for x in (good, bad)) >= 40:
+            assert mean([r.part for r in good if r.k == k]) > mean([r.part for r in bad if r.k == k])
+
+
 def test_mixing_nothing(spark, empty):
     assert mixing.op7_source_mixing(spark, empty).count() == 0
 
