@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_shared, write_shared
+from .common import drop_shared, look_up, write_shared
 
 MOST_ROUNDS = 60
 
@@ -19,9 +19,9 @@ def _link(u: str, v: str) -> Column:
 
 
 def _least(pairs: DataFrame) -> DataFrame:
-    """(u, v) -> (u, v, m): m the least of u and its neighbours v. A hub's rows are joined back, not windowed, so that they can be split."""
-    least = pairs.groupBy(F.col("u").alias("_u")).agg(F.min("v").alias("m"))
-    return pairs.join(least, F.col("u") == F.col("_u")).select("u", "v", F.least("u", "m").alias("m"))
+    """(u, v) -> (u, v, m): m the least of u and its neighbours v. The minima of the largest hubs are broadcast, so that a hub's rows need not meet in a task."""
+    least = pairs.groupBy(F.col("u").alias("k")).agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    return look_up(pairs, "u", least, ["v"]).select("u", "v", F.least("u", F.col("found")["m"]).alias("m"))
 
 
 def _large(edges: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ most ROWS x 64 links at a time and gives at most m. Keys with more than HOT fing
 pair of blocks is a group of its own. Components go back to the rows by look_up(), so a third of all rows may have one
 fingerprint.
 
+Texts of any length are hashed whole. Columns of `keep` must not be called doc_id, fp, component_id or cls; others are ignored.
 Null texts count as empty and have fingerprint zero, which links like any other. Rows without an id take part but can't
 be the least; a component of such rows alone has a null component_id. Rows of one id with different texts link only by
 their fingerprints, and may have different components.
