@@ -10,7 +10,7 @@ is fitted on at most TARGET_LABELS labelled ids (those with the least hash). The
 of the keys, and of the ids where more keys are equal, with aggregates until at most NARROW rows are left; no more ever
 reach the driver.
 
-Null texts count as empty (weight 0). Equal keys are taken by id, null ids first, equal ids together. Without labels of the target every
+Null texts count as empty (weight 0). Texts of any length count whole; columns but the id and the text are ignored. Equal keys are taken by id, null ids first, equal ids together. Without labels of the target every
 weight is 0 and all documents are kept. An empty table gives no rows.
 """
 

@@ -8,8 +8,9 @@ may begin at any line and has to end where a line does. Decoded base64 is also s
 have RFC 1421 header lines; an encrypted body is then no DER, and is confirmed by a Proc-Type or DEK-Info that says so.
 Confirmed candidates add spans; base spans always stay.
 
-One scan, no shuffle; a row's cost is linear in its text. Null and empty texts have no spans. Repeated rows give
-repeated results. Columns other than the id and the text are ignored.
+One scan, no shuffle; a row's cost is linear in its text. Null and empty texts have no spans. Spans that begin
+at one place come in the order of their kinds. Repeated rows give repeated results. An empty table gives no rows. Columns other
+than the id and the text are ignored.
 """
 
 from __future__ import annotations

@@ -15,7 +15,8 @@ Packing runs within the tasks of the scan: no shuffle, and a lost task is packed
 task's window holds a bounded number of tokens; what is left at its end goes into sequences whose lengths are powers of
 two, which are not padded. Sequence ids hold the task's number in the upper bits.
 
-Null texts count as empty; an empty text has the end id alone. Repeated rows are packed as often as they come. Texts of
+Null texts count as empty; an empty text has the end id alone. Of sizes with equal scores the one that came first in the task
+is placed. Columns but the id, the text and the loss are ignored, and may have any name. Repeated rows are packed as often as they come. Texts of
 any length are cut. An empty table gives no rows.
 """
 

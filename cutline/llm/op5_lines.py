@@ -26,7 +26,7 @@ stars of least nodes, with each round in the shared folder. Lines are identified
 lines, about 270 pairs can be expected to share one. The verdicts on lines go back to the documents by look_up(), which
 deals blank lines and those of the most frequent lines by document.
 
-Null texts count as empty. Rows with equal ids are one document. A null id comes first. An empty table gives no rows.
+Null texts count as empty. Lines and texts of any length are compared whole. Rows with equal ids are one document. A null id comes first. An empty table gives no rows.
 Columns of any other names pass dedup_lines() unchanged.
 """
 

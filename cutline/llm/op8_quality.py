@@ -12,7 +12,9 @@ The statistics are computed in one scan without a shuffle and kept as a narrow t
 labels. The cutoffs are a table with a row for each stratum that has labels, broadcast if there are at most
 BROADCAST_STRATA, else joined by shuffle.
 
-Null texts have no words (and so fail the base rules). Repeated rows count as often as they come. An empty table gives no
+Null texts have no words (and so fail the base rules). Texts of any length are measured whole. Of cutoffs that reject equally
+many bad documents the most lenient is used; a score that is equal to its cutoff passes. Columns named as FEATURES are
+replaced, others of any name pass. Repeated rows count as often as they come. An empty table gives no
 rows, empty labels leave the base rules alone.
 """
 
