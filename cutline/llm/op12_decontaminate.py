@@ -320,7 +320,7 @@ def without(text: Column, spans: Column) -> Column:
     """The text without its spans."""
     starts = F.concat(spans["start"], F.array(F.length(text)))
     ends = F.concat(F.array(F.lit(0)), spans["end"])
-    return F.array_join(F.zip_with(ends, starts, lambda a, b: F.substr(text, a + 1, b - a)), "")
+    return F.when(text.isNotNull(), F.array_join(F.zip_with(ends, starts, lambda a, b: F.substr(text, a + 1, b - a)), ""))
 
 
 def op12_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
