@@ -18,8 +18,8 @@ an entity are left alone.
 Plan: one scan finds spans, the terms near them, and where each term of a document with an entity stands, and is written
 as a table without texts; one scan counts the documents of each term, summed within tasks before the shuffle; pairs are
 summed and meet the counts of their term and of their entity by look_up(), so that a frequent term, or an address that a
-third of the documents holds, isn't one task; the same goes for the places of a term, which are then joined with their
-document's entities by row. Nothing else is broadcast, and only N is collected.
+third of the documents holds, isn't one task. Places are first held against the terms that disclose any entity (Spark may
+split a frequent one), and then joined with their document's entities and the pairs. Only N is collected.
 
 Null texts count as empty. Repeated rows are documents of their own. Of equal disclosures the action is the same; a term
 that one entity generalises and another removes is removed. Spans are code points of the whole text, however long. Columns
@@ -182,7 +182,7 @@ def term_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def disclosure(found: DataFrame, terms: DataFrame, n_docs: int, generalise: float = GENERALISE, remove: float = REMOVE, z: float = Z) -> DataFrame:
-    """entity, term, docs (of the term), action for the pairs beyond the thresholds. found: rows (row, entity, term, context)."""
+    """entity, term, action for the pairs beyond the thresholds. found: rows (row, entity, term, context)."""
     by_row = found.groupBy("entity", "term", "row").agg(F.min("context").alias("lo"), F.max("context").alias("hi"))
     pairs = by_row.groupBy("entity", "term").agg(F.count("*").alias("together"), (F.min("lo") != F.max("hi")).alias("varied"))
     entities = found.select("entity", "row").distinct().groupBy("entity").agg(F.count("*").alias("of_entity"))
@@ -200,7 +200,7 @@ def disclosure(found: DataFrame, terms: DataFrame, n_docs: int, generalise: floa
     return (
         counted.withColumn("disclosure", told(known))
         .where(F.col("disclosure") >= generalise)
-        .select("entity", "term", "docs", F.when(F.col("disclosure") >= remove * most, "remove").otherwise("generalise").alias("action"))
+        .select("entity", "term", F.when(F.col("disclosure") >= remove * most, "remove").otherwise("generalise").alias("action"))
     )
 
 
@@ -210,18 +210,16 @@ def sanitisation_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     near = found.select("row", F.inline("near"))
     policy, _ = write_shared(disclosure(near, term_counts(docs, text_col), found.count()), "pii-policy")
     # a term discloses few entities, while a row may have many terms and many entities: never all pairs of a row's
-    gives, _ = write_shared(policy.groupBy(F.col("term").alias("k")).agg(F.max("docs").alias("n"), F.collect_list(F.struct("entity", "action")).alias("gives")), "pii-gives")
-    places = look_up(found.where(F.size("terms") > 0).select("row", F.inline("terms")), "term", gives, ["row"]).where("found is not null")
-    places, _ = write_shared(places.select("row", "term", "places", F.col("found")["gives"].alias("gives")), "pii-places")
+    places = found.where(F.size("terms") > 0).select("row", F.inline("terms")).join(policy.select("term").distinct(), "term", "left_semi")
     goes = (
-        places.select("row", "term", F.inline("gives"))
+        places.select("row", "term")
+        .join(policy, "term")
         .join(found.select("row", F.explode("entities").alias("entity")), ["row", "entity"], "left_semi")
         .groupBy("row", "term")
         .agg(F.max("action").alias("kind"))
     )
     added = (
-        places.drop("gives")
-        .join(goes, ["row", "term"])
+        places.join(goes, ["row", "term"])
         .groupBy("row")
         .agg(F.flatten(F.collect_list(F.transform("places", lambda p: F.struct(F.col("kind").alias("kind"), p["start"].alias("start"), p["end"].alias("end"))))).alias("added"))
     )
