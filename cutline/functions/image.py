@@ -113,23 +113,26 @@ def above(pixels: Column, threshold: float, most: float = 255.0) -> Column:
 JET = ((0.0, (0, 0, 128)), (0.125, (0, 0, 255)), (0.375, (0, 255, 255)), (0.625, (255, 255, 0)), (0.875, (255, 0, 0)), (1.0, (128, 0, 0)))
 
 
-def coloured(levels: Column, stops: tuple = JET) -> Column:
-    """Levels from 0 to 255 as colours, channel by channel within a cell: linear between the stops of a map, cut to whole numbers."""
+def _colour(x: float, stops: tuple) -> list[int]:
+    for (a, low), (b, high) in zip(stops, stops[1:], strict=False):
+        if x <= b:
+            return [math.floor(p + (x - a) / (b - a) * (q - p)) for p, q in zip(low, high, strict=True)]
+    return list(stops[-1][1])
 
-    def channel(x: Column, c: int) -> Column:
-        out = F.lit(float(stops[-1][1][c]))
-        for (a, low), (b, high) in reversed(list(zip(stops, stops[1:], strict=False))):
-            out = F.when(x <= b, low[c] + (x - a) / (b - a) * (high[c] - low[c])).otherwise(out)
-        return F.floor(out)
 
-    return F.flatten(F.transform(levels, lambda v: bound(v / 255.0, lambda x: F.array(*[channel(x, c) for c in range(3)]))))
+def coloured(levels: Column, stops: tuple = JET) -> Column:
+    """Levels from 0 to 255 (whole numbers) as colours, channel by channel within a cell: linear between the stops of a map, cut to whole numbers."""
+    table = F.array(*[F.lit(c).cast("long") for v in range(256) for c in _colour(v / 255, stops)])
+    cell = lambda v, c: F.get(table, (v * 3 + c).cast("int"))
+    return F.flatten(F.transform(levels, lambda v: F.array(*[cell(v, c) for c in range(3)])))
 
 
 def panel(left: Column, right: Column, height: int, width: int, margin: int, channels: int = 3, fill: int = 255) -> Column:
     """Two images of a size beside each other, with a margin of one colour between them. Channels of a cell stand together."""
     row = lambda p, r: F.slice(p, r * width * channels + 1, width * channels)
     between = F.array_repeat(F.lit(fill).cast("long"), margin * channels)
-    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(height - 1)), lambda r: F.concat(row(left, r), between, row(right, r))))
+    rows = lambda s: F.flatten(F.transform(F.sequence(F.lit(0), F.lit(height - 1)), lambda r: F.concat(row(s["l"], r), between, row(s["r"], r))))
+    return bound(F.struct(left.alias("l"), right.alias("r")), rows)
 
 
 def binary_hole(mask: Column) -> Column:
