@@ -389,6 +389,15 @@ def kept_dropped_stats(spark: SparkSession, sf: str) -> DataFrame:
     return s.groupBy("video_id").agg(F.count("*").alias("total"), F.count_if("keep").alias("kept"), F.count_if(~F.col("keep")).alias("dropped"), (F.count_if("keep") / FPS).alias("duration_after"))
 
 
+@query(
+    f"""WITH {sql_smooth(CADENCE)} SELECT video_id, count(*) AS total, count(*) FILTER (keep) AS kept, count(*) FILTER (NOT keep) AS dropped,
+    count(*) FILTER (NOT keep) = 0 OR count(*) FILTER (keep) <= 1 AS copied, count(*) FILTER (keep) / {FPS}::DOUBLE AS duration_after FROM smooth GROUP BY 1"""
+)
+def dead_frame_outcome(spark: SparkSession, sf: str) -> DataFrame:
+    """What becomes of each video: cut, or copied as it is."""
+    return detect.dead_frame_outcome(runs.smooth(decisions(spark, sf), CADENCE), FPS)
+
+
 SQL_CALIBRATED = f"""{SQL_STATS}, c AS (SELECT video_id, CASE WHEN count(*) >= 2 THEN greatest(0.2, least(2.0, quantile_cont(mean_mag, 0.2) * 0.6)) ELSE 0.5 END::DOUBLE AS flow,
     CASE WHEN count(*) >= 2 THEN greatest(0.03, least(0.25, quantile_cont(diff_fraction, 0.15) * 0.4)) ELSE 0.15 END::DOUBLE AS area FROM stats GROUP BY 1)"""
 

@@ -280,8 +280,3 @@ class ProgressListener(StreamingQueryListener):
 
     def onQueryTerminated(self, event) -> None:
         pass
-
-
-def windowed_counts(events: DataFrame, late: str = "10 minutes", size: str = "1 day") -> DataFrame:
-    """Events of each closed window of event time; rows later than the watermark are dropped. events: ts (timestamp), kind."""
-    return events.withWatermark("ts", late).groupBy(F.window("ts", size), "kind").agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "kind", "n")

@@ -140,6 +140,15 @@ def test_calibration(spark):
     assert runs.calibrate(stats.limit(1)).first().area == 0.15
 
 
+def test_dead_frame_outcome(spark):
+    from cutline.plans import detect
+
+    rows = [(v, i, t == "T") for v, text in ((1, "TTT"), (2, "TFFFT"), (3, "TFFFF"), (4, "T")) for i, t in enumerate(text)]
+    df = spark.createDataFrame(rows, "video_id long, i long, keep boolean")
+    got = {r.video_id: tuple(r[1:]) for r in detect.dead_frame_outcome(df, 10.0).collect()}
+    assert got == {1: (3, 3, 0, True, 0.3), 2: (5, 2, 3, False, 0.2), 3: (5, 1, 4, True, 0.1), 4: (1, 1, 0, True, 0.1)}
+
+
 def test_dead_rule_order(spark):
     def dead(m, d, i, f, **k):
         row = spark.createDataFrame([(m, d, i, f)], "m double, d double, i double, f double")
