@@ -82,9 +82,9 @@ def write_packets(packets: DataFrame, path: str, block: int = BLOCK) -> None:
 
 @dataclass
 class Records(InputPartition):
-    path: str
-    at: int
-    count: int
+    """What a task reads: (path, first byte, records), of one file or of many small ones."""
+
+    pieces: list[tuple[str, int, int]]
 
 
 class _Reader(DataSourceReader):
@@ -116,7 +116,7 @@ class _Reader(DataSourceReader):
         return f.read_at(n, at)
 
     def partitions(self) -> list[Records]:
-        out, step = [], max(1, self.split // SIZE)
+        pieces, step = [], max(1, self.split // SIZE)
         system, _ = _system(self.root)
         for path, size in _files(self.root):
             with system.open_input_file(path) as f:
@@ -131,27 +131,32 @@ class _Reader(DataSourceReader):
                 at, count = (SIZE * (index["records"] + first_key), n_keys) if self.keys_only else (SIZE * first, count)
                 if not count:
                     continue
-                before = out[-1] if out else None
                 # blocks that follow each other are read as one
-                if before and before.path == path and before.at + SIZE * before.count == at and before.count + count <= step:
-                    before.count += count
+                if pieces and pieces[-1][0] == path and pieces[-1][1] + SIZE * pieces[-1][2] == at and pieces[-1][2] + count <= step:
+                    pieces[-1] = (path, pieces[-1][1], pieces[-1][2] + count)
                 else:
-                    out.append(Records(path, at, count))
-        return out or [Records("", 0, 0)]
+                    pieces.append((path, at, count))
+        out, held = [Records([])], 0
+        for piece in pieces:
+            if held and held + piece[2] > step:
+                out.append(Records([]))
+                held = 0
+            out[-1].pieces.append(piece)
+            held += piece[2]
+        return out
 
     def read(self, partition: Records) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        if not partition.count:
-            return
         system, _ = _system(self.root)
-        with system.open_input_file(partition.path) as f:
-            rows = np.frombuffer(self._read(f, partition.at, SIZE * partition.count), dtype=RECORD)
         long = lambda x: pa.array(x.astype(np.int64), pa.int64(), mask=x == NONE)
-        t = np.where(rows["pts"] == NONE, rows["dts"], rows["pts"])
-        video = partition.path.rsplit("/", 1)[-1].removesuffix(".packets")
-        yield pa.RecordBatch.from_arrays([pa.array([video] * len(rows)), pa.array(rows["seq"].astype(np.int64)), long(rows["pts"]), long(rows["dts"]), long(t), pa.array(rows["key"] > 0)], names=[f.split()[0] for f in SCHEMA.split(", ")])
+        for path, at, count in partition.pieces:
+            with system.open_input_file(path) as f:
+                rows = np.frombuffer(self._read(f, at, SIZE * count), dtype=RECORD)
+            t = np.where(rows["pts"] == NONE, rows["dts"], rows["pts"])
+            video = path.rsplit("/", 1)[-1].removesuffix(".packets")
+            yield pa.RecordBatch.from_arrays([pa.array([video] * len(rows)), pa.array(rows["seq"].astype(np.int64)), long(rows["pts"]), long(rows["dts"]), long(t), pa.array(rows["key"] > 0)], names=[f.split()[0] for f in SCHEMA.split(", ")])
 
 
 class Packets(DataSource):
