@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.rounding import exact_round
 from ..functions.text import ms_text, path_suffix
 from ..sources import dims, encoders
 from .selection import hoisted, language_track, track_order
@@ -99,8 +100,8 @@ EDGE_GPU = ("-c:v", "h264_nvenc", "-preset", "p1", "-rc", "vbr", "-cq", "16", "-
 
 
 def seconds_text(us: Column) -> Column:
-    """Microseconds as seconds with three places."""
-    return F.format_string("%.3f", us / 1e6)
+    """Microseconds as seconds with three places, rounded by the exact binary value (format_string() alone rounds halves of the decimal text up)."""
+    return F.format_string("%.3f", exact_round(us / 1e6, 3))
 
 
 def edge_args(source: Column, target: Column, start_us: Column, end_us: Column, cuda: Column) -> Column:

@@ -378,6 +378,16 @@ def test_exact_rounding(spark):
     assert spark.createDataFrame([(None,), (float("nan"),)], "x double").select(exact_round(F.col("x"), 2).alias("r")).where("r is not null and not isnan(r)").count() == 0
 
 
+def test_seconds_are_rounded_exactly(spark):
+    """Half a millisecond goes where the double's exact value lies, as in printf()."""
+    from cutline.operators.planning import seconds_text
+
+    rng = random.Random(5)
+    us = [35_116_503_500, 1_221_198_212_500, 182_437_229_500, 30_062_019_500, 62_500, 500, 1500, 0, *(rng.randrange(2 * 10**9) * 1000 + 500 for _ in range(2000)), *(rng.randrange(10**12) for _ in range(200))]
+    got = spark.createDataFrame([(x,) for x in us], "us long").select("us", seconds_text(F.col("us")).alias("text")).collect()
+    assert {r.us: r.text for r in got} == {x: f"{x / 1e6:.3f}" for x in us}
+
+
 def test_packets_are_read_by_index(spark, tmp_path):
     from cutline.sources import packet_files
 
