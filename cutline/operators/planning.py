@@ -213,9 +213,12 @@ def detector_scale(scale: Column, height: Column) -> Column:
     return F.greatest(F.lit(0.1), F.least(F.lit(1.0), asked))
 
 
-def upscale_problem(method: Column, scales: Column, scale: Column) -> Column:
-    """Why a model can't be run at a scale: `scale` (not among its own), `method` (an unknown one), or null."""
-    return F.when(~F.array_contains(scales, scale), "scale").when(~method.isin("ml", "shader", "onnx"), "method")
+def upscale_problem(model: Column, method: Column, scales: Column, scale: Column) -> Column:
+    """Why a model can't be run at a scale (which scales it has, or which method is unknown), or null."""
+    listed = F.array_join(F.transform(scales, lambda s: F.concat(s.cast("string"), F.lit("x"))), "/")
+    wrong_scale = F.concat(F.lit("Model '"), model, F.lit("' supports "), listed, F.lit(", got "), scale.cast("string"), F.lit("x"))
+    wrong_method = F.concat(F.lit("Unknown method '"), method, F.lit("' for model '"), model, F.lit("'"))
+    return F.when(~F.array_contains(scales, scale), wrong_scale).when(~method.isin("ml", "shader", "onnx"), wrong_method)
 
 
 def shader_chain(mode: Column, scale: Column) -> Column:

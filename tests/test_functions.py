@@ -288,3 +288,13 @@ def test_posters(spark):
     assert found(True) == {1: (1, "b"), 2: (4, "c")}
     assert found(False) == {1: (0, "a"), 2: (4, "c")}
     assert spark.range(1).select(media.height_at(F.lit(1920), F.lit(1080)), media.height_at(F.lit(5000), F.lit(1))).first()[:] == (540, 1)
+
+
+def test_upscale_problems_name_model_scales_and_method(spark):
+    from cutline.operators.planning import upscale_problem
+
+    problem = lambda method, scales, scale: value(spark, upscale_problem(F.lit("m1"), F.lit(method), F.array(*map(F.lit, scales)), F.lit(scale)))
+    assert problem("ml", (2, 4), 3) == "Model 'm1' supports 2x/4x, got 3x"
+    assert problem("other", (2,), 4) == "Model 'm1' supports 2x, got 4x"
+    assert problem("other", (2, 4), 4) == "Unknown method 'other' for model 'm1'"
+    assert problem("onnx", (2, 4), 4) is None
