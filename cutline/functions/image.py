@@ -104,6 +104,28 @@ def resize(pixels: Column, height: int, width: int, factor: float) -> Column:
     return bound(pixels, lambda p: F.transform(places, lambda c: sample(p, height, width, c)))
 
 
+def _along(n: int, to: int) -> Column:
+    """Where each of `to` cells along a side lies among its n cells: between a and b, as far as d behind a and e before b."""
+    at = [min(max((k + 0.5) * n / to - 0.5, 0.0), n - 1.0) for k in range(to)]
+    spot = lambda x, a: {"a": a, "b": min(a + 1, n - 1), "d": x - a, "e": 1 - (x - a)}
+    return F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in spot(x, math.floor(x)).items()]) for x in at])
+
+
+def _amid(p: Column, width: int, r: Column, c: Column) -> Column:
+    px = lambda y, x: F.get(p, y * width + x).cast("double")
+    return px(r["a"], c["a"]) * c["e"] * r["e"] + px(r["a"], c["b"]) * c["d"] * r["e"] + px(r["b"], c["a"]) * c["e"] * r["d"] + px(r["b"], c["b"]) * c["d"] * r["d"]
+
+
+def resized(pixels: Column, height: int, width: int, to_height: int, to_width: int) -> Column:
+    """resize() to any size; where rows and columns lie between others is composed before Spark sees it."""
+    return bound(pixels, lambda p: F.flatten(F.transform(_along(height, to_height), lambda r: F.transform(_along(width, to_width), lambda c: _amid(p, width, r, c)))))
+
+
+def resized_at(pixels: Column, height: int, width: int, to_height: int, to_width: int, row: Column, col: Column) -> Column:
+    """One cell of resized()."""
+    return _amid(pixels, width, F.get(_along(height, to_height), row), F.get(_along(width, to_width), col))
+
+
 def above(pixels: Column, threshold: float, most: float = 255.0) -> Column:
     """Binary image of the pixels above a threshold."""
     return F.transform(pixels, lambda p: F.when(p > threshold, most).otherwise(0.0))

@@ -1,61 +1,56 @@
-"""Planes as numpy arrays (n x height x width) within Arrow batches: samples, splats, and soft matches.
+"""Planes: splats cell by cell, and soft matches of all cells of one image with those of another.
 
-What is here is too wide for expressions over a row's arrays: images beyond some hundred cells, and products of all cells of
-one image with all of another.
+Images of any size: a cell is a row here, not an element of its image's array within an expression. Soft matches, whose
+products are of all cells with all, are taken in numpy within Arrow batches.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .image import resized, resized_at
 
-def stacked(column: pd.Series, height: int, width: int) -> np.ndarray:
-    return np.stack(column.to_numpy()).astype(float).reshape(-1, height, width)
 
+def splats(images: DataFrame, key: str, pixels: Column, flow_x: Column, flow_y: Column, metric: Column, height: int, width: int, flow_height: int | None = None, flow_width: int | None = None) -> DataFrame:
+    """Two weighted samples where each cell's flow points, over the sum of the weights there -> key, cell, average (even weights), soft (exp(metric)). A flow and metric of another size are resized, and the flow scaled, to the image's.
 
-def sampled(planes: list[np.ndarray], x: np.ndarray, y: np.ndarray, border: bool = False) -> list[np.ndarray]:
-    """Each plane between its cells at (x, y), which are found once for all; beyond the image its border (border) or zero."""
-    n, h, w = planes[0].shape
-    if border:
-        x, y = np.clip(x, 0, w - 1), np.clip(y, 0, h - 1)
-    x0, y0 = np.floor(x).astype(np.int64), np.floor(y).astype(np.int64)
-    u, v = x - x0, y - y0
-    image = np.arange(n)[:, None, None] * (h * w)
-    out = [np.zeros(x.shape) for _ in planes]
-    for r, c, weight in ((0, 0, (1 - u) * (1 - v)), (0, 1, u * (1 - v)), (1, 0, (1 - u) * v), (1, 1, u * v)):
-        ok = (y0 + r >= 0) & (y0 + r < h) & (x0 + c >= 0) & (x0 + c < w)
-        at, weight = np.where(ok, image + (y0 + r) * w + x0 + c, 0), np.where(ok, weight, 0.0)
-        for k, p in enumerate(planes):
-            out[k] += p.ravel()[at] * weight
-    return out
-
-
-def resized(planes: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Bilinear, with cells' centres aligned and the border repeated."""
-    n, h, w = planes.shape
-    y, x = np.meshgrid((np.arange(height) + 0.5) * h / height - 0.5, (np.arange(width) + 0.5) * w / width - 0.5, indexing="ij")
-    return sampled([planes], np.broadcast_to(x, (n, height, width)), np.broadcast_to(y, (n, height, width)), border=True)[0]
-
-
-def splats(pixels: Column, flow_x: Column, flow_y: Column, metric: Column, height: int, width: int, flow_height: int | None = None, flow_width: int | None = None) -> Column:
-    """Struct of two weighted samples where the flow points, over the sum of the weights there: `average` with even weights, `soft` with exp(metric). A flow and metric of another size are resized, and the flow scaled, to the image's. Flat arrays, not null."""
+    All are flat arrays. A cell is one row that refers to its image's arrays, so nothing but the image itself is held, and no
+    Python runs. What a null takes part in is null.
+    """
     fh, fw = flow_height or height, flow_width or width
-
-    @F.pandas_udf("average array<double>, soft array<double>")
-    def made(px: pd.Series, fx: pd.Series, fy: pd.Series, m: pd.Series) -> pd.DataFrame:
-        p, x, y, m = stacked(px, height, width), stacked(fx, fh, fw), stacked(fy, fh, fw), stacked(m, fh, fw)
-        if (fh, fw) != (height, width):
-            x, y, m = resized(x, height, width) * (width / max(1, fw)), resized(y, height, width) * (height / max(1, fh)), resized(m, height, width)
-        row, col = np.mgrid[:height, :width]
-        soft = np.exp(m)
-        even, ones, num, den = sampled([p, np.ones_like(p), p * soft, soft], col + x, row + y)
-        flat = lambda a: list(a.reshape(len(p), -1))
-        return pd.DataFrame({"average": flat(even / np.maximum(1e-7, ones)), "soft": flat(num / np.maximum(1e-7, den))})
-
-    return made(pixels, flow_x, flow_y, metric)
+    size, same = height * width, (fh, fw) == (height, width)
+    metric = metric if same else resized(metric, fh, fw, height, width)
+    # the cell behind the last one is what lies outside of the image
+    padded = lambda c: F.concat(c, F.array(F.lit(0.0)))
+    wide = images.select(key, padded(F.transform(pixels, lambda p: p.cast("double"))).alias("_p"), padded(F.transform(metric, F.exp)).alias("_w"), flow_x.alias("_fx"), flow_y.alias("_fy"))
+    rows = wide.select("*", F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("cell"))
+    row, col = F.floor(F.col("cell") / width).cast("int"), F.col("cell") % width
+    flow = lambda n: F.get(n, "cell") if same else resized_at(F.col(n), fh, fw, height, width, row, col)
+    rows = rows.select(key, "cell", "_p", "_w", (col + flow("_fx") * (width / fw)).alias("_x"), (row + flow("_fy") * (height / fh)).alias("_y"))
+    # further out is as far as two cells are: nothing is there
+    near = lambda n, most: F.when(F.col(n) < -2, -2.0).when(F.col(n) > most + 1, most + 1.0).otherwise(F.col(n)).alias(n)
+    rows = rows.select(key, "cell", "_p", "_w", near("_x", width), near("_y", height))
+    rows = rows.select(key, "cell", "_p", "_w", *[c for n in ("x", "y") for c in (F.floor(f"_{n}").cast("int").alias(f"_{n}0"), (F.col(f"_{n}") - F.floor(f"_{n}")).alias(f"_d{n}"))])
+    corners = [(r, c) for r in (0, 1) for c in (0, 1)]
+
+    def place(r: int, c: int) -> Column:
+        y, x = F.col("_y0") + r, F.col("_x0") + c
+        return F.when(y.between(0, height - 1) & x.between(0, width - 1), y * width + x).otherwise(size)
+
+    rows = rows.select(key, "cell", "_p", "_w", "_dx", "_dy", *[place(r, c).alias(f"_{r}{c}") for r, c in corners])
+    found = [(F.get(a, f"_{r}{c}").alias(f"{a}{r}{c}")) for a in ("_p", "_w") for r, c in corners]
+    rows = rows.select(key, "cell", "_dx", "_dy", *[(F.col(f"_{r}{c}") < size).cast("double").alias(f"_in{r}{c}") for r, c in corners], *found)
+
+    def between(f) -> Column:
+        u, v = F.col("_dx"), F.col("_dy")
+        return f("00") * (1 - u) * (1 - v) + f("01") * u * (1 - v) + f("10") * (1 - u) * v + f("11") * u * v
+
+    of = lambda name: between(lambda k: F.col(name + k))
+    over = lambda total, weight: total / F.greatest(F.lit(1e-7), weight)
+    soft = between(lambda k: F.col("_p" + k) * F.col("_w" + k))
+    return rows.select(key, F.col("cell").cast("long").alias("cell"), over(of("_p"), of("_in")).alias("average"), over(soft, of("_w")).alias("soft"))
 
 
 def match_flow(images: DataFrame, key: str, own: str, other: str, height: int, width: int, channels: int, tile_rows: int = 16, radius: int | None = None) -> DataFrame:

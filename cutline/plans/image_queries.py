@@ -46,15 +46,17 @@ def flow_warp(spark: SparkSession, sf: str) -> DataFrame:
     return cells(flows(spark, sf).select("vec_id", image.warp(F.col("px"), F.col("x"), F.col("y"), H, WIDTH).alias("v")), "v")
 
 
+def splatted(found: DataFrame) -> DataFrame:
+    return found.select("vec_id", "cell", *[F.bround(c, 6).alias(c) for c in ("average", "soft")])
+
+
 @query(
     f"""WITH {SQL_FLOWS}, p AS (SELECT vec_id, cell, px, [1.0::DOUBLE for k in px] AS ones, [exp(m) for m in nx] AS w, [px[k] * exp(nx[k]) for k in range(1, 65)] AS pw, fx AS x, fy AS y FROM flows), q AS (SELECT *, {SQL_FLOOR} FROM p)
     SELECT vec_id, cell, round_even({sql_sample('px')} / greatest(1e-7, {sql_sample('ones')}), 6) AS average, round_even({sql_sample('pw')} / greatest(1e-7, {sql_sample('w')}), 6) AS soft FROM q"""
 )
 def softsplat(spark: SparkSession, sf: str) -> DataFrame:
     """Samples where the flow points, over the sum of their weights: even, and by a metric."""
-    made = flows(spark, sf).select("vec_id", planes.splats(F.col("px"), F.col("x"), F.col("y"), F.col("nx"), H, WIDTH).alias("z"))
-    both = made.select("vec_id", F.posexplode(F.arrays_zip("z.average", "z.soft")).alias("cell", "z"))
-    return both.select("vec_id", F.col("cell").cast("long").alias("cell"), F.bround(F.col("z")["average"], 6).alias("average"), F.bround(F.col("z")["soft"], 6).alias("soft"))
+    return splatted(planes.splats(flows(spark, sf), "vec_id", F.col("px"), F.col("x"), F.col("y"), F.col("nx"), H, WIDTH))
 
 
 @query(
@@ -68,9 +70,7 @@ def softsplat_resized(spark: SparkSession, sf: str) -> DataFrame:
     """softsplat() with a flow and a metric of half the image's size, which are brought to it first."""
     f = with_next(spark, sf)
     part = lambda k: F.slice("nx", 16 * k + 1, 16)
-    made = f.select("vec_id", planes.splats(F.col("px"), part(0), part(1), part(2), H, WIDTH, 4, 4).alias("z"))
-    both = made.select("vec_id", F.posexplode(F.arrays_zip("z.average", "z.soft")).alias("cell", "z"))
-    return both.select("vec_id", F.col("cell").cast("long").alias("cell"), F.bround(F.col("z")["average"], 6).alias("average"), F.bround(F.col("z")["soft"], 6).alias("soft"))
+    return splatted(planes.splats(f, "vec_id", F.col("px"), part(0), part(1), part(2), H, WIDTH, 4, 4))
 
 
 @query(

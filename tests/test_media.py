@@ -1,6 +1,7 @@
 """Regions, segments in files, growing logs, windows of tensors, attempts, the scene cache."""
 
 import json
+import math
 import os
 import random
 import subprocess
@@ -96,6 +97,40 @@ def test_pair_stats(spark):
 # planes
 
 
+def plain_sample(p, y, x, border=False):
+    h, w = p.shape
+    if border:
+        y, x = min(max(y, 0), h - 1), min(max(x, 0), w - 1)
+    r, c = math.floor(y), math.floor(x)
+    at = lambda r, c: p[r, c] if 0 <= r < h and 0 <= c < w else 0.0
+    v, u = y - r, x - c
+    return at(r, c) * (1 - u) * (1 - v) + at(r, c + 1) * u * (1 - v) + at(r + 1, c) * (1 - u) * v + at(r + 1, c + 1) * u * v
+
+
+@pytest.mark.parametrize(("h", "w", "fh", "fw"), [(4, 6, 4, 6), (5, 7, 3, 2), (2, 3, 4, 5)])
+def test_splats(spark, h, w, fh, fw):
+    """Against plain loops, with flows that end in, beside and far out of the image, and nulls; no Python runs, so no worker grows with the input."""
+    rng = np.random.default_rng(h)
+    rows = [(k, rng.normal(size=h * w).tolist(), *(rng.normal(0, s, fh * fw).tolist() for s in (2, 2, 1))) for k in range(5)]
+    rows[1][2][0], rows[2][3][1], rows[3][2][2] = 1e300, -1e300, -1.0
+    rows += [(8, None, *rows[0][2:]), (9, [None, *rows[0][1][1:]], [0.0] * (fh * fw), [0.0] * (fh * fw), [0.0] * (fh * fw))]
+    df = spark.createDataFrame(rows, "k long, p array<double>, x array<double>, y array<double>, m array<double>")
+    found = planes.splats(df, "k", F.col("p"), F.col("x"), F.col("y"), F.col("m"), h, w, fh, fw)
+    got = {(r.k, r.cell): (r.average, r.soft) for r in found.collect()}
+    assert len(got) == len(rows) * h * w
+    assert {got[8, i] for i in range(h * w)} == {(None, None)} and got[9, 0] == (None, None)
+    assert got[9, h * w - 1] == pytest.approx((rows[9 - 3][1][-1],) * 2)
+    for k, *arrays in rows[:5]:
+        p, (x, y, m) = np.array(arrays[0]).reshape(h, w), (np.array(a).reshape(fh, fw) for a in arrays[1:])
+        large = lambda a, by: np.array([[plain_sample(a, (r + 0.5) * fh / h - 0.5, (c + 0.5) * fw / w - 0.5, True) * by for c in range(w)] for r in range(h)])  # noqa: E731, B023
+        x, y, e = large(x, w / fw), large(y, h / fh), np.exp(large(m, 1))
+        for r in range(h):
+            for c in range(w):
+                s = lambda a: plain_sample(a, r + y[r, c], c + x[r, c])  # noqa: E731, B023
+                assert got[k, r * w + c] == pytest.approx((s(p) / max(1e-7, s(np.ones((h, w)))), s(p * e) / max(1e-7, s(e))), abs=1e-9)
+    assert "Python" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_match_flow_is_one_softmax(spark):
     rng = np.random.default_rng(5)
     h, w, c = 5, 4, 3
